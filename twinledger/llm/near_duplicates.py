@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from twinledger.llm.similar import Join, Similar, similar_sets
 from twinledger.llm.terms import terms
 
-METADATA_LEAST_TERMS, METADATA_THRESHOLD = 20, 0.7
+METADATA_LEAST_TERMS, METADATA_THRESHOLD, METADATA_SHARED = 20, 0.7, 8
 NAME_LEAST_CHARS, NAME_THRESHOLD, NAME_GRAM = 8, 0.5, 3
 
 
@@ -31,7 +31,7 @@ def distinct_names(snapshot: DataFrame) -> DataFrame:
 
 def similar_metadata(snapshot: DataFrame, threshold: float = METADATA_THRESHOLD) -> Similar:
     """Rows whose metadata terms are similar; rows with null or short metadata take no part, and equal term sets are one class."""
-    return similar_sets(snapshot.select("row_id", "metadata_json"), metadata_sets, Join(threshold), "row_id")
+    return similar_sets(snapshot.select("row_id", "metadata_json"), metadata_sets, Join(threshold, METADATA_SHARED), "row_id")
 
 
 def similar_names(snapshot: DataFrame, threshold: float = NAME_THRESHOLD) -> Similar:
