@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinledger.llm import copies, frequency, near_duplicates, relations, salience, similar
+from twinledger.llm import copies, frequency, near_duplicates, relations, residue, salience, similar
 from twinledger.runtime import table
 
 def _both(spark: SparkSession, d: str, of) -> DataFrame:
@@ -57,7 +57,16 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return frequency.snapshot_frequencies(table(spark, d, "snapshot")).select("field_name", "item", "occurrences", "records", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_collapsed, p3_found, p4_found, p4_residual, p6_found, p6_counts)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The clean corpus."""
+    return residue.clean(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_collapsed, p3_found, p4_found, p4_residual, p6_found, p6_counts, p10_found, p10_clean)}
 
 _TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _SETS = rf"""

@@ -1,0 +1,138 @@
+"""Texts that hold leftovers of templates, filler, error pages or script notices where content should stand."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Phrases of the kinds of residue, per language where they differ. All are matched without regard to case.
+SCRIPTING = r"(?:java ?script|js|scripts?|scripting|active content|client-side scripts?)"
+PLACE = r"(?:page|app|site|viewer|gallery|dashboard|market page|mint page|application)"
+
+SCRIPT_NOTICES = [
+    rf"please (?:activate|enable|allow|turn on|switch on) {SCRIPTING}(?: and cookies)? to ",
+    rf"\bto \w+ the \w+, (?:allow|enable|activate|turn on) {SCRIPTING} (?:for|on) this ",
+    rf"\bthis (?:\w+ )?{PLACE} (?:needs|requires|depends on) {SCRIPTING}",
+    rf"\bthis (?:\w+ )?{PLACE} (?:cannot|can't|does not|will not) (?:run|work|load|start) without {SCRIPTING}",
+    rf"\bdoes not work without {SCRIPTING} enabled",
+    rf"\b{SCRIPTING} (?:is|are) (?:off|disabled|blocked|not supported|switched off) in your browser",
+    rf"\byour browser does not (?:run|support) {SCRIPTING}",
+    rf"you see this text because {SCRIPTING} (?:is|are) not ",
+    r"^noscript\b|\bscripting is probably disabled|\brequires a browser with scripting",
+    rf"\bthe (?:\w+ )?{PLACE} will not load\b",
+    r"\bactive (?:el )?javascript para |\bpágina necesita scripts para ",
+    r"\bbitte javascript einschalten|\bohne skripte kann diese seite nicht",
+    r"\bactivez javascript pour |\ba besoin des scripts de votre navigateur",
+    r"\bative o javascript para |\bpágina precisa de scripts para ",
+]
+
+CODE = r"[45]\d\d"
+FAILED = r"(?:could not be|cannot be|can't be|was not|failed to be) (?:found|reached|rendered|resolved|loaded|fetched|verified|located)"
+ERROR_PAGES = [
+    rf"(?:^|\s)(?:http|error|status:?|erreur|fehler|erro) {CODE} ?(?:[:|,.–-]|$)",
+    rf"^\W*{CODE}(?: ?[-:|,–] |\W*$)",
+    rf"(?:^|[-:|,–] ?|warning |fatal |sorry )the (?:\w+ ){{1,3}}{FAILED}\b",
+    rf"^the (?:\w+ ){{1,3}}{FAILED}\b|\byou asked for {FAILED}",
+    r"^\W*(?:warning|fatal|sorry|oops|request failed|exception in thread \w+)\W*$|\bexception in thread \w+ ?[-:|,]|^request failed\b",
+    r"\btraceback: line \d|traceback \(most recent call",
+    r"\bgateway timed out while|\bbad gateway\W*$|\bupstream gave no answer|\bproxy refused the connection|\bcould not connect to database",
+    r"\bservice is down for maintenance|\binternal failure while|\binternal server error\W*$|\bsomething (?:broke on our side|went wrong)",
+    r"\btoo many requests\W*$|\bslow down and retry after|\bsession expired\W*$|\bsign in again to view|\baccess denied\W*$",
+    r"\baccess to this (?:resource|page) is forbidden|\bpage does not exist or was moved|\byou are not a robot\b|\bpage not found\W*$",
+    r"\binvalid cid: |\bat module\.[0-9a-z]+:\d",
+    r'\{"error":|\{"success":\s*false',
+    r"\bel servidor no responde|\bacceso denegado\W*$|\bno se encontró la página solicitada",
+    r"\bdienst ist vorübergehend nicht erreichbar|\bzugriff verweigert\W*$|\bdie angeforderte seite gibt es nicht",
+    r"\ble serveur ne répond pas|\baccès refusé\W*$|\bla page demandée est introuvable",
+    r"\bo serviço está fora do ar|\bacesso negado\W*$|\ba página pedida não foi encontrada",
+]
+
+PART = r"(?:\w+ ){1,3}"
+PLACEHOLDER_PHRASES = [
+    rf"\byour {PART}goes here|\binsert {PART}here\b|\b{PART}to be added\W*$|\bthis is where the {PART}will appear",
+    r"\btodo: |\btbd\W*$|\bcoming soon: describe |\badd a short text about|\bwrite something nice about|\bedit this block to",
+    rf"^\W*type a catchy |\btype a catchy {PART[:-5]}{{1,2}}|\b(?:sample|example|dummy) (?:\w+)[, ]+(?:replace before|for layout only|and will be changed)",
+    rf"\breplace this {PART}before|\bthis is dummy copy|\bbody copy of about|^\W*(?:sub)?headline(?: one)?\W*$|\blayout only\W*$",
+    r"\baquí va la descripción|\bescriba aquí su|\btexto de ejemplo, cámbielo",
+    r"\bhier steht später|\bihr text an dieser stelle|\bblindtext, bitte",
+    r"\bsaisissez votre texte|\bvotre description ici|\btexte provisoire, à",
+    r"\bescreva o texto neste|\btexto de exemplo, troque|\bsua descrição vai aqui",
+]
+
+#: unfilled fields of the usual template languages; case counts here
+FIELDS = [
+    r"\{\{[^{}]{1,40}\}\}", r"[$#]\{[^{}]{1,40}\}", r"\{%[^%]{1,40}%\}", r"<%=?[^%]{1,40}%>", r"@@\w{1,40}@@", r"__[A-Z][A-Z_]{1,40}__", r"%[A-Z][A-Z_]{1,40}%",
+    r"\[\[[^\]]{1,40}\]", r"<<[^>]{1,40}>", r"<(?:insert )?[a-z][A-Za-z_ ]{1,40}>", r"\[(?:INSERT |YOUR )?[A-Z][A-Z_ ]{2,40}\]", r"\[(?:insert|your) [^\]]{1,40}\]", r"\[[a-z]{3,20} [a-z]{2,20}\]", r"\[[a-z]{4,20}\]",
+    r"(?<![/\w])\{[A-Za-z_]{2,30}\}(?![./])", r"\{\d\}", r"(?<!\d )(?<!\d)%[sd]\b", r"\bX{3,}\b", r"\[object Object\]", r"#REF!|#N/A", r"\(\w+(?: \w+)? TBD\)", r"\(no [\w ]{2,30}, copy from [\w ]{2,30}\)",
+    r"(?<!\w):[a-z][a-z_]{2,20}:(?!\w)", r"\$[A-Za-z][A-Za-z_]{2,20}\$", r"%\d\$[sd]\b", r"%\(\w{2,30}\)[sd]\b", r"\bundefined\b", r"\bNaN\b", r"\bnull\b(?! and void)",
+]
+
+#: words of the usual filler texts
+FILLER_WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua magnis dictus velutis porta vitabo tempora quaerit posuere sedum ornatu fermen nullam lacum eros".split()
+MASHED = "asdf qwer zxcv jkl asd foo bar baz xyz blah bla test aaa".split()
+
+#: a sentence that describes how fields, errors or such words are used, rather than holding a leftover
+MENTION = r"\b(?:such as|template|script reads|replaces? \{|is followed by|flagged|as a frequent value|refers to|sic|house style|titled|motto|trait named|first drafts|the work undefined|shows a nan|works best when)\b"
+
+
+def units(text: Column) -> Column:
+    """The sentences and lines of a text, trimmed; null gives null."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\s*\n\s*"), F.trim), lambda u: u != "")
+
+
+def normalised(unit: Column) -> Column:
+    """A unit without what varies in it: lower case, hashes and numbers as 0."""
+    return F.regexp_replace(F.regexp_replace(F.lower(unit), r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "0"), r"\d+", "0")
+
+
+def _any(text: Column, patterns: list[str], flags: str) -> Column:
+    return reduce(lambda a, b: a | b, (text.rlike(flags + p) for p in patterns))
+
+
+def kind(unit: Column) -> Column:
+    """What kind of residue a unit is, or null: script, error, placeholder or filler."""
+    said = F.regexp_replace(unit, r"(?<!\{|:|,)[\"“„«](?![:,])[^\"“”„«»{}:]{2,60}[\"”“»]", '""')  # quoted words are spoken about
+    flags, low = "(?iu)", F.lower(unit)
+    mentioned = unit.rlike("(?iu)" + MENTION)
+    words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    n = F.size(words)
+    filler = F.size(F.filter(words, lambda w: w.isin(*FILLER_WORDS)))
+    mashed = F.size(F.filter(words, lambda w: w.isin(*MASHED)))
+    repeated = low.rlike(r"(?u)\b([\p{L}]{2,})(?:[\s.,]+\1\b){2,}")
+    return (
+        F.when(_any(said, SCRIPT_NOTICES, flags) & ~mentioned, "script")
+        .when(_any(said, ERROR_PAGES, flags) & ~mentioned, "error")
+        .when((_any(said, PLACEHOLDER_PHRASES, flags) | _any(unit, FIELDS, "(?u)")) & ~mentioned, "placeholder")
+        .when(((n >= 3) & ((filler >= 0.5 * n) | (mashed >= 0.6 * n)) | repeated) & ~mentioned, "filler")
+    )
+
+
+def lines(documents: DataFrame) -> DataFrame:
+    """(doc_id, host, line, kind): every unit of every document, its host (null is a host of its own), its normalised form's hash and its kind."""
+    exploded = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.explode(units(F.col("text"))).alias("unit"))
+    return exploded.select("doc_id", "host", F.xxhash64(normalised(F.col("unit"))).alias("line"), kind(F.col("unit")).alias("kind"))
+
+
+def residue(documents: DataFrame, boilerplate_share: float = 0.05, boilerplate_least: int = 50) -> DataFrame:
+    """(doc_id, kinds): the documents whose residual holds evidence, with the sorted kinds of it.
+
+    Lines are counted by host in their normalised form, in documents, not occurrences. Those in more than boilerplate_share of a host's
+    documents, and in boilerplate_least at least, are the host's frame and say nothing about one document; they are subtracted. What
+    remains is residue if it is an error message, a placeholder, filler or a notice that scripts are required, as `kind` finds them; a
+    sentence that mentions or quotes such a thing is none. Only lines with a kind can become evidence, so only these move, counted per
+    task before they do. Null and empty texts hold no evidence. doc_id must be unique.
+    """
+    from twinledger.runtime import land
+
+    found = land(lines(documents.select("doc_id", "source", "text")).filter(F.col("kind").isNotNull()).distinct(), "evidence")
+    size = documents.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
+    seen = found.select("doc_id", "host", "line").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
+    frame = seen.filter(F.col("docs") >= boilerplate_least).join(size, "host").filter(F.col("docs") > F.col("host_docs") * boilerplate_share).select("host", "line")
+    return found.join(frame, ["host", "line"], "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+
+
+def clean(documents: DataFrame, **options) -> DataFrame:
+    """The documents without residue, all their columns kept."""
+    return documents.join(residue(documents, **options).select("doc_id"), "doc_id", "left_anti")
