@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.runtime import cut
+from twinledger.runtime import land, release
 
 #: A vertex with more than this share of all edge ends is hot; there are at most its reciprocal many.
 HOT_SHARE = 1 / 1000
@@ -27,30 +27,32 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
     """(v, label) for every end of a pair: the smallest member of its group, the same for all of a group.
 
     Each round propagates minimum labels across the edges and then jumps: a vertex takes the label of the vertex its label names.
-    Rounds end when no label changes; each is checkpointed to the shared folder, so lineage stays short and a lost executor costs one
+    Rounds end when no label changes; each is written to the shared folder, so lineage stays short and a lost executor costs one
     round. Pairs repeat or mirror freely; a pair of one vertex with itself is a group of its own if nothing else links it; pairs with
     a null end are left out. Labels compare in the order of their type (strings in byte order). An empty input gives no rows.
     """
     given = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
     ends = given.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    ends = cut(ends)
+    ends = land(ends, "ends")
     vertices = ends.select("u").union(ends.select("v")).distinct().toDF("v")
     both = ends.filter("u <> v")
     both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
     degree = both.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
     total = both.agg(F.count(F.lit(1)).alias("t"))
-    hot = cut(degree.join(F.broadcast(total)).filter(F.col("d") > F.greatest(F.lit(1000), F.col("t") * HOT_SHARE)).select(F.col("u").alias("v")))
-    both = cut(both.join(F.broadcast(hot.select(F.col("v").alias("u"), F.lit(True).alias("hot"))), "u", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
-    labels = cut(vertices.withColumn("label", F.col("v")))
+    hot = land(degree.join(F.broadcast(total)).filter(F.col("d") > F.greatest(F.lit(1000), F.col("t") * HOT_SHARE)).select(F.col("u").alias("v")), "hot")
+    both = land(both.join(F.broadcast(hot.select(F.col("v").alias("u"), F.lit(True).alias("hot"))), "u", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "both")
+    labels = land(vertices.withColumn("label", F.col("v")), "labels")
     for _ in range(max_rounds):
         reached = labels.unionByName(_push(both, hot, labels)).groupBy("v").agg(F.min("label").alias("label"))
-        reached = cut(reached)
+        reached = land(reached, "reached")
         # a label that many vertices share is looked up once per task, not once per vertex
         wanted = reached.select(F.col("label").alias("v")).distinct()
         jump = wanted.join(reached, "v").select(F.col("v").alias("label"), F.col("label").alias("next")).filter("label <> next")
         jumped = reached.join(jump, "label", "left").select("v", F.coalesce("next", "label").alias("label"))
-        jumped = cut(jumped)
+        jumped = land(jumped, "labels")
         same = labels.withColumnRenamed("label", "old").join(jumped, "v").filter("old <> label").isEmpty()
+        release(reached)
+        release(labels)
         labels = jumped
         if same:
             return labels
