@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinledger.llm import copies, frequency, near_duplicates, relations, residue, salience, similar
+from twinledger.llm import copies, frequency, mixing, near_duplicates, packing, relations, residue, salience, similar
 from twinledger.runtime import table
 
 def _both(spark: SparkSession, d: str, of) -> DataFrame:
@@ -57,6 +57,27 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return frequency.snapshot_frequencies(table(spark, d, "snapshot")).select("field_name", "item", "occurrences", "records", "verdict")
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    capacities = [tuple(r) for r in table(spark, d, "pack_capacities", "capacity_id", "capacity_tokens").filter("capacity_id is not null and capacity_tokens is not null").orderBy("capacity_id").collect()]
+    return packing.pack(table(spark, d, "documents", "doc_id", "text"), capacities)
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(_packed(spark, d))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents")).select("doc_id")
 
@@ -66,7 +87,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     return residue.clean(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_collapsed, p3_found, p4_found, p4_residual, p6_found, p6_counts, p10_found, p10_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_collapsed, p3_found, p4_found, p4_residual, p6_found, p6_counts, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found, p10_clean)}
 
 _TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _SETS = rf"""
