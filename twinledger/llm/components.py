@@ -26,7 +26,8 @@ def _push(ends: DataFrame, hot: DataFrame, labels: DataFrame) -> DataFrame:
 def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
     """(v, label) for every end of a pair: the smallest member of its group, the same for all of a group.
 
-    Each round propagates minimum labels across the edges and then jumps: a vertex takes the label of the vertex its label names.
+    Each round propagates minimum labels across the edges, to a vertex and to the vertex that its label names, and then jumps: a vertex
+    takes the label of the vertex its label names. The rounds needed grow as the logarithm of the longest chain.
     Rounds end when no label changes; each is written to the shared folder, so lineage stays short and a lost executor costs one
     round. Pairs repeat or mirror freely; a pair of one vertex with itself is a group of its own if nothing else links it; pairs with
     a null end are left out. Labels compare in the order of their type (strings in byte order). An empty input gives no rows.
@@ -42,9 +43,10 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
     hot = land(degree.join(F.broadcast(total)).filter(F.col("d") > F.greatest(F.lit(1000), F.col("t") * HOT_SHARE)).select(F.col("u").alias("v")), "hot")
     both = land(both.join(F.broadcast(hot.select(F.col("v").alias("u"), F.lit(True).alias("hot"))), "u", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "both")
     labels = land(vertices.withColumn("label", F.col("v")), "labels")
-    for _ in range(max_rounds):
-        reached = labels.unionByName(_push(both, hot, labels)).groupBy("v").agg(F.min("label").alias("label"))
-        reached = land(reached, "reached")
+    for _ in range(max_rounds):  # far more than any logarithm
+        # the smallest label next to a vertex goes to the vertex and to the one its label names, which hooks whole groups onto each other
+        near = labels.join(_push(both, hot, labels).withColumnRenamed("label", "best"), "v").select(F.explode(F.array("v", "label")).alias("v"), F.col("best").alias("label"))
+        reached = land(labels.unionByName(near).groupBy("v").agg(F.min("label").alias("label")), "reached")
         # a label that many vertices share is looked up once per task, not once per vertex
         wanted = reached.select(F.col("label").alias("v")).distinct()
         jump = wanted.join(reached, "v").select(F.col("v").alias("label"), F.col("label").alias("next")).filter("label <> next")
