@@ -36,3 +36,36 @@ def duplicate_pairs_in_scope(relations: DataFrame) -> DataFrame:
     inner = F.array(scope("all"), scope("intra"), scope("intra_chain", F.col("seed_chain")))
     outer = F.array(scope("all"), scope("cross"), scope("cross_primary", F.col("seed_chain")), scope("matrix", F.col("seed_chain"), F.col("candidate_chain")))
     return relations.filter(same.isNotNull()).withColumn("__s", F.explode(F.when(same, inner).otherwise(outer))).select("*", "__s.*").drop("__s")
+
+
+def unified_relations(relations: DataFrame) -> DataFrame:
+    """(seed_chain, seed_address, candidate_chain, candidate_address, dimensions, nfts, reports): repeated relations as one.
+
+    dimensions: the sorted union; nfts: how many different NFT ids all reports name. Ends are tidied; relations with a missing end and
+    those of a contract with itself are dropped. Ids are exploded and made distinct before they are counted, so no set is held.
+    """
+    from twinledger.identity import tidy_address, tidy_chain
+
+    key = ["seed_chain", "seed_address", "candidate_chain", "candidate_address"]
+    tidy = relations.withColumns({
+        "seed_address": tidy_address(F.col("seed_chain"), F.col("seed_address")), "candidate_address": tidy_address(F.col("candidate_chain"), F.col("candidate_address")),
+        "seed_chain": tidy_chain(F.col("seed_chain")), "candidate_chain": tidy_chain(F.col("candidate_chain")),
+    })
+    given = tidy.filter("seed_chain is not null and seed_address is not null and candidate_chain is not null and candidate_address is not null")
+    other = given.filter("seed_chain <> candidate_chain or seed_address <> candidate_address")
+    named = other.select(*key, F.explode_outer("dimensions").alias("d")).groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set("d")), ",").alias("dimensions"))
+    ids = other.select(*key, F.explode("nft_ids").alias("i")).distinct().groupBy(*key).agg(F.count("i").alias("nfts"))
+    reports = other.groupBy(*key).agg(F.count(F.lit(1)).alias("reports"))
+    return reports.join(named, key).join(ids, key, "left").select(*key, "dimensions", F.coalesce("nfts", F.lit(0)).alias("nfts"), "reports")
+
+
+def relation_counts(relations: DataFrame) -> DataFrame:
+    """(scope, primary_chain, secondary_chain, seeds, candidates, relations) of unified relations in each scope they lie in."""
+    scoped = duplicate_pairs_in_scope(relations)
+    keys = ["scope", "primary_chain", "secondary_chain"]
+    end = lambda c: scoped.select(*keys, f"{c}_chain", f"{c}_address").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{c}s"))
+    out = scoped.groupBy(*keys).agg(F.count(F.lit(1)).alias("relations"))
+    for c in ("seed", "candidate"):
+        own = end(c).alias("y")
+        out = out.alias("x").join(own, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]).select("x.*", f"y.{c}s")
+    return out
