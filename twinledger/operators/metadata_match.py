@@ -77,9 +77,8 @@ def similar_documents(docs: DataFrame, threshold: float) -> DataFrame:
     """(doc_a, doc_b, score), doc_a < doc_b: different documents whose cosine reaches the threshold, lossless.
 
     Each document's terms are ordered by rarity; documents that share none of the first few cannot reach the threshold (see _limits), so
-    these join by equality, and the parity of all terms rules out most that lack too many of each other's terms. The score then follows
-    from the shared terms alone, in columns: the squared norm of a document is that of all its terms as unshared, less the share that
-    sharing takes off. Terms of one document only never join. Documents without terms match none. A threshold above 1 gives no pairs;
+    these join by equality, and the parity of all terms rules out most that lack too many of each other's terms. The rest is scored in
+    columns, in one pass over the terms of both. Terms of one document only never join. Documents without terms match none. A threshold above 1 gives no pairs;
     one of 0 or less is refused, as every pair would match.
     """
     if threshold <= 0:
@@ -106,22 +105,21 @@ def score_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     side = lambda x: docs.select(F.col("doc").alias(f"doc_{x}"), F.map_from_entries("terms").alias(f"m_{x}"), F.col("length").alias(f"len_{x}"))
     both = pairs.join(side("a"), "doc_a").join(side("b"), "doc_b")
     mean = F.greatest((F.col("len_a") + F.col("len_b")) / 2, F.lit(1.0))
-    shared = F.array_intersect(F.map_keys("m_a"), F.map_keys("m_b"))
+    factor = lambda x: K1 * (1 - B + B * F.col(f"len_{x}") / mean)
 
-    def weight(tf, length):
-        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+    def weight(tf, k):
+        return F.coalesce(tf * (K1 + 1) / (tf + k), F.lit(0.0))
 
-    def total(values, of):
-        return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + of(v))
+    each = F.map_values(F.map_zip_with("m_a", "m_b", lambda _, a, b: F.struct(weight(a, F.col("k_a")).alias("a"), weight(b, F.col("k_b")).alias("b"))))
+    start = F.struct(*(F.lit(0.0).alias(c) for c in ("dot", "a", "b")))
 
-    def norm(x):
-        m, n = F.col(f"m_{x}"), F.col(f"len_{x}")
-        square = lambda tf: weight(tf, n) * weight(tf, n)
-        return IDF_ONCE**2 * total(F.map_values(m), square) - (IDF_ONCE**2 - IDF_SHARED**2) * total(F.col("shared"), lambda t: square(m[t]))
+    def add(acc, w):
+        idf = F.when((w["a"] > 0) & (w["b"] > 0), IDF_SHARED**2).otherwise(IDF_ONCE**2)
+        return F.struct((acc["dot"] + idf * w["a"] * w["b"]).alias("dot"), (acc["a"] + idf * w["a"] * w["a"]).alias("a"), (acc["b"] + idf * w["b"] * w["b"]).alias("b"))
 
-    dot = IDF_SHARED**2 * total(F.col("shared"), lambda t: weight(F.col("m_a")[t], F.col("len_a")) * weight(F.col("m_b")[t], F.col("len_b")))
-    scored = both.withColumn("shared", shared)
-    return scored.select("doc_a", "doc_b", F.when(F.col("doc_a") == F.col("doc_b"), 1.0).when(F.size("shared") == 0, 0.0).otherwise(dot / F.sqrt(norm("a") * norm("b"))).alias("score"))
+    sums = both.withColumn("k_a", factor("a")).withColumn("k_b", factor("b")).withColumn("t", F.aggregate(each, start, add))
+    cosine = F.when(F.col("t.dot") > 0, F.col("t.dot") / F.sqrt(F.col("t.a") * F.col("t.b"))).otherwise(0.0)
+    return sums.select("doc_a", "doc_b", F.when(F.col("doc_a") == F.col("doc_b"), 1.0).otherwise(cosine).alias("score"))
 
 
 def contract_anchors(anchors: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from twinledger.sources import sinks
 from twinledger.sources import snapshot as source
 from twinledger.streaming import ingest
 
-NAME_THRESHOLD, METADATA_THRESHOLD, TEXT_THRESHOLD, SEEDS_PER_RANKING = 0.95, 0.6, 0.1, 10
+NAME_THRESHOLD, METADATA_THRESHOLD, TEXT_THRESHOLD, SEEDS_PER_RANKING = 0.95, 0.6, 0.2, 10
 
 
 def _rows(spark: SparkSession, d: str, *dimensions: str) -> DataFrame:
