@@ -11,63 +11,71 @@ from pyspark.sql import functions as F
 SCRIPTING = r"(?:java ?script|js|scripts?|scripting|active content|client-side scripts?)"
 PLACE = r"(?:page|app|site|viewer|gallery|dashboard|market page|mint page|application)"
 
+#: each a pattern, and words of which a text that it matches holds one at least; these are looked for first, as that is much cheaper
 SCRIPT_NOTICES = [
-    rf"please (?:activate|enable|allow|turn on|switch on) {SCRIPTING}(?: and cookies)? to ",
-    rf"\bto \w+ the \w+, (?:allow|enable|activate|turn on) {SCRIPTING} (?:for|on) this ",
-    rf"\bthis (?:\w+ )?{PLACE} (?:needs|requires|depends on) {SCRIPTING}",
-    rf"\bthis (?:\w+ )?{PLACE} (?:cannot|can't|does not|will not) (?:run|work|load|start) without {SCRIPTING}",
-    rf"\bdoes not work without {SCRIPTING} enabled",
-    rf"\b{SCRIPTING} (?:is|are) (?:off|disabled|blocked|not supported|switched off) in your browser",
-    rf"\byour browser does not (?:run|support) {SCRIPTING}",
-    rf"you see this text because {SCRIPTING} (?:is|are) not ",
-    r"^noscript\b|\bscripting is probably disabled|\brequires a browser with scripting",
-    rf"\bthe (?:\w+ )?{PLACE} will not load\b",
-    r"\bactive (?:el )?javascript para |\bpágina necesita scripts para ",
-    r"\bbitte javascript einschalten|\bohne skripte kann diese seite nicht",
-    r"\bactivez javascript pour |\ba besoin des scripts de votre navigateur",
-    r"\bative o javascript para |\bpágina precisa de scripts para ",
+    (rf"please (?:activate|enable|allow|turn on|switch on) {SCRIPTING}(?: and cookies)? to ", "please"),
+    (rf"\bto \w+ the \w+, (?:allow|enable|activate|turn on) {SCRIPTING} (?:for|on) this ", "this "),
+    (rf"\bthis (?:\w+ )?{PLACE} (?:needs|requires|depends on) {SCRIPTING}", "needs|requires|depends on"),
+    (rf"\bthis (?:\w+ )?{PLACE} (?:cannot|can't|does not|will not) (?:run|work|load|start) without {SCRIPTING}", "without"),
+    (rf"\bdoes not work without {SCRIPTING} enabled", "without"),
+    (rf"\b{SCRIPTING} (?:is|are) (?:off|disabled|blocked|not supported|switched off) in your browser", "in your browser"),
+    (rf"\byour browser does not (?:run|support) {SCRIPTING}", "your browser does not"),
+    (rf"you see this text because {SCRIPTING} (?:is|are) not ", "you see this text"),
+    (r"^noscript\b|\bscripting is probably disabled|\brequires a browser with scripting", "noscript|probably disabled|requires a browser"),
+    (rf"\bthe (?:\w+ )?{PLACE} will not load\b", "will not load"),
+    (r"\bactive (?:el )?javascript para |\bpágina necesita scripts para ", "javascript para|necesita scripts"),
+    (r"\bbitte javascript einschalten|\bohne skripte kann diese seite nicht", "bitte javascript|ohne skripte"),
+    (r"\bactivez javascript pour |\ba besoin des scripts de votre navigateur", "activez javascript|besoin des scripts"),
+    (r"\bative o javascript para |\bpágina precisa de scripts para ", "javascript para|precisa de scripts"),
 ]
 
 CODE = r"[45]\d\d"
 FAILED = r"(?:could not be|cannot be|can't be|was not|failed to be) (?:found|reached|rendered|resolved|loaded|fetched|verified|located)"
+FAILED_WORDS = "could not be|cannot be|can't be|was not|failed to be"
 ERROR_PAGES = [
-    rf"(?:^|\s)(?:http|error|status:?|erreur|fehler|erro) {CODE} ?(?:[:|,.–-]|$)",
-    rf"^\W*{CODE}(?: ?[-:|,–] |\W*$)",
-    rf"(?:^|[-:|,–] ?|warning |fatal |sorry )the (?:\w+ ){{1,3}}{FAILED}\b",
-    rf"^the (?:\w+ ){{1,3}}{FAILED}\b|\byou asked for {FAILED}",
-    r"^\W*(?:warning|fatal|sorry|oops|request failed|exception in thread \w+)\W*$|\bexception in thread \w+ ?[-:|,]|^request failed\b",
-    r"\btraceback: line \d|traceback \(most recent call",
-    r"\bgateway timed out while|\bbad gateway\W*$|\bupstream gave no answer|\bproxy refused the connection|\bcould not connect to database",
-    r"\bservice is down for maintenance|\binternal failure while|\binternal server error\W*$|\bsomething (?:broke on our side|went wrong)",
-    r"\btoo many requests\W*$|\bslow down and retry after|\bsession expired\W*$|\bsign in again to view|\baccess denied\W*$",
-    r"\baccess to this (?:resource|page) is forbidden|\bpage does not exist or was moved|\byou are not a robot\b|\bpage not found\W*$",
-    r"\binvalid cid: |\bat module\.[0-9a-z]+:\d",
-    r'\{"error":|\{"success":\s*false',
-    r"\bel servidor no responde|\bacceso denegado\W*$|\bno se encontró la página solicitada",
-    r"\bdienst ist vorübergehend nicht erreichbar|\bzugriff verweigert\W*$|\bdie angeforderte seite gibt es nicht",
-    r"\ble serveur ne répond pas|\baccès refusé\W*$|\bla page demandée est introuvable",
-    r"\bo serviço está fora do ar|\bacesso negado\W*$|\ba página pedida não foi encontrada",
+    (rf"(?:^|\s)(?:http|error|status:?|erreur|fehler|erro) {CODE} ?(?:[:|,.–-]|$)", "http|error|status|erreur|fehler|erro"),
+    (rf"^\W*{CODE}(?: ?[-:|,–] |\W*$)", ""),
+    (rf"(?:^|[-:|,–] ?|warning |fatal |sorry )the (?:\w+ ){{1,3}}{FAILED}\b", FAILED_WORDS),
+    (rf"\byou asked for {FAILED}", FAILED_WORDS),
+    (r"^\W*(?:warning|fatal|sorry|oops|request failed|exception in thread \w+)\W*$|\bexception in thread \w+ ?[-:|,]|^request failed\b", "warning|fatal|sorry|oops|request failed|exception in"),
+    (r"\btraceback: line \d|traceback \(most recent call", "traceback"),
+    (r"\bgateway timed out while|\bbad gateway\W*$|\bupstream gave no answer|\bproxy refused the connection|\bcould not connect to database", "gateway|upstream|proxy|could not connect"),
+    (r"\bservice is down for maintenance|\binternal failure while|\binternal server error\W*$|\bsomething (?:broke on our side|went wrong)", "maintenance|internal|something"),
+    (r"\btoo many requests\W*$|\bslow down and retry after|\bsession expired\W*$|\bsign in again to view|\baccess denied\W*$", "too many|slow down|expired|sign in again|access denied"),
+    (r"\baccess to this (?:resource|page) is forbidden|\bpage does not exist or was moved|\byou are not a robot\b|\bpage not found\W*$", "forbidden|does not exist|robot|not found"),
+    (r"\binvalid cid: |\bat module\.[0-9a-z]+:\d", "invalid cid|at module."),
+    (r'\{"error":|\{"success":\s*false', '{"'),
+    (r"\bel servidor no responde|\bacceso denegado\W*$|\bno se encontró la página solicitada", "el servidor|acceso|no se encontró"),
+    (r"\bdienst ist vorübergehend nicht erreichbar|\bzugriff verweigert\W*$|\bdie angeforderte seite gibt es nicht", "dienst ist|zugriff|angeforderte"),
+    (r"\ble serveur ne répond pas|\baccès refusé\W*$|\bla page demandée est introuvable", "le serveur|accès|introuvable"),
+    (r"\bo serviço está fora do ar|\bacesso negado\W*$|\ba página pedida não foi encontrada", "o serviço|acesso|página pedida"),
 ]
 
 PART = r"(?:\w+ ){1,3}"
 PLACEHOLDER_PHRASES = [
-    rf"\byour {PART}goes here|\binsert {PART}here\b|\b{PART}to be added\W*$|\bthis is where the {PART}will appear",
-    r"\btodo: |\btbd\W*$|\bcoming soon: describe |\badd a short text about|\bwrite something nice about|\bedit this block to",
-    rf"^\W*type a catchy |\btype a catchy {PART[:-5]}{{1,2}}|\b(?:sample|example|dummy) (?:\w+)[, ]+(?:replace before|for layout only|and will be changed)",
-    rf"\breplace this {PART}before|\bthis is dummy copy|\bbody copy of about|^\W*(?:sub)?headline(?: one)?\W*$|\blayout only\W*$",
-    r"\baquí va la descripción|\bescriba aquí su|\btexto de ejemplo, cámbielo",
-    r"\bhier steht später|\bihr text an dieser stelle|\bblindtext, bitte",
-    r"\bsaisissez votre texte|\bvotre description ici|\btexte provisoire, à",
-    r"\bescreva o texto neste|\btexto de exemplo, troque|\bsua descrição vai aqui",
+    (rf"\byour {PART}goes here|\binsert {PART}here\b|\b{PART}to be added\W*$|\bthis is where the {PART}will appear", "goes here|insert |to be added|this is where"),
+    (r"\btodo: |\btbd\W*$|\bcoming soon: describe |\badd a short text about|\bwrite something nice about|\bedit this block to", "todo|tbd|coming soon|short text|something nice|edit this"),
+    (r"\btype a catchy (?:\w+ ?){1,2}|\b(?:sample|example|dummy) \w+(?: \w+)?,? (?:replace before|for layout only|and will be changed)", "type a catchy|replace before|layout only|will be changed"),
+    (rf"\breplace this {PART}before|\bthis is dummy copy|\bbody copy of about|^\W*(?:sub)?headline(?: one)?\W*$|\blayout only\W*$", "replace this|dummy copy|body copy|headline|layout only"),
+    (r"\baquí va la descripción|\bescriba aquí su|\btexto de ejemplo, cámbielo", "aquí|de ejemplo"),
+    (r"\bhier steht später|\bihr text an dieser stelle|\bblindtext, bitte", "hier steht|ihr text|blindtext"),
+    (r"\bsaisissez votre texte|\bvotre description ici|\btexte provisoire, à", "saisissez|description ici|texte provisoire"),
+    (r"\bescreva o texto neste|\btexto de exemplo, troque|\bsua descrição vai aqui", "escreva|de exemplo|vai aqui"),
 ]
 
 #: unfilled fields of the usual template languages; case counts here
 FIELDS = [
-    r"\{\{[^{}]{1,40}\}\}", r"[$#]\{[^{}]{1,40}\}", r"\{%[^%]{1,40}%\}", r"<%=?[^%]{1,40}%>", r"@@\w{1,40}@@", r"__[A-Z][A-Z_]{1,40}__", r"%[A-Z][A-Z_]{1,40}%",
-    r"\[\[[^\]]{1,40}\]", r"<<[^>]{1,40}>", r"<(?:insert )?[a-z][A-Za-z_ ]{1,40}>", r"\[(?:INSERT |YOUR )?[A-Z][A-Z_ ]{2,40}\]", r"\[(?:insert|your) [^\]]{1,40}\]", r"\[[a-z]{3,20} [a-z]{2,20}\]", r"\[[a-z]{4,20}\]",
-    r"(?<![/\w])\{[A-Za-z_]{2,30}\}(?![./])", r"\{\d\}", r"(?<!\d )(?<!\d)%[sd]\b", r"\bX{3,}\b", r"\[object Object\]", r"#REF!|#N/A", r"\(\w+(?: \w+)? TBD\)", r"\(no [\w ]{2,30}, copy from [\w ]{2,30}\)",
-    r"(?<!\w):[a-z][a-z_]{2,20}:(?!\w)", r"\$[A-Za-z][A-Za-z_]{2,20}\$", r"%\d\$[sd]\b", r"%\(\w{2,30}\)[sd]\b", r"\bundefined\b", r"\bNaN\b", r"\bnull\b(?! and void)",
-]
+    (r"\{\{[^{}]{1,40}\}\}|[$#]\{[^{}]{1,40}\}|\{%[^%]{1,40}%\}|(?<![/\w])\{[A-Za-z_]{2,30}\}(?![./])|\{\d\}", "{"),
+    (r"<%=?[^%]{1,40}%>|<<[^>]{1,40}>|<(?:insert )?[a-z][A-Za-z_ ]{1,40}>", "<"),
+    (r"\[\[[^\]]{1,40}\]|\[(?:INSERT |YOUR )?[A-Z][A-Z_ ]{2,40}\]|\[(?:insert|your) [^\]]{1,40}\]|\[[a-z]{3,20} [a-z]{2,20}\]|\[[a-z]{4,20}\]|\[object Object\]", "["),
+    (r"@@\w{1,40}@@|__[A-Z][A-Z_]{1,40}__", "@@|__"),
+    (r"%[A-Z][A-Z_]{1,40}%|(?<!\d )(?<!\d)%[sd]\b|%\d\$[sd]\b|%\(\w{2,30}\)[sd]\b", "%"),
+    (r"\$[A-Za-z][A-Za-z_]{2,20}\$", "$"),
+    (r"(?<!\w):[a-z][a-z_]{2,20}:(?!\w)", ":"),
+    (r"\(\w+(?: \w+)? TBD\)|\(no [\w ]{2,30}, copy from [\w ]{2,30}\)", "("),
+    (r"\bX{3,}\b|#REF!|#N/A", "XXX|#REF|#N/A"),
+    (r"\bundefined\b|\bNaN\b|\bnull\b(?! and void)", "undefined|NaN|null"),
+]
 
 #: words of the usual filler texts
 FILLER_WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua magnis dictus velutis porta vitabo tempora quaerit posuere sedum ornatu fermen nullam lacum eros".split()
@@ -87,13 +95,18 @@ def normalised(unit: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(unit), r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "0"), r"\d+", "0")
 
 
-def _any(text: Column, patterns: list[str], flags: str) -> Column:
-    return reduce(lambda a, b: a | b, (text.rlike(flags + p) for p in patterns))
+def _any(text: Column, rules: list[tuple[str, str]], flags: str, held: Column) -> Column:
+    """Whether a rule matches; its words, any case unless ``held`` keeps it, are looked for in ``held`` before."""
+    def one(pattern: str, words: str) -> Column:
+        first = [held.contains(w) for w in words.split("|") if w]
+        return reduce(lambda a, b: a | b, first) & text.rlike(flags + pattern) if first else text.rlike(flags + pattern)
+
+    return reduce(lambda a, b: a | b, (one(*rule) for rule in rules))
 
 
 def kind(unit: Column) -> Column:
     """What kind of residue a unit is, or null: script, error, placeholder or filler."""
-    said = F.regexp_replace(unit, r"(?<!\{|:|,)[\"“„«](?![:,])[^\"“”„«»{}:]{2,60}[\"”“»]", '""')  # quoted words are spoken about
+    said = F.when(~unit.rlike("[\"“„«]"), unit).otherwise(F.regexp_replace(unit, r"(?<!\{|:|,)[\"“„«](?![:,])[^\"“”„«»{}:]{2,60}[\"”“»]", '""'))  # quoted words are spoken about
     flags, low = "(?iu)", F.lower(unit)
     mentioned = unit.rlike("(?iu)" + MENTION)
     words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -102,9 +115,9 @@ def kind(unit: Column) -> Column:
     mashed = F.size(F.filter(words, lambda w: w.isin(*MASHED)))
     repeated = low.rlike(r"(?u)\b([\p{L}]{2,})(?:[\s.,]+\1\b){2,}")
     return (
-        F.when(_any(said, SCRIPT_NOTICES, flags) & ~mentioned, "script")
-        .when(_any(said, ERROR_PAGES, flags) & ~mentioned, "error")
-        .when((_any(said, PLACEHOLDER_PHRASES, flags) | _any(unit, FIELDS, "(?u)")) & ~mentioned, "placeholder")
+        F.when(_any(said, SCRIPT_NOTICES, flags, low) & ~mentioned, "script")
+        .when(_any(said, ERROR_PAGES, flags, low) & ~mentioned, "error")
+        .when((_any(said, PLACEHOLDER_PHRASES, flags, low) | _any(unit, FIELDS, "(?u)", unit)) & ~mentioned, "placeholder")
         .when(((n >= 3) & ((filler >= 0.5 * n) | (mashed >= 0.6 * n)) | repeated) & ~mentioned, "filler")
     )
 
