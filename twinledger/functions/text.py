@@ -92,7 +92,7 @@ def normalize_name(name: Column) -> Column:
     @F.pandas_udf("string")
     def of(names: pd.Series) -> pd.Series:
         known = {n: name_without_number(n) for n in names.dropna().unique()}
-        return names.map(known)
+        return pd.Series([known.get(n) for n in names], dtype=object)
 
     return of(name)
 
