@@ -87,7 +87,7 @@ MENTION = r"\b(?:such as|template|script reads|replaces? \{|is followed by|flagg
 
 def units(text: Column) -> Column:
     """The sentences and lines of a text, trimmed; null gives null."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\s*\n\s*"), F.trim), lambda u: u != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n"), lambda u: F.btrim(u, F.lit(" \t\r"))), lambda u: u != "")
 
 
 def normalised(unit: Column) -> Column:
@@ -113,7 +113,7 @@ def kind(unit: Column) -> Column:
     n = F.size(words)
     filler = F.size(F.filter(words, lambda w: w.isin(*FILLER_WORDS)))
     mashed = F.size(F.filter(words, lambda w: w.isin(*MASHED)))
-    repeated = low.rlike(r"(?u)\b([\p{L}]{2,})(?:[\s.,]+\1\b){2,}")
+    repeated = low.rlike(r"(?u)\b(\p{L}{2,40})[\s.,]{1,3}\1[\s.,]{1,3}\1\b")  # groups that repeat without bound would recurse on long texts
     return (
         F.when(_any(said, SCRIPT_NOTICES, flags, low) & ~mentioned, "script")
         .when(_any(said, ERROR_PAGES, flags, low) & ~mentioned, "error")
