@@ -96,3 +96,10 @@ def test_least_common_is_lossless():
 def test_bm25_of_equal_and_disjoint_documents():
     assert abs(sim.bm25_cosine({"a": 2, "b": 1}, {"a": 2, "b": 1}) - 1) < 1e-12
     assert sim.bm25_cosine({"a": 1}, {"b": 1}) == 0 == sim.bm25_cosine({}, {})
+
+
+def test_very_long_texts(spark):
+    texts = [" " * 300_000 + "x", "/" * 300_000 + "x", "ipfs://" + "/" * 300_000, "#" * 100_000 + " 1", "x" + " " * 300_000 + "1", "9" * 100_000]
+    df = spark.createDataFrame([(t,) for t in texts], "u string")
+    found = rows(df.select(text.normalize_url(F.col("u")), text.normalize_name(F.col("u")), text.usable_name(F.col("u")), text.plain_decimal(F.col("u"))))
+    assert [r[0][:3] for r in found] == ["x", "///", "", "###", "x  ", "999"] and found[4][1] == "x"

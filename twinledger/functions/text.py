@@ -34,8 +34,13 @@ HTTP_GATEWAYS = {"ipfs": "https://ipfs.io/ipfs/", "ar": "https://arweave.net/"}
 NAME_PASSES = 20
 
 
+#: white space of any script
+SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def _strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without white space at the ends; a pattern for the end would go over long runs of it again and again."""
+    return F.btrim(x, F.lit(SPACES))
 
 
 def normalize_url(uri: Column) -> Column:
@@ -45,7 +50,7 @@ def normalize_url(uri: Column) -> Column:
     low = F.lower(value)
 
     def addressed(path: Column, scheme: str) -> Column:
-        kept = F.regexp_replace(F.regexp_extract(path, r"^[^?#]*", 0), "^/+|/+$", "")
+        kept = F.btrim(F.regexp_extract(path, r"^[^?#]*", 0), F.lit("/"))
         return F.when(kept != "", F.concat(F.lit(f"{scheme}:"), kept)).otherwise("")
 
     ipfs, arweave = F.regexp_extract(value, IPFS_GATEWAY, 1), F.regexp_extract(value, ARWEAVE_GATEWAY, 1)
@@ -55,7 +60,7 @@ def normalize_url(uri: Column) -> Column:
         .when(low.startswith("ar://"), addressed(F.substring(value, F.lit(6), F.length(value)), "ar"))
         .when(ipfs != "", addressed(ipfs, "ipfs"))
         .when(arweave != "", addressed(arweave, "ar"))
-        .otherwise(F.regexp_replace(low, "/+$", ""))
+        .otherwise(F.rtrim(low, F.lit("/")))
     )
 
 
@@ -77,7 +82,7 @@ def name_without_number(raw: str | None) -> str | None:
     """A name without compatibility forms, numbered ends, spare white space and case."""
     if raw is None:
         return None
-    value = unicodedata.normalize("NFKC", raw).strip()
+    value = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", raw)).strip()
     for _ in range(NAME_PASSES):
         shorter = next((v for v in (re.sub(p, "", value, count=1).strip() for p in NUMBERED_ENDS) if v != value), None)
         if shorter is None:
