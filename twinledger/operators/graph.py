@@ -110,3 +110,23 @@ def handovers(moved: DataFrame, least: int = 3) -> DataFrame:
     path = F.concat(F.array(F.col("s")[0]["from_address"]), F.col("s.to_address"))
     out = paths.select(*CONTRACT, "token_id", F.col("path_no").cast("long").alias("path_no"), F.size("s").alias("hops"), F.size(F.array_distinct(path)).alias("addresses"), F.array_join(path, ">").alias("path"))
     return out.filter(F.col("addresses") >= least)
+
+
+def repeated_addresses(moved: DataFrame, least: int = 2) -> DataFrame:
+    """(chain, address, contracts): addresses that moved tokens of at least so many contracts of a chain, as sender or receiver."""
+    ends = moved.select("chain", "contract_address", F.explode(F.array("from_address", "to_address")).alias("address")).filter("address is not null").distinct()
+    return ends.groupBy("chain", "address").agg(F.count(F.lit(1)).alias("contracts")).filter(F.col("contracts") >= least)
+
+
+def cycle_exits(moved: DataFrame, components: DataFrame) -> DataFrame:
+    """(contract, component, ended_at, inner_moves, first_exit_at, exits): per strongly connected group the last move within it, and the moves
+    strictly after it from a member to an address outside; first_exit_at is null without any."""
+    timed = moved.filter("block_ts is not null").select(*CONTRACT, F.col("from_address").alias("src"), F.col("to_address").alias("dst"), "block_ts")
+    member = components.select(*CONTRACT, "component", "v")
+    sent = timed.join(member.withColumnRenamed("v", "src"), [*CONTRACT, "src"])
+    inside = member.select(*CONTRACT, F.col("component").alias("c2"), F.col("v").alias("dst"))
+    marked = sent.join(inside, [*CONTRACT, "dst"], "left").withColumn("inner", F.coalesce(F.col("c2") == F.col("component"), F.lit(False)) & (F.col("src") != F.col("dst")))
+    ends = marked.filter("inner").groupBy(*CONTRACT, "component").agg(F.max("block_ts").alias("ended_at"), F.count(F.lit(1)).alias("inner_moves"))
+    left = marked.filter("not inner and dst is not null and src <> dst").join(ends.select(*CONTRACT, "component", "ended_at"), [*CONTRACT, "component"]).filter("block_ts > ended_at")
+    exits = left.groupBy(*CONTRACT, "component").agg(F.min("block_ts").alias("first_exit_at"), F.count(F.lit(1)).alias("exits"))
+    return ends.join(exits, [*CONTRACT, "component"], "left").withColumn("exits", F.coalesce("exits", F.lit(0)))

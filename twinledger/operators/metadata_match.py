@@ -176,3 +176,22 @@ def similar_contracts(anchors: DataFrame, threshold: float = 0.6) -> DataFrame:
     aligned = candidates.join(highest, pair, "left")
     score = F.when(F.col("highest").isNull(), F.col("top_score")).when(F.col("token_rank") == F.col("highest"), F.col("score"))
     return aligned.select(*pair, score.alias("score")).filter("score is not null")
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Pairs (chain_a, contract_a, chain_b, contract_b, score) as directed (chain, contract_address, peer_chain, peer_address, score)."""
+    names = ["chain", "contract_address", "peer_chain", "peer_address", "score"]
+    a, b = ["chain_a", "contract_a"], ["chain_b", "contract_b"]
+    return pairs.select(*a, *b, "score").toDF(*names).unionByName(pairs.select(*b, *a, "score").toDF(*names))
+
+
+def metadata_counts(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Scope counts of contracts with a match, with all their tokens, once per scope."""
+    from twinledger.operators.scopes import scope_counts
+
+    sizes = tokens.groupBy("chain", "contract_address").agg(F.count(F.lit(1)).alias("n"))
+    reached = both_ways(pairs).select("chain", "contract_address", "peer_chain").distinct()
+    inner, null = F.col("chain") == F.col("peer_chain"), F.lit(None).cast("string")
+    kinds = F.when(inner, F.array(F.struct(F.lit("intra").alias("kind"), null.alias("s")))).otherwise(F.array(F.struct(F.lit("cross").alias("kind"), null.alias("s")), F.struct(F.lit("matrix").alias("kind"), F.col("peer_chain").alias("s"))))
+    scoped = reached.withColumn("k", F.explode(kinds)).select("chain", "contract_address", "k.kind", F.col("k.s").alias("secondary_chain")).distinct()
+    return scope_counts(scoped.join(sizes, ["chain", "contract_address"]).withColumnRenamed("chain", "primary_chain"), "metadata")

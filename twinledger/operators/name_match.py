@@ -94,3 +94,17 @@ def name_counts(members: DataFrame, pairs: DataFrame | None = None) -> DataFrame
     matrix = hits.filter(~inner).select(F.lit("matrix").alias("kind"), F.col("chain").alias("primary_chain"), F.col("peer").alias("secondary_chain"), "contract_address", "name", "n")
     cross = matrix.withColumn("kind", F.lit("cross")).withColumn("secondary_chain", null).distinct()
     return scope_counts(own.unionByName(matrix).unionByName(cross), "name")
+
+
+def seed_name_edges(members: DataFrame, seeds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(seed_chain, seed_address, candidate_chain, candidate_address, score): other contracts that bear a name of a seed, or a similar one.
+
+    pairs: similar names, as name_pairs gives them. Each seed and candidate are one edge, of the highest score; equal names score 1.
+    """
+    key = seeds.select("chain", "contract_address").distinct()
+    own = members.join(key, ["chain", "contract_address"], "left_semi").select(F.col("chain").alias("seed_chain"), F.col("contract_address").alias("seed_address"), F.col("name").alias("seed_name")).distinct()
+    both = pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    wanted = own.select("*", F.col("seed_name").alias("name"), F.lit(1.0).alias("score")).unionByName(own.join(both, F.col("seed_name") == F.col("a")).select(*own.columns, F.col("b").alias("name"), F.col("similarity").alias("score")))
+    found = members.select(F.col("chain").alias("candidate_chain"), F.col("contract_address").alias("candidate_address"), "name").join(wanted, "name")
+    other = found.filter((F.col("seed_chain") != F.col("candidate_chain")) | (F.col("seed_address") != F.col("candidate_address")))
+    return other.groupBy("seed_chain", "seed_address", "candidate_chain", "candidate_address").agg(F.max("score").alias("score"))

@@ -9,6 +9,7 @@ from twinledger.functions import documents as json_forms
 from twinledger.functions import text
 from twinledger.identity import tidy_address, tidy_chain
 from twinledger.operators import events, graph, metadata_match, name_match, ranking, sampling, scopes, staging, uri_match
+from twinledger.plans import pipeline
 from twinledger.runtime import land, shared_path, table
 from twinledger.sources import sinks
 from twinledger.sources import snapshot as source
@@ -282,14 +283,48 @@ def streamed_tokens(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{base}/table").groupBy("chain").agg(F.count(F.lit(1)).alias("nfts"))
 
 
+def metadata_scopes(spark: SparkSession, d: str) -> DataFrame:
+    rows = land(_rows(spark, d, "metadata"), "rows")
+    return pipeline.match_metadata(rows, source.tokens(rows), METADATA_THRESHOLD)
+
+
+def seed_name_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts that bear the name of a seed or one like it."""
+    members = land(name_match.name_members(_tokens(spark, d, "name")), "members")
+    pairs = name_match.name_pairs(land(members.select("name").distinct(), "names"), NAME_THRESHOLD)
+    return name_match.seed_name_edges(members, _seeds(spark, d), pairs).withColumn("score", F.round("score", 9))
+
+
+def seed_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens that each seed's hits reach in every dimension and in all together."""
+    rows = _rows(spark, d, "name", "token_uri", "image_uri", "metadata")
+    edges = pipeline.match_seeds(rows, _seeds(spark, d), NAME_THRESHOLD, METADATA_THRESHOLD)
+    return uri_match.seed_scale(pipeline.expand_edges(land(edges, "edges"), source.tokens(rows)))
+
+
+def snapshot_report(spark: SparkSession, d: str) -> DataFrame:
+    """The whole run on URIs and names, as its report."""
+    report = pipeline.run_all(spark, f"{d}/snapshot.parquet", dimensions=("name", "uri"), name_threshold=None, order="row_id")
+    return report.select(*scopes.COUNTS, F.round("contract_ratio", 9).alias("contract_ratio"), F.round("nft_ratio", 9).alias("nft_ratio"))
+
+
+def repeated_addresses(spark: SparkSession, d: str) -> DataFrame:
+    return graph.repeated_addresses(events.movements(table(spark, d, "transfers")))
+
+
+def cycle_exits(spark: SparkSession, d: str) -> DataFrame:
+    moved = _moved(spark, d)
+    return graph.cycle_exits(moved, land(graph.strong_components(graph.address_edges(moved)), "cycles"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         snapshot_tokens, snapshot_totals, snapshot_one_chain, snapshot_conflicts, snapshot_anchors, highest_tokens, url_forms, asset_facts, exported_snapshot, export_counts, canonical_documents,
-        token_uri_scopes, token_uri_ratios, image_uri_scopes, name_bearers, exact_name_scopes, fuzzy_name_pairs, fuzzy_name_scopes, metadata_pairs, asset_text_pairs,
-        ranked_seeds, seed_uri_scale, seed_uri_scale_images_apart, relations_unified, relations_by_scope, sampled_relations, retry_images, staged_assets, filled_assets, unlisted_tokens,
+        token_uri_scopes, token_uri_ratios, image_uri_scopes, name_bearers, exact_name_scopes, fuzzy_name_pairs, fuzzy_name_scopes, metadata_pairs, metadata_scopes, asset_text_pairs, snapshot_report,
+        ranked_seeds, seed_uri_scale, seed_uri_scale_images_apart, seed_name_hits, seed_hits, relations_unified, relations_by_scope, sampled_relations, retry_images, staged_assets, filled_assets, unlisted_tokens,
         transfer_lifecycles, token_holders, first_disposals, paid_and_held, transaction_gas, mint_payments, gas_concentration, receipt_gini, nearest_moves,
-        address_edges, trading_cycles, cycle_sizes, fan_addresses, inventory_shares, token_handovers, streamed_daily_counts, streamed_tokens,
+        address_edges, trading_cycles, cycle_sizes, cycle_exits, repeated_addresses, fan_addresses, inventory_shares, token_handovers, streamed_daily_counts, streamed_tokens,
     )
 }
 
@@ -421,6 +456,19 @@ ORACLES = {
     "seed_uri_scale": f"WITH {_CLEAN}, {_TOP}, {_SEED_EDGES} {_SCALE.format('e')}",
     "seed_uri_scale_images_apart": f"""WITH {_CLEAN}, {_TOP}, {_SEED_EDGES}, ap AS (SELECT * FROM e WHERE dimension = 'token_uri' OR NOT EXISTS (SELECT 1 FROM e x WHERE x.dimension = 'token_uri' AND x.seed_chain = e.seed_chain
         AND x.seed_address = e.seed_address AND x.candidate_chain = e.candidate_chain AND x.candidate_address = e.candidate_address AND x.token_id = e.token_id)) {_SCALE.format("ap")}""",
+    "seed_name_hits": f"""WITH {_CLEAN}, {_NAMES}, {_NEAR}, {_TOP}, sd AS (SELECT DISTINCT z.chain, contract_address, name FROM z JOIN (SELECT DISTINCT chain, address FROM top) t ON t.chain = z.chain AND t.address = z.contract_address),
+        w AS (SELECT chain, contract_address, name, 1.0 s FROM sd UNION ALL SELECT chain, contract_address, b, s FROM sd JOIN f ON a = name UNION ALL SELECT chain, contract_address, a, s FROM sd JOIN f ON b = name)
+        SELECT w.chain seed_chain, w.contract_address seed_address, z.chain candidate_chain, z.contract_address candidate_address, round(max(s), 9) score FROM w JOIN z USING (name)
+        WHERE w.chain <> z.chain OR w.contract_address <> z.contract_address GROUP BY ALL""",
+    "snapshot_report": f"""WITH {_CLEAN}, {_TOTALS}, n AS (WITH {_NAMES}, l AS ({_SAME}), {_LINKS} {_COUNTED.format("name")}), u AS (WITH {_SHARED} {_COUNTED.format("token_uri")}), i AS (WITH {_IMAGES} {_COUNTED.format("image_uri")}),
+        a AS (SELECT * FROM n UNION ALL SELECT * FROM u UNION ALL SELECT * FROM i) SELECT a.*, round(duplicate_contract_count / contracts, 9) contract_ratio, round(duplicate_nft_count / nfts, 9) nft_ratio FROM a JOIN t ON t.chain = primary_chain""",
+    "repeated_addresses": f"""WITH {_MOVES}, e AS (SELECT chain, contract_address, from_address address FROM m UNION SELECT chain, contract_address, to_address FROM m)
+        SELECT chain, address, count(*) contracts FROM e WHERE address IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""",
+    "cycle_exits": f"""WITH RECURSIVE {_MOVES}, {_EDGES}, {_SCC}, x AS (SELECT m.chain, m.contract_address, a.component, m.block_ts, coalesce(b.component = a.component, false) AS inside FROM m
+          JOIN scc a ON a.chain = m.chain AND a.contract_address = m.contract_address AND a.v = m.from_address LEFT JOIN scc b ON b.chain = m.chain AND b.contract_address = m.contract_address AND b.v = m.to_address
+          WHERE m.block_ts IS NOT NULL AND m.to_address IS NOT NULL AND m.from_address <> m.to_address),
+        e AS (SELECT chain, contract_address, component, max(block_ts) ended_at, count(*) inner_moves FROM x WHERE inside GROUP BY ALL)
+        SELECT e.*, min(block_ts) first_exit_at, count(block_ts) exits FROM e LEFT JOIN x ON x.chain = e.chain AND x.contract_address = e.contract_address AND x.component = e.component AND NOT inside AND x.block_ts > ended_at GROUP BY ALL""",
     "relations_unified": f"WITH {_RELATIONS} SELECT * FROM uni",
     "relations_by_scope": f"""WITH {_RELATIONS}, s AS (SELECT *, unnest(CASE WHEN seed_chain = candidate_chain THEN [{{'scope': 'all', 'p': NULL, 's': NULL}}, {{'scope': 'intra', 'p': NULL, 's': NULL}}, {{'scope': 'intra_chain', 'p': seed_chain, 's': NULL}}]
         ELSE [{{'scope': 'all', 'p': NULL, 's': NULL}}, {{'scope': 'cross', 'p': NULL, 's': NULL}}, {{'scope': 'cross_primary', 'p': seed_chain, 's': NULL}}, {{'scope': 'matrix', 'p': seed_chain, 's': candidate_chain}}] END) x FROM uni)
