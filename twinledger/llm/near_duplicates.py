@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from twinledger.llm.similar import Join, Similar, similar_sets
 from twinledger.llm.terms import terms
 
-METADATA_LEAST_TERMS, METADATA_THRESHOLD, METADATA_SHARED = 20, 0.7, 8
+METADATA_LEAST_TERMS, METADATA_THRESHOLD, METADATA_SHARED = 20, 0.7, 10
 NAME_LEAST_CHARS, NAME_THRESHOLD, NAME_GRAM = 8, 0.5, 3
 
 

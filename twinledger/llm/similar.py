@@ -15,7 +15,6 @@ Nothing is dropped or capped: the order, sketches and classes only decide how fe
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -92,27 +91,36 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 WORDS = 4
-DOCS = "id long, size int, grp long, set_a long, set_b long, " + ", ".join(f"s{w} long" for w in range(WORDS))
+DOC_COLUMNS = ["id", "size", "grp", "set_a", "set_b", *(f"s{w}" for w in range(WORDS))]
 
 
-def _describe(join: Join, counts) -> Callable:
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _Ordered(batch, counts.value)
-            columns = [x.group(join), _sums(_mix(x.token), x.start), _sums(_mix(x.token ^ _C) * _A, x.start), *x.sketch(WORDS)]
-            names = ["id", "size", "grp", "set_a", "set_b", *(f"s{w}" for w in range(WORDS))]
-            yield pa.RecordBatch.from_arrays([pa.array(x.ids), pa.array(x.size.astype(np.int32)), *map(_signed, columns)], names)
+def _described(x: _Ordered, join: Join, group: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each set of a batch (its DOC_COLUMNS but the id) as four rows of SIGNATURES under its id, with sizes -1 to -4 to know them by.
+
+    So sets are read and tokenised once for both, and the description of a set takes the way of its signatures.
+    """
+    words = [w.view(np.int64) for w in x.sketch(WORDS)]
+    set_a, set_b = (_sums(v, x.start).view(np.int64) for v in (_mix(x.token), _mix(x.token ^ _C) * _A))
+    left = np.stack([group.view(np.int64), set_b, words[1], words[3]], axis=1)
+    right = np.stack([set_a, words[0], words[2], x.size], axis=1)
+    return np.repeat(x.ids, 4), left.ravel(), right.ravel(), np.tile(np.array([-1, -2, -3, -4], np.int32), len(x.ids))
 
-    return run
+
+def _descriptions(sig, left, right, size) -> pa.RecordBatch:
+    """_described undone: rows of FOUND with the DOC_COLUMNS."""
+    order = np.lexsort((-size, sig))
+    ids, left, right = sig[order][::4], left[order].reshape(-1, 4), right[order].reshape(-1, 4)
+    columns = [ids, right[:, 3], left[:, 0], right[:, 0], left[:, 1], right[:, 1], left[:, 2], right[:, 2], left[:, 3]]
+    none = pa.nulls(len(ids), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["a", "b", *DOC_COLUMNS])
 
 
 SIGNATURES = "sig long, grp long, sketch long, size int"
 
 
 def _signatures(join: Join, counts) -> Callable:
-    """Rows of SIGNATURES: of each group of a batch, the pairs of prefix tokens of one class, and single tokens where sets are small."""
+    """Rows of SIGNATURES: of each group of a batch, the pairs of prefix tokens of one class, and single tokens where sets are small; and
+    the description of each set."""
 
     def run(batches):
         for batch in batches:
@@ -123,6 +131,7 @@ def _signatures(join: Join, counts) -> Callable:
             _, first = np.unique(np.stack([group, sketch]), axis=1, return_index=True)  # copies within the batch
             chosen = np.zeros(len(group), bool)
             chosen[first] = True
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, _described(x, join, group))), ["sig", "grp", "sketch", "size"])
             for sig, doc, often in (*_pairs(x, join, chosen), *_singles(x, join, chosen)):
                 sig, doc = _spread(sig, doc, often, group, join.block_rows)
                 yield pa.RecordBatch.from_arrays([_signed(sig), _signed(group[doc]), _signed(sketch[doc]), pa.array(x.size[doc].astype(np.int32))], ["sig", "grp", "sketch", "size"])
@@ -174,7 +183,7 @@ def _spread(sig: np.ndarray, doc: np.ndarray, often: np.ndarray, group: np.ndarr
     return np.concatenate(sigs), np.concatenate(docs)
 
 
-PAIRS = "a long, b long"
+FOUND = "a long, b long, " + ", ".join(f"{c} long" for c in DOC_COLUMNS)
 
 
 def _required(t: float, total: np.ndarray) -> np.ndarray:
@@ -182,7 +191,18 @@ def _required(t: float, total: np.ndarray) -> np.ndarray:
 
 
 def _candidates(join: Join, buffer_rows: int = 400_000) -> Callable:
-    """Pairs of groups, smaller key first, of a stream of signatures sorted by (sig, grp), that sizes and sketches don't rule out."""
+    """Of a stream of signatures sorted by (sig, grp): pairs of groups, smaller key first, that sizes and sketches don't rule out, and
+    apart from them the descriptions of sets; rows of FOUND."""
+
+    def both(sig, grp, sketch, size):
+        of_set = size < 0
+        if of_set.any():
+            yield _descriptions(sig[of_set], grp[of_set], sketch[of_set], size[of_set])
+        keep = ~of_set
+        if keep.any():
+            pairs = of(sig[keep], grp[keep], sketch[keep], size[keep])
+            none = pa.nulls(pairs.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *[none] * len(DOC_COLUMNS)], ["a", "b", *DOC_COLUMNS])
 
     def of(sig, grp, sketch, size):
         same = np.zeros(len(sig), bool)
@@ -208,8 +228,7 @@ def _candidates(join: Join, buffer_rows: int = 400_000) -> Callable:
             found.append((grp[live[good]], grp[other[good]]))
             step += 1
         a, b = (np.concatenate(p) if found else np.empty(0, np.int64) for p in (list(zip(*found)) or [(), ()]))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.empty((2, 0), np.int64)
 
     def run(batches):
         kept: list[np.ndarray] | None = None
@@ -229,9 +248,9 @@ def _candidates(join: Join, buffer_rows: int = 400_000) -> Callable:
                 waiting, n = [], 0
                 kept = [c[whole:] for c in columns]
                 if whole:
-                    yield of(*(c[:whole] for c in columns))
+                    yield from both(*(c[:whole] for c in columns))
         if kept or waiting:
-            yield of(*joined())
+            yield from both(*joined())
 
     return run
 
@@ -272,15 +291,15 @@ def similar_sets(source: DataFrame, sets_of: Callable[[DataFrame], DataFrame], j
     sets = sets_of(source).filter(F.size("tokens") > 0).select("id", "tokens")
     counts = spark.sparkContext.broadcast(token_counts(sets))
 
-    docs = land(sets.mapInArrow(_describe(join, counts), DOCS), "sets")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    signatures = sets.mapInArrow(_signatures(join, counts), SIGNATURES).repartition(n, "sig").sortWithinPartitions("sig", "grp")
+    found = land(signatures.mapInArrow(_candidates(join), FOUND), "found")
+    docs, group_pairs = found.filter("id is not null").select(*DOC_COLUMNS), found.filter("id is null").select("a", "b").distinct()
+
     classes = docs.groupBy("set_a", "set_b", "size").agg(F.min("id").alias("rep"), F.min("grp").alias("grp"), *(F.min(f"s{w}").alias(f"s{w}") for w in range(WORDS)))
     classes = land(classes, "classes")
     members = docs.join(classes.select("set_a", "set_b", "size", "rep"), ["set_a", "set_b", "size"]).select("id", "rep")
 
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    signatures = sets.mapInArrow(_signatures(join, counts), SIGNATURES).repartition(n, "sig").sortWithinPartitions("sig", "grp")
-    group_pairs = signatures.mapInArrow(_candidates(join), PAIRS).distinct()
-
     def side(key: str, x: str) -> DataFrame:
         return classes.select(F.col("grp").alias(key), F.col("rep").alias(f"rep_{x}"), F.col("size").alias(f"size_{x}"), *(F.col(f"s{w}").alias(f"s{w}_{x}") for w in range(WORDS)))
 
