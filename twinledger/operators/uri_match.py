@@ -74,31 +74,51 @@ def image_uri_counts(tokens: DataFrame) -> DataFrame:
     return scope_counts(intra.unionByName(cross).unionByName(matrix), "image_uri")
 
 
-def seed_uri_edges(tokens: DataFrame, seeds: DataFrame, uri: str, dimension: str) -> DataFrame:
-    """Hit edges of seeds (chain, contract_address): every token of another contract that shares a URI with a token of the seed.
+CLASS = ["candidate_chain", "candidate_address", "token_uri_norm", "image_uri_norm"]
+
+
+def alike(tokens: DataFrame) -> DataFrame:
+    """(chain, contract_address, token_uri_norm, image_uri_norm, n): tokens of a contract with the same two URIs as one row."""
+    return tokens.groupBy("chain", "contract_address", "token_uri_norm", "image_uri_norm").agg(F.count(F.lit(1)).alias("n"))
+
+
+def seed_class_edges(classes: DataFrame, seeds: DataFrame, uri: str, dimension: str) -> DataFrame:
+    """(seed_chain, seed_address, CLASS, n, dimension): classes of tokens (see alike) of other contracts that share a URI with a seed.
 
-    (seed_chain, seed_address, candidate_chain, candidate_address, token_id, dimension), distinct. The seeds' URIs are reduced to
-    distinct (seed, uri) before they join, and join the tokens' URIs by shuffle; Spark broadcasts them itself where they are small.
+    Seeds (chain, contract_address) are reduced to distinct (seed, uri). A URI of very many tokens is few classes, so what a pair of
+    contracts shares is one row or a few, never one per token.
     """
     key = seeds.select("chain", "contract_address").distinct()
-    wanted = tokens.filter(F.col(uri) != "").join(key, ["chain", "contract_address"], "left_semi").select(F.col("chain").alias("seed_chain"), F.col("contract_address").alias("seed_address"), F.col(uri).alias("uri")).distinct()
-    probed = tokens.filter(F.col(uri) != "").select(F.col("chain").alias("candidate_chain"), F.col("contract_address").alias("candidate_address"), "token_id", F.col(uri).alias("uri"))
+    given = classes.filter(F.col(uri) != "")
+    wanted = given.join(key, ["chain", "contract_address"], "left_semi").select(F.col("chain").alias("seed_chain"), F.col("contract_address").alias("seed_address"), F.col(uri).alias("uri")).distinct()
+    probed = given.select(F.col("chain").alias("candidate_chain"), F.col("contract_address").alias("candidate_address"), "token_uri_norm", "image_uri_norm", "n", F.col(uri).alias("uri"))
     joined = probed.join(wanted, "uri").filter((F.col("seed_chain") != F.col("candidate_chain")) | (F.col("seed_address") != F.col("candidate_address")))
-    return joined.select("seed_chain", "seed_address", "candidate_chain", "candidate_address", "token_id", F.lit(dimension).alias("dimension")).distinct()
+    return joined.select("seed_chain", "seed_address", *CLASS, "n", F.lit(dimension).alias("dimension"))
+
+
+def seed_uri_edges(tokens: DataFrame, seeds: DataFrame, uri: str, dimension: str) -> DataFrame:
+    """(seed_chain, seed_address, candidate_chain, candidate_address, token_id, dimension): seed_class_edges with each token by itself."""
+    edges = seed_class_edges(alike(tokens), seeds, uri, dimension)
+    own = tokens.select(F.col("chain").alias("candidate_chain"), F.col("contract_address").alias("candidate_address"), "token_id", "token_uri_norm", "image_uri_norm")
+    return edges.join(own, CLASS).select("seed_chain", "seed_address", "candidate_chain", "candidate_address", "token_id", "dimension")
 
 
 def seed_scale(edges: DataFrame) -> DataFrame:
-    """Per seed and dimension, and for all dimensions together (``total``, a union, not a sum): candidate contracts and tokens."""
+    """Per seed and dimension, and for all dimensions together (``total``, a union, not a sum): candidate contracts and tokens.
+
+    edges of classes with n, or of tokens, which count 1 each; repeated edges count once.
+    """
     key = ["seed_chain", "seed_address"]
-    each = edges.select(*key, "dimension", "candidate_chain", "candidate_address", "token_id")
-    both = each.withColumn("dimension", F.explode(F.array("dimension", F.lit("total")))).distinct()
-    per_contract = both.groupBy(*key, "dimension", "candidate_chain", "candidate_address").agg(F.count(F.lit(1)).alias("n"))
-    return per_contract.groupBy(*key, "dimension").agg(F.count(F.lit(1)).alias("candidate_contracts"), F.sum("n").alias("candidate_nfts"))
+    what = [*CLASS, "n"] if "n" in edges.columns else ["candidate_chain", "candidate_address", "token_id"]
+    both = edges.select(*key, *what, F.explode(F.array("dimension", F.lit("total"))).alias("dimension")).distinct()
+    n = F.sum("n") if "n" in edges.columns else F.count("token_id")
+    per_contract = both.groupBy(*key, "dimension", "candidate_chain", "candidate_address").agg(n.alias("tokens"))
+    return per_contract.groupBy(*key, "dimension").agg(F.count(F.lit(1)).alias("candidate_contracts"), F.sum("tokens").alias("candidate_nfts"))
 
 
 def image_minus_token(edges: DataFrame) -> DataFrame:
-    """Edges without the image edges to tokens that a token URI edge of the same seed has already."""
-    on = ["seed_chain", "seed_address", "candidate_chain", "candidate_address", "token_id"]
+    """Edges without the image edges to tokens, or classes of them, that a token URI edge of the same seed has already."""
+    on = [c for c in edges.columns if c not in ("dimension", "n")]
     covered = edges.filter("dimension = 'token_uri'").select(*on)
     images = edges.filter("dimension = 'image_uri'").join(covered, on, "left_anti")
     return edges.filter("dimension <> 'image_uri'").unionByName(images.select(*edges.columns))

@@ -142,8 +142,8 @@ def ranked_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    tokens, seeds = land(_tokens(spark, d, "token_uri", "image_uri"), "tokens"), _seeds(spark, d)
-    return uri_match.seed_uri_edges(tokens, seeds, "token_uri_norm", "token_uri").unionByName(uri_match.seed_uri_edges(tokens, seeds, "image_uri_norm", "image_uri"))
+    classes, seeds = land(uri_match.alike(_tokens(spark, d, "token_uri", "image_uri")), "classes"), land(_seeds(spark, d), "seeds")
+    return uri_match.seed_class_edges(classes, seeds, "token_uri_norm", "token_uri").unionByName(uri_match.seed_class_edges(classes, seeds, "image_uri_norm", "image_uri"))
 
 
 def seed_uri_scale(spark: SparkSession, d: str) -> DataFrame:
