@@ -113,12 +113,13 @@ def kind(unit: Column) -> Column:
     n = F.size(words)
     filler = F.size(F.filter(words, lambda w: w.isin(*FILLER_WORDS)))
     mashed = F.size(F.filter(words, lambda w: w.isin(*MASHED)))
+    some = low.rlike(rf"(?u)\b(?:{'|'.join(sorted({*FILLER_WORDS, *MASHED}))})\b")  # cheaper than counting, which few lines then need
     repeated = low.rlike(r"(?u)\b(\p{L}{2,40})[\s.,]{1,3}\1[\s.,]{1,3}\1\b")  # groups that repeat without bound would recurse on long texts
     return (
         F.when(_any(said, SCRIPT_NOTICES, flags, low) & ~mentioned, "script")
         .when(_any(said, ERROR_PAGES, flags, low) & ~mentioned, "error")
         .when((_any(said, PLACEHOLDER_PHRASES, flags, low) | _any(unit, FIELDS, "(?u)", unit)) & ~mentioned, "placeholder")
-        .when(((n >= 3) & ((filler >= 0.5 * n) | (mashed >= 0.6 * n)) | repeated) & ~mentioned, "filler")
+        .when(((some & (n >= 3) & ((filler >= 0.5 * n) | (mashed >= 0.6 * n))) | repeated) & ~mentioned, "filler")
     )
 
 
