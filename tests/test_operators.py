@@ -271,3 +271,12 @@ def test_publish_and_cache(spark, tmp_path):
     sinks.write_manifest(spark, str(tmp_path / "manifest.json"), {"rows": 3})
     assert '"rows": 3' in sinks.read_text(spark, str(tmp_path / "manifest.json"))
     assert sinks.markdown(spark.createDataFrame([("a|b", None)], "x string, y string")).splitlines()[-1] == "| a\\|b |  |"
+
+
+def test_landed_tables_are_released(spark):
+    from twinledger import runtime
+
+    a, b = runtime.land(spark.range(3), "a"), runtime.land(spark.range(4).withColumn("p", F.col("id") % 2), "b", "p")
+    assert a.count() == 3 and b.columns == ["id", "p"] and b.count() == 4
+    runtime.release(a)
+    assert runtime.release_all(spark) >= 1 and runtime.release_all(spark) == 0

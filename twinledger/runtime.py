@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_KEY = "spark.checkpoint.dir"
+#: paths that land() wrote in this process, oldest first
+_landed: list[str] = []
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -58,12 +60,23 @@ def land(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     landed = df.sparkSession.read.schema(df.schema).parquet(path)
     landed.landed_at = path
+    _landed.append(path)
     return landed
 
 
 def release(df: DataFrame) -> None:
     """Deletes a table that land() wrote, once nothing reads it any more."""
     remove_path(df.sparkSession, df.landed_at)
+    if df.landed_at in _landed:
+        _landed.remove(df.landed_at)
+
+
+def release_all(spark: SparkSession) -> int:
+    """Deletes what land() wrote in this process and is left; call it when results that read these tables are stored. Returns how many."""
+    count = len(_landed)
+    while _landed:
+        remove_path(spark, _landed.pop())
+    return count
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
