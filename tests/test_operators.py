@@ -280,3 +280,17 @@ def test_landed_tables_are_released(spark):
     assert a.count() == 3 and b.columns == ["id", "p"] and b.count() == 4
     runtime.release(a)
     assert runtime.release_all(spark) >= 1 and runtime.release_all(spark) == 0
+
+
+def test_receipts_fill_what_moves_lack(spark):
+    moved = moves(spark, [("1", "a", "b", 1), ("2", "a", "b", 2)]).withColumn("gas_native", F.when(F.col("tx_hash") == "t0", F.col("gas_native")))
+    receipts = spark.createDataFrame([("T1", 5.0, "p"), (" t1 ", 7.0, "o"), ("t0", 9.0, "x"), (None, 1.0, "y")], "tx_hash string, gas_native double, fee_payer string")
+    assert rows(events.with_receipts(moved, receipts), "tx_hash", "gas_native", "fee_payer") == [("t0", 1.0, "a"), ("t1", 7.0, "a")]
+    assert events.with_receipts(moved, receipts).columns == moved.columns
+
+
+def test_sampled_pairs_have_pictures(spark):
+    pairs = spark.createDataFrame([("base", "a", "base", b, 1.0) for b in "bcde"], "chain_a string, contract_a string, chain_b string, contract_b string, score double")
+    tokens = source.tokens(snap(spark, [("base", c, t, "", "", i, "") for c, t, i in [("a", "1", ""), ("a", "2", "pa"), ("b", "1", "pb"), ("c", "1", "pc"), ("d", "1", "")]]))
+    assert rows(sampling.sample_pairs_with_pictures(pairs, tokens, 5), "contract_b", "image_a", "image_b") == [("b", "pa", "pb"), ("c", "pa", "pc")]
+    assert sampling.sample_pairs_with_pictures(pairs, tokens, 1).count() == 1

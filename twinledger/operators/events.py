@@ -92,3 +92,14 @@ def nearest_outside(windows: DataFrame, events: DataFrame, key: str, within: int
     hit = probes.join(near, [key, "__b"]).filter(((F.col("at") < F.col("first")) & (F.col("at") >= F.col("first") - within)) | ((F.col("at") > F.col("last")) & (F.col("at") <= F.col("last") + within)))
     found = hit.groupBy("__w").agg(F.max(F.when(F.col("at") < F.col("first"), F.col("at"))).alias("before"), F.min(F.when(F.col("at") > F.col("last"), F.col("at"))).alias("after"))
     return keyed.join(found, "__w", "left").select(*windows.columns, "before", "after")
+
+
+def with_receipts(moved: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Moves with the gas and payer of their transaction's receipt (tx_hash, gas_native, fee_payer) where the move names none itself.
+
+    Receipts join by lower-cased hash; of several with one hash the highest gas and smallest payer count. A receipt serves all moves
+    of its transaction, so gas must be counted by transaction (see transaction_gas).
+    """
+    known = receipts.filter("tx_hash is not null").groupBy(F.lower(F.trim("tx_hash")).alias("__tx")).agg(F.max("gas_native").alias("__gas"), F.min("fee_payer").alias("__payer"))
+    joined = moved.withColumn("__tx", F.lower("tx_hash")).join(known, "__tx", "left")
+    return joined.withColumns({"gas_native": F.coalesce("gas_native", "__gas"), "fee_payer": F.coalesce("fee_payer", "__payer")}).select(*moved.columns)

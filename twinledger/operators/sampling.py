@@ -37,3 +37,12 @@ def balanced_targets(available: dict[str, int], total: int, seed: int = 0) -> di
             take = min(left[k], part + (k in extra))
             out[k], left[k], total = out[k] + take, left[k] - take, total - take
     return out
+
+
+def sample_pairs_with_pictures(pairs: DataFrame, tokens: DataFrame, size: int, seed: str = "0") -> DataFrame:
+    """Matched contract pairs (chain_a, contract_a, chain_b, contract_b, score) of which both sides have a picture: ``size`` of each pair of
+    chains by hash priority, with image_a and image_b, the picture of each contract's smallest token id that has one."""
+    pictured = tokens.filter("image_uri_norm <> ''").groupBy("chain", "contract_address").agg(F.min(F.struct("token_id", "image_uri_norm")).alias("p"))
+    side = lambda x: pictured.select(F.col("chain").alias(f"chain_{x}"), F.col("contract_address").alias(f"contract_{x}"), F.col("p.image_uri_norm").alias(f"image_{x}"))
+    both = pairs.join(side("a"), ["chain_a", "contract_a"]).join(side("b"), ["chain_b", "contract_b"])
+    return sample_per_scope(both, ["chain_a", "chain_b"], ["contract_a", "contract_b"], size, seed)

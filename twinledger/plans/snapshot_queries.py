@@ -288,6 +288,13 @@ def metadata_scopes(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.match_metadata(rows, source.tokens(rows), METADATA_THRESHOLD)
 
 
+def sampled_metadata_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Three matched pairs of contracts with pictures of each pair of chains."""
+    rows = land(_rows(spark, d, "image_uri", "metadata"), "rows")
+    pairs = metadata_match.similar_contracts(source.anchors(rows), METADATA_THRESHOLD)
+    return sampling.sample_pairs_with_pictures(pairs, source.tokens(rows), 3).drop("score")
+
+
 def seed_name_hits(spark: SparkSession, d: str) -> DataFrame:
     """Contracts that bear the name of a seed or one like it."""
     members = land(name_match.name_members(_tokens(spark, d, "name")), "members")
@@ -321,7 +328,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snapshot_tokens, snapshot_totals, snapshot_one_chain, snapshot_conflicts, snapshot_anchors, highest_tokens, url_forms, asset_facts, exported_snapshot, export_counts, canonical_documents,
-        token_uri_scopes, token_uri_ratios, image_uri_scopes, name_bearers, exact_name_scopes, fuzzy_name_pairs, fuzzy_name_scopes, metadata_pairs, metadata_scopes, asset_text_pairs, snapshot_report,
+        token_uri_scopes, token_uri_ratios, image_uri_scopes, name_bearers, exact_name_scopes, fuzzy_name_pairs, fuzzy_name_scopes, metadata_pairs, metadata_scopes, sampled_metadata_pairs, asset_text_pairs, snapshot_report,
         ranked_seeds, seed_uri_scale, seed_uri_scale_images_apart, seed_name_hits, seed_hits, relations_unified, relations_by_scope, sampled_relations, retry_images, staged_assets, filled_assets, unlisted_tokens,
         transfer_lifecycles, token_holders, first_disposals, paid_and_held, transaction_gas, mint_payments, gas_concentration, receipt_gini, nearest_moves,
         address_edges, trading_cycles, cycle_sizes, cycle_exits, repeated_addresses, fan_addresses, inventory_shares, token_handovers, streamed_daily_counts, streamed_tokens,
