@@ -71,6 +71,27 @@ def test_small_sets_and_hot_tokens(spark, block_rows):
         assert set(rows(similar.row_pairs(found))) == truth
 
 
+def test_long_sets_beside_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BATCH_TOKENS", 5000)
+    rng, sets = random.Random(13), []
+    for size in (150, 240, 260, 380, 500, 520, 760, 1020, 1500):
+        base = [rng.randrange(4000) for _ in range(size)]
+        for _ in range(5):
+            keep = set(rng.sample(base, int(len(base) * rng.uniform(0.75, 1))))
+            sets.append(keep | {rng.randrange(4000, 5000) for _ in range(rng.randint(0, size // 6))})
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "row_id long, t array<long>").coalesce(2)
+    hashed = lambda d: d.select(F.col("row_id").alias("id"), F.transform("t", lambda x: F.xxhash64(x)).alias("tokens"))
+    found = similar.similar_sets(df, hashed, similar.Join(0.7, 10), "row_id")
+    truth = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if jaccard(sets[i], sets[j]) >= 0.7}
+    assert set(rows(similar.row_pairs(found))) == truth and len(truth) >= 40
+    from types import SimpleNamespace
+
+    one = np.arange(40_000, dtype=np.int64)
+    batch = similar.pa.RecordBatch.from_arrays([similar.pa.array([1]), similar.pa.array([one.tolist()], similar.pa.list_(similar.pa.int64()))], ["id", "tokens"])
+    made = sum(b.num_rows for b in similar._signatures(similar.Join(0.7, 10), SimpleNamespace(value=np.ones(similar.SLOTS, np.int64)))([batch]))
+    assert made < 4 * len(one)  # signatures grow as the tokens do
+
+
 def test_similar_names_beside_brute_force(spark):
     rng = random.Random(9)
     names = [*("".join(rng.choice("abcé ") for _ in range(rng.randint(5, 16))) for _ in range(150)), "aaaaaaaa", "aaaaaaaaa", None, "", "short"]

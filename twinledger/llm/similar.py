@@ -27,6 +27,10 @@ from twinledger.runtime import land
 
 #: slots of the token count table: its size, and so the broadcast, is the same for any input
 SLOTS = 1 << 20
+#: from this size on longer prefixes are used, of this share of the set more than the threshold takes
+LEVEL_SIZE, LEVEL_SHARE = 256, 0.15
+#: tokens that a task handles at once
+BATCH_TOKENS = 2_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -39,6 +43,16 @@ class Join:
     shared: int = 6
     block_rows: int = 250_000
 
+    def level(self, size: np.ndarray) -> np.ndarray:
+        """0 up to LEVEL_SIZE, and one more for each doubling."""
+        return np.ceil(np.log2(np.maximum(size, LEVEL_SIZE) / LEVEL_SIZE) - 1e-9).astype(np.int64)
+
+    def shared_at(self, level: int) -> int:
+        """The k for pairs whose larger set is of a level: it grows with the sets, so that their signatures grow as their tokens do, not as
+        the square. Any such pair has so many tokens in common."""
+        least = LEVEL_SIZE << max(0, level - 1)
+        return self.shared if level == 0 else max(self.shared, int(min(LEVEL_SHARE, self.threshold) * least))
+
     @property
     def small(self) -> int:
         """Sets up to this size may have fewer than ``shared`` tokens in common with a similar set, so single tokens find them."""
@@ -115,6 +129,16 @@ def _descriptions(sig, left, right, size) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([none, none, *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["a", "b", *DOC_COLUMNS])
 
 
+def _parts(batch: pa.RecordBatch):
+    """A batch in parts of about BATCH_TOKENS, at least a set each."""
+    offsets = batch.column(1).offsets.to_numpy().astype(np.int64)
+    ends, at, before = offsets[1:], 0, int(offsets[0])
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, before + BATCH_TOKENS, side="right")))
+        yield batch.slice(at, to - at)
+        at, before = to, int(ends[to - 1])
+
+
 SIGNATURES = "sig long, grp long, sketch long, size int"
 
 
@@ -123,9 +147,7 @@ def _signatures(join: Join, counts) -> Callable:
     the description of each set."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in _parts(whole)):
             x = _Ordered(batch, counts.value)
             group, (sketch,) = x.group(join), x.sketch(1)
             _, first = np.unique(np.stack([group, sketch]), axis=1, return_index=True)  # copies within the batch
@@ -140,12 +162,22 @@ def _signatures(join: Join, counts) -> Callable:
 
 
 def _pairs(x: _Ordered, join: Join, chosen: np.ndarray):
-    keep = x.in_prefix(join, join.shared) & (chosen & (x.size > join.small))[x.doc]
+    """(signature, set, the most sets that can have it), for each level that a set, or a similar larger one, is of."""
+    wanted = chosen & (x.size > join.small)
+    low, high = join.level(x.size), join.level(np.floor(x.size / join.threshold + 1e-9))
+    for level in range(int(low.min()), int(high.max()) + 1):
+        own = wanted & (low <= level) & (level <= high)
+        if own.any():
+            shared = join.shared_at(level)
+            yield from _pairs_at(x, x.in_prefix(join, shared) & own[x.doc], max(1, shared - 1), np.array([level], np.uint64) * _C)
+
+
+def _pairs_at(x: _Ordered, keep: np.ndarray, classes: int, salt: np.ndarray):
     token, doc, often = x.token[keep], x.doc[keep], x.often[keep]
-    classes = max(1, join.shared - 1)
     kind = (_mix(token ^ _B) % np.uint64(classes)).astype(np.int64)
-    order = np.argsort(doc * classes + kind, kind="stable")
-    token, doc, often, key = token[order], doc[order], often[order], (doc * classes + kind)[order]
+    key = doc * classes + kind
+    order = np.argsort(key, kind="stable")
+    token, doc, often, key = token[order], doc[order], often[order], key[order]
     live, step = np.arange(len(key)), 1
     while True:
         live = live[live + step < len(key)]
@@ -153,7 +185,7 @@ def _pairs(x: _Ordered, join: Join, chosen: np.ndarray):
         if not len(live):
             return
         a, b = token[live], token[live + step]
-        yield _mix(a * _A + _mix(b + _C)), doc[live], np.minimum(often[live], often[live + step])
+        yield _mix(a * _A + _mix(b + _C) + salt), doc[live], np.minimum(often[live], often[live + step])
         step += 1
 
 
