@@ -39,8 +39,8 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
     both = ends.filter("u <> v")
     both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
     degree = both.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
-    total = both.agg(F.count(F.lit(1)).alias("t"))
-    hot = land(degree.join(F.broadcast(total)).filter(F.col("d") > F.greatest(F.lit(1000), F.col("t") * HOT_SHARE)).select(F.col("u").alias("v")), "hot")
+    total = both.agg(F.count(F.lit(1)).alias("t")).scalar()
+    hot = land(degree.filter(F.col("d") > F.greatest(F.lit(1000), total * HOT_SHARE)).select(F.col("u").alias("v")), "hot")
     both = land(both.join(F.broadcast(hot.select(F.col("v").alias("u"), F.lit(True).alias("hot"))), "u", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "both")
     labels = land(vertices.withColumn("label", F.col("v")), "labels")
     for _ in range(max_rounds):  # far more than any logarithm

@@ -124,7 +124,7 @@ def copies_of(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """
     on = ["bucket", "key_a", "key_b"]
     several = ledger.filter("copies > 1").withColumnRenamed("record", "first")
-    total = ledger.agg(F.sum("copies").alias("__total"))
-    marked = several.join(F.broadcast(total)).withColumn("hot", F.col("copies") > F.greatest(F.lit(1000), F.col("__total") * HOT_SHARE)).drop("__total")
+    total = ledger.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("__total")).scalar()
+    marked = several.withColumn("hot", F.col("copies") > F.greatest(F.lit(1000), total * HOT_SHARE))
     found = [rows.join(F.broadcast(marked.filter("hot")), on), rows.join(marked.filter("not hot"), on)]
     return found[0].unionByName(found[1]).filter("record <> first").select(F.col("first").alias("record"), F.col("record").alias("copy"))
