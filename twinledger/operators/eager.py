@@ -44,8 +44,8 @@ def eager_join_rollup(
     a, b = _states(left, on, lk, left_sums, "l"), _states(right, on, rk, right_sums, "r")
     if lk and salts > 1:
         per_key = a.groupBy(*on).agg(F.count(F.lit(1)).alias("__states"))
-        total = per_key.agg(F.sum("__states").alias("__total"))
-        hot = per_key.join(F.broadcast(total)).filter(F.col("__states") > F.greatest(F.lit(10_000), F.col("__total") * HOT_SHARE)).select(*on, F.lit(salts).alias("__salts"))
+        total = per_key.agg(F.coalesce(F.sum("__states"), F.lit(0)).alias("__total")).scalar()
+        hot = per_key.filter(F.col("__states") > F.greatest(F.lit(10_000), total * HOT_SHARE)).select(*on, F.lit(salts).alias("__salts"))
         a = a.join(F.broadcast(hot), list(on), "left").withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*lk), F.lit(salts)))).drop("__salts")
         b = b.join(F.broadcast(hot), list(on), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))).drop("__salts").withColumn("__salt", F.col("__salt").cast("long"))
         a = a.withColumn("__salt", F.col("__salt").cast("long"))
