@@ -33,7 +33,7 @@ def name_pairs(names: DataFrame, threshold: float) -> DataFrame:
 
     names: one column, name, distinct. Characters with their number of occurrence (a, a#2, ...) make each name a set. From the lengths
     and the threshold follows how many of them two names must share, so one of the rarest few of each must be shared (prefix join);
-    lengths are checked in the join, the score in batches afterwards. A threshold of 0 or less takes every pair of names, one above 1
+    lengths, and the parity of all signs, are checked in the join, the score in batches afterwards. A threshold of 0 or less takes every pair of names, one above 1
     none. Empty names match nothing.
     """
     if threshold > 1:
@@ -43,24 +43,29 @@ def name_pairs(names: DataFrame, threshold: float) -> DataFrame:
     seen = sized.withColumn("signs", F.filter(signs, lambda c: c != ""))
     # the number of occurrence: how often the sign stands in the part of the name up to here
     marks = F.transform("signs", lambda c, i: F.concat(c, F.size(F.filter(F.slice("signs", 1, i + 1), lambda x: x == c)).cast("string")))
-    marked = seen.select("name", "len", marks.alias("marks"))
+    # the parity of the marks in 64 bits: two names differ in at least as many marks as in bits
+    bit = lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(m), F.lit(64)).cast("int"))
+    marked = seen.select("name", "len", marks.alias("marks")).withColumn("sketch", F.aggregate("marks", F.lit(0).cast("long"), lambda acc, m: acc.bitwiseXOR(bit(m))))
     often = marked.select(F.explode("marks").alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("often"))
     lengths = sorted(r.len for r in sized.select("len").distinct().collect())  # the different lengths of names
     rows = []
     for x in lengths:
-        fits = [(y, least_common(x, y, threshold)) for y in lengths if least_common(x, y, threshold) <= min(x, y)] if threshold > 0 else [(y, 0) for y in lengths]
-        rows += [(x, y, o, min(x, max(1, x - min(k for _, k in fits) + 1))) for y, o in fits]
+        fits = [(y, o) for y in lengths if (o := least_common(x, y, threshold) if threshold > 0 else 0) <= min(x, y)]
+        prefix = min(x, max(1, x - min(o for _, o in fits) + 1)) if fits else 0
+        rows += [(x, y, o, prefix) for y, o in fits]
     bounds = names.sparkSession.createDataFrame(rows, "la int, lb int, required int, prefix int")
     if threshold <= 0:
         a, b = sized.select(F.col("name").alias("a")), sized.select(F.col("name").alias("b"))
         candidates = a.join(b, F.col("a") < F.col("b"))
     else:
         prefix = bounds.groupBy(F.col("la").alias("len")).agg(F.max("prefix").alias("prefix"))
-        ordered = marked.select("name", "len", F.explode("marks").alias("mark")).join(often, "mark").groupBy("name", "len").agg(F.sort_array(F.collect_list(F.struct("often", "mark"))).alias("m"))
-        short = ordered.join(F.broadcast(prefix), "len").select("name", "len", F.explode(F.slice(F.col("m.mark"), F.lit(1), F.col("prefix"))).alias("mark"))
-        x = short.select("mark", F.col("name").alias("a"), F.col("len").alias("la"))
-        y = short.select("mark", F.col("name").alias("b"), F.col("len").alias("lb"))
-        candidates = x.join(y, "mark").filter("a < b").join(F.broadcast(bounds.select("la", "lb")), ["la", "lb"], "left_semi").select("a", "b").distinct()
+        ordered = marked.select("name", "len", "sketch", F.explode("marks").alias("mark")).join(often, "mark").groupBy("name", "len", "sketch").agg(F.sort_array(F.collect_list(F.struct("often", "mark"))).alias("m"))
+        short = ordered.join(F.broadcast(prefix), "len").select("name", "len", "sketch", F.explode(F.slice(F.col("m.mark"), F.lit(1), F.col("prefix"))).alias("mark"))
+        x = short.select("mark", F.col("name").alias("a"), F.col("len").alias("la"), F.col("sketch").alias("sa"))
+        y = short.select("mark", F.col("name").alias("b"), F.col("len").alias("lb"), F.col("sketch").alias("sb"))
+        differ = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
+        near = x.join(y, "mark").filter("a < b").join(F.broadcast(bounds.select("la", "lb", "required")), ["la", "lb"]).filter(differ <= F.col("la") + F.col("lb") - 2 * F.col("required"))
+        candidates = near.select("a", "b").distinct()
 
     def score(batches):
         for pdf in batches:
