@@ -51,6 +51,8 @@ o AS (SELECT asset_id, p, regexp_replace(p, '(\\.[^.\\[]*)?(\\[[0-9]+\\])+$', ''
 
 ORACLES = {
     "p5_found": f"WITH {_TREE} SELECT asset_id, parent parent_path, p node_path FROM o",
+    "p5_attributes": f"""WITH {_TREE} SELECT asset_id, parent parent_path, p node_path, CAST(regexp_extract(p, '\\[([0-9]+)\\]$', 1) AS INT) ordinal, {", ".join(f"CASE WHEN json_type(v, '$.{c}') NOT IN ('OBJECT', 'ARRAY') THEN v ->> '$.{c}' END m_{c}" for c in ("trait_type", "value", "display_type"))}
+        FROM o WHERE regexp_matches(p, '\\.attributes(\\[[0-9]+\\])+$')""",
     "p7_found": f"""WITH s AS (SELECT {_tidy()}, name_norm FROM snapshot WHERE trim(name_norm) <> ''),
         c AS (SELECT chain, contract_address, name_norm, count(*) n FROM s WHERE contract_address IS NOT NULL AND chain IS NOT NULL GROUP BY ALL)
         SELECT chain, contract_address, arg_min(name_norm, (-n, name_norm)) name_norm FROM c GROUP BY ALL""",
