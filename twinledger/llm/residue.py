@@ -104,10 +104,10 @@ def _any(text: Column, rules: list[tuple[str, str]], flags: str, held: Column) -
     return reduce(lambda a, b: a | b, (one(*rule) for rule in rules))
 
 
-def kind(unit: Column) -> Column:
-    """What kind of residue a unit is, or null: script, error, placeholder or filler."""
+def kind(unit: Column, low: Column) -> Column:
+    """What kind of residue a unit, given as it is and in lower case, is, or null: script, error, placeholder or filler."""
     said = F.when(~unit.rlike("[\"“„«]"), unit).otherwise(F.regexp_replace(unit, r"(?<!\{|:|,)[\"“„«](?![:,])[^\"“”„«»{}:]{2,60}[\"”“»]", '""'))  # quoted words are spoken about
-    flags, low = "(?iu)", F.lower(unit)
+    flags = "(?iu)"
     mentioned = unit.rlike("(?iu)" + MENTION)
     words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     n = F.size(words)
@@ -125,8 +125,9 @@ def kind(unit: Column) -> Column:
 
 def lines(documents: DataFrame) -> DataFrame:
     """(doc_id, host, line, kind): every unit of every document, its host (null is a host of its own), its normalised form's hash and its kind."""
-    exploded = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.explode(units(F.col("text"))).alias("unit"))
-    return exploded.select("doc_id", "host", F.xxhash64(normalised(F.col("unit"))).alias("line"), kind(F.col("unit")).alias("kind"))
+    both = lambda u: F.struct(u.alias("unit"), F.lower(u).alias("low"))  # noqa: E731  # made once, as many rules look at it
+    exploded = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.explode(F.transform(units(F.col("text")), both)).alias("u"))
+    return exploded.select("doc_id", "host", F.xxhash64(normalised(F.col("u.unit"))).alias("line"), kind(F.col("u.unit"), F.col("u.low")).alias("kind"))
 
 
 def residue(documents: DataFrame, boilerplate_share: float = 0.05, boilerplate_least: int = 50) -> DataFrame:
