@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinledger.runtime import spread
+
 NODE_FIELDS = "node_id int, parent_id int, node_path string, object_path string, label string, ordinal int, kind string, scalar string, in_array boolean"
 _ARROW = pa.schema([("node_id", pa.int32()), ("parent_id", pa.int32()), ("node_path", pa.string()), ("object_path", pa.string()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string()), ("in_array", pa.bool_())])
 
@@ -54,7 +56,7 @@ def shred(rows: DataFrame, key: str, document: str, budget: int = 50_000) -> Dat
 
     Each node has its parent node, the path of the nearest object around it (`$` if none), its label (the member it lies in), its
     position in the parent and, if it is a scalar, its text. Paths: `$`, `.key`, `[i]` from 0. Texts that are null, blank or not valid
-    JSON have no nodes. The key must be unique; other columns are ignored. Batches leave a task at ``budget`` nodes or more, so a
+    JSON have no nodes. rows: a scan, see runtime.spread. The key must be unique; other columns are ignored. Batches leave a task at ``budget`` nodes or more, so a
     long document costs memory only for itself.
     """
     kind = rows.schema[key].dataType.simpleString()
@@ -75,7 +77,7 @@ def shred(rows: DataFrame, key: str, document: str, budget: int = 50_000) -> Dat
                     at, found = [], []
             yield _batch(key, keys, at, found)
 
-    return rows.select(key, document).mapInArrow(nodes, f"`{key}` {kind}, {NODE_FIELDS}")
+    return spread(rows.select(key, document)).mapInArrow(nodes, f"`{key}` {kind}, {NODE_FIELDS}")
 
 
 def _batch(name: str, keys, at: list[int], found: list[tuple]) -> pa.RecordBatch:

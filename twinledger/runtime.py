@@ -89,3 +89,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """One table of a data folder, reduced to the given columns."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan whose files make fewer partitions than there are cores, over all cores; any other scan as it is.
+
+    For work that takes long per row on inputs of a few files. Only such small inputs are moved. Use it on scans (with filters and
+    projections) alone, as asking for the partitions of a plan with shuffles would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
