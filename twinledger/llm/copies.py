@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinledger.llm.ledger import CopyLedger, copies_of, keyed, record_key
-from twinledger.runtime import land, shared_path
+from twinledger.runtime import land, shared_path, spread
 
 BUCKETS = 32
 
@@ -20,7 +20,7 @@ def snapshot_ledger(snapshot: DataFrame, buckets: int = BUCKETS) -> tuple[DataFr
     spark = snapshot.sparkSession
     key = record_key(F.col("name_norm"), F.col("token_uri_norm"), F.col("image_uri_norm"))
     batch = F.coalesce(F.concat_ws("q", F.year("ingested_at"), F.quarter("ingested_at")), F.lit("none"))
-    wanted = snapshot.select("row_id", "name_norm", "token_uri_norm", "image_uri_norm", F.when(F.col("ingested_at").isNull(), "none").otherwise(batch).alias("batch"))
+    wanted = spread(snapshot.select("row_id", "name_norm", "token_uri_norm", "image_uri_norm", "ingested_at")).select("row_id", "name_norm", "token_uri_norm", "image_uri_norm", F.when(F.col("ingested_at").isNull(), "none").otherwise(batch).alias("batch"))
     records = land(keyed(wanted, key, "row_id", buckets), "records", "batch")
     ledger = CopyLedger(spark, shared_path(spark, "ledger"))
     for name in sorted(r.batch for r in records.select("batch").distinct().collect()):  # a row per quarter

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinledger.identity import is_blank
 from twinledger.llm.terms import terms
-from twinledger.runtime import land
+from twinledger.runtime import land, spread
 
 RUNS = "field_name string, item string, occurrences long, records long"
 
@@ -100,7 +100,7 @@ def snapshot_pairs(snapshot: DataFrame) -> DataFrame:
     """(field_name, item, record): terms of non-blank metadata_json, and non-blank token URIs as they are."""
     of_terms = F.when(~is_blank(F.col("metadata_json")), terms(F.col("metadata_json")))
     of_uri = F.when(~is_blank(F.col("token_uri_norm")), F.array("token_uri_norm"))
-    found = snapshot.select("row_id", F.explode(F.array(F.struct(F.lit("metadata_json").alias("f"), of_terms.alias("i")), F.struct(F.lit("token_uri_norm").alias("f"), of_uri.alias("i")))).alias("x"))
+    found = spread(snapshot.select("row_id", "metadata_json", "token_uri_norm")).select("row_id", F.explode(F.array(F.struct(F.lit("metadata_json").alias("f"), of_terms.alias("i")), F.struct(F.lit("token_uri_norm").alias("f"), of_uri.alias("i")))).alias("x"))
     return found.select(F.col("x.f").alias("field_name"), F.explode("x.i").alias("item"), F.col("row_id").alias("record"))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinledger.runtime import land, spread
+
 # Phrases of the kinds of residue, per language where they differ. All are matched without regard to case.
 SCRIPTING = r"(?:java ?script|js|scripts?|scripting|active content|client-side scripts?)"
 PLACE = r"(?:page|app|site|viewer|gallery|dashboard|market page|mint page|application)"
@@ -126,7 +128,7 @@ def kind(unit: Column, low: Column) -> Column:
 def lines(documents: DataFrame) -> DataFrame:
     """(doc_id, host, line, kind): every unit of every document, its host (null is a host of its own), its normalised form's hash and its kind."""
     both = lambda u: F.struct(u.alias("unit"), F.lower(u).alias("low"))  # noqa: E731  # made once, as many rules look at it
-    exploded = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.explode(F.transform(units(F.col("text")), both)).alias("u"))
+    exploded = spread(documents.select("doc_id", "source", "text")).select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.explode(F.transform(units(F.col("text")), both)).alias("u"))
     return exploded.select("doc_id", "host", F.xxhash64(normalised(F.col("u.unit"))).alias("line"), kind(F.col("u.unit"), F.col("u.low")).alias("kind"))
 
 
@@ -139,8 +141,6 @@ def residue(documents: DataFrame, boilerplate_share: float = 0.05, boilerplate_l
     sentence that mentions or quotes such a thing is none. Only lines with a kind can become evidence, so only these move, counted per
     task before they do. Null and empty texts hold no evidence. doc_id must be unique.
     """
-    from twinledger.runtime import land
-
     found = land(lines(documents.select("doc_id", "source", "text")).filter(F.col("kind").isNotNull()).distinct(), "evidence")
     size = documents.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
     seen = found.select("doc_id", "host", "line").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinledger.identity import is_blank
 from twinledger.llm.terms import TERM
-from twinledger.runtime import land
+from twinledger.runtime import land, spread
 
 #: at most so many terms, of at most so many characters, are broadcast
 BROADCAST_TERMS, BROADCAST_CHARS = 200_000, 48
@@ -35,8 +35,9 @@ def _cells(batches):
 
 
 def cells(records: DataFrame, record: str, text: str) -> DataFrame:
-    """The table of counts: CELLS, one row per record and term it has, with the record's margin. Null and blank texts have none."""
-    return records.filter(~is_blank(F.col(text))).select(F.col(record).cast("long"), F.lower(text)).mapInArrow(_cells, CELLS)
+    """The table of counts: CELLS, one row per record and term it has, with the record's margin. Null and blank texts have none.
+    records: a scan, see runtime.spread."""
+    return spread(records.select(F.col(record).cast("long").alias("record"), F.col(text).alias("text"))).filter(~is_blank(F.col("text"))).select("record", F.lower("text")).mapInArrow(_cells, CELLS)
 
 
 def with_margins(found: DataFrame, margins: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.runtime import land
+from twinledger.runtime import land, spread
 
 #: slots of the token count table: its size, and so the broadcast, is the same for any input
 SLOTS = 1 << 20
@@ -314,12 +314,13 @@ def _some(ids: DataFrame, column: str) -> Callable[[DataFrame, Column], DataFram
 def similar_sets(source: DataFrame, sets_of: Callable[[DataFrame], DataFrame], join: Join, id_column: str) -> Similar:
     """All pairs of sets with similarity >= join.threshold.
 
-    source: rows with a unique id; sets_of turns such rows into (id long, tokens array<long>), the tokens distinct 64-bit hashes, and
+    source: a scan (see runtime.spread) of rows with a unique id; sets_of turns such rows into (id long, tokens array<long>), the tokens distinct 64-bit hashes, and
     may leave rows out. It must be a row-wise function, as it runs on few rows again to verify. Rows without a set (null) and empty
     sets are similar to none and are in neither result. Equal sets are one class, represented by its smallest id; pairs of a class
     with itself aren't listed, they follow from members. An empty input gives empty results.
     """
     spark = source.sparkSession
+    scanned, source = source, spread(source)
     sets = sets_of(source).filter(F.size("tokens") > 0).select("id", "tokens")
     counts = spark.sparkContext.broadcast(token_counts(sets))
 
@@ -345,7 +346,7 @@ def similar_sets(source: DataFrame, sets_of: Callable[[DataFrame], DataFrame], j
     likely = land(likely.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")), "likely")
 
     ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
-    wanted = sets_of(_some(ends, "id")(source, F.col(id_column))).select("id", "tokens")
+    wanted = sets_of(_some(ends, "id")(scanned, F.col(id_column))).select("id", "tokens")
     wanted = wanted.join(ends.distinct(), "id", "left_semi")
     left = likely.join(wanted.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
     both = left.join(wanted.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from twinledger.runtime import spread
+
 
 @dataclass(frozen=True)
 class Tokenizer:
@@ -57,6 +59,6 @@ def tokenised(documents: DataFrame, keep: list[str], text: str = "text", tokeniz
     """
     tokenizer = tokenizer or Tokenizer.default()
     ranks = documents.sparkSession.sparkContext.broadcast(tokenizer.read())
-    found = documents.filter(documents[text].isNotNull()).select(*keep, text)
+    found = spread(documents.filter(documents[text].isNotNull()).select(*keep, text))
     schema = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in keep) + ", n long" + (", tokens array<int>" if as_list else "")
     return found.mapInArrow(_each(ranks, tokenizer.pattern, as_list), schema)
