@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from twinledger.functions.documents import canonical_json
 from twinledger.functions.text import normalize_name, normalize_url
 from twinledger.identity import tidy_address, tidy_chain
+from twinledger.runtime import spread
 
 KEY = ["chain", "contract_address", "token_id"]
 #: columns beside the key that a dimension needs
@@ -106,13 +107,13 @@ def chain_totals(rows: DataFrame) -> DataFrame:
 def anchors(rows: DataFrame, normalised: bool = True, keep: int | None = None, highest: bool = False) -> DataFrame:
     """(key, source_order, document): the first valid canonical metadata of each token in source order.
 
-    keep: only so many tokens per contract, in ascending order of token ids, or descending with highest.
+    keep: only so many tokens per contract, in ascending order of token ids, or descending with highest. rows: a scan, see runtime.spread.
     """
     from pyspark.sql import Window
 
     from twinledger.functions.text import token_order
 
-    valid = rows.filter("metadata_json <> ''").withColumn("document", canonical_json(F.col("metadata_json"), normalised)).filter(F.col("document").isNotNull())
+    valid = spread(rows.filter("metadata_json <> ''")).withColumn("document", canonical_json(F.col("metadata_json"), normalised)).filter(F.col("document").isNotNull())
     first = valid.groupBy(*KEY).agg(F.min(F.struct("source_order", "document")).alias("f")).select(*KEY, "f.*")
     if keep is None:
         return first
