@@ -339,6 +339,18 @@ def test_frame_of_a_host_is_no_residue(spark):
     assert rows(residue.residue(df), "doc_id") == [(900,)]
 
 
+@pytest.mark.parametrize("n", [60, 600])
+def test_copies_of_an_error_page_are_residue_at_any_size(spark, n):
+    page = lambda i: f"# Tide {i}\nThe page could not be loaded.\nRequest ab{i:06d}cd.\nGo back to the harbour."
+    texts = [(i, page(i) if i % 3 == 0 else f"Boat {i} went out.\nThis site requires JavaScript.", "s") for i in range(n)]
+    bare = [(n + i, "Error 500: nothing here." if i % 3 == 0 else f"Boat {i} went out.", "t") for i in range(n)]
+    df = spark.createDataFrame(texts + bare, "doc_id long, text string, source string")
+    found = {r.doc_id for r in residue.residue(df).collect()}
+    framed = set() if n == 600 else {i for i, t, _ in texts if "JavaScript" in t}
+    assert found - framed == {i for i in range(2 * n) if (i if i < n else i - n) % 3 == 0}
+    assert not found & {i for i, _, _ in bare if (i - n) % 3}
+
+
 def test_very_long_text_without_breaks(spark):
     df = spark.createDataFrame([(1, "word " * 200_000, None), (2, "x" * 300_000, "s")], "doc_id long, text string, source string")
     assert residue.residue(df).count() <= 1

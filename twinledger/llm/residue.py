@@ -92,9 +92,14 @@ def units(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n"), lambda u: F.btrim(u, F.lit(" \t\r"))), lambda u: u != "")
 
 
+def without_ids(unit: Column) -> Column:
+    """A unit in lower case, hashes and long numbers as 0."""
+    return F.regexp_replace(F.lower(unit), r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "0")
+
+
 def normalised(unit: Column) -> Column:
     """A unit without what varies in it: lower case, hashes and numbers as 0."""
-    return F.regexp_replace(F.regexp_replace(F.lower(unit), r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "0"), r"\d+", "0")
+    return F.regexp_replace(without_ids(unit), r"\d+", "0")
 
 
 def _any(text: Column, rules: list[tuple[str, str]], flags: str, held: Column) -> Column:
@@ -132,11 +137,28 @@ def lines(documents: DataFrame) -> DataFrame:
     return exploded.select("doc_id", "host", F.xxhash64(normalised(F.col("u.unit"))).alias("line"), kind(F.col("u.unit"), F.col("u.low")).alias("kind"))
 
 
+def _wholly_frame(documents: DataFrame, found: DataFrame, frame: DataFrame, size: DataFrame, rare: Column, flagged: DataFrame) -> DataFrame:
+    """The rows of ``found`` of documents that hold evidence in frame lines only and have no content beside their host's frame.
+
+    A unit is content unless it is evidence, a heading, without letters, or recurs in the host with at most its identifiers changed (other
+    numbers tell content apart). Only documents of hosts whose frame holds evidence are read for it.
+    """
+    left = land(found.join(flagged, "doc_id", "left_anti"), "framed")
+    hosts = left.select("host").distinct()
+    of = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), "text").join(hosts, "host", "left_semi")
+    each = spread(of).select("doc_id", "host", F.explode(units(F.col("text"))).alias("unit")).filter(F.col("unit").rlike(r"\p{L}") & ~F.col("unit").rlike(r"^#+\s[^.!?]*$"))
+    other = each.select("doc_id", "host", F.xxhash64(normalised(F.col("unit"))).alias("line"), F.xxhash64(without_ids(F.col("unit"))).alias("form")).join(frame, ["host", "line"], "left_anti").select("doc_id", "host", "form").distinct()
+    seen = other.groupBy("host", "form").agg(F.count(F.lit(1)).alias("docs")).join(size, "host").filter(rare).select("host", "form")
+    content = other.join(left.select("doc_id").distinct(), "doc_id", "left_semi").join(seen, ["host", "form"], "left_semi").select("doc_id")
+    return left.join(content, "doc_id", "left_anti")
+
+
 def residue(documents: DataFrame, boilerplate_share: float = 0.05, boilerplate_least: int = 50) -> DataFrame:
     """(doc_id, kinds): the documents whose residual holds evidence, with the sorted kinds of it.
 
     Lines are counted by host in their normalised form, in documents, not occurrences. Those in more than boilerplate_share of a host's
-    documents, and in boilerplate_least at least, are the host's frame and say nothing about one document; they are subtracted. What
+    documents, and in boilerplate_least at least, are the host's frame and say nothing about one document; they are subtracted from
+    documents that keep content beside it. Where nothing is kept, the frame stands in place of content and its evidence counts. What
     remains is residue if it is an error message, a placeholder, filler or a notice that scripts are required, as `kind` finds them; a
     sentence that mentions or quotes such a thing is none. Only lines with a kind can become evidence, so only these move, counted per
     task before they do. Null and empty texts hold no evidence. doc_id must be unique.
@@ -144,8 +166,14 @@ def residue(documents: DataFrame, boilerplate_share: float = 0.05, boilerplate_l
     found = land(lines(documents.select("doc_id", "source", "text")).filter(F.col("kind").isNotNull()).distinct(), "evidence")
     size = documents.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
     seen = found.select("doc_id", "host", "line").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
-    frame = seen.filter(F.col("docs") >= boilerplate_least).join(size, "host").filter(F.col("docs") > F.col("host_docs") * boilerplate_share).select("host", "line")
-    return found.join(frame, ["host", "line"], "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    recurs = (F.col("docs") >= boilerplate_least) & (F.col("docs") > F.col("host_docs") * boilerplate_share)
+    often = seen.filter(F.col("docs") >= boilerplate_least)
+    frame = land(often.join(size, "host").filter(recurs).select("host", "line"), "frame")
+    kept = found.join(frame, ["host", "line"], "left_anti")
+    if not frame.isEmpty():
+        kept = land(kept, "kept")
+        kept = kept.unionByName(_wholly_frame(documents, found, frame, size, ~recurs, kept.select("doc_id").distinct()))
+    return kept.groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
 
 
 def clean(documents: DataFrame, **options) -> DataFrame:
