@@ -83,8 +83,20 @@ FIELDS = [
 FILLER_WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua magnis dictus velutis porta vitabo tempora quaerit posuere sedum ornatu fermen nullam lacum eros".split()
 MASHED = "asdf qwer zxcv jkl asd foo bar baz xyz blah bla test aaa".split()
 
-#: a sentence that describes how fields, errors or such words are used, rather than holding a leftover
-MENTION = r"\b(?:such as|template|script reads|replaces? \{|is followed by|flagged|as a frequent value|refers to|sic|house style|titled|motto|trait named|first drafts|the work undefined|shows a nan|works best when)\b"
+#: what makes words that directly follow it an example or a name, and so spoken about
+CITED = r"(?:such as|for example|e\.g\.|(?:en)?titled|named|called|motto(?: is| was)?|(?:words?|phrases?|messages?|errors?|codes?|notices?|texts?|pages?) (?:like|as)|the (?:words?|phrase|message))"
+#: what a field is called where it is spoken about; a title or a name may well be a field that was not filled
+_NOUN = r"(?:fields?|placeholders?|variables?|parameters?|macros?|tags?)"
+_FIELD = "(?:" + "|".join(p for p, _ in FIELDS) + ")"
+_LIST = rf"{_FIELD}(?:(?:,| |#|and |or )*{_FIELD})*"
+#: a field with the words beside it that describe it: given as an example, named as a field, worked on by a program, or a thing itself
+SPOKEN_FIELDS = [
+    rf"(?iu:\b(?:such as|for example,?|e\.g\.,?|{_NOUN}(?: like| as| named| called| of the form)?) ){_LIST}",
+    rf"(?iu:\b(?:replac|substitut)(?:e|es|ed|ing) |\b(?:read|pars|expand|fill)(?:s|es|ed|ing)? ){_LIST} (?:from|in|into|with|by)\b",
+    rf"(?iu:\b(?:flag|report|list)(?:s|ed|ged|ging|ing)? ){_LIST} as an? (?:\w+ ){{0,3}}(?:value|placeholder|error|field|leftover|string)\b",
+    rf"{_LIST} (?:is|are|was|were|gets?) (?:filled in|replaced|substituted|expanded)\b|{_LIST} (?:stands?|stood) for\b",
+    r"\b[Aa]n? (?:undefined|NaN|null)(?= (?:\w+ed|in|on|of|from|is|was|that|which|values?)\b|[,;.])",
+]
 
 
 def units(text: Column) -> Column:
@@ -111,22 +123,33 @@ def _any(text: Column, rules: list[tuple[str, str]], flags: str, held: Column) -
     return reduce(lambda a, b: a | b, (one(*rule) for rule in rules))
 
 
+def _stated(text: Column, rules: list[tuple[str, str]], flags: str, held: Column) -> Column:
+    """Whether a rule matches where no word directly before makes it an example or a name."""
+    return _any(text, rules, flags, held) & _any(text, [(rf"(?<!\b{CITED}[ :,]{{0,2}})(?:{p})", w) for p, w in rules], flags, held)
+
+
+def _unfilled(unit: Column) -> Column:
+    """Whether a unit holds a field that it does not speak about."""
+    rest = reduce(lambda u, p: F.regexp_replace(u, p, " "), SPOKEN_FIELDS, unit)
+    return _any(unit, FIELDS, "(?u)", unit) & _any(rest, FIELDS, "(?u)", rest)
+
+
 def kind(unit: Column, low: Column) -> Column:
     """What kind of residue a unit, given as it is and in lower case, is, or null: script, error, placeholder or filler."""
     said = F.when(~unit.rlike("[\"“„«]"), unit).otherwise(F.regexp_replace(unit, r"(?<!\{|:|,)[\"“„«](?![:,])[^\"“”„«»{}:]{2,60}[\"”“»]", '""'))  # quoted words are spoken about
     flags = "(?iu)"
-    mentioned = unit.rlike("(?iu)" + MENTION)
     words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     n = F.size(words)
     filler = F.size(F.filter(words, lambda w: w.isin(*FILLER_WORDS)))
     mashed = F.size(F.filter(words, lambda w: w.isin(*MASHED)))
     some = low.rlike(rf"(?u)\b(?:{'|'.join(sorted({*FILLER_WORDS, *MASHED}))})\b")  # cheaper than counting, which few lines then need
     repeated = low.rlike(r"(?u)\b(\p{L}{2,40})[\s.,]{1,3}\1[\s.,]{1,3}\1\b")  # groups that repeat without bound would recurse on long texts
+    cited = low.rlike(rf"(?u)\b{CITED}[ :,]{{1,2}}(?:(?:{'|'.join(sorted({*FILLER_WORDS, *MASHED}))})\b|(\p{{L}}{{2,40}})[\s.,]{{1,3}}\1[\s.,]{{1,3}}\1\b)")
     return (
-        F.when(_any(said, SCRIPT_NOTICES, flags, low) & ~mentioned, "script")
-        .when(_any(said, ERROR_PAGES, flags, low) & ~mentioned, "error")
-        .when((_any(said, PLACEHOLDER_PHRASES, flags, low) | _any(unit, FIELDS, "(?u)", unit)) & ~mentioned, "placeholder")
-        .when(((some & (n >= 3) & ((filler >= 0.5 * n) | (mashed >= 0.6 * n))) | repeated) & ~mentioned, "filler")
+        F.when(_stated(said, SCRIPT_NOTICES, flags, low), "script")
+        .when(_stated(said, ERROR_PAGES, flags, low), "error")
+        .when(_stated(said, PLACEHOLDER_PHRASES, flags, low) | _unfilled(unit), "placeholder")
+        .when(((some & (n >= 3) & ((filler >= 0.5 * n) | (mashed >= 0.6 * n))) | repeated) & ~cited, "filler")
     )
 
 
