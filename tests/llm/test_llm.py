@@ -346,6 +346,17 @@ def test_residue_beside_words_of_mention(spark):
     assert rows(residue.residue(df), "doc_id") == [(i,) for i in range(len(left))]
 
 
+def test_residue_of_common_messages(spark):
+    script = ["You need to enable JavaScript to run this app.", "Enable JavaScript and cookies to continue", "JavaScript is required.", "Please enable JavaScript.", "JavaScript must be enabled to view this page."]
+    error = ["404 Not Found", "HTTP 404 Not Found", "HTTP/1.1 403 Forbidden", "403 Forbidden", "503 Service Unavailable", "504 Gateway Time-out", "Harbour | 410 Gone"]
+    placeholder = ["Your text here", "Add description here", "By {{ collection.metadata.description | default('none given by its owner') }} here.", "By ${collection.owner.profile.display_name.in_full} here.", "By [[the description of the collection in two sentences]] here."]
+    content = ["A 404 Not Found reply means that the picture is gone.", "JavaScript is required reading for developers.", "You do not need to enable JavaScript.", "Write your name here and win.", "The fee was 403 forbidden fruits.", "The site no longer requires JavaScript.", "View image here."]
+    texts = script + error + placeholder
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts + content)], "doc_id long, text string, source string")
+    found = {texts[r.doc_id] if r.doc_id < len(texts) else content[r.doc_id - len(texts)]: r.kinds for r in residue.residue(df).collect()}
+    assert found == {t: [k] for k, of in (("script", script), ("error", error), ("placeholder", placeholder)) for t in of}
+
+
 @pytest.mark.parametrize("n", [60, 600])
 def test_copies_of_an_error_page_are_residue_at_any_size(spark, n):
     page = lambda i: f"# Tide {i}\nThe page could not be loaded.\nRequest ab{i:06d}cd.\nGo back to the harbour."

@@ -11,10 +11,17 @@ from twinledger.runtime import land, spread
 
 # Phrases of the kinds of residue, per language where they differ. All are matched without regard to case.
 SCRIPTING = r"(?:java ?script|js|scripts?|scripting|active content|client-side scripts?)"
+#: how a notice goes on after its verb, or that it ends
+_UNTIL = r"[.!\s]*$| in your browser| (?:for|on) this | to (?:continue|proceed|view|see|use|run|load|access|browse|display|enjoy|work)\b"
 PLACE = r"(?:page|app|site|viewer|gallery|dashboard|market page|mint page|application)"
 
 #: each a pattern, and words of which a text that it matches holds one at least; these are looked for first, as that is much cheaper
 SCRIPT_NOTICES = [
+    (rf"(?:^\W*|\bplease |(?<!not )\b(?:need|have) to |\byou must )(?:activate|enable|allow|turn on|switch on) {SCRIPTING}\b(?: and cookies)?(?:{_UNTIL})", "script|js|content"),
+    (rf"(?:^|(?<!no )\b){SCRIPTING} (?:is|are) (?:currently )?(?:required|needed|disabled|turned off|switched off|blocked|not enabled)(?:{_UNTIL})", "script|js|content"),
+    (rf"\b{SCRIPTING} (?:must|has to|have to|needs to|need to) be (?:activated|enabled|allowed|turned on|switched on)(?:{_UNTIL})", "script|js|content"),
+    (rf"\bthis (?:\w+ )?{PLACE} (?:doesn't|does not|won't|will not|can't|cannot) (?:work|run|load|function|start)(?: properly| correctly)? without {SCRIPTING}\b", "without"),
+    (rf"\byour browser has {SCRIPTING} (?:disabled|turned off|switched off|blocked)|\byou have {SCRIPTING} (?:disabled|turned off|switched off|blocked)", "script|js|content"),
     (rf"please (?:activate|enable|allow|turn on|switch on) {SCRIPTING}(?: and cookies)? to ", "please"),
     (rf"\bto \w+ the \w+, (?:allow|enable|activate|turn on) {SCRIPTING} (?:for|on) this ", "this "),
     (rf"\bthis (?:\w+ )?{PLACE} (?:needs|requires|depends on) {SCRIPTING}", "needs|requires|depends on"),
@@ -32,9 +39,19 @@ SCRIPT_NOTICES = [
 ]
 
 CODE = r"[45]\d\d"
+#: the standard reason phrase of each status code
+REASONS = {
+    400: "bad request", 401: "unauthori[sz]ed", 402: "payment required", 403: "forbidden", 404: "(?:page |file )?not found", 405: "method not allowed", 406: "not acceptable", 407: "proxy authentication required",
+    408: "request time-?out", 409: "conflict", 410: "gone", 411: "length required", 412: "precondition failed", 413: "(?:content|payload|request entity) too large", 414: "(?:request-)?ur[il] too (?:long|large)",
+    415: "unsupported media type", 416: "(?:requested )?range not satisfiable", 417: "expectation failed", 421: "misdirected request", 422: "unprocessable (?:entity|content)", 423: "locked", 424: "failed dependency",
+    425: "too early", 426: "upgrade required", 428: "precondition required", 429: "too many requests", 431: "request header fields too large", 451: "unavailable for legal reasons", 500: "internal server error",
+    501: "not implemented", 502: "bad gateway", 503: "service (?:temporarily )?unavailable", 504: "gateway time-?out", 505: "http version not supported", 507: "insufficient storage", 508: "loop detected", 511: "network authentication required",
+}
+REASON = "(?:" + "|".join(rf"{code}\W{{1,3}}{phrase}" for code, phrase in REASONS.items()) + ")"
 FAILED = r"(?:could not be|cannot be|can't be|was not|failed to be) (?:found|reached|rendered|resolved|loaded|fetched|verified|located)"
 FAILED_WORDS = "could not be|cannot be|can't be|was not|failed to be"
 ERROR_PAGES = [
+    (rf"(?:^\W*|[|–-] )(?:(?:http(?:/\d(?:\.\d)?)?|error|status:?(?: code:?)?)\W{{1,2}})?{REASON}(?:\W*\d?$|\W*[:|–-] |\W+(?:nginx|apache|openresty|cloudflare|the requested|sorry|please|we|reference|request)\b)", "40|41|42|43|45|50|51"),
     (rf"(?:^|\s)(?:http|error|status:?|erreur|fehler|erro) {CODE} ?(?:[:|,.–-]|$)", "http|error|status|erreur|fehler|erro"),
     (rf"^\W*{CODE}(?: ?[-:|,–] |\W*$)", ""),
     (rf"(?:^|[-:|,–] ?|warning |fatal |sorry )the (?:\w+ ){{1,3}}{FAILED}\b", FAILED_WORDS),
@@ -54,7 +71,9 @@ ERROR_PAGES = [
 ]
 
 PART = r"(?:\w+ ){1,3}"
+COPY = r"(?:text|title|subtitle|heading|headline|description|name|content|bio|caption|details|summary|story|copy|paragraph|tagline|slogan|statement|image|picture|photo|logo|link)"
 PLACEHOLDER_PHRASES = [
+    (rf"^\W*(?:(?:please )?(?:add|insert|enter|write|type|put|place|paste) (?:(?:your|a|an|the|some|own|short|long) ){{0,3}}|your (?:(?:own|short|long) )?)(?:\w+ )?{COPY} here[\s.!…)\]]*$", " here"),
     (rf"\byour {PART}goes here|\binsert {PART}here\b|\b{PART}to be added\W*$|\bthis is where the {PART}will appear", "goes here|insert |to be added|this is where"),
     (r"\btodo: |\btbd\W*$|\bcoming soon: describe |\badd a short text about|\bwrite something nice about|\bedit this block to", "todo|tbd|coming soon|short text|something nice|edit this"),
     (r"\btype a catchy (?:\w+ ?){1,2}|\b(?:sample|example|dummy) \w+(?: \w+)?,? (?:replace before|for layout only|and will be changed)", "type a catchy|replace before|layout only|will be changed"),
@@ -67,9 +86,9 @@ PLACEHOLDER_PHRASES = [
 
 #: unfilled fields of the usual template languages; case counts here
 FIELDS = [
-    (r"\{\{[^{}]{1,40}\}\}|[$#]\{[^{}]{1,40}\}|\{%[^%]{1,40}%\}|(?<![/\w])\{[A-Za-z_]{2,30}\}(?![./])|\{\d\}", "{"),
-    (r"<%=?[^%]{1,40}%>|<<[^>]{1,40}>|<(?:insert )?[a-z][A-Za-z_ ]{1,40}>", "<"),
-    (r"\[\[[^\]]{1,40}\]|\[(?:INSERT |YOUR )?[A-Z][A-Z_ ]{2,40}\]|\[(?:insert|your) [^\]]{1,40}\]|\[[a-z]{3,20} [a-z]{2,20}\]|\[[a-z]{4,20}\]|\[object Object\]", "["),
+    (r"\{\{[^{}]++\}\}|[$#]\{[^{}]++\}|\{%[^%]++%\}|(?<![/\w])\{[A-Za-z_]{2,30}\}(?![./])|\{\d\}", "{"),
+    (r"<%=?[^%]++%>|<<[^>]++>|<(?:insert )?[a-z][A-Za-z_ ]{1,40}>", "<"),
+    (r"\[\[[^\]]++\]|\[(?:INSERT |YOUR )?[A-Z][A-Z_ ]{2,}+\]|\[(?:insert|your) [^\]]++\]|\[[a-z]{3,20} [a-z]{2,20}\]|\[[a-z]{4,20}\]|\[object Object\]", "["),
     (r"@@\w{1,40}@@|__[A-Z][A-Z_]{1,40}__", "@@|__"),
     (r"%[A-Z][A-Z_]{1,40}%|(?<!\d )(?<!\d)%[sd]\b|%\d\$[sd]\b|%\(\w{2,30}\)[sd]\b", "%"),
     (r"\$[A-Za-z][A-Za-z_]{2,20}\$", "$"),
