@@ -76,3 +76,14 @@ def test_names_match_with_and_without_threshold(spark, tmp_path):
     with pytest.raises(ValueError):
         spark.createDataFrame([(9, "base", "0xa", "1", "", "ipfs:other", "", ""), (8, "base", "0xa", "1", "", "ipfs:one", "", "")], SNAP).write.mode("append").parquet(path)
         pipeline.run_uri(spark, path, order="row_id", strict=True)
+
+
+def test_hit_queries_over_all_seeds_pass_no_ranking_limit(spark, tmp_path):
+    from twinledger.plans import snapshot_queries as queries
+
+    n = queries.SEEDS_PER_RANKING + 3
+    spark.createDataFrame([(i, "base", f"0x{i}", "1", f"n{i}", "u", "", "{}") for i in range(n + 2)], SNAP).write.parquet(f"{tmp_path}/snapshot.parquet")
+    seeds = [("base", f"0x{i}", i, "c", "m", "w", "f", None) for i in range(n)] + [(None, "0xz", 1, "c", "m", "w", "f", None), ("base", " ", 1, "c", "m", "w", "f", None)]
+    spark.createDataFrame(seeds, "chain string, address string, seed_rank int, collection_name string, metric string, metric_window string, feed string, collected_at timestamp").write.parquet(f"{tmp_path}/seeds.parquet")
+    assert [r.nfts for r in queries.all_unlisted_tokens(spark, str(tmp_path)).collect()] == [2]
+    assert queries.all_seed_uri_scale(spark, str(tmp_path)).filter("dimension = 'token_uri'").select("seed_address").distinct().count() == n

@@ -26,9 +26,13 @@ def _tokens(spark: SparkSession, d: str, *dimensions: str) -> DataFrame:
     return source.tokens(_rows(spark, d, *dimensions))
 
 
-def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    top = staging.top_seeds(table(spark, d, "seeds"), SEEDS_PER_RANKING)
-    return top.select("chain", F.col("address").alias("contract_address")).distinct()
+def _seeds(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    """The contracts of the best-ranked seeds, or of all that have a chain and an address."""
+    seeds = table(spark, d, "seeds")
+    if every:
+        tidy = seeds.select(tidy_chain(F.col("chain")).alias("chain"), tidy_address(F.col("chain"), F.col("address")).alias("contract_address"))
+        return tidy.filter("chain is not null and contract_address is not null").distinct()
+    return staging.top_seeds(seeds, SEEDS_PER_RANKING).select("chain", F.col("address").alias("contract_address")).distinct()
 
 
 def snapshot_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -141,17 +145,25 @@ def ranked_seeds(spark: SparkSession, d: str) -> DataFrame:
     return staging.top_seeds(table(spark, d, "seeds"), SEEDS_PER_RANKING)
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    classes, seeds = land(uri_match.alike(_tokens(spark, d, "token_uri", "image_uri")), "classes"), land(_seeds(spark, d), "seeds")
+def _edges(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    classes, seeds = land(uri_match.alike(_tokens(spark, d, "token_uri", "image_uri")), "classes"), land(_seeds(spark, d, every), "seeds")
     return uri_match.seed_class_edges(classes, seeds, "token_uri_norm", "token_uri").unionByName(uri_match.seed_class_edges(classes, seeds, "image_uri_norm", "image_uri"))
 
 
-def seed_uri_scale(spark: SparkSession, d: str) -> DataFrame:
-    return uri_match.seed_scale(_edges(spark, d))
+def seed_uri_scale(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    return uri_match.seed_scale(_edges(spark, d, every))
 
 
-def seed_uri_scale_images_apart(spark: SparkSession, d: str) -> DataFrame:
-    return uri_match.seed_scale(uri_match.image_minus_token(land(_edges(spark, d), "edges")))
+def all_seed_uri_scale(spark: SparkSession, d: str) -> DataFrame:
+    return seed_uri_scale(spark, d, every=True)
+
+
+def seed_uri_scale_images_apart(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    return uri_match.seed_scale(uri_match.image_minus_token(land(_edges(spark, d, every), "edges")))
+
+
+def all_seed_uri_scale_images_apart(spark: SparkSession, d: str) -> DataFrame:
+    return seed_uri_scale_images_apart(spark, d, every=True)
 
 
 def relations_unified(spark: SparkSession, d: str) -> DataFrame:
@@ -188,12 +200,16 @@ def filled_assets(spark: SparkSession, d: str) -> DataFrame:
     return staging.upsert(new, old, key)
 
 
-def unlisted_tokens(spark: SparkSession, d: str) -> DataFrame:
+def unlisted_tokens(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Tokens per chain, without the contracts of the best-ranked seeds."""
-    left = staging.remove_listed(_tokens(spark, d), _seeds(spark, d), ["chain", "contract_address"])
+    left = staging.remove_listed(_tokens(spark, d), _seeds(spark, d, every), ["chain", "contract_address"])
     return left.groupBy("chain").agg(F.count(F.lit(1)).alias("nfts"))
 
 
+def all_unlisted_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return unlisted_tokens(spark, d, every=True)
+
+
 def _moved(spark: SparkSession, d: str) -> DataFrame:
     return land(events.movements(table(spark, d, "transfers")), "moved")
 
@@ -295,20 +311,28 @@ def sampled_metadata_pairs(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_pairs_with_pictures(pairs, source.tokens(rows), 3).drop("score")
 
 
-def seed_name_hits(spark: SparkSession, d: str) -> DataFrame:
+def seed_name_hits(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Contracts that bear the name of a seed or one like it."""
     members = land(name_match.name_members(_tokens(spark, d, "name")), "members")
     pairs = name_match.name_pairs(land(members.select("name").distinct(), "names"), NAME_THRESHOLD)
-    return name_match.seed_name_edges(members, _seeds(spark, d), pairs).withColumn("score", F.round("score", 9))
+    return name_match.seed_name_edges(members, _seeds(spark, d, every), pairs).withColumn("score", F.round("score", 9))
 
 
-def seed_hits(spark: SparkSession, d: str) -> DataFrame:
+def all_seed_name_hits(spark: SparkSession, d: str) -> DataFrame:
+    return seed_name_hits(spark, d, every=True)
+
+
+def seed_hits(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Tokens that each seed's hits reach in every dimension and in all together."""
     rows = _rows(spark, d, "name", "token_uri", "image_uri", "metadata")
-    edges = pipeline.match_seeds(rows, _seeds(spark, d), NAME_THRESHOLD, METADATA_THRESHOLD)
+    edges = pipeline.match_seeds(rows, _seeds(spark, d, every), NAME_THRESHOLD, METADATA_THRESHOLD)
     return uri_match.seed_scale(pipeline.expand_edges(land(edges, "edges"), source.tokens(rows)))
 
 
+def all_seed_hits(spark: SparkSession, d: str) -> DataFrame:
+    return seed_hits(spark, d, every=True)
+
+
 def snapshot_report(spark: SparkSession, d: str) -> DataFrame:
     """The whole run on URIs and names, as its report."""
     report = pipeline.run_all(spark, f"{d}/snapshot.parquet", dimensions=("name", "uri"), name_threshold=None, order="row_id")
@@ -329,6 +353,7 @@ QUERIES = {
     for f in (
         snapshot_tokens, snapshot_totals, snapshot_one_chain, snapshot_conflicts, snapshot_anchors, highest_tokens, url_forms, asset_facts, exported_snapshot, export_counts, canonical_documents,
         token_uri_scopes, token_uri_ratios, image_uri_scopes, name_bearers, exact_name_scopes, fuzzy_name_pairs, fuzzy_name_scopes, metadata_pairs, metadata_scopes, sampled_metadata_pairs, asset_text_pairs, snapshot_report,
+        all_seed_uri_scale, all_seed_uri_scale_images_apart, all_seed_name_hits, all_seed_hits, all_unlisted_tokens,
         ranked_seeds, seed_uri_scale, seed_uri_scale_images_apart, seed_name_hits, seed_hits, relations_unified, relations_by_scope, sampled_relations, retry_images, staged_assets, filled_assets, unlisted_tokens,
         transfer_lifecycles, token_holders, first_disposals, paid_and_held, transaction_gas, mint_payments, gas_concentration, receipt_gini, nearest_moves,
         address_edges, trading_cycles, cycle_sizes, cycle_exits, repeated_addresses, fan_addresses, inventory_shares, token_handovers, streamed_daily_counts, streamed_tokens,
@@ -525,3 +550,8 @@ ORACLES = {
     "streamed_daily_counts": "SELECT lower(trim(chain)) chain, strftime(ingested_at, '%Y-%m-%d') AS day, count(*) records, max(first_seen_block) highest_block FROM snapshot WHERE ingested_at IS NOT NULL GROUP BY ALL",
     "streamed_tokens": f"SELECT lower(trim(chain)) chain, count(DISTINCT ({_address('chain', 'contract_address')}, token_id)) nfts FROM snapshot WHERE chain IS NOT NULL AND trim(contract_address) <> '' AND token_id IS NOT NULL GROUP BY 1",
 }
+
+#: the same over every seed
+_EVERY = f"""
+top AS (SELECT DISTINCT lower(trim(chain)) chain, {_address("chain", "address")} address FROM seeds WHERE trim(chain) <> '' AND trim(address) <> '')"""
+ORACLES |= {f"all_{name}": ORACLES[name].replace(_TOP, _EVERY) for name in ("seed_uri_scale", "seed_uri_scale_images_apart", "seed_name_hits", "seed_hits", "unlisted_tokens") if name in ORACLES}
