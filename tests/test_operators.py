@@ -159,6 +159,30 @@ def test_shred(spark):
     assert shred.array_objects(shred.shred(df.limit(0), "id", "doc"), "id").count() == 0
 
 
+def test_shred_holds_at_any_depth_and_length_of_numbers(spark):
+    deep = '{"a":' + "[" * 100_000 + '{"b":1}' + "]" * 100_000 + "}"
+    objects = '[{"a":' * 1_500 + "1" + "}]" * 1_500
+    data = [(1, deep), (2, '[{"n":' + "9" * 5_000 + "}]"), (3, deep[:-1]), (4, objects)]
+    nodes = shred.shred(spark.createDataFrame(data, "id long, doc string"), "id", "doc", budget=1_000)
+    found = rows(shred.array_objects(nodes, "id"))
+    assert [x for x in found if x[0] < 4] == [(1, "$", "$.a" + "[0]" * 100_000), (2, "$", "$[0]")]
+    assert {(len(x[1]), len(x[2])) for x in found if x[0] == 4} == {(max(1, 5 * i - 1), 5 * i + 4) for i in range(1_500)}
+    assert [r.m_n for r in shred.entity_table(shred.entities(nodes, "id").filter("id = 2 and in_array"), "id", None, ["n"]).collect()] == ["9" * 5_000]
+
+
+@pytest.mark.parametrize("text", ['{"a":[1,2.5,{"b":null,"c":[true,false]}],"d":"x\\n\\u00e9"}', "[]", "{}", "[1,]", '{"a"}', '{"a":}', "[1 2]", '"x"', "-0", "01", "[-]", "[1.]", "[1e5,1E-3]", "[[],{}]", "[1] x", "", "{,}", '["a"', "[NaN]", "[1e999]", '{"a"::1}', '{"a":1,"a":2}'])
+def test_deep_parser_beside_the_usual_one(text):
+    import json
+
+    def of(parser):
+        try:
+            return repr(parser(text))
+        except ValueError:
+            return "no JSON"
+
+    assert of(shred._loads_deep) == of(lambda t: json.loads(t, **shred._LOADS))
+
+
 def test_shred_of_a_long_document(spark):
     import json
 
@@ -273,6 +297,45 @@ def test_publish_and_cache(spark, tmp_path):
     assert sinks.markdown(spark.createDataFrame([("a|b", None)], "x string, y string")).splitlines()[-1] == "| a\\|b |  |"
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_beside_plain_join(spark, how):
+    from twinledger.operators.skew import hot_keys, spread_join
+
+    left = spark.range(3_000).selectExpr("id", "if(id % 3 = 0, 7, if(id % 50 = 1, null, id % 40)) k")
+    right = spark.range(60).selectExpr("id % 20 k", "id v")
+    hot = hot_keys(left, ["k"], share=1 / 10, least=100)
+    assert [r.k for r in hot.collect()] == [7] and hot.first()["__parts"] >= 3
+    assert hot_keys(left, ["k"]) is None
+    assert rows(spread_join(left, right, ["k"], hot, ["id"], how)) == rows(left.join(right, "k", how))
+    joined = spread_join(left, right, ["k"], hot, ["id"])
+    per_part = left.join(hot, "k").groupBy(F.pmod(F.xxhash64("id"), "__parts")).count()
+    assert max(r["count"] for r in per_part.collect()) < 600 and joined.columns == ["k", "id", "v"]
+
+
+def test_write_text_replaces_in_one_step(spark, tmp_path):
+    path = f"{tmp_path}/mark"
+    for text in ("one", "two"):
+        sinks.write_text(spark, path, text)
+        assert sinks.read_text(spark, path) == text
+    fine = sinks.fingerprint(spark, [str(tmp_path)])
+    assert fine == sinks.fingerprint(spark, [str(tmp_path)])
+
+
+def test_scopes_keep_tables_of_other_runs(spark):
+    from twinledger import runtime
+
+    outer = runtime.land(spark.range(3), "outer")
+    with runtime.landing_scope(spark):
+        inner = runtime.land(spark.range(2), "inner")
+        assert runtime.release_all(spark) == 1 and outer.count() == 3
+        inner = runtime.land(spark.range(2), "inner")
+        assert inner.count() == 2
+    with pytest.raises(Exception, match="exist|FILE"):
+        spark.read.parquet(inner.landed_at).count()
+    assert outer.count() == 3
+    runtime.release(outer)
+
+
 def test_landed_tables_are_released(spark):
     from twinledger import runtime
 

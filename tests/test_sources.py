@@ -27,7 +27,9 @@ def test_transfers(spark):
 
 def test_holders(spark):
     page = {"owners": [{"ownerAddress": "0xA", "tokenBalances": [{"tokenId": "1", "balance": "0x2"}, {"tokenId": "2", "balance": "x"}]}, {"ownerAddress": "0xB", "tokenBalances": []}, {"ownerAddress": "0x" + "0" * 40}, {"ownerAddress": None}]}
-    assert rows(providers.holders(pages(spark, page)), "owner", "token_id", "balance") == [("0xa", "1", 2), ("0xa", "2", None), ("0xb", "", None)]
+    assert rows(providers.holders(pages(spark, page)), "owner", "token_id", "balance") == [("0xa", "1", "2"), ("0xa", "2", None), ("0xb", "", None)]
+    large = {"owners": [{"ownerAddress": "0xA", "tokenBalances": [{"tokenId": "1", "balance": "0x" + "f" * 64}, {"tokenId": "2", "balance": str(10**70)}]}]}
+    assert rows(providers.holders(pages(spark, large)), "balance") == [(str(2**256 - 1),), (str(10**70),)][::-1]
 
 
 def test_sales_in_one_currency_only(spark):
@@ -55,23 +57,15 @@ def test_owner_changes(spark):
 def test_rankings(spark):
     df = spark.createDataFrame([("base", json.dumps({"data": [{"contract": "0xA", "ranking": "2", "name": "n"}, {"address": "0xB"}, {"name": "no address"}]})), ("base", "bad")], "chain string, payload string")
     assert rows(providers.ranked_collections(df), "address", "seed_rank", "collection_name") == [("0xa", 2, "n"), ("0xb", 2, None)]
-    assert rows(spark.createDataFrame([('{"license":"CC0"}',), ("{}",), (None,)], "j string").select(providers.licensed_open(F.col("j")))) == [(False,), (False,), (True,)]
-
-
-def test_logs(spark):
-    word = lambda n: format(n, "064x")
-    t = lambda kind, last=0: ["0x" + kind, "0x1", "0x2", "0x" + word(last)]
-    batch = "0x" + word(64) + word(0) + word(3) + word(8) + word(9)
-    logs = spark.createDataFrame([("0xA ", t(decode.TRANSFER, 5), "0x", 9), ("0xa", t(decode.TRANSFER, 5), None, 3), ("0xb", t(decode.TRANSFER_SINGLE), "0x" + word(7) + word(1), 1), ("0xb", t(decode.TRANSFER_BATCH), batch, 1), ("0xc", ["0x12"], None, 1), ("0xc", None, None, 1), ("0xc", t(decode.TRANSFER_SINGLE), "zz", 1)], "address string, topics array<string>, data string, block_number long")
-    assert rows(decode.log_tokens(logs)) == [("0xa", "5", "ERC-721", 3), ("0xb", "7", "ERC-1155", 1), ("0xb", "8", "ERC-1155", 1), ("0xb", "9", "ERC-1155", 1)]
-
-
-def test_metadata_accounts(spark):
-    text = lambda s: len(s).to_bytes(4, "little") + s
-    mint, collection = bytes(range(32)), bytes(range(1, 33))
-    head = b"\x04" + b"\x01" * 32 + mint + text(b"Name\0\0") + text(b"SYM") + text(b"ipfs://x")
-    full = head + b"\x00\x05" + b"\x01" + (1).to_bytes(4, "little") + b"c" * 34 + b"\x00\x01" + b"\x01\xff" + b"\x00" + b"\x01\x01" + collection
-    df = spark.createDataFrame([(bytearray(full),), (bytearray(head),), (bytearray(b"\x05" * 80),), (None,), (bytearray(b""),)], "d binary")
-    found = [r[0] for r in df.select(decode.metadata_accounts(F.col("d"))).collect()]
-    assert tuple(found[0]) == (base58_encode(mint), "Name", "SYM", "ipfs://x", base58_encode(collection))
-    assert found[1].collection is None and found[2:] == [None, None, None]
+
+
+def test_open_licences_by_marks_in_values(spark):
+    texts = ['{"license":"CC0-1.0"}', '{"a":[{"b":"In the Public Domain."}]}', '{"public domain":"no"}', '{"license":"CC0"}', '{"l":"Creative Commons BY-NC"}', '["CC Zero"]', '"license: cc0"', '{"l":"MIT license"}', "public domain", '{"l":"public domain"', None, "", '{"x":"say \\"public domain\\":"}']
+    found = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, j string").orderBy("i").select(providers.licensed_open(F.col("j"))).collect()]
+    assert found == [True, True, False, False, False, True, True, False, False, False, False, False, True]
+
+
+def test_prices_are_exact_at_any_length(spark):
+    fee = {"symbol": "eth", "decimals": 18}
+    page = {"nftSales": [{"transactionHash": "t", "sellerAddress": "0xS", "buyerAddress": "0xB", "tokenId": "1", "sellerFee": fee | {"amount": str(10**60)}, "royaltyFee": fee | {"amount": "0001"}}]}
+    assert rows(providers.sales(pages(spark, page)), "price_raw") == [(str(10**60 + 1),)]

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_KEY = "spark.checkpoint.dir"
-#: paths that land() wrote in this process, oldest first
-_landed: list[str] = []
+#: paths that land() wrote in this process and are left, oldest first, one list for each open scope
+_scopes: list[list[str]] = [[]]
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -60,22 +62,39 @@ def land(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     landed = df.sparkSession.read.schema(df.schema).parquet(path)
     landed.landed_at = path
-    _landed.append(path)
+    _scopes[-1].append(path)
     return landed
 
 
-def release(df: DataFrame) -> None:
-    """Deletes a table that land() wrote, once nothing reads it any more."""
-    remove_path(df.sparkSession, df.landed_at)
-    if df.landed_at in _landed:
-        _landed.remove(df.landed_at)
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that land() wrote, once nothing reads them any more."""
+    for df in tables:
+        remove_path(df.sparkSession, df.landed_at)
+        for paths in _scopes:
+            if df.landed_at in paths:
+                paths.remove(df.landed_at)
+
+
+@contextmanager
+def landing_scope(spark: SparkSession) -> Iterator[None]:
+    """What land() writes within is deleted at the end; tables of other runs, also of the same process, stay. Store results before it ends."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove_path(spark, path)
 
 
 def release_all(spark: SparkSession) -> int:
-    """Deletes what land() wrote in this process and is left; call it when results that read these tables are stored. Returns how many."""
-    count = len(_landed)
-    while _landed:
-        remove_path(spark, _landed.pop())
+    """Deletes what land() wrote in the innermost open scope, the whole process if none is open, and is left. Returns how many.
+
+    Frames that read these tables can't be used any more; where others are still in use, open a landing_scope for each run instead.
+    """
+    own = _scopes[-1]
+    count = len(own)
+    while own:
+        remove_path(spark, own.pop())
     return count
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinledger.functions.text import hex_to_decimal, plain_decimal
 from twinledger.identity import tidy_address
 from twinledger.operators.events import ZERO
+from twinledger.operators.shred import parse
 
 _FEE = "struct<amount:string,quantity:string,decimals:int,symbol:string,contractAddress:string,contract_address:string,tokenAddress:string,recipient:string,recipientAddress:string>"
 # The members that replies hold.
@@ -27,6 +29,25 @@ def number(text: Column) -> Column:
     return F.when(value.rlike("^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substring(value, F.lit(3), F.length(value)), 16, 10).cast("long")).otherwise(value.try_cast("long"))
 
 
+def whole(text: Column) -> Column:
+    """A whole number of any length, in decimal or 0x-hexadecimal text, as decimal text without leading zeros; null if it is none.
+
+    Amounts and balances have up to 256 bits, more than any numeric type holds; `text.token_order` compares such texts by magnitude.
+    """
+    value = F.trim(text)
+    return F.when(value.rlike("^0[xX][0-9a-fA-F]+$"), hex_to_decimal(value)).when(value.rlike("^[0-9]+$"), plain_decimal(value))
+
+
+def whole_sum(parts: Column) -> Column:
+    """The sum of an array of decimal texts of any length, as decimal text; null elements add nothing, an empty or null array gives null."""
+
+    @F.pandas_udf("string")
+    def of(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None or not len(x) else str(sum(int(v) for v in x if v is not None)))
+
+    return of(parts)
+
+
 def seconds(text: Column) -> Column:
     """A time in seconds since 1970, or as RFC 3339; null if it is neither."""
     value = F.trim(text)
@@ -59,27 +80,30 @@ def transfers(pages: DataFrame) -> DataFrame:
 
 
 def holders(pages: DataFrame) -> DataFrame:
-    """(chain, contract_address, owner, token_id, balance): an owner without balances has one row with an empty token id; zero owners none."""
+    """(chain, contract_address, owner, token_id, balance): an owner without balances has one row with an empty token id; zero owners none.
+
+    balance is decimal text, see whole, as balances may have 256 bits; null if it is no number.
+    """
     owners = _items(pages, HOLDERS, "owners").withColumn("owner", F.lower(F.coalesce("i.ownerAddress", F.lit("")))).filter((F.col("owner") != "") & (F.col("owner") != ZERO))
     each = owners.withColumn("b", F.explode_outer("i.tokenBalances"))
-    return each.select("chain", "contract_address", "owner", token_id(F.col("b.tokenId")).alias("token_id"), number(F.col("b.balance")).alias("balance"))
+    return each.select("chain", "contract_address", "owner", token_id(F.col("b.tokenId")).alias("token_id"), whole(F.col("b.balance")).alias("balance"))
 
 
 def _fee(name: str, chain: Column) -> Column:
     f = F.col(f"i.{name}")
     raw = F.coalesce(f["amount"], f["quantity"])
     fee = F.struct(
-        raw.cast("decimal(38,0)").alias("raw"), F.coalesce(f["decimals"], F.lit(18)).alias("decimals"), (raw.cast("double") / F.pow(F.lit(10.0), F.coalesce(f["decimals"], F.lit(18)))).alias("amount"),
+        plain_decimal(raw).alias("raw"), F.coalesce(f["decimals"], F.lit(18)).alias("decimals"), (raw.cast("double") / F.pow(F.lit(10.0), F.coalesce(f["decimals"], F.lit(18)))).alias("amount"),
         F.lower(f["symbol"]).alias("symbol"), tidy_address(chain, F.coalesce(f["contractAddress"], f["contract_address"], f["tokenAddress"])).alias("address"),
     )
-    return F.when(raw.rlike("^[0-9]{1,38}$"), fee)
+    return F.when(raw.rlike("^[0-9]+$"), fee)
 
 
 def sales(pages: DataFrame) -> DataFrame:
     """(chain, contract_address, tx_hash, token_id, seller, buyer, at, block_number, marketplace, amount, price_raw, seller_part, market_part, royalty_part).
 
     The amount is the sum of its parts, and null unless all parts are in one currency: the same decimals and address, or without
-    addresses no two different symbols. Sales without seller, buyer or token are left out.
+    addresses no two different symbols. price_raw, in the smallest unit, is exact at any length. Sales without seller, buyer or token are left out.
     """
     chain = F.col("chain")
     with_fees = _items(pages, SALES, "nftSales").withColumns({n: _fee(f, chain) for n, f in (("s", "sellerFee"), ("p", "protocolFee"), ("r", "royaltyFee"))})
@@ -91,7 +115,7 @@ def sales(pages: DataFrame) -> DataFrame:
     out = parts.select(
         "chain", "contract_address", F.coalesce("i.transactionHash", F.lit("")).alias("tx_hash"), token_id(F.col("i.tokenId")).alias("token_id"), tidy_address(chain, F.col("i.sellerAddress")).alias("seller"), tidy_address(chain, F.col("i.buyerAddress")).alias("buyer"),
         seconds(F.coalesce("i.blockTimestamp", "i.timestamp")).alias("at"), number(F.coalesce("i.blockNumber", "i.blockNum")).alias("block_number"), F.col("i.marketplace").alias("marketplace"),
-        total("amount", F.lit(0.0)).alias("amount"), F.when(one, F.aggregate(F.col("parts.raw"), F.lit(0).cast("decimal(38,0)"), lambda a, b: (a + b).cast("decimal(38,0)"))).cast("string").alias("price_raw"),
+        total("amount", F.lit(0.0)).alias("amount"), whole_sum(F.when(one, F.col("parts.raw"))).alias("price_raw"),
         F.col("s.amount").alias("seller_part"), F.col("p.amount").alias("market_part"), F.col("r.amount").alias("royalty_part"),
     )
     return out.filter("seller is not null and buyer is not null and token_id <> ''")
@@ -100,8 +124,8 @@ def sales(pages: DataFrame) -> DataFrame:
 def receipts(pages: DataFrame) -> DataFrame:
     """(tx_hash, gas_native, fee_payer) of (tx_hash, payload): gas used times its price, in units of 10^18; replies without both are left out."""
     r = pages.withColumn("r", F.from_json("payload", RECEIPT))
-    used, price = number(F.col("r.gasUsed")), number(F.coalesce("r.effectiveGasPrice", "r.gasPrice"))
-    out = r.select("tx_hash", (used.cast("decimal(19,0)") * price.cast("decimal(19,0)")).cast("double").alias("wei"), F.nullif(F.lower(F.trim("r.from")), F.lit("")).alias("fee_payer"))
+    used, price = whole(F.col("r.gasUsed")).cast("double"), whole(F.coalesce("r.effectiveGasPrice", "r.gasPrice")).cast("double")
+    out = r.select("tx_hash", (used * price).alias("wei"), F.nullif(F.lower(F.trim("r.from")), F.lit("")).alias("fee_payer"))
     return out.filter("wei is not null").select("tx_hash", (F.col("wei") / 1e18).alias("gas_native"), "fee_payer")
 
 
@@ -136,6 +160,29 @@ def ranked_collections(pages: DataFrame, path: str = "data") -> DataFrame:
     return out.filter("address is not null")
 
 
+# Texts that mark a work as free of rights.
+OPEN_MARKS = ["cc0-1.0", "license: cc0", "creative commons zero", "public domain", "cc zero"]
+
+
+def _marked(text: str | None) -> bool:
+    try:
+        stack = [parse(text)]
+    except ValueError:
+        return False
+    while stack:
+        value = stack.pop()
+        if isinstance(value, (dict, list)):
+            stack.extend(value.values() if isinstance(value, dict) else value)
+        elif isinstance(value, str) and any(m in value.lower() for m in OPEN_MARKS):
+            return True
+    return False
+
+
 def licensed_open(document: Column) -> Column:
-    """Whether any text in a JSON document names an open licence."""
-    return F.coalesce(F.lower(document).rlike(r"\b(?:cc0|creative commons|cc-by|public domain|mit license|apache license)\b"), F.lit(False))
+    """Whether any text value in a JSON document, at any depth, holds one of OPEN_MARKS, in any case; keys don't count. False for null and for what is no JSON."""
+
+    @F.pandas_udf("boolean")
+    def of(values: pd.Series) -> pd.Series:
+        return values.map(_marked).astype(bool)
+
+    return of(document)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinledger.runtime import remove_path, shared_path
+from twinledger.runtime import remove_path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -18,15 +18,17 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, complete or absent: written beside its place and renamed."""
-    fs, at = _fs(spark, path)
-    _, beside = _fs(spark, f"{path}.part")
+    """A small file, complete or as it was before: written beside its place, which one rename then replaces."""
+    fs, beside = _fs(spark, f"{path}.part")
     out = fs.create(beside, True)
     out.write(text.encode())
     out.close()
-    fs.delete(at, False)
-    if not fs.rename(beside, at):
-        raise OSError(f"cannot write {path}")
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    options = sc._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    at = fs.makeQualified(hadoop.Path(path))
+    hadoop.FileContext.getFileContext(at.toUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), at, options)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -45,14 +47,21 @@ def publish(tables: Mapping[str, DataFrame], path: str, force: bool = False, for
 
     An existing path is refused unless force; then it is set aside until the new one is in place, and brought back if that fails.
     """
-    spark = next(iter(tables.values())).sparkSession
+    def write(fresh: str) -> None:
+        for name, df in tables.items():
+            df.write.format(form).options(**options).save(f"{fresh}/{name}")
+
+    _replace(next(iter(tables.values())).sparkSession, path, force, write)
+
+
+def _replace(spark: SparkSession, path: str, force: bool, write: Callable[[str], None]) -> None:
+    """Puts the folder that write() makes at a path; see publish."""
     fs, at = _fs(spark, path)
     if fs.exists(at) and not force:
         raise FileExistsError(path)
     fresh, old = f"{path}.fresh", f"{path}.old"
     remove_path(spark, fresh)
-    for name, df in tables.items():
-        df.write.format(form).options(**options).save(f"{fresh}/{name}")
+    write(fresh)
     had = fs.exists(at)
     if had:
         remove_path(spark, old)
@@ -65,8 +74,11 @@ def publish(tables: Mapping[str, DataFrame], path: str, force: bool = False, for
 
 
 def write_snapshot(df: DataFrame, path: str, force: bool = False, rows_per_file: int = 1_000_000) -> None:
-    """A snapshot as ZSTD Parquet by chain, so that readers of one chain read only its folders."""
-    df.write.mode("overwrite" if force else "error").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).partitionBy("chain").parquet(path)
+    """A snapshot as ZSTD Parquet by chain, so that readers of one chain read only its folders.
+
+    It is written beside its place and renamed when whole, so a run that is lost leaves no half of it; an existing one is refused unless force.
+    """
+    _replace(df.sparkSession, path, force, lambda fresh: df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).partitionBy("chain").parquet(fresh))
 
 
 def write_report(df: DataFrame, path: str, *order: str) -> None:
@@ -106,7 +118,3 @@ def cached(spark: SparkSession, path: str, mark: str, make) -> DataFrame:
         write_text(spark, f"{path}/MARK", mark)
     return spark.read.parquet(f"{path}/table")
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return shared_path(spark, name)

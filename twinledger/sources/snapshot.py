@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +20,13 @@ DIMENSIONS = {"name": "name_norm", "token_uri": "token_uri_norm", "image_uri": "
 
 @dataclass(frozen=True)
 class ReadOptions:
-    """chains: only these (all if empty). dimensions: which columns to read beside the key. order: the column that gives source order."""
+    """chains: only these (all if empty). dimensions: which columns to read beside the key. order: the column that gives source order.
+    tidy_chains: the chain column is tidy already, see clean."""
 
     chains: Sequence[str] = ()
     dimensions: Sequence[str] = tuple(DIMENSIONS)
     order: str | None = None
+    tidy_chains: bool = False
 
 
 def validate(df: DataFrame, options: ReadOptions = ReadOptions()) -> DataFrame:
@@ -46,15 +48,18 @@ def read_snapshot(spark: SparkSession, paths: str | Iterable[str], options: Read
     df = spark.read.parquet(*files)
     if options.order is None:
         df = df.withColumn("source_order", F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
-        options = ReadOptions(options.chains, options.dimensions, "source_order")
-    return clean(validate(df, options), options.chains)
+        options = replace(options, order="source_order")
+    return clean(validate(df, options), options.chains, options.tidy_chains)
 
 
-def clean(rows: DataFrame, chains: Sequence[str] = ()) -> DataFrame:
+def clean(rows: DataFrame, chains: Sequence[str] = (), tidy_chains: bool = False) -> DataFrame:
     """Tidied keys, nulls as empty text, metadata trimmed; rows without chain, address or token are dropped.
 
-    The filter on chains is on the raw column too, so that it reaches the scan where the spelling is tidy already.
+    chains are compared tidied, which no scan can prune by. With tidy_chains the caller promises that the chain column holds tidy names only, as
+    snapshots that `sinks.write_snapshot` wrote do; then the raw column is filtered too, which prunes their folders or row groups.
     """
+    if chains and tidy_chains:
+        rows = rows.filter(F.col("chain").isin([c.strip().lower() for c in chains]))
     tidy = rows.withColumns({
         "chain": F.coalesce(tidy_chain(F.col("chain")), F.lit("")),
         "contract_address": F.coalesce(tidy_address(F.col("chain"), F.col("contract_address")), F.lit("")),
