@@ -81,7 +81,8 @@ def _loads_deep(text: str):
     return root
 
 
-def _loads(text: str):
+def loads(text: str):
+    """A JSON text of any depth, whole numbers as they are written; ValueError if it is none."""
     try:
         return json.loads(text, **_LOADS)
     except RecursionError:
@@ -96,8 +97,8 @@ def parse(text: str | None):
     """
     if text is None:
         raise ValueError("null")
-    found = _loads(text)
-    return _loads(found) if isinstance(found, str) and not isinstance(found, _Written) else found
+    found = loads(text)
+    return loads(found) if isinstance(found, str) and not isinstance(found, _Written) else found
 
 
 def _path(place: tuple | None) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from twinledger.functions.text import hex_to_decimal, plain_decimal
 from twinledger.identity import tidy_address
 from twinledger.operators.events import ZERO
-from twinledger.operators.shred import parse
+from twinledger.operators.shred import loads
 
 _FEE = "struct<amount:string,quantity:string,decimals:int,symbol:string,contractAddress:string,contract_address:string,tokenAddress:string,recipient:string,recipientAddress:string>"
 # The members that replies hold.
@@ -166,8 +166,8 @@ OPEN_MARKS = ["cc0-1.0", "license: cc0", "creative commons zero", "public domain
 
 def _marked(text: str | None) -> bool:
     try:
-        stack = [parse(text)]
-    except ValueError:
+        stack = [loads(text)]
+    except (ValueError, TypeError):
         return False
     while stack:
         value = stack.pop()
