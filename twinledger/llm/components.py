@@ -23,6 +23,21 @@ def _push(ends: DataFrame, hot: DataFrame, labels: DataFrame) -> DataFrame:
     return near.select("v", "label").unionByName(far.select("v", "label")).groupBy("v").agg(F.min("label").alias("label"))
 
 
+def _jump(labels: DataFrame, vertices: int) -> tuple[DataFrame, DataFrame]:
+    """Labels after each vertex took the label of the vertex that its label names, (v, label), and the landed table that this reads.
+
+    The labels in use are looked up once each. Those of more than HOT_SHARE of the vertices, at most its reciprocal many, are broadcast, so
+    the vertices of a giant group stay where they are; those of the others join by shuffle.
+    """
+    used = labels.groupBy(F.col("label").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    jump = land(used.join(labels, "v").select(F.col("v").alias("label"), F.col("label").alias("next"), (F.col("n") > max(1000, int(vertices * HOT_SHARE))).alias("hot")), "jump")
+    hot = F.broadcast(jump.filter("hot").select("label", "next"))
+    near = labels.join(hot, "label").select("v", F.col("next").alias("label"))
+    rest = labels.join(hot.select("label"), "label", "left_anti")
+    far = rest.join(jump.filter("not hot and label <> next").select("label", "next"), "label", "left").select("v", F.coalesce("next", "label").alias("label"))
+    return near.unionByName(far), jump
+
+
 def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
     """(v, label) for every end of a pair: the smallest member of its group, the same for all of a group.
 
@@ -43,19 +58,17 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
     hot = land(degree.filter(F.col("d") > F.greatest(F.lit(1000), total * HOT_SHARE)).select(F.col("u").alias("v")), "hot")
     both = land(both.join(F.broadcast(hot.select(F.col("v").alias("u"), F.lit(True).alias("hot"))), "u", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "both")
     labels = land(vertices.withColumn("label", F.col("v")), "labels")
+    vertex_count = labels.count()
     for _ in range(max_rounds):  # far more than any logarithm
         # the smallest label next to a vertex goes to the vertex and to the one its label names, which hooks whole groups onto each other
         near = labels.join(_push(both, hot, labels).withColumnRenamed("label", "best"), "v").select(F.explode(F.array("v", "label")).alias("v"), F.col("best").alias("label"))
         reached = land(labels.unionByName(near).groupBy("v").agg(F.min("label").alias("label")), "reached")
-        # a label that many vertices share is looked up once per task, not once per vertex
-        wanted = reached.select(F.col("label").alias("v")).distinct()
-        jump = wanted.join(reached, "v").select(F.col("v").alias("label"), F.col("label").alias("next")).filter("label <> next")
-        jumped = reached.join(jump, "label", "left").select("v", F.coalesce("next", "label").alias("label"))
+        jumped, jump = _jump(reached, vertex_count)
         jumped = land(jumped, "labels")
         same = labels.withColumnRenamed("label", "old").join(jumped, "v").filter("old <> label").isEmpty()
-        release(reached)
-        release(labels)
+        release(reached, jump, labels)
         labels = jumped
         if same:
+            release(ends, hot, both)
             return labels
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
