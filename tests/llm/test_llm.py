@@ -110,6 +110,29 @@ def test_copies_all_in_one_group(spark):
     assert rows(similar.links(found), "class_id", "copies", "links")[0] == (0, 60, 59)
 
 
+def test_hot_classes_and_signatures_are_spread(spark, monkeypatch):
+    """A class of a tenth of the rows and a token in a third of the sets, with limits low enough to bite."""
+    from twinledger.operators import skew
+
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(f"c{i}" for i in range(24))] * 40 + [" ".join([f"c{i}" for i in range(23)] + [f"x{k}"]) for k in range(20)]
+    texts += [" ".join(rng.sample(words, 22) + (["hot", "warm"] if k % 3 == 0 else [])) for k in range(240)]
+    texts += [t + " extra" for t in texts[60:160]]
+    sets = {i: set(t.split()) for i, t in enumerate(texts)}
+    truth = {(a, b) for a, b in itertools.combinations(sets, 2) if jaccard(sets[a], sets[b]) >= 0.7}
+    few = lambda rows, on, share=0, least=0: skew.hot_keys(rows, on, 1 / 100, 5)
+    monkeypatch.setattr(similar, "hot_keys", few)
+    source = snapshot(spark, metadata_json=texts)
+    found = similar.similar_sets(source, near_duplicates.metadata_sets, similar.Join(0.7, 4, block_rows=3), "row_id")
+    assert set(rows(similar.row_pairs(found))) == truth
+    counted = Counter(x for p in truth for x in p)
+    assert {r.id: r.links for r in similar.links(found).collect()} == {i: counted[i] for i in sets}
+    hot = few(found.members, ["rep"])
+    parts = found.members.withColumnRenamed("rep", "k").join(hot.withColumnRenamed("rep", "k"), "k").groupBy("k", F.pmod(F.xxhash64("id"), "__parts")).count()
+    assert max(r["count"] for r in parts.collect()) <= 15  # of the 40 copies
+
+
 def test_similar_of_nothing(spark):
     df = snapshot(spark, metadata_json=[None]).limit(0)
     assert similar.row_pairs(near_duplicates.similar_metadata(df)).count() == 0
@@ -134,13 +157,75 @@ def test_hot_copies(spark):
 
 def test_ledger_takes_each_batch_once(spark):
     book = ledger.CopyLedger(spark, shared_path(spark, "test"))
-    batch = lambda *r: spark.createDataFrame(list(r), "bucket int, key_a long, key_b long, record long")
-    book.take(batch((1, 5, 5, 10), (1, 5, 5, 12), (2, 6, 6, 3)), "one")
-    book.take(batch((1, 5, 5, 4), (3, 7, 7, 9)), "two")
-    book.take(batch((1, 5, 5, 1)), "two")
+    batch = lambda *r: spark.createDataFrame(list(r), "key_a long, key_b long, record long")
+    book.take(batch((5, 5, 10), (5, 5, 12), (6, 6, 3)), "one")
+    book.take(batch((5, 5, 4), (7, 7, 9)), "two")
+    book.take(batch((5, 5, 1)), "two")
     book.take(batch(), "empty")
     assert rows(book.rows(), "key_a", "copies", "record") == [(5, 3, 4), (6, 1, 3), (7, 1, 9)]
-    assert rows(book.rows({2}), "key_a") == [(6,)]
+    assert rows(book.rows({6}), "key_a") == [(6,)]
+
+
+@pytest.mark.parametrize("step", ["write", "create", "rename", "sweep"])
+def test_ledger_survives_a_failure_at_any_step(spark, monkeypatch, step):
+    path = shared_path(spark, "test")
+    batch = lambda *r: spark.createDataFrame(list(r), "key_a long, key_b long, record long")
+    book = ledger.CopyLedger(spark, path, 4)
+    book.take(batch((5, 5, 10), (6, 6, 3)), "one")
+    before = rows(book.rows())
+
+    class Failing:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            def fail(*_):
+                raise OSError("lost")
+
+            return fail if name == step else getattr(self.of, name)
+
+    broken = ledger.CopyLedger(spark, path, 4)
+    if step == "write":
+        monkeypatch.setattr(ledger, "land", Failing(None).write)
+    elif step == "sweep":
+        monkeypatch.setattr(ledger.CopyLedger, "_sweep", Failing(None).sweep)
+    else:
+        broken._fs = Failing(broken._fs)
+    with pytest.raises(OSError):
+        broken.take(batch((5, 5, 1), (7, 7, 2)), "two")
+    monkeypatch.undo()
+    again = ledger.CopyLedger(spark, path, 99)
+    if step != "sweep":
+        assert rows(again.rows()) == before
+    again.take(batch((5, 5, 1), (7, 7, 2)), "two")
+    assert rows(again.rows(), "key_a", "copies", "record") == [(5, 2, 1), (6, 1, 3), (7, 1, 2)] and again.manifest()["count"] == 4
+
+
+def test_two_writers_of_a_ledger(spark):
+    path = shared_path(spark, "test")
+    batch = spark.createDataFrame([(5, 5, 10)], "key_a long, key_b long, record long")
+    one = ledger.CopyLedger(spark, path)
+    stale = one.manifest()
+    one.take(batch, "one")
+    with pytest.raises(OSError):
+        one._publish(stale | {"version": 1})
+    assert rows(one.rows(), "copies") == [(1,)]
+
+
+def test_hot_copies_are_not_shuffled(spark):
+    from twinledger.runtime import land
+
+    held = land(spark.range(3000).select(F.when(F.col("id") < 2500, 1).otherwise(F.col("id")).alias("key_a"), F.lit(0).cast("long").alias("key_b"), F.col("id").alias("record")), "held")
+    book = held.groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("copies"), F.min("record").alias("record"))
+    found = ledger.copies_of(held, book)
+    assert found.count() == 2499
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = ledger.copies_of(held, book)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the rows' side that is shuffled lost its hot keys by a broadcast anti-join before
+    assert "LeftAnti, BuildRight" in plan and plan.index("SortMergeJoin") < plan.index("LeftAnti")
 
 
 def brute_groups(pairs):
@@ -169,6 +254,8 @@ def test_chain_and_star(spark):
     chain = [(order[i], order[i + 1]) for i in range(n - 1)]
     star = [(1000, 1001 + i) for i in range(2500)]
     found = dict(rows(components.components(spark.createDataFrame(chain + star, "a long, b long"), "a", "b")))
+    plan = components._jump(spark.range(5000).selectExpr("id v", "if(id < 4000, 0, id) label"), 5000)[0]
+    assert plan.count() == 5000 and plan.filter("label = 0").count() == 4000 and "LeftAnti, BuildRight" in plan._jdf.queryExecution().executedPlan().toString()
     assert {found[i] for i in range(n)} == {0} and {v for k, v in found.items() if k >= 1000} == {1000}
 
 

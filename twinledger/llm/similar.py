@@ -10,19 +10,22 @@ are far rarer than single tokens. The steps:
 3. groups that share a pair of prefix tokens are candidates; sizes and a 64-bit parity sketch rule most of them out,
 4. group pairs expand to pairs of their classes, which a 256-bit sketch and then the exact overlap verify.
 
-Nothing is dropped or capped: the order, sketches and classes only decide how few candidates there are.
+A signature that very many groups share is spread over blocks of groups, each pair of which is compared in a task of its own; the joins of
+steps 3 and 4 spread hot keys (see operators.skew). Nothing is dropped or capped: the order, sketches and classes only decide how few candidates there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinledger.operators.skew import hot_keys, spread_join
 from twinledger.runtime import land, spread
 
 #: slots of the token count table: its size, and so the broadcast, is the same for any input
@@ -31,17 +34,21 @@ SLOTS = 1 << 20
 LEVEL_SIZE, LEVEL_SHARE = 256, 0.15
 #: tokens that a task handles at once
 BATCH_TOKENS = 2_000_000
+#: members of a class from which on its pairs are made by several tasks
+CLASS_LEAST = 1_000
+#: signatures that a task compares
+TASK_SIGNATURES = 4_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 @dataclass(frozen=True)
 class Join:
-    """threshold: least Jaccard similarity. shared: the k above. block_rows: a token pair that more rows than these may have is
-    spread over several tasks, each of which holds two blocks at most."""
+    """threshold: least Jaccard similarity. shared: the k above. block_rows: a token pair that more groups than these may have is
+    spread over several tasks, each of which compares two blocks at most."""
 
     threshold: float
     shared: int = 6
-    block_rows: int = 250_000
+    block_rows: int = 10_000
 
     def level(self, size: np.ndarray) -> np.ndarray:
         """0 up to LEVEL_SIZE, and one more for each doubling."""
@@ -142,27 +149,48 @@ def _parts(batch: pa.RecordBatch):
 SIGNATURES = "sig long, grp long, sketch long, size int"
 
 
-def _signatures(join: Join, counts) -> Callable:
-    """Rows of SIGNATURES: of each group of a batch, the pairs of prefix tokens of one class, and single tokens where sets are small; and
-    the description of each set."""
+def _keys(batches, join: Join, counts):
+    """Of each part of the batches: the ordered sets, their groups and sketches, and (signature, set) of the sets that give signatures: the
+    pairs of prefix tokens of one class, and single tokens where sets are small. Copies within a part give them once."""
+    for part in (part for whole in batches for part in _parts(whole)):
+        x = _Ordered(part, counts)
+        group, (sketch,) = x.group(join), x.sketch(1)
+        described = _described(x, join, group)
+        _, first = np.unique(np.stack([described[1][::4], described[1][1::4], described[2][::4], described[2][3::4]]), axis=1, return_index=True)  # group, both sums, size
+        chosen = np.zeros(len(group), bool)
+        chosen[first] = True
+        yield x, group, sketch, described, (*_pairs(x, join, chosen), *_singles(x, join, chosen))
+
+
+def _signature_slots(join: Join, counts) -> Callable:
+    """(slot, n): how many signatures fall into each of SLOTS slots."""
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for *_, keys in _keys(batches, join, counts.value):
+            for sig, _ in keys:
+                total += np.bincount((sig & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["slot", "n"])
+
+    return run
+
+
+def _signatures(join: Join, counts, slots, block_rows: int) -> Callable:
+    """Rows of SIGNATURES, see _keys, those of slots with more than block_rows spread over blocks; and the description of each set."""
 
     def run(batches):
-        for batch in (part for whole in batches for part in _parts(whole)):
-            x = _Ordered(batch, counts.value)
-            group, (sketch,) = x.group(join), x.sketch(1)
-            _, first = np.unique(np.stack([group, sketch]), axis=1, return_index=True)  # copies within the batch
-            chosen = np.zeros(len(group), bool)
-            chosen[first] = True
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, _described(x, join, group))), ["sig", "grp", "sketch", "size"])
-            for sig, doc, often in (*_pairs(x, join, chosen), *_singles(x, join, chosen)):
-                sig, doc = _spread(sig, doc, often, group, join.block_rows)
+        for x, group, sketch, described, keys in _keys(batches, join, counts.value):
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, described)), ["sig", "grp", "sketch", "size"])
+            for sig, doc in keys:
+                sig, doc = _spread(sig, doc, slots.value, group, block_rows)
                 yield pa.RecordBatch.from_arrays([_signed(sig), _signed(group[doc]), _signed(sketch[doc]), pa.array(x.size[doc].astype(np.int32))], ["sig", "grp", "sketch", "size"])
 
     return run
 
 
 def _pairs(x: _Ordered, join: Join, chosen: np.ndarray):
-    """(signature, set, the most sets that can have it), for each level that a set, or a similar larger one, is of."""
+    """(signature, set), for each level that a set, or a similar larger one, is of."""
     wanted = chosen & (x.size > join.small)
     low, high = join.level(x.size), join.level(np.floor(x.size / join.threshold + 1e-9))
     for level in range(int(low.min()), int(high.max()) + 1):
@@ -173,11 +201,11 @@ def _pairs(x: _Ordered, join: Join, chosen: np.ndarray):
 
 
 def _pairs_at(x: _Ordered, keep: np.ndarray, classes: int, salt: np.ndarray):
-    token, doc, often = x.token[keep], x.doc[keep], x.often[keep]
+    token, doc = x.token[keep], x.doc[keep]
     kind = (_mix(token ^ _B) % np.uint64(classes)).astype(np.int64)
     key = doc * classes + kind
     order = np.argsort(key, kind="stable")
-    token, doc, often, key = token[order], doc[order], often[order], key[order]
+    token, doc, key = token[order], doc[order], key[order]
     live, step = np.arange(len(key)), 1
     while True:
         live = live[live + step < len(key)]
@@ -185,7 +213,7 @@ def _pairs_at(x: _Ordered, keep: np.ndarray, classes: int, salt: np.ndarray):
         if not len(live):
             return
         a, b = token[live], token[live + step]
-        yield _mix(a * _A + _mix(b + _C) + salt), doc[live], np.minimum(often[live], often[live + step])
+        yield _mix(a * _A + _mix(b + _C) + salt), doc[live]
         step += 1
 
 
@@ -195,12 +223,12 @@ def _singles(x: _Ordered, join: Join, chosen: np.ndarray):
     fits = x.size <= join.small / join.threshold + 1e-9
     keep = x.in_prefix(join, 1) & (chosen & fits)[x.doc]
     if keep.any():
-        yield _mix(x.token[keep] ^ _A), x.doc[keep], x.often[keep]
+        yield _mix(x.token[keep] ^ _A), x.doc[keep]
 
 
-def _spread(sig: np.ndarray, doc: np.ndarray, often: np.ndarray, group: np.ndarray, block_rows: int):
-    """Signatures that more than block_rows rows may have, repeated for each pair of blocks that their group's block is part of."""
-    blocks = -(-often // block_rows)
+def _spread(sig: np.ndarray, doc: np.ndarray, slots: np.ndarray, group: np.ndarray, block_rows: int):
+    """Signatures of slots with more than block_rows, repeated for each pair of blocks that their group's block is part of."""
+    blocks = -(-slots[(sig & np.uint64(SLOTS - 1)).astype(np.int64)] // block_rows)
     if (blocks <= 1).all():
         return sig, doc
     sigs, docs = [sig[blocks <= 1]], [doc[blocks <= 1]]
@@ -222,9 +250,14 @@ def _required(t: float, total: np.ndarray) -> np.ndarray:
     return np.ceil(t / (1 + t) * total - 1e-9).astype(np.int64)
 
 
-def _candidates(join: Join, buffer_rows: int = 400_000) -> Callable:
-    """Of a stream of signatures sorted by (sig, grp): pairs of groups, smaller key first, that sizes and sketches don't rule out, and
-    apart from them the descriptions of sets; rows of FOUND."""
+def _unique(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    a, b = (np.concatenate(p) for p in zip(*found))
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+
+
+def _candidates(join: Join, buffer_rows: int = 400_000, hit_rows: int = 500_000) -> Callable:
+    """Of a stream of signatures sorted by (sig, size, grp): pairs of groups, smaller key first, that sizes and sketches don't rule out, and
+    apart from them the descriptions of sets; rows of FOUND. Pairs leave the task whenever it holds hit_rows of them."""
 
     def both(sig, grp, sketch, size):
         of_set = size < 0
@@ -232,9 +265,9 @@ def _candidates(join: Join, buffer_rows: int = 400_000) -> Callable:
             yield _descriptions(sig[of_set], grp[of_set], sketch[of_set], size[of_set])
         keep = ~of_set
         if keep.any():
-            pairs = of(sig[keep], grp[keep], sketch[keep], size[keep])
-            none = pa.nulls(pairs.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *[none] * len(DOC_COLUMNS)], ["a", "b", *DOC_COLUMNS])
+            for pairs in of(sig[keep], grp[keep], sketch[keep], size[keep]):
+                none = pa.nulls(pairs.shape[1], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *[none] * len(DOC_COLUMNS)], ["a", "b", *DOC_COLUMNS])
 
     def of(sig, grp, sketch, size):
         same = np.zeros(len(sig), bool)
@@ -245,22 +278,26 @@ def _candidates(join: Join, buffer_rows: int = 400_000) -> Callable:
         several[1:] = same[1:] & (sketch[1:] != sketch[:-1])
         mixed = np.bitwise_or.reduceat(several, fresh) if len(fresh) else several
         sig, grp, sketch, size = sig[fresh], grp[fresh], sketch[fresh], size[fresh]
-        live, step = np.arange(len(sig)), 1
-        found = []
+        live, step, found, held = np.arange(len(sig)), 1, [], 0
         while True:
             live = live[live + step < len(sig)]
             live = live[sig[live] == sig[live + step]]
+            # sizes grow within a run, so a set that is too small for this one is too small for all after it
+            live = live[size[live] >= _required(join.threshold, size[live] + size[live + step])]
             if not len(live):
                 break
             other = live + step
             total = size[live] + size[other]
-            need = _required(join.threshold, total)
             differ = np.bitwise_count((sketch[live] ^ sketch[other]).view(np.uint64)).astype(np.int64)  # of signed numbers it counts the absolute value
-            good = (np.minimum(size[live], size[other]) >= need) & ((differ <= total - 2 * need) | mixed[live] | mixed[other])
+            good = (differ <= total - 2 * _required(join.threshold, total)) | mixed[live] | mixed[other]
             found.append((grp[live[good]], grp[other[good]]))
+            held += int(good.sum())
             step += 1
-        a, b = (np.concatenate(p) if found else np.empty(0, np.int64) for p in (list(zip(*found)) or [(), ()]))
-        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.empty((2, 0), np.int64)
+            if held >= hit_rows:
+                yield _unique(found)
+                found, held = [], 0
+        if held:
+            yield _unique(found)
 
     def run(batches):
         kept: list[np.ndarray] | None = None
@@ -287,15 +324,19 @@ def _candidates(join: Join, buffer_rows: int = 400_000) -> Callable:
     return run
 
 
-def token_counts(sets: DataFrame) -> np.ndarray:
-    """How many sets have a token of each slot; SLOTS numbers, whatever the input."""
-    slots = sets.select(F.explode("tokens").alias("t")).groupBy((F.col("t").bitwiseAND(F.lit(SLOTS - 1))).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+def _slot_table(slots: DataFrame) -> np.ndarray:
+    """(slot, n) as an array of SLOTS numbers, whatever the input."""
     counts = np.zeros(SLOTS, np.int64)
-    got = slots.toArrow()
+    got = slots.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return counts
 
 
+def token_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets have a token of each slot."""
+    return _slot_table(sets.select(F.explode("tokens").alias("t")).select((F.col("t").bitwiseAND(F.lit(SLOTS - 1))).cast("int").alias("slot"), F.lit(1).alias("n")))
+
+
 @dataclass(frozen=True)
 class Similar:
     """pairs: (a, b) of class representatives, smaller first, with similarity. members: (id, rep) of every set that was joined."""
@@ -324,22 +365,31 @@ def similar_sets(source: DataFrame, sets_of: Callable[[DataFrame], DataFrame], j
     sets = sets_of(source).filter(F.size("tokens") > 0).select("id", "tokens")
     counts = spark.sparkContext.broadcast(token_counts(sets))
 
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    signatures = sets.mapInArrow(_signatures(join, counts), SIGNATURES).repartition(n, "sig").sortWithinPartitions("sig", "grp")
+    # how often a signature may occur, so that only those are spread that really are frequent; never below twice what an even spread gives
+    slots = _slot_table(sets.mapInArrow(_signature_slots(join, counts), "slot int, n long"))
+    block_rows = max(join.block_rows, int(2 * slots.mean()))
+    spread_slots = spark.sparkContext.broadcast(slots)
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(slots.sum()) // TASK_SIGNATURES)
+    signatures = sets.mapInArrow(_signatures(join, counts, spread_slots, block_rows), SIGNATURES).repartition(n, "sig").sortWithinPartitions("sig", "size", "grp")
     found = land(signatures.mapInArrow(_candidates(join), FOUND), "found")
-    docs, group_pairs = found.filter("id is not null").select(*DOC_COLUMNS), found.filter("id is null").select("a", "b").distinct()
+    docs, group_pairs = found.filter("id is not null").select(*DOC_COLUMNS), land(found.filter("id is null").select("a", "b").distinct(), "group-pairs")
 
-    classes = docs.groupBy("set_a", "set_b", "size").agg(F.min("id").alias("rep"), F.min("grp").alias("grp"), *(F.min(f"s{w}").alias(f"s{w}") for w in range(WORDS)))
+    of_set = ["set_a", "set_b", "size"]
+    classes = docs.groupBy(*of_set).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("grp").alias("grp"), *(F.min(f"s{w}").alias(f"s{w}") for w in range(WORDS)))
     classes = land(classes, "classes")
-    members = docs.join(classes.select("set_a", "set_b", "size", "rep"), ["set_a", "set_b", "size"]).select("id", "rep")
+    # a class with very many copies is one of few; its sets meet its row by broadcast
+    hot = hot_keys(docs, of_set)
+    members = spread_join(docs.select("id", *of_set), classes.select(*of_set, "rep"), of_set, hot, ["id"]).select("id", "rep")
 
     def side(key: str, x: str) -> DataFrame:
         return classes.select(F.col("grp").alias(key), F.col("rep").alias(f"rep_{x}"), F.col("size").alias(f"size_{x}"), *(F.col(f"s{w}").alias(f"s{w}_{x}") for w in range(WORDS)))
 
     one, two = side("a", "a"), side("b", "b")
-    across = group_pairs.join(one, "a").join(two, "b")
+    across = spread_join(group_pairs, one, ["a"], hot_keys(group_pairs, ["a"]), ["b"])
+    across = spread_join(across, two, ["b"], hot_keys(group_pairs, ["b"]), ["a", "rep_a"])
     crowded = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("grp").alias("a"))
-    within = one.join(crowded, "a", "left_semi").join(two, F.col("a") == F.col("b")).filter("rep_a < rep_b")
+    within = one.join(crowded, "a", "left_semi")
+    within = spread_join(within.withColumn("b", F.col("a")), two, ["b"], _renamed(hot_keys(classes, ["grp"], least=CLASS_LEAST), grp="b"), ["rep_a"]).filter("rep_a < rep_b")
     need = F.ceil(F.lit(join.threshold / (1 + join.threshold)) * (F.col("size_a") + F.col("size_b")) - F.lit(1e-9))
     differ = sum((F.bit_count(F.col(f"s{w}_a").bitwiseXOR(F.col(f"s{w}_b"))) for w in range(WORDS)), F.lit(0))
     likely = across.drop("a", "b").unionByName(within.drop("a", "b")).filter((F.least("size_a", "size_b") >= need) & (differ <= F.col("size_a") + F.col("size_b") - 2 * need))
@@ -348,32 +398,54 @@ def similar_sets(source: DataFrame, sets_of: Callable[[DataFrame], DataFrame], j
     ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
     wanted = sets_of(_some(ends, "id")(scanned, F.col(id_column))).select("id", "tokens")
     wanted = wanted.join(ends.distinct(), "id", "left_semi")
-    left = likely.join(wanted.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
-    both = left.join(wanted.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+    left = spread_join(likely, wanted.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), ["a"], hot_keys(likely, ["a"]), ["b"])
+    both = spread_join(left, wanted.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), ["b"], hot_keys(likely, ["b"]), ["a"])
     overlap = F.size(F.array_intersect("tokens_a", "tokens_b"))
     scored = both.select("a", "b", overlap.alias("common"), (F.size("tokens_a") + F.size("tokens_b") - overlap).alias("either"))
     pairs = scored.filter(F.col("common") >= F.lit(join.threshold) * F.col("either") - F.lit(1e-9)).select("a", "b", (F.col("common") / F.col("either")).alias("similarity"))
     return Similar(pairs, members)
 
 
+def _renamed(hot: DataFrame | None, **names: str) -> DataFrame | None:
+    return None if hot is None else hot.withColumnsRenamed(names)
+
+
 def row_pairs(found: Similar) -> DataFrame:
-    """(a, b) of ids, smaller first: pairs of classes expanded to their members, and the pairs within each class."""
+    """(a, b) of ids, smaller first: pairs of classes expanded to their members, and the pairs within each class.
+
+    All pairs of a large class are many by definition (links gives the same knowledge in one row per set); they are made by tasks that each hold
+    a part of its members against the class, so no task makes all of them.
+    """
     members = land(found.members, "members")
+    pairs = land(found.pairs.select("a", "b"), "pairs")
     x = members.select(F.col("rep").alias("a"), F.col("id").alias("id_a"))
     y = members.select(F.col("rep").alias("b"), F.col("id").alias("id_b"))
-    across = found.pairs.select("a", "b").join(x, "a").join(y, "b").select("id_a", "id_b")
+    large = hot_keys(members, ["rep"], least=CLASS_LEAST)
+    # the smaller side of each join is repeated for the parts of a large class
+    across = spread_join(x.join(pairs.select("a").distinct(), "a", "left_semi"), pairs, ["a"], _renamed(large, rep="a"), ["id_a"])
+    across = spread_join(across, y, ["b"], _first_of(hot_keys(pairs, ["b"], least=CLASS_LEAST), _renamed(large, rep="b")), ["id_a"]).select("id_a", "id_b")
     copies = x.filter("id_a <> a").select("a").distinct()
-    within = x.join(copies, "a", "left_semi").join(y, F.col("a") == F.col("b")).filter("id_a < id_b").select("id_a", "id_b")
+    own = x.join(copies, "a", "left_semi").withColumn("b", F.col("a"))
+    within = spread_join(own, y, ["b"], _renamed(large, rep="b"), ["id_a"]).filter("id_a < id_b").select("id_a", "id_b")
     return across.unionByName(within).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
+def _first_of(*hot: DataFrame | None) -> DataFrame | None:
+    """Hot keys of several lists, each with the most parts that one of them gives."""
+    given = [h for h in hot if h is not None]
+    if not given:
+        return None
+    keys = [c for c in given[0].columns if c != "__parts"]
+    return reduce(DataFrame.unionByName, given).groupBy(*keys).agg(F.max("__parts").alias("__parts"))
+
+
 def links(found: Similar) -> DataFrame:
     """(id, class_id, copies, links) of every set: its class, the sets of that class, and how many other sets are similar to it, copies
     included; from counts per class, without expanding pairs."""
     members = land(found.members, "members")
-    sizes = members.groupBy(F.col("rep").alias("class_id")).agg(F.count(F.lit(1)).alias("copies"))
+    sizes = land(members.groupBy(F.col("rep").alias("class_id")).agg(F.count(F.lit(1)).alias("copies")), "sizes")
     ends = found.pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     ends = land(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))), "ends")
-    reached = ends.join(sizes.select(F.col("class_id").alias("v"), "copies"), "v").groupBy(F.col("u").alias("class_id")).agg(F.sum("copies").alias("others"))
+    reached = spread_join(ends, sizes.select(F.col("class_id").alias("v"), "copies"), ["v"], hot_keys(ends, ["v"]), ["u"]).groupBy(F.col("u").alias("class_id")).agg(F.sum("copies").alias("others"))
     per_class = sizes.join(reached, "class_id", "left").select("class_id", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return members.withColumnRenamed("rep", "class_id").join(per_class, "class_id").select("id", "class_id", "copies", "links")
+    return spread_join(members.withColumnRenamed("rep", "class_id"), per_class, ["class_id"], _renamed(hot_keys(members, ["rep"]), rep="class_id"), ["id"]).select("id", "class_id", "copies", "links")
