@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from twinledger.identity import is_blank
 from twinledger.llm.terms import TERM
+from twinledger.operators.skew import HOT_SHARE, LEAST_HOT, spread_join
 from twinledger.runtime import land, spread
 
-#: at most so many terms, of at most so many characters, are broadcast
-BROADCAST_TERMS, BROADCAST_CHARS = 200_000, 48
+#: the terms that are broadcast have at most so many bytes, counting TERM_BYTES for each beside its text; in memory some three times that
+BROADCAST_BYTES, TERM_BYTES = 12_000_000, 32
 CELLS = "record long, term string, n int, row_total long"
 
 
@@ -43,25 +44,28 @@ def cells(records: DataFrame, record: str, text: str) -> DataFrame:
 def with_margins(found: DataFrame, margins: DataFrame) -> DataFrame:
     """Cells with the margins of their term: term_total, the occurrences, and term_records, the records that have it.
 
-    The most frequent terms (BROADCAST_TERMS at most, none longer than BROADCAST_CHARS) are broadcast to the cells, which so stay in
-    place; only cells of the rarer ones join by shuffle, and none of these terms is frequent.
+    The most frequent terms, up to BROADCAST_BYTES of them, are broadcast to the cells, which so stay in place; only cells of the rarer ones
+    join by shuffle. Should a term too long to be broadcast be frequent, or the broadcast be full of others, its cells are spread over
+    tasks (see operators.skew). margins: a landed table.
     """
     level = F.floor(F.log2("term_records") * 16).cast("int")  # some hundred levels for any collection
-    levels = sorted(((r.level, r.n) for r in margins.filter(F.length("term") <= BROADCAST_CHARS).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    floor_level, sum_n = None, 0
-    for at, n in levels:
-        if sum_n + n > BROADCAST_TERMS:
+    size = F.sum(F.octet_length("term") + TERM_BYTES)
+    levels = sorted(((r.level, r.n, r.b) for r in margins.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), size.alias("b")).collect()), reverse=True)
+    floor_level, used, count = None, 0, 0
+    for at, n, b in levels:
+        if used + b > BROADCAST_BYTES:
             break
-        floor_level, sum_n = at, sum_n + n
-    if floor_level is None:
-        return found.join(margins, "term")
-    frequent = (level >= floor_level) & (F.length("term") <= BROADCAST_CHARS)
-    top, rest = margins.filter(frequent), margins.filter(~frequent)
-    near = found.join(F.broadcast(top), "term", "left")
-    if sum_n == margins.count():
-        return near.filter(F.col("term_records").isNotNull())
-    far = near.filter(F.col("term_records").isNull()).drop("term_total", "term_records").join(rest, "term")
-    return near.filter(F.col("term_records").isNotNull()).unionByName(far)
+        floor_level, used, count = at, used + b, count + n
+    if count == sum(n for _, n, _ in levels):
+        return found.join(F.broadcast(margins), "term")
+    top = margins.filter(level >= floor_level) if floor_level is not None else margins.limit(0)
+    rest = margins.filter(level < floor_level) if floor_level is not None else margins
+    near = found.join(F.broadcast(top), "term")
+    far = found.join(F.broadcast(top.select("term")), "term", "left_anti")
+    # the cells of a term are known from its margin, so hot ones need no count of their own
+    limit = F.lit(float(max(LEAST_HOT, int(HOT_SHARE * (margins.agg(F.sum("term_records")).first()[0] or 0)))))
+    hot = land(rest.filter(F.col("term_records") > limit).select("term", F.ceil(F.col("term_records") / limit).cast("int").alias("__parts")), "hot")
+    return near.unionByName(spread_join(far, rest, ["term"], None if hot.isEmpty() else hot, ["record"]).select(*near.columns))
 
 
 def term_margins(found: DataFrame) -> DataFrame:
