@@ -18,12 +18,13 @@ class Rules:
     """Limits of one container and how to choose it.
 
     Its tokens are at most the capacity C; its documents at most C / tokens_per_document; its attention cost, the sum of the squared
-    lengths, at most attention * C * C. rule: ``norm`` puts an item where the weighted norm of what then remains is least, ``dot``
+    lengths, at most attention * C * C. As lengths add up to C at most, a limit of C * C would never bind; at the default one an item of
+    more than 0.95 C takes no others in. An item that exceeds the limit by itself, as one of length C does, gets a container of its own. rule: ``norm`` puts an item where the weighted norm of what then remains is least, ``dot``
     where the weighted dot product of item and remainder is greatest. weights: of tokens, documents and attention cost.
     """
 
     tokens_per_document: int = 8
-    attention: float = 1.0
+    attention: float = 0.9
     rule: str = "norm"
     weights: tuple[float, float, float] = (1.0, 0.05, 0.1)
 
@@ -31,7 +32,7 @@ class Rules:
 def best_fit(sizes: np.ndarray, capacity: int, rules: Rules = Rules()) -> np.ndarray:
     """The container of each item, 0, 1, ...; items, none larger than the capacity, are placed by decreasing size, ties in given order.
 
-    A new container opens only if no open one has room in every dimension.
+    A new container opens only if no open one has room in every dimension; it takes its first item whatever its attention cost.
     """
     weights = np.array(rules.weights)
     limit = np.array([capacity, max(1, capacity // rules.tokens_per_document), rules.attention * capacity * capacity], float)
