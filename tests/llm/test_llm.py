@@ -287,8 +287,9 @@ def test_salience_beside_brute_force(spark, monkeypatch):
         return (b[t] - e) / math.sqrt(e * (1 - sum(b.values()) / grand) * (1 - totals[t] / grand))
 
     df = spark.createDataFrame(list(enumerate(TEXTS)), "row_id long, metadata_json string")
-    for limit in (200_000, 2, 0):  # all terms broadcast, few, none
-        monkeypatch.setattr(salience, "BROADCAST_TERMS", limit)
+    monkeypatch.setattr(salience, "LEAST_HOT", 2)
+    for limit in (12_000_000, 80, 0):  # all terms broadcast, few, none
+        monkeypatch.setattr(salience, "BROADCAST_BYTES", limit)
         found = salience.scored(df, "row_id", "metadata_json", ~F.col("term").rlike(r"\p{N}"), 2)
         assert dict(rows(salience.top_term(found, "idf"), "record", "term")) == best(lambda b, t: b[t] * math.log(n / records[t]))
         assert dict(rows(salience.top_term(found.withColumn("residual", F.round("residual", 6)), "residual"), "record", "term")) == best(resid)
@@ -322,14 +323,17 @@ def test_runs_across_batches(spark):
 def test_best_fit_holds_every_limit(rule):
     rng = np.random.default_rng(1)
     sizes = np.minimum(256, rng.lognormal(4, 1, 3000).astype(int))
-    rules = packing.Rules(tokens_per_document=32, attention=1.0, rule=rule)
+    rules = packing.Rules(tokens_per_document=32, rule=rule)
     into = packing.best_fit(sizes, 256, rules)
     used, docs, cost = (np.bincount(into, w) for w in (sizes, np.ones(len(sizes)), sizes.astype(float) ** 2))
-    assert used.max() <= 256 and docs.max() <= 8 and cost.max() <= 256**2
+    assert used.max() <= 256 and docs.max() <= 8 and cost[docs > 1].max() <= 0.9 * 256**2
     if rule == "norm":
         assert used.sum() / (256 * len(used)) > 0.9
     assert packing.best_fit(np.array([], int), 256).tolist() == []
     assert packing.best_fit(np.array([5, 5, 5]), 10, packing.Rules(tokens_per_document=1)).tolist() == [0, 0, 1]
+    # 98 and 2 fit by tokens and documents; the attention limit decides
+    assert packing.best_fit(np.array([98, 2, 60, 38]), 100, packing.Rules(1, attention=1.0)).tolist() == [0, 0, 1, 1]
+    assert packing.best_fit(np.array([98, 2, 60, 38]), 100, packing.Rules(1, attention=0.9)).tolist() == [0, 1, 1, 1]
 
 
 def test_packing_keeps_every_token(spark):
@@ -369,6 +373,8 @@ def test_tokens_decode_to_the_text(spark):
 def test_permutations(n):
     seen = {tuple(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, k))) for k in range(4)}
     assert all(sorted(p) == list(range(n)) for p in seen) and (n < 64 or len(seen) == 4)
+    at, size, key = np.arange(n), np.full(n, n), np.full(n, 3)
+    assert (mixing.unpermuted(mixing.permuted(at, size, key), size, key) == at).all()
 
 
 def test_totals_and_draws():
@@ -378,12 +384,47 @@ def test_totals_and_draws():
     drawn = mixing.draws(count, 16, 1)
     assert [sum(x) for x in zip(*drawn)] == count and all(sum(d) == 16 for d in drawn[:-1])
     assert mixing.totals([]) == [] and mixing.draws([0], 4, 1) == []
+    assert mixing.totals([mixing.Source("a", 0.5, 1, 100), mixing.Source("b", 0.5, 2, 3)]) == [6, 6]
+    assert mixing.totals([mixing.Source("a", 0.5, 1, 100), mixing.Source("b", 0.5, 2, 3)], 101) == [51, 6]
+
+
+def test_draws_of_a_huge_corpus_are_few():
+    count = [30_000_000_000, 5_000_000_000, 7]
+    drawn = np.array(mixing.draws(count, 1024, 1))
+    assert drawn.sum(axis=0).tolist() == count and len(drawn) <= mixing.MOST_SHARDS and (drawn >= 0).all()
+    share = drawn[:, 0] / drawn.sum(axis=1)
+    assert abs(share.mean() - 6 / 7) < 0.001 and 0 < share.std() < 0.001
+    plan = mixing.Plan(drawn, np.array(count), np.array([10_000_000_000, 5_000_000_000, 7]), 7)
+    k, block, passes = np.array([0, 0, 0, 1, 2]), np.array([5, 5, 9_999_999_999, 17, 6]), np.array([0, 2, 1, 0, 0])
+    slot = plan.slots(k, block, passes)
+    assert (slot // plan.sizes[k] == passes).all() and (mixing.permuted(slot % plan.sizes[k], plan.sizes[k], plan.key(k, passes)) == block).all()
+    shard, position = plan.places(k, slot)
+    assert (position < drawn.sum(axis=1)[shard]).all()
+
+
+def test_every_place_of_a_mixture_is_taken_once():
+    rng = np.random.default_rng(4)
+    sizes, count = np.array([40, 9, 300]), np.array([73, 27, 200])
+    plan = mixing.Plan(np.array(mixing.draws(count.tolist(), 32, 1)), count, sizes, 7)
+    seen, taken = set(), Counter()
+    for k in range(3):
+        for p in range(-(-count[k] // sizes[k])):
+            block = rng.permutation(sizes[k])
+            slot = plan.slots(np.full(len(block), k), block, np.full(len(block), p))
+            used = slot >= 0
+            shard, position = plan.places(np.full(used.sum(), k), slot[used])
+            seen.update(zip(shard.tolist(), position.tolist()))
+            for s in shard:
+                taken[int(s), k] += 1
+    assert seen == {(s, i) for s, row in enumerate(plan.drawn) for i in range(row.sum())}
+    assert all(taken[s, k] == n for s, row in enumerate(plan.drawn) for k, n in enumerate(row))
 
 
 def test_mixture(spark):
     texts = [(i, "abc"[i % 3] if i % 7 else None, f"text number {i} " * (1 + i % 40)) for i in range(300)] + [(300, "a", None), (301, "a", "")]
     df = spark.createDataFrame(texts, "doc_id long, source string, text string")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.1, 1), ("none", 0.1, 3)], "source_name string, target_share double, max_repeats int")
+    df = df.withColumn("doc_id", F.col("doc_id") * 1_000_000_007)  # ids far apart
     cut = mixing.blocks(df.filter("source = 'a'"), 32)
     tokens = {r.doc_id: list(r.tokens) for r in tokenised(df.filter("source = 'a'"), ["doc_id"], as_list=True).collect()}
     whole = [t for i in sorted(tokens) for t in tokens[i]]
@@ -395,6 +436,17 @@ def test_mixture(spark):
     cap = {"a": 1, "b": 2, "c": 1}
     assert all(n <= cap[s] for (s, _), n in drawn.items()) and sum(drawn.values()) == sum(r.drawn_blocks for r in got.values())
     assert rows(mixed.drop("tokens")) == rows(mixing.mixture(df, targets, 32, 16)[0].drop("tokens"))
+    everything = {r.doc_id: list(r.tokens) for r in tokenised(df, ["doc_id"], as_list=True).collect()}
+    found = mixed.collect()
+    for r in found:  # each block leads back to its documents
+        assert [t for d in r.docs for t in everything[d.doc_id][d.start : d.start + d.n]] == list(r.tokens) and r.n == len(r.tokens)
+    sizes = Counter()
+    for r in found:
+        sizes[r.source_name] += r.n
+    assert {s: r.drawn_tokens for s, r in got.items() if r.drawn_blocks} == sizes
+    assert sorted((r.shard, r.position) for r in found) == sorted({(r.shard, r.position) for r in found}) and max(r.position for r in found) < 16
+    assert got["a"].used_share == 1.0 or got["b"].passes == 2
+    assert mixing.mixture(df, targets, 32, 16, total_blocks=10_000)[1].filter("source_name = 'b'").first().drawn_blocks == 2 * got["b"].source_blocks
     assert mixing.mixture(df.limit(0), targets)[0].count() == 0
 
 

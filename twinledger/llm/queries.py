@@ -40,6 +40,8 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The term of each record with the highest count x ln(N / records). This score is prescribed and orders terms otherwise than residuals do, so
+    the residuals, which `p4_residual` ranks by, play no part here; counts and margins are the same table."""
     return salience.top_term(_scored(spark, d), "idf").select(F.col("record").alias("row_id"), "term")
 
 

@@ -52,13 +52,15 @@ def _each(ranks, pattern: str, as_list: bool):
     return run
 
 
-def tokenised(documents: DataFrame, keep: list[str], text: str = "text", tokenizer: Tokenizer | None = None, as_list: bool = False) -> DataFrame:
+def tokenised(documents: DataFrame, keep: list[str], text: str = "text", tokenizer: Tokenizer | None = None, as_list: bool = False, scan: bool = True) -> DataFrame:
     """The kept columns, n (tokens of the whole text) and, with as_list, the tokens. Null texts are left out; an empty one has 0 tokens.
 
-    The tokenizer's file, under a megabyte, is broadcast, so executors need not have it.
+    The tokenizer's file, under a megabyte, is broadcast, so executors need not have it. documents are a scan (see runtime.spread), or with
+    scan=False any frame, whose partitions and order are kept.
     """
     tokenizer = tokenizer or Tokenizer.default()
     ranks = documents.sparkSession.sparkContext.broadcast(tokenizer.read())
-    found = spread(documents.filter(documents[text].isNotNull()).select(*keep, text))
+    found = documents.filter(documents[text].isNotNull()).select(*keep, text)
+    found = spread(found) if scan else found
     schema = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in keep) + ", n long" + (", tokens array<int>" if as_list else "")
     return found.mapInArrow(_each(ranks, tokenizer.pattern, as_list), schema)
