@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinledger.llm import components, copies, frequency, ledger, mixing, near_duplicates, packing, relations, residue, salience, similar
+from tests.llm.residue_sentences import LEFT, LEFT_UNSEEN, SPOKEN, SPOKEN_UNSEEN
 from twinledger.llm.tokens import Tokenizer, tokenised
 from twinledger.runtime import shared_path
 
@@ -496,6 +497,14 @@ def test_residue_of_common_messages(spark):
     assert found == {t: [k] for k, of in (("script", script), ("error", error), ("placeholder", placeholder)) for t in of}
 
 
+@pytest.mark.parametrize("left, spoken, least", [(LEFT, SPOKEN, 0.95), (LEFT_UNSEEN, SPOKEN_UNSEEN, 0.8)])
+def test_residue_of_sentences_that_no_generator_made(spark, left, spoken, least):
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(left + spoken)], "doc_id long, text string, source string")
+    found = [r.doc_id for r in residue.residue(df).collect()]
+    right = sum(i < len(left) for i in found)
+    assert right / len(left) >= least and right / len(found) >= max(0.9, least)
+
+
 @pytest.mark.parametrize("n", [60, 600])
 def test_copies_of_an_error_page_are_residue_at_any_size(spark, n):
     page = lambda i: f"# Tide {i}\nThe page could not be loaded.\nRequest ab{i:06d}cd.\nGo back to the harbour."
