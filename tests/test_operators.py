@@ -84,13 +84,34 @@ def test_names(spark):
     assert counts(name_match.name_counts(near, pairs)) == {("intra", "ethereum", None): (2, 7)}
 
 
-@pytest.mark.parametrize("threshold", [0.0, 0.5, 0.8, 0.95, 1.0, 1.1])
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 0.95, 1.0, 1.1])
 def test_name_pairs_beside_brute_force(spark, threshold):
     rng = random.Random(3)
     names = sorted({"".join(rng.choice("abé ") for _ in range(rng.randint(1, 9))) for _ in range(60)})
     truth = {(a, b) for a, b in itertools.combinations(names, 2) if jaro_winkler(a, b) >= threshold}
     df = spark.createDataFrame([(n,) for n in names] + [(None,), ("",)], "name string")
     assert set(rows(name_match.name_pairs(df, threshold), "a", "b")) == truth
+    some = set(names[::7])
+    probe = df.filter(F.col("name").isin(*some))
+    assert set(rows(name_match.name_pairs(df, threshold, probe), "a", "b")) == {p for p in truth if some & set(p)}
+
+
+def test_every_name_matches_at_no_threshold(spark):
+    members = spark.createDataFrame([("ethereum", "0xa", "x", 1, 4), ("ethereum", "0xb", "y", 1, 3), ("base", "0xc", "z", 1, 2), ("solana", "S", "q", 3, 3)], "chain string, contract_address string, name string, members long, n long")
+    every = spark.createDataFrame([(a, b) for a, b in itertools.combinations("qxyz", 2)], "a string, b string")
+    assert counts(scopes.all_match_counts(members, "name")) == counts(name_match.name_counts(members, every))
+    with pytest.raises(ValueError):
+        name_match.name_pairs(members.select("name"), 0)
+
+
+def test_jaro_winkler_of_many(spark):
+    from twinledger.functions.similarity import jaro_winkler_many
+
+    rng = random.Random(6)
+    a = ["".join(rng.choice("abé\U0001F600 ") for _ in range(rng.randint(0, rng.choice([3, 12, 40, 200])))) for _ in range(400)] + ["", "", "a"]
+    b = [x[: rng.randint(0, len(x))] + rng.choice(["", "b", "zz"]) + x[rng.randint(0, len(x)) :] for x in a[:-3]] + ["", "a", "\0"]
+    assert jaro_winkler_many(a, b).tolist() == [jaro_winkler(x, y) for x, y in zip(a, b)]
+    assert jaro_winkler_many([], []).tolist() == []
 
 
 @pytest.mark.parametrize("threshold", [0.1, 0.3, 0.6, 0.9])
@@ -128,6 +149,8 @@ def test_seed_edges(spark):
     scale = lambda e: rows(uri_match.seed_scale(e), "dimension", "candidate_contracts", "candidate_nfts")
     assert scale(edges) == [("image_uri", 2, 2), ("token_uri", 1, 1), ("total", 2, 2)]
     assert scale(uri_match.image_minus_token(edges)) == [("image_uri", 1, 1), ("token_uri", 1, 1), ("total", 2, 2)]
+    short = lambda apart: rows(uri_match.seed_uri_scale(tokens, seeds, apart), "dimension", "candidate_contracts", "candidate_nfts")
+    assert short(False) == scale(edges) and short(True) == scale(uri_match.image_minus_token(edges))
 
 
 def test_eager_rollup_beside_plain_join(spark):

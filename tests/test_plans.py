@@ -85,5 +85,27 @@ def test_hit_queries_over_all_seeds_pass_no_ranking_limit(spark, tmp_path):
     spark.createDataFrame([(i, "base", f"0x{i}", "1", f"n{i}", "u", "", "{}") for i in range(n + 2)], SNAP).write.parquet(f"{tmp_path}/snapshot.parquet")
     seeds = [("base", f"0x{i}", i, "c", "m", "w", "f", None) for i in range(n)] + [(None, "0xz", 1, "c", "m", "w", "f", None), ("base", " ", 1, "c", "m", "w", "f", None)]
     spark.createDataFrame(seeds, "chain string, address string, seed_rank int, collection_name string, metric string, metric_window string, feed string, collected_at timestamp").write.parquet(f"{tmp_path}/seeds.parquet")
-    assert [r.nfts for r in queries.all_unlisted_tokens(spark, str(tmp_path)).collect()] == [2]
-    assert queries.all_seed_uri_scale(spark, str(tmp_path)).filter("dimension = 'token_uri'").select("seed_address").distinct().count() == n
+    assert [r.nfts for r in queries.unlisted_tokens(spark, str(tmp_path)).collect()] == [2]
+    assert queries.seed_uri_scale(spark, str(tmp_path)).filter("dimension = 'token_uri'").select("seed_address").distinct().count() == n
+
+
+def test_seeds_are_probed_without_joining_the_snapshot_with_itself(spark):
+    """Names and documents of others meet those of seeds only, and metadata of rows that can't matter is not parsed."""
+    from twinledger.operators import metadata_match, name_match
+
+    doc = lambda i: '{"name":"n%d","w":"%s"}' % (i, " ".join(f"w{i}x{j}" for j in range(12)))
+    data = [(i, "base", f"0x{i % 9}", str(i // 9), f"collection {chr(97 + i % 9)}", "", "", doc(i % 4)) for i in range(90)] + [(200 + i, "solana", "S", f"m{i}", "other", "", "", doc(i)) for i in range(3)]
+    data += [(300, "base", "0x8", "99", "", "", "", "no json"), (301, "base", "0x7", "98", "", "", "", "{}"), (302, "base", "0x7", "50", "", "", "", doc(1))]
+    rows = source.clean(source.validate(spark.createDataFrame(data, SNAP), source.ReadOptions(order="row_id")))
+    rows = pipeline.land(rows, "rows")
+    seeds = spark.createDataFrame([("base", "0x1"), ("base", "0x2")], "chain string, contract_address string")
+    every = metadata_match.similar_contracts(source.anchors(rows), 0.6)
+    mine = metadata_match.similar_contracts(source.seed_anchors(rows, seeds), 0.6, seeds)
+    of_seeds = every.filter("contract_a in ('0x1', '0x2') or contract_b in ('0x1', '0x2')")
+    assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, of_seeds.collect())) and mine.count() < every.count()
+    parsed = {(r.contract_address, r.token_id) for r in source.seed_anchors(rows, seeds).collect()}
+    assert ("S", "m2") in parsed and ("S", "m1") not in parsed  # only its highest
+    assert ("0x7", "50") in parsed and {r.contract_address for r in source.seed_anchors(rows, seeds).collect()} == {r.contract_address for r in rows.select("contract_address").collect()}
+    members = name_match.name_members(source.tokens(rows))
+    pairs = pipeline.seed_name_pairs(members, seeds, 0.9)
+    assert {x for r in pairs.collect() for x in (r.a, r.b)} and all({"collection b", "collection c"} & {r.a, r.b} for r in pairs.collect())

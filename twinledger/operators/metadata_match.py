@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from twinledger.functions.similarity import B, IDF_ONCE, IDF_SHARED, K1
 from twinledger.functions.text import token_order
 from twinledger.identity import CASE_SENSITIVE_CHAIN
+from twinledger.operators.scopes import all_match_counts, member_counts
+from twinledger.operators.skew import hot_keys, spread_join
+from twinledger.runtime import land
 
 
 def documents_of(anchors: DataFrame) -> DataFrame:
@@ -73,16 +76,17 @@ def _limits(threshold: float, parts: int = 8):
     return of
 
 
-def similar_documents(docs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_a, doc_b, score), doc_a < doc_b: different documents whose cosine reaches the threshold, lossless.
+def similar_documents(docs: DataFrame, threshold: float, probe: DataFrame | None = None) -> DataFrame:
+    """(doc_a, doc_b, score), doc_a < doc_b: different documents whose cosine reaches the threshold, lossless. probe: (doc) of some documents; then
+    only pairs with one of them at least.
 
     Each document's terms are ordered by rarity; documents that share none of the first few cannot reach the threshold (see _limits), so
-    these join by equality, and the parity of all terms rules out most that lack too many of each other's terms. The rest is scored in
-    columns, in one pass over the terms of both. Terms of one document only never join. Documents without terms match none. A threshold above 1 gives no pairs;
+    these join by equality, and the parity of all terms rules out most that lack too many of each other's terms; a term that
+    very many documents ask for is spread over tasks. The rest is scored in columns, in one pass over the terms of both. Terms of one document only never join. Documents without terms match none. A threshold above 1 gives no pairs;
     one of 0 or less is refused, as every pair would match.
     """
     if threshold <= 0:
-        raise ValueError("every pair matches; use totals instead")
+        raise ValueError("every pair matches; metadata_counts counts them without pairs")
     limits = _limits(min(threshold, 1.0))
 
     @F.pandas_udf("prefix int, lacks int")
@@ -94,9 +98,12 @@ def similar_documents(docs: DataFrame, threshold: float) -> DataFrame:
     ordered = terms.join(often, "term").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("often", "term", "tf"))).alias("ts"))
     known = ordered.withColumn("l", limited(F.col("ts.tf"))).join(docs.select("doc", "s0", "s1"), "doc")
     short = known.select("doc", "s0", "s1", F.col("l.lacks").alias("lacks"), F.explode(F.slice("ts", F.lit(1), F.col("l.prefix"))).alias("t")).filter("t.often > 1").select("t.term", "doc", "s0", "s1", "lacks")
-    x, y = (short.select("term", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "s0", "s1", "lacks"))) for k in "ab")
+    short = land(short, "short")
+    mine = short if probe is None else short.join(probe.select("doc").distinct(), "doc", "left_semi")
+    x, y = (of.select("term", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "s0", "s1", "lacks"))) for of, k in ((mine, "a"), (short, "b")))
     differ = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
-    pairs = x.join(y, "term").filter((F.col("doc_a") < F.col("doc_b")) & (differ <= F.col("lacks_a") + F.col("lacks_b"))).select("doc_a", "doc_b").distinct()
+    met = spread_join(x, y, ["term"], hot_keys(short, ["term"]), ["doc_a"]).filter((F.col("doc_a") < F.col("doc_b") if probe is None else F.col("doc_a") != F.col("doc_b")) & (differ <= F.col("lacks_a") + F.col("lacks_b")))
+    pairs = met.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).distinct()
     return score_pairs(pairs, docs).filter(F.col("score") >= threshold)
 
 
@@ -122,60 +129,112 @@ def score_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return sums.select("doc_a", "doc_b", F.when(F.col("doc_a") == F.col("doc_b"), 1.0).otherwise(cosine).alias("score"))
 
 
-def contract_anchors(anchors: DataFrame) -> DataFrame:
-    """(chain, contract_address, token_id, token_rank, doc): anchors with a sortable rank of their token and their document's key."""
-    return anchors.select("chain", "contract_address", "token_id", token_order(F.col("token_id")).alias("token_rank"), doc_key(F.col("document")).alias("doc"))
+UNIT = ["chain", "contract_address", "unit"]
 
 
-def highest_documents(anchored: DataFrame) -> DataFrame:
-    """(chain, contract_address, top_token, top_doc): the document of each contract's highest token id."""
-    top = anchored.groupBy("chain", "contract_address").agg(F.max(F.struct("token_rank", "token_id", "doc")).alias("t"))
-    return top.select("chain", "contract_address", F.col("t.token_id").alias("top_token"), F.col("t.doc").alias("top_doc"))
+def units_of(anchors: DataFrame, per_token: bool) -> DataFrame:
+    """(UNIT, aligned, token_id, token_rank, doc): anchors with what is compared as one.
 
-
-def similar_contracts(anchors: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(chain_a, contract_a, chain_b, contract_b, score): contracts whose aligned documents match.
-
-    Two contracts are compared by the documents of their highest common token id; where none is common, or a side's chain has
-    case-sensitive ids, by those of each one's highest. So a matching pair has a matching pair of documents, either at one token id or at
-    both tops: these come first, from the similar and equal documents, and only such pairs are then aligned and kept if the alignment
-    chooses just these documents. Contracts with no valid document match none.
+    A unit is a contract, with an empty ``unit``. On the chain with case-sensitive ids token ids say nothing, so contracts there are not aligned
+    by them; with per_token each token is a unit of its own there.
     """
-    from twinledger.runtime import land
+    apart = F.col("chain") == CASE_SENSITIVE_CHAIN
+    unit = F.when(apart & F.lit(per_token), F.col("token_id")).otherwise(F.lit(""))
+    return anchors.select("chain", "contract_address", unit.alias("unit"), (~apart).alias("aligned"), "token_id", token_order(F.col("token_id")).alias("token_rank"), doc_key(F.col("document")).alias("doc"))
 
-    anchors = land(anchors.select("chain", "contract_address", "token_id", "document"), "anchors")
-    anchored = land(contract_anchors(anchors), "anchored")
-    docs = land(documents_of(anchors), "documents")
-    near = similar_documents(docs, threshold)
-    near = near.unionByName(near.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b"), "score")).unionByName(docs.select(F.col("doc").alias("doc_a"), F.col("doc").alias("doc_b"), F.lit(1.0).alias("score")))
-    near = land(near, "near")
 
-    def side(df, x, *more):
-        return df.select(F.col("chain").alias(f"chain_{x}"), F.col("contract_address").alias(f"contract_{x}"), *more)
+def profiled(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, tops): the profile of each unit, and of each profile its highest token and document.
 
+    members: (UNIT, profile); tops: (profile, aligned, token_rank, doc, and the UNIT of its smallest unit, which stands for it). Units with
+    the same documents at the same token ids are one profile, known by 128 bits that are summed up in any order, so no unit's list is ever
+    collected; units that aren't aligned are one profile if their highest tokens have the same document.
+    """
+    low, high = F.bit_xor(F.xxhash64("token_id", "doc")), F.bit_xor(F.xxhash64(F.lit("second"), "token_id", "doc"))
+    per_unit = units.groupBy(*UNIT, "aligned").agg(low.alias("h1"), high.alias("h2"), F.count(F.lit(1)).alias("n"), F.max(F.struct("token_rank", "token_id", "doc")).alias("top"))
+    listed = F.concat_ws("-", F.hex("h1"), F.hex("h2"), F.col("n").cast("string"))
+    known = land(per_unit.select(*UNIT, "aligned", "top", F.when(F.col("aligned"), listed).otherwise(F.concat(F.lit("top-"), F.col("top.doc"))).alias("profile")), "units")
+    first = known.groupBy("profile", "aligned").agg(F.min(F.struct(*UNIT, "top")).alias("f"))
+    return known.select(*UNIT, "profile"), first.select("profile", "aligned", F.col("f.top.token_rank").alias("token_rank"), F.col("f.top.doc").alias("doc"), *(F.col(f"f.{c}").alias(c) for c in UNIT))
+
+
+def similar_profiles(anchors: DataFrame, threshold: float = 0.6, per_token: bool = True, seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (a, b, score) of different profiles, a < b, whose aligned documents match, and the profile of each unit.
+
+    Two units are compared by the documents of their highest common token id; where none is common, or a side is not aligned by ids, by
+    those of each one's highest. So a matching pair has a matching pair of documents, either at one token id or at both tops: these come
+    first, from the similar and equal documents, and only such pairs are then aligned and kept if the alignment chooses just these
+    documents. Units of one profile match as well and are not listed. Units with no valid document match none. A threshold above 1 leaves
+    equal documents; one of 0 or less is refused, see similar_documents. seeds: (chain, contract_address); then only pairs with a profile of one.
+    """
+    units = land(units_of(anchors, per_token), "units")
+    docs = land(documents_of(land(anchors.select("document").distinct(), "texts")), "documents")
+    members, tops = profiled(units)
+    tops = land(tops, "tops")
+    # the anchors of each profile, taken from the unit that stands for it
+    held = tops.filter("aligned").select("profile", *UNIT)
+    plain = spread_join(units.filter("aligned"), held, UNIT, hot_keys(units, UNIT), ["token_id"])
+    plain = land(plain.select("profile", "token_id", "token_rank", "doc"), "anchors")
+    mine = None
+    if seeds is not None:
+        wanted = members.join(seeds.select("chain", "contract_address").distinct(), ["chain", "contract_address"], "left_semi").select("profile").distinct()
+        mine = land(wanted, "mine")
+        probe = plain.join(mine, "profile", "left_semi").select("doc").unionByName(tops.join(mine, "profile", "left_semi").select("doc")).distinct()
+    near = similar_documents(docs, threshold, None if mine is None else probe)
+    same = docs.select(F.col("doc").alias("doc_a"), F.col("doc").alias("doc_b"), F.lit(1.0).alias("score"))
+    near = land(near.unionByName(near.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b"), "score")).unionByName(same), "near")
+
+    left = plain if mine is None else plain.join(mine, "profile", "left_semi")
+    at = lambda of, x: of.select(F.col("profile").alias(x), "token_id", "token_rank", F.col("doc").alias(f"doc_{x}"))
+    # a token id and document stand for all profiles that hold them, so pairs of documents are found once per token id
+    states = lambda of: of.select("token_id", "doc").distinct()
+    joined = states(left).withColumnRenamed("doc", "doc_a").join(near, "doc_a").join(states(plain).withColumnRenamed("doc", "doc_b"), ["token_id", "doc_b"])
+    one = F.col("a") < F.col("b") if mine is None else F.col("a") != F.col("b")
+    common = joined.join(at(left, "a"), ["token_id", "doc_a"]).join(at(plain, "b").drop("token_rank"), ["token_id", "doc_b"]).filter(one)
+    best = common.groupBy("a", "b").agg(F.max(F.struct("token_rank", "token_id", "score")).alias("m")).select("a", "b", "m.token_rank", "m.score")
+
+    top = lambda of, x: of.select(F.col("profile").alias(x), F.col("doc").alias(f"doc_{x}"))
+    own = tops if mine is None else tops.join(mine, "profile", "left_semi")
+    of_tops = near.join(own.select(F.col("doc").alias("doc_a")).distinct(), "doc_a", "left_semi").join(tops.select(F.col("doc").alias("doc_b")).distinct(), "doc_b", "left_semi")
+    by_top = of_tops.join(top(own, "a"), "doc_a").join(top(tops, "b"), "doc_b").filter(one).select("a", "b", F.col("score").alias("top_score"))
+
+    candidates = land(best.join(by_top, ["a", "b"], "full_outer"), "candidates")
+    # a pair is out if it shares a token id above the one that matched, or any where only the tops match; ids above either's highest are not looked at
+    ends = lambda x: tops.filter("aligned").select(F.col("profile").alias(x), F.col("token_rank").alias(f"end_{x}"))
+    ranked = candidates.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "token_rank", F.least("end_a", "end_b").alias("end"))
+    above = ranked.join(at(plain, "a").select("a", "token_id", F.col("token_rank").alias("r")), "a").filter((F.col("r") <= F.col("end")) & (F.col("token_rank").isNull() | (F.col("r") > F.col("token_rank"))))
+    beaten = above.select("a", "b", "token_id").join(plain.select(F.col("profile").alias("b"), "token_id"), ["b", "token_id"], "left_semi").select("a", "b").distinct()
+    kept = candidates.join(beaten, ["a", "b"], "left_anti").select("a", "b", F.coalesce("score", "top_score").alias("score"))
+    if mine is not None:
+        kept = kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct()
+    return land(kept, "profile-pairs"), land(members, "members")
+
+
+def similar_contracts(anchors: DataFrame, threshold: float = 0.6, seeds: DataFrame | None = None) -> DataFrame:
+    """(chain_a, contract_a, chain_b, contract_b, score): contracts whose aligned documents match, the smaller first: those of similar_profiles, and
+    those of one profile. seeds: only pairs with one of these contracts."""
+    pairs, members = similar_profiles(anchors, threshold, per_token=False, seeds=seeds)
+    side = lambda x: members.select(F.col("profile").alias(x), F.col("chain").alias(f"chain_{x}"), F.col("contract_address").alias(f"contract_{x}"))
+    several = members.groupBy("profile").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("profile").alias("a"), F.col("profile").alias("b"), F.lit(1.0).alias("score"))
+    crowded = hot_keys(members, ["profile"], least=CROWDED)
+    of = lambda x: None if crowded is None else crowded.withColumnRenamed("profile", x)
+    every = pairs.select("a", "b", "score").unionByName(several)
+    first = spread_join(side("a"), every, ["a"], of("a"), ["chain_a", "contract_a"])
+    out = spread_join(first, side("b"), ["b"], of("b"), ["chain_a", "contract_a"])
     before = (F.col("chain_a") < F.col("chain_b")) | ((F.col("chain_a") == F.col("chain_b")) & (F.col("contract_a") < F.col("contract_b")))
-    plain = anchored.filter(F.col("chain") != CASE_SENSITIVE_CHAIN)
-    at = lambda x: side(plain, x, "token_id", "token_rank", F.col("doc").alias(f"doc_{x}"))
-    # a token id and document stand for all contracts that hold them, so pairs of documents are found once per token id
-    states = plain.select("token_id", "doc").distinct()
-    joined = states.withColumnRenamed("doc", "doc_a").join(near, "doc_a").join(states.withColumnRenamed("doc", "doc_b"), ["token_id", "doc_b"])
-    common = joined.join(at("a"), ["token_id", "doc_a"]).join(at("b").drop("token_rank"), ["token_id", "doc_b"]).filter(before)
-    pair = ["chain_a", "contract_a", "chain_b", "contract_b"]
-    best = common.groupBy(*pair).agg(F.max(F.struct("token_rank", "token_id", "score")).alias("m")).select(*pair, "m.token_rank", "m.score")
-
-    tops = highest_documents(anchored)
-    top = lambda x: side(tops, x, F.col("top_doc").alias(f"doc_{x}"))
-    top_states = tops.select(F.col("top_doc").alias("doc")).distinct()
-    pairs_of_tops = near.join(top_states.withColumnRenamed("doc", "doc_a"), "doc_a", "left_semi").join(top_states.withColumnRenamed("doc", "doc_b"), "doc_b", "left_semi")
-    by_top = pairs_of_tops.join(top("a"), "doc_a").join(top("b"), "doc_b").filter(before).select(*pair, F.col("score").alias("top_score"))
-
-    candidates = land(best.join(by_top, pair, "full_outer"), "candidates")
-    # the highest token id that a candidate pair really shares
-    left, right = side(plain, "a", "token_id", "token_rank"), side(plain, "b", "token_id")
-    highest = candidates.select(*pair).join(left, ["chain_a", "contract_a"]).join(right, ["chain_b", "contract_b", "token_id"]).groupBy(*pair).agg(F.max("token_rank").alias("highest"))
-    aligned = candidates.join(highest, pair, "left")
-    score = F.when(F.col("highest").isNull(), F.col("top_score")).when(F.col("token_rank") == F.col("highest"), F.col("score"))
-    return aligned.select(*pair, score.alias("score")).filter("score is not null")
+    lo, hi = F.struct("chain_a", "contract_a"), F.struct("chain_b", "contract_b")
+    placed = out.filter((F.col("a") != F.col("b")) | before).select(F.when(before, lo).otherwise(F.struct(F.col("chain_b").alias("chain_a"), F.col("contract_b").alias("contract_a"))).alias("x"), F.when(before, hi).otherwise(F.struct(F.col("chain_a").alias("chain_b"), F.col("contract_a").alias("contract_b"))).alias("y"), "score")
+    found = placed.select("x.*", "y.*", "score")
+    if seeds is None:
+        return found
+    key = land(seeds.select("chain", "contract_address").distinct(), "seeds")
+    flagged = found.join(key.select(F.col("chain").alias("chain_a"), F.col("contract_address").alias("contract_a"), F.lit(True).alias("sa")), ["chain_a", "contract_a"], "left")
+    flagged = flagged.join(key.select(F.col("chain").alias("chain_b"), F.col("contract_address").alias("contract_b"), F.lit(True).alias("sb")), ["chain_b", "contract_b"], "left")
+    return flagged.filter("sa or sb").select("chain_a", "contract_a", "chain_b", "contract_b", "score")
+
+
+#: contracts of one profile from which on their pairs are made by several tasks
+CROWDED = 1_000
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -185,13 +244,20 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(*a, *b, "score").toDF(*names).unionByName(pairs.select(*b, *a, "score").toDF(*names))
 
 
-def metadata_counts(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Scope counts of contracts with a match, with all their tokens, once per scope."""
-    from twinledger.operators.scopes import scope_counts
+def profile_members(members: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(name, chain, contract_address, members, n) for scopes.member_counts: the profiles of contracts, each standing for all tokens of it, and of
+    tokens that are units of their own, each standing for itself."""
+    sizes = tokens.filter(F.col("chain") != CASE_SENSITIVE_CHAIN).groupBy("chain", "contract_address").agg(F.count(F.lit(1)).alias("n"))
+    whole = members.filter("unit = ''").join(sizes, ["chain", "contract_address"]).select(F.col("profile").alias("name"), "chain", "contract_address", F.lit(1).cast("long").alias("members"), "n")
+    single = members.filter("unit <> ''").groupBy(F.col("profile").alias("name"), "chain", "contract_address").agg(F.count(F.lit(1)).alias("members"))
+    return whole.unionByName(single.withColumn("n", F.col("members")))
 
-    sizes = tokens.groupBy("chain", "contract_address").agg(F.count(F.lit(1)).alias("n"))
-    reached = both_ways(pairs).select("chain", "contract_address", "peer_chain").distinct()
-    inner, null = F.col("chain") == F.col("peer_chain"), F.lit(None).cast("string")
-    kinds = F.when(inner, F.array(F.struct(F.lit("intra").alias("kind"), null.alias("s")))).otherwise(F.array(F.struct(F.lit("cross").alias("kind"), null.alias("s")), F.struct(F.lit("matrix").alias("kind"), F.col("peer_chain").alias("s"))))
-    scoped = reached.withColumn("k", F.explode(kinds)).select("chain", "contract_address", "k.kind", F.col("k.s").alias("secondary_chain")).distinct()
-    return scope_counts(scoped.join(sizes, ["chain", "contract_address"]).withColumnRenamed("chain", "primary_chain"), "metadata")
+
+def metadata_counts(anchors: DataFrame, tokens: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """Scope counts of contracts, and of tokens of the chain with case-sensitive ids, whose documents match those of others: of their own profile or
+    of a similar one. At a threshold of 0 or less everything with a valid document matches everything else, which is counted without pairs."""
+    if threshold <= 0:
+        members = units_of(anchors, True).select(*UNIT).distinct().withColumn("profile", F.lit("all"))
+        return all_match_counts(profile_members(members, tokens), "metadata")
+    pairs, members = similar_profiles(anchors, threshold)
+    return member_counts(land(profile_members(members, tokens), "profile-members"), pairs, "metadata")

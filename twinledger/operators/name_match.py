@@ -6,11 +6,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.functions.similarity import jaro_winkler, least_common
+from twinledger.functions.similarity import jaro_winkler_many, least_common
 from twinledger.functions.text import usable_name
 from twinledger.identity import CASE_SENSITIVE_CHAIN
 from twinledger.operators.eager import mode_per_key
-from twinledger.operators.scopes import scope_counts
+from twinledger.operators.scopes import member_counts
+from twinledger.operators.skew import hot_keys, spread_join
+from twinledger.runtime import land
 
 
 def name_members(tokens: DataFrame) -> DataFrame:
@@ -28,83 +30,84 @@ def name_members(tokens: DataFrame) -> DataFrame:
     return own.unionByName(whole)
 
 
-def name_pairs(names: DataFrame, threshold: float) -> DataFrame:
+def name_pairs(names: DataFrame, threshold: float, probe: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity) of different names, a < b, with Jaro-Winkler similarity of at least the threshold; lossless.
 
-    names: one column, name, distinct. Characters with their number of occurrence (a, a#2, ...) make each name a set. From the lengths
-    and the threshold follows how many of them two names must share, so one of the rarest few of each must be shared (prefix join);
-    lengths, and the parity of all signs, are checked in the join, the score in batches afterwards. A threshold of 0 or less takes every pair of names, one above 1
-    none. Empty names match nothing.
+    names: one column, name, distinct. probe: some of these names; then only pairs with one of them at least. Characters with their number
+    of occurrence (a, a2, ...) make each name a set. From lengths and threshold follows how many of them two names must share. Where that
+    is one, one of the rarest few of each must be shared; where it is two or more, two of the rarest few plus one, so pairs of marks are the
+    join keys, which far fewer names share than single signs. Keys that very many names share are spread over tasks. Lengths, and the
+    parity of all signs, are checked in the join, the score in batches afterwards. A threshold above 1 gives no pairs; one of 0 or less is
+    refused, as every pair would match: `scopes.all_match_counts` counts them without making any. Empty and null names match nothing.
     """
+    if threshold <= 0:
+        raise ValueError("every pair matches; count them by scopes.all_match_counts")
     if threshold > 1:
         return names.sparkSession.createDataFrame([], "a string, b string, similarity double")
     sized = names.filter("name is not null and name <> ''").select("name", F.length("name").alias("len"))
-    signs = F.split("name", "")
-    seen = sized.withColumn("signs", F.filter(signs, lambda c: c != ""))
+    seen = sized.withColumn("signs", F.filter(F.split("name", ""), lambda c: c != ""))
     # the number of occurrence: how often the sign stands in the part of the name up to here
     marks = F.transform("signs", lambda c, i: F.concat(c, F.size(F.filter(F.slice("signs", 1, i + 1), lambda x: x == c)).cast("string")))
     # the parity of the marks in 64 bits: two names differ in at least as many marks as in bits
     bit = lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(m), F.lit(64)).cast("int"))
     marked = seen.select("name", "len", marks.alias("marks")).withColumn("sketch", F.aggregate("marks", F.lit(0).cast("long"), lambda acc, m: acc.bitwiseXOR(bit(m))))
+    marked = land(marked, "marked")
     often = marked.select(F.explode("marks").alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("often"))
-    lengths = sorted(r.len for r in sized.select("len").distinct().collect())  # the different lengths of names
-    rows = []
-    for x in lengths:
-        fits = [(y, o) for y in lengths if (o := least_common(x, y, threshold) if threshold > 0 else 0) <= min(x, y)]
-        prefix = min(x, max(1, x - min(o for _, o in fits) + 1)) if fits else 0
-        rows += [(x, y, o, prefix) for y, o in fits]
-    bounds = names.sparkSession.createDataFrame(rows, "la int, lb int, required int, prefix int")
-    if threshold <= 0:
-        a, b = sized.select(F.col("name").alias("a")), sized.select(F.col("name").alias("b"))
-        candidates = a.join(b, F.col("a") < F.col("b"))
-    else:
-        prefix = bounds.groupBy(F.col("la").alias("len")).agg(F.max("prefix").alias("prefix"))
-        ordered = marked.select("name", "len", "sketch", F.explode("marks").alias("mark")).join(often, "mark").groupBy("name", "len", "sketch").agg(F.sort_array(F.collect_list(F.struct("often", "mark"))).alias("m"))
-        short = ordered.join(F.broadcast(prefix), "len").select("name", "len", "sketch", F.explode(F.slice(F.col("m.mark"), F.lit(1), F.col("prefix"))).alias("mark"))
-        x = short.select("mark", F.col("name").alias("a"), F.col("len").alias("la"), F.col("sketch").alias("sa"))
-        y = short.select("mark", F.col("name").alias("b"), F.col("len").alias("lb"), F.col("sketch").alias("sb"))
-        differ = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
-        near = x.join(y, "mark").filter("a < b").join(F.broadcast(bounds.select("la", "lb", "required")), ["la", "lb"]).filter(differ <= F.col("la") + F.col("lb") - 2 * F.col("required"))
-        candidates = near.select("a", "b").distinct()
+    bounds = _length_bounds(marked, threshold)
+    least = bounds.groupBy(F.col("la").alias("len")).agg(F.min("required").alias("least"))
+    order = F.sort_array(F.collect_list(F.struct("often", "mark")))
+    ordered = marked.select("name", "len", "sketch", F.explode("marks").alias("mark")).join(often, "mark").groupBy("name", "len", "sketch").agg(order.alias("m"))
+    known = ordered.join(F.broadcast(least), "len").withColumn("m", F.col("m.mark"))
+    front = lambda k: F.slice("m", F.lit(1), F.least(F.col("len"), F.col("len") - F.col("least") + k))
+    two = F.flatten(F.transform(front(2), lambda x, i: F.transform(F.slice(front(2), i + 2, F.col("len")), lambda y: F.xxhash64(x, y))))
+    one = F.transform(front(1), lambda x: F.xxhash64(x))
+    # lengths that may share a single mark ask so of each other, so both offer single marks
+    keys = F.when(F.col("least") >= 2, F.array(F.struct(F.lit(2).alias("k"), two.alias("keys")))).otherwise(F.array(F.struct(F.lit(1).alias("k"), one.alias("keys")), F.struct(F.lit(2).alias("k"), two.alias("keys"))))
+    short = known.select("name", "len", "sketch", F.explode(keys).alias("s")).select("name", "len", "sketch", "s.k", F.explode("s.keys").alias("key"))
+    short = land(short, "keys")
+    side = lambda df, x: df.select("k", "key", F.col("name").alias(x), F.col("len").alias(f"l{x}"), F.col("sketch").alias(f"s{x}"))
+    left = short if probe is None else short.join(probe.select("name").distinct(), "name", "left_semi")
+    met = spread_join(side(left, "a"), side(short, "b"), ["k", "key"], hot_keys(short, ["k", "key"]), ["a"])
+    met = met.filter("a < b" if probe is None else "a <> b").join(F.broadcast(bounds), ["la", "lb"])
+    differ = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
+    near = met.filter((F.col("k") == F.least(F.col("required"), F.lit(2))) & (differ <= F.col("la") + F.col("lb") - 2 * F.col("required")))
+    candidates = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def score(batches):
         for pdf in batches:
-            found = [jaro_winkler(p, q) for p, q in zip(pdf["a"], pdf["b"])]
-            out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": pd.Series(found, index=pdf.index, dtype="float64")})
-            yield out[out["similarity"] >= threshold]
+            found = jaro_winkler_many(pdf["a"].tolist(), pdf["b"].tolist())
+            keep = found >= threshold
+            yield pd.DataFrame({"a": pdf["a"][keep], "b": pdf["b"][keep], "similarity": found[keep]})
 
     return candidates.mapInPandas(score, "a string, b string, similarity double")
 
 
-def name_counts(members: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Scope counts of members whose name others bear, exactly or by the given pairs of names.
+def _length_bounds(sized: DataFrame, threshold: float) -> DataFrame:
+    """(la, lb, required) of the pairs of lengths of names that can match: how many marks they must share then, one at least.
 
-    A member hits its own chain if its name has two members there, or a similar name has one; another chain if one of these names has
-    a member on it. Contracts count once per scope with their tokens; counting goes over (name, chain) states, never over pairs of members.
+    Made where the lengths are, from the distinct ones; lengths that can match lie within a band, as the threshold bounds their quotient.
     """
-    states = members.groupBy("name", "chain").agg(F.sum("members").alias("m"))
-    same = states.select("name", "chain", "m", F.col("chain").alias("peer"), F.col("m").alias("peer_m"))
-    others = states.join(states.select("name", F.col("chain").alias("peer"), F.col("m").alias("peer_m")), "name").filter("chain <> peer")
-    linked = same.filter("m > 1").select("name", "chain", "peer").unionByName(others.select("name", "chain", "peer"))
-    if pairs is not None:
-        both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = states.join(both, F.col("name") == F.col("a")).select("name", "chain", "b").join(states.select(F.col("name").alias("b"), F.col("chain").alias("peer")), "b").select("name", "chain", "peer")
-        linked = linked.unionByName(near)
-    linked = linked.distinct()
-    null = F.lit(None).cast("string")
-    inner = F.col("chain") == F.col("peer")
-    hits = members.join(linked, ["name", "chain"])
-    # per contract, name and scope the tokens count once: cross is the union over peers
-    own = hits.filter(inner).select(F.lit("intra").alias("kind"), F.col("chain").alias("primary_chain"), null.alias("secondary_chain"), "contract_address", "name", "n")
-    matrix = hits.filter(~inner).select(F.lit("matrix").alias("kind"), F.col("chain").alias("primary_chain"), F.col("peer").alias("secondary_chain"), "contract_address", "name", "n")
-    cross = matrix.withColumn("kind", F.lit("cross")).withColumn("secondary_chain", null).distinct()
-    return scope_counts(own.unionByName(matrix).unionByName(cross), "name")
+    def bound(batches):
+        for pdf in batches:
+            for row in pdf.itertuples():
+                lengths = list(row.lengths)
+                fits = [(y, max(1, o)) for y in lengths if (o := least_common(row.la, y, threshold)) <= min(row.la, y)]
+                yield pd.DataFrame({"la": [row.la] * len(fits), "lb": [y for y, _ in fits], "required": [o for _, o in fits]})
+
+    each = sized.select(F.col("len").alias("la")).distinct()
+    every = each.agg(F.sort_array(F.collect_set("la")).alias("lengths"))  # the different lengths of names, one row
+    return land(each.join(F.broadcast(every)).mapInPandas(bound, "la int, lb int, required int"), "bounds")
+
+
+def name_counts(members: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Scope counts of members whose name others bear, exactly or by the given pairs of names; see scopes.member_counts."""
+    return member_counts(members, pairs, "name")
 
 
 def seed_name_edges(members: DataFrame, seeds: DataFrame, pairs: DataFrame) -> DataFrame:
     """(seed_chain, seed_address, candidate_chain, candidate_address, score): other contracts that bear a name of a seed, or a similar one.
 
-    pairs: similar names, as name_pairs gives them. Each seed and candidate are one edge, of the highest score; equal names score 1.
+    pairs: similar names, as name_pairs gives them, for which the seeds' names suffice as probe. Each seed and candidate are one edge, of the highest score; equal names score 1.
     """
     key = seeds.select("chain", "contract_address").distinct()
     own = members.join(key, ["chain", "contract_address"], "left_semi").select(F.col("chain").alias("seed_chain"), F.col("contract_address").alias("seed_address"), F.col("name").alias("seed_name")).distinct()

@@ -19,6 +19,41 @@ def scope_counts(hits: DataFrame, dimension: str) -> DataFrame:
     return counted.withColumn("dimension", F.lit(dimension)).select(*COUNTS)
 
 
+def member_counts(members: DataFrame, pairs: DataFrame | None, dimension: str) -> DataFrame:
+    """Scope counts of members (name, chain, contract_address, members, n) whose name others bear, exactly or by the given pairs (a, b) of names.
+
+    A member hits its own chain if its name has two members there, or a similar name has one; another chain if one of these names has
+    a member on it. Contracts count once per scope with their n; counting goes over (name, chain) states, never over pairs of members.
+    What a name is, is up to the caller: a text, or the key of a profile of documents.
+    """
+    states = members.groupBy("name", "chain").agg(F.sum("members").alias("m"))
+    others = states.join(states.select("name", F.col("chain").alias("peer")), "name").filter("chain <> peer")
+    linked = states.filter("m > 1").select("name", "chain", F.col("chain").alias("peer")).unionByName(others.select("name", "chain", "peer"))
+    if pairs is not None:
+        both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        reached = both.join(states.select(F.col("name").alias("b"), F.col("chain").alias("peer")), "b").select(F.col("a").alias("name"), "peer").distinct()
+        linked = linked.unionByName(states.select("name", "chain").join(reached, "name").select("name", "chain", "peer"))
+    return _linked_counts(members, linked.distinct(), dimension)
+
+
+def all_match_counts(members: DataFrame, dimension: str) -> DataFrame:
+    """member_counts where every pair of names matches, as at a threshold of 0 or less: a member hits each chain that has another member."""
+    chains = members.groupBy("chain").agg(F.sum("members").alias("m"))  # a row per chain
+    peers = chains.select("chain", "m").join(F.broadcast(chains.select(F.col("chain").alias("peer"))), (F.col("chain") != F.col("peer")) | (F.col("m") > 1)).select("chain", "peer")
+    return _linked_counts(members, members.select("name", "chain").distinct().join(F.broadcast(peers), "chain").select("name", "chain", "peer"), dimension)
+
+
+def _linked_counts(members: DataFrame, linked: DataFrame, dimension: str) -> DataFrame:
+    null = F.lit(None).cast("string")
+    inner = F.col("chain") == F.col("peer")
+    hits = members.join(linked, ["name", "chain"])
+    # per contract, name and scope the tokens count once: cross is the union over peers
+    own = hits.filter(inner).select(F.lit("intra").alias("kind"), F.col("chain").alias("primary_chain"), null.alias("secondary_chain"), "contract_address", "name", "n")
+    matrix = hits.filter(~inner).select(F.lit("matrix").alias("kind"), F.col("chain").alias("primary_chain"), F.col("peer").alias("secondary_chain"), "contract_address", "name", "n")
+    cross = matrix.withColumn("kind", F.lit("cross")).withColumn("secondary_chain", null).distinct()
+    return scope_counts(own.unionByName(matrix).unionByName(cross), dimension)
+
+
 def with_ratios(counts: DataFrame, totals: DataFrame, zero: float | None = 0.0) -> DataFrame:
     """Counts with contract_ratio and nft_ratio over the totals of the primary chain; ``zero`` where a total is 0 or missing."""
     joined = counts.join(F.broadcast(totals.withColumnRenamed("chain", "primary_chain")), "primary_chain", "left")

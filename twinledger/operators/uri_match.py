@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinledger.operators.scopes import scope_counts
+from twinledger.operators.skew import hot_keys, spread_join
+from twinledger.runtime import land
 
 
 def postings(tokens: DataFrame, uri: str) -> DataFrame:
@@ -74,51 +76,69 @@ def image_uri_counts(tokens: DataFrame) -> DataFrame:
     return scope_counts(intra.unionByName(cross).unionByName(matrix), "image_uri")
 
 
-CLASS = ["candidate_chain", "candidate_address", "token_uri_norm", "image_uri_norm"]
-
-
 def alike(tokens: DataFrame) -> DataFrame:
     """(chain, contract_address, token_uri_norm, image_uri_norm, n): tokens of a contract with the same two URIs as one row."""
     return tokens.groupBy("chain", "contract_address", "token_uri_norm", "image_uri_norm").agg(F.count(F.lit(1)).alias("n"))
 
 
-def seed_class_edges(classes: DataFrame, seeds: DataFrame, uri: str, dimension: str) -> DataFrame:
-    """(seed_chain, seed_address, CLASS, n, dimension): classes of tokens (see alike) of other contracts that share a URI with a seed.
+def seed_uri_edges(tokens: DataFrame, seeds: DataFrame, uri: str, dimension: str) -> DataFrame:
+    """(seed_chain, seed_address, candidate_chain, candidate_address, token_id, dimension): tokens of other contracts that share a URI with a seed.
 
-    Seeds (chain, contract_address) are reduced to distinct (seed, uri). A URI of very many tokens is few classes, so what a pair of
-    contracts shares is one row or a few, never one per token.
+    Seeds (chain, contract_address) are reduced to distinct (seed, uri) first.
     """
     key = seeds.select("chain", "contract_address").distinct()
-    given = classes.filter(F.col(uri) != "")
-    wanted = given.join(key, ["chain", "contract_address"], "left_semi").select(F.col("chain").alias("seed_chain"), F.col("contract_address").alias("seed_address"), F.col(uri).alias("uri")).distinct()
-    probed = given.select(F.col("chain").alias("candidate_chain"), F.col("contract_address").alias("candidate_address"), "token_uri_norm", "image_uri_norm", "n", F.col(uri).alias("uri"))
+    given = tokens.filter(F.col(uri) != "").select("chain", "contract_address", "token_id", F.col(uri).alias("uri"))
+    wanted = given.join(key, ["chain", "contract_address"], "left_semi").select(F.col("chain").alias("seed_chain"), F.col("contract_address").alias("seed_address"), "uri").distinct()
+    probed = given.select(F.col("chain").alias("candidate_chain"), F.col("contract_address").alias("candidate_address"), "token_id", "uri")
     joined = probed.join(wanted, "uri").filter((F.col("seed_chain") != F.col("candidate_chain")) | (F.col("seed_address") != F.col("candidate_address")))
-    return joined.select("seed_chain", "seed_address", *CLASS, "n", F.lit(dimension).alias("dimension"))
+    return joined.select("seed_chain", "seed_address", "candidate_chain", "candidate_address", "token_id", F.lit(dimension).alias("dimension"))
 
 
-def seed_uri_edges(tokens: DataFrame, seeds: DataFrame, uri: str, dimension: str) -> DataFrame:
-    """(seed_chain, seed_address, candidate_chain, candidate_address, token_id, dimension): seed_class_edges with each token by itself."""
-    edges = seed_class_edges(alike(tokens), seeds, uri, dimension)
-    own = tokens.select(F.col("chain").alias("candidate_chain"), F.col("contract_address").alias("candidate_address"), "token_id", "token_uri_norm", "image_uri_norm")
-    return edges.join(own, CLASS).select("seed_chain", "seed_address", "candidate_chain", "candidate_address", "token_id", "dimension")
+def seed_uri_scale(tokens: DataFrame, seeds: DataFrame, images_apart: bool = False) -> DataFrame:
+    """(seed_chain, seed_address, dimension, candidate_contracts, candidate_nfts): what seed_scale gives of the token and image edges of seeds.
+
+    No edge per token is made: tokens of a contract with the same URIs are one class, contracts and classes are numbers, and an edge is a
+    seed, a class and two bits, which are aggregated in the task that makes them. images_apart: image edges count only for tokens that no
+    token URI edge of the same seed has already.
+    """
+    classes = land(alike(tokens.filter("token_uri_norm <> '' or image_uri_norm <> ''")), "classes")
+    contracts = land(classes.select("chain", "contract_address").distinct().withColumn("contract", F.monotonically_increasing_id()), "contracts")
+    numbered = land(classes.withColumn("class", F.monotonically_increasing_id()).join(contracts, ["chain", "contract_address"]).select("contract", "class", "token_uri_norm", "image_uri_norm", "n"), "numbered")
+    mine = contracts.join(seeds.select("chain", "contract_address").distinct(), ["chain", "contract_address"], "left_semi").select("contract")
+
+    def edges(uri: str, bit: int) -> DataFrame:
+        given = numbered.filter(F.col(uri) != "").select("contract", "class", "n", F.col(uri).alias("uri"))
+        wanted = given.join(mine, "contract", "left_semi").select(F.col("contract").alias("seed"), "uri").distinct()
+        wanted = land(wanted, "wanted")
+        # a URI that very many seeds have is one of few; its classes are spread
+        met = spread_join(given, wanted, ["uri"], hot_keys(given, ["uri"]), ["class"]).filter("seed <> contract")
+        return met.groupBy("seed", "contract", "class", "n").agg(F.lit(bit).alias("bits"))
+
+    each = edges("token_uri_norm", 1).unionByName(edges("image_uri_norm", 2)).groupBy("seed", "contract", "class", "n").agg(F.bit_or("bits").alias("bits"))
+    image = (F.col("bits") == 2) if images_apart else (F.col("bits") >= 2)
+    kinds = {"token_uri": F.col("bits") % 2 == 1, "image_uri": image, "total": F.lit(True)}
+    per_contract = each.groupBy("seed", "contract").agg(*(F.sum(F.when(c, F.col("n"))).alias(k) for k, c in kinds.items()))
+    per_seed = per_contract.groupBy("seed").agg(*(F.struct(F.lit(k).alias("dimension"), F.count(k).alias("candidate_contracts"), F.sum(k).alias("candidate_nfts")).alias(k) for k in kinds))
+    found = per_seed.select("seed", F.explode(F.array(*kinds)).alias("d")).select("seed", "d.*").filter("candidate_contracts > 0")
+    named = contracts.select(F.col("contract").alias("seed"), F.col("chain").alias("seed_chain"), F.col("contract_address").alias("seed_address"))
+    return found.join(named, "seed").select("seed_chain", "seed_address", "dimension", "candidate_contracts", "candidate_nfts")
 
 
 def seed_scale(edges: DataFrame) -> DataFrame:
     """Per seed and dimension, and for all dimensions together (``total``, a union, not a sum): candidate contracts and tokens.
 
-    edges of classes with n, or of tokens, which count 1 each; repeated edges count once.
+    Edges that repeat count once.
     """
     key = ["seed_chain", "seed_address"]
-    what = [*CLASS, "n"] if "n" in edges.columns else ["candidate_chain", "candidate_address", "token_id"]
+    what = ["candidate_chain", "candidate_address", "token_id"]
     both = edges.select(*key, *what, F.explode(F.array("dimension", F.lit("total"))).alias("dimension")).distinct()
-    n = F.sum("n") if "n" in edges.columns else F.count("token_id")
-    per_contract = both.groupBy(*key, "dimension", "candidate_chain", "candidate_address").agg(n.alias("tokens"))
+    per_contract = both.groupBy(*key, "dimension", "candidate_chain", "candidate_address").agg(F.count("token_id").alias("tokens"))
     return per_contract.groupBy(*key, "dimension").agg(F.count(F.lit(1)).alias("candidate_contracts"), F.sum("tokens").alias("candidate_nfts"))
 
 
 def image_minus_token(edges: DataFrame) -> DataFrame:
-    """Edges without the image edges to tokens, or classes of them, that a token URI edge of the same seed has already."""
-    on = [c for c in edges.columns if c not in ("dimension", "n")]
+    """Edges without the image edges to tokens that a token URI edge of the same seed has already."""
+    on = [c for c in edges.columns if c != "dimension"]
     covered = edges.filter("dimension = 'token_uri'").select(*on)
     images = edges.filter("dimension = 'image_uri'").join(covered, on, "left_anti")
     return edges.filter("dimension <> 'image_uri'").unionByName(images.select(*edges.columns))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,16 +23,17 @@ def match_uris(tokens: DataFrame) -> DataFrame:
 
 
 def match_names(tokens: DataFrame, threshold: float | None) -> DataFrame:
-    """Scope counts of names; without a threshold only equal names match."""
+    """Scope counts of names; without a threshold only equal names match, at one of 0 or less all do."""
     members = land(name_match.name_members(tokens), "members")
+    if threshold is not None and threshold <= 0:
+        return scopes.all_match_counts(members, "name")
     pairs = None if threshold is None or threshold > 1 else land(name_match.name_pairs(land(members.select("name").distinct(), "names"), threshold), "pairs")
     return name_match.name_counts(members, pairs)
 
 
 def match_metadata(rows: DataFrame, tokens: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Scope counts of contracts with similar metadata."""
-    pairs = metadata_match.similar_contracts(source.anchors(rows), threshold)
-    return metadata_match.metadata_counts(land(pairs, "pairs"), tokens)
+    """Scope counts of contracts, and tokens on the chain with case-sensitive ids, with similar metadata."""
+    return metadata_match.metadata_counts(source.anchors(rows), tokens, threshold)
 
 
 def run_all(spark: SparkSession, paths: str | Iterable[str], out: str | None = None, dimensions: Sequence[str] = ("name", "uri", "metadata"), name_threshold: float | None = 0.98, metadata_threshold: float = 0.6, chains: Sequence[str] = (), order: str | None = None, strict: bool = False, force: bool = False) -> DataFrame:
@@ -81,22 +82,30 @@ def overlay_seeds(tokens: DataFrame, seed_tokens: DataFrame) -> DataFrame:
     return tokens.join(seed_tokens.select(*key).distinct(), key, "left_anti").unionByName(seed_tokens.select(*tokens.columns))
 
 
-def match_seeds(rows: DataFrame, seeds: DataFrame, name_threshold: float | None = 0.98, metadata_threshold: float | None = 0.6) -> DataFrame:
+def seed_name_pairs(members: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
+    """Similar names (see name_match.name_pairs) of which one at least is a seed's."""
+    own = members.join(seeds.select("chain", "contract_address").distinct(), ["chain", "contract_address"], "left_semi").select("name").distinct()
+    return name_match.name_pairs(land(members.select("name").distinct(), "names"), threshold, land(own, "seed-names"))
+
+
+def match_seeds(rows: DataFrame, seeds: DataFrame, name_threshold: float | None = 0.98, metadata_threshold: float | None = 0.6, documents: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Hit edges (seed_chain, seed_address, candidate_chain, candidate_address, token_id, dimension, score) of seeds in cleaned rows.
 
-    token_id is null where the whole contract is hit, as by names and metadata; URI hits name each token and score 1.
+    token_id is null where the whole contract is hit, as by names and metadata; URI hits name each token and score 1. Each dimension is
+    probed with what the seeds have: names and documents of others are compared with those of seeds only, and metadata is parsed only
+    where it can matter to a seed (see snapshot.seed_anchors). documents: makes the anchors of rows and seeds in another way.
     """
-    rows = land(rows, "rows")
+    rows, seeds = land(rows, "rows"), land(seeds.select("chain", "contract_address").distinct(), "seeds")
     tokens = land(source.tokens(rows), "tokens")
     edges = [uri_match.seed_uri_edges(tokens, seeds, f"{d}_norm", d).withColumn("score", F.lit(1.0)) for d in ("token_uri", "image_uri")]
     whole = lambda df, d: df.withColumn("token_id", F.lit(None).cast("string")).withColumn("dimension", F.lit(d))
     if name_threshold is not None:
         members = land(name_match.name_members(tokens), "members")
-        pairs = name_match.name_pairs(land(members.select("name").distinct(), "names"), name_threshold)
-        edges.append(whole(name_match.seed_name_edges(members, seeds, pairs), "name"))
+        edges.append(whole(name_match.seed_name_edges(members, seeds, seed_name_pairs(members, seeds, name_threshold)), "name"))
     if metadata_threshold is not None:
-        pairs = metadata_match.both_ways(metadata_match.similar_contracts(source.anchors(rows, normalised=False), metadata_threshold))
-        mine = pairs.join(seeds.select("chain", "contract_address").distinct(), ["chain", "contract_address"], "left_semi")
+        anchors = documents(rows, seeds) if documents else source.seed_anchors(rows, seeds, normalised=False)
+        pairs = metadata_match.both_ways(metadata_match.similar_contracts(anchors, metadata_threshold, seeds))
+        mine = pairs.join(seeds, ["chain", "contract_address"], "left_semi")
         edges.append(whole(mine.select(F.col("chain").alias("seed_chain"), F.col("contract_address").alias("seed_address"), F.col("peer_chain").alias("candidate_chain"), F.col("peer_address").alias("candidate_address"), "score"), "metadata"))
     columns = ["seed_chain", "seed_address", "candidate_chain", "candidate_address", "token_id", "dimension", "score"]
     return reduce(DataFrame.unionByName, (e.select(*columns) for e in edges))

@@ -15,7 +15,9 @@ from twinledger.sources import sinks
 from twinledger.sources import snapshot as source
 from twinledger.streaming import ingest
 
-NAME_THRESHOLD, METADATA_THRESHOLD, TEXT_THRESHOLD, SEEDS_PER_RANKING = 0.95, 0.6, 0.2, 10
+NAME_THRESHOLD, METADATA_THRESHOLD = 0.95, 0.6
+#: how many seeds ranked_seeds lists of each ranking
+SEEDS_PER_RANKING = 25
 
 
 def _rows(spark: SparkSession, d: str, *dimensions: str) -> DataFrame:
@@ -26,13 +28,11 @@ def _tokens(spark: SparkSession, d: str, *dimensions: str) -> DataFrame:
     return source.tokens(_rows(spark, d, *dimensions))
 
 
-def _seeds(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    """The contracts of the best-ranked seeds, or of all that have a chain and an address."""
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Every contract that is a seed."""
     seeds = table(spark, d, "seeds")
-    if every:
-        tidy = seeds.select(tidy_chain(F.col("chain")).alias("chain"), tidy_address(F.col("chain"), F.col("address")).alias("contract_address"))
-        return tidy.filter("chain is not null and contract_address is not null").distinct()
-    return staging.top_seeds(seeds, SEEDS_PER_RANKING).select("chain", F.col("address").alias("contract_address")).distinct()
+    tidy = seeds.select(tidy_chain(F.col("chain")).alias("chain"), tidy_address(F.col("chain"), F.col("address")).alias("contract_address"))
+    return tidy.filter("chain <> '' and contract_address is not null").distinct()
 
 
 def snapshot_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -132,38 +132,50 @@ def metadata_pairs(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 9))
 
 
-def asset_text_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Assets whose lower-cased metadata texts, as they are, match by BM25 cosine; equal texts stand for their smallest asset_id."""
-    a = table(spark, d, "nft_assets", "asset_id", "metadata").filter("metadata is not null").select("asset_id", F.lower("metadata").alias("document"))
-    first = land(a.groupBy("document").agg(F.min("asset_id").alias("asset_id")).withColumn("doc", metadata_match.doc_key(F.col("document"))), "texts")
-    pairs = metadata_match.similar_documents(land(metadata_match.documents_of(first), "documents"), TEXT_THRESHOLD)
-    x, y = first.select(F.col("doc").alias("doc_a"), F.col("asset_id").alias("i")), first.select(F.col("doc").alias("doc_b"), F.col("asset_id").alias("j"))
-    return pairs.join(x, "doc_a").join(y, "doc_b").select(F.least("i", "j").alias("asset_a"), F.greatest("i", "j").alias("asset_b"), F.round("score", 6).alias("score"))
+def _text_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """The first metadata of each token as it is, in lower case, so that SQL can make the same documents."""
+    return source.first_texts(land(_rows(spark, d, "metadata"), "rows"))
 
 
-def ranked_seeds(spark: SparkSession, d: str) -> DataFrame:
-    return staging.top_seeds(table(spark, d, "seeds"), SEEDS_PER_RANKING)
+def text_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts whose aligned metadata texts match by BM25 cosine."""
+    return metadata_match.similar_contracts(_text_anchors(spark, d), METADATA_THRESHOLD).withColumn("score", F.round("score", 6))
+
+
+def text_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """Scope counts of contracts and single solana tokens whose metadata texts match."""
+    return metadata_match.metadata_counts(_text_anchors(spark, d), _tokens(spark, d), METADATA_THRESHOLD)
+
 
+def text_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """How many contracts or tokens each list of documents stands for, known by the smallest of them."""
+    members, tops = metadata_match.profiled(land(metadata_match.units_of(_text_anchors(spark, d), True), "units"))
+    sizes = members.groupBy("profile").agg(F.count(F.lit(1)).alias("members"))
+    return tops.join(sizes, "profile").select("chain", "contract_address", "unit", "aligned", "members")
 
-def _edges(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    classes, seeds = land(uri_match.alike(_tokens(spark, d, "token_uri", "image_uri")), "classes"), land(_seeds(spark, d, every), "seeds")
-    return uri_match.seed_class_edges(classes, seeds, "token_uri_norm", "token_uri").unionByName(uri_match.seed_class_edges(classes, seeds, "image_uri_norm", "image_uri"))
 
+def text_scopes_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """Scope counts at a threshold of 0, where everything with metadata matches."""
+    return metadata_match.metadata_counts(_text_anchors(spark, d), _tokens(spark, d), 0.0)
 
-def seed_uri_scale(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return uri_match.seed_scale(_edges(spark, d, every))
 
+def lowest_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """The three lowest tokens with metadata of each contract, and the two highest."""
+    found = _text_anchors(spark, d)
+    each = source.bounded(found, 3).withColumn("end", F.lit("low")).unionByName(source.bounded(found, 2, highest=True).withColumn("end", F.lit("high")))
+    return each.select(*source.KEY, "end", F.col("source_order").alias("row_id"))
 
-def all_seed_uri_scale(spark: SparkSession, d: str) -> DataFrame:
-    return seed_uri_scale(spark, d, every=True)
+
+def ranked_seeds(spark: SparkSession, d: str) -> DataFrame:
+    return staging.top_seeds(table(spark, d, "seeds"), SEEDS_PER_RANKING)
 
 
-def seed_uri_scale_images_apart(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return uri_match.seed_scale(uri_match.image_minus_token(land(_edges(spark, d, every), "edges")))
+def seed_uri_scale(spark: SparkSession, d: str) -> DataFrame:
+    return uri_match.seed_uri_scale(_tokens(spark, d, "token_uri", "image_uri"), _seeds(spark, d))
 
 
-def all_seed_uri_scale_images_apart(spark: SparkSession, d: str) -> DataFrame:
-    return seed_uri_scale_images_apart(spark, d, every=True)
+def seed_uri_scale_images_apart(spark: SparkSession, d: str) -> DataFrame:
+    return uri_match.seed_uri_scale(_tokens(spark, d, "token_uri", "image_uri"), _seeds(spark, d), images_apart=True)
 
 
 def relations_unified(spark: SparkSession, d: str) -> DataFrame:
@@ -200,16 +212,12 @@ def filled_assets(spark: SparkSession, d: str) -> DataFrame:
     return staging.upsert(new, old, key)
 
 
-def unlisted_tokens(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    """Tokens per chain, without the contracts of the best-ranked seeds."""
-    left = staging.remove_listed(_tokens(spark, d), _seeds(spark, d, every), ["chain", "contract_address"])
+def unlisted_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens per chain, without the contracts of seeds."""
+    left = staging.remove_listed(_tokens(spark, d), _seeds(spark, d), ["chain", "contract_address"])
     return left.groupBy("chain").agg(F.count(F.lit(1)).alias("nfts"))
 
 
-def all_unlisted_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return unlisted_tokens(spark, d, every=True)
-
-
 def _moved(spark: SparkSession, d: str) -> DataFrame:
     return land(events.movements(table(spark, d, "transfers")), "moved")
 
@@ -311,26 +319,35 @@ def sampled_metadata_pairs(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_pairs_with_pictures(pairs, source.tokens(rows), 3).drop("score")
 
 
-def seed_name_hits(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+def seed_name_hits(spark: SparkSession, d: str) -> DataFrame:
     """Contracts that bear the name of a seed or one like it."""
-    members = land(name_match.name_members(_tokens(spark, d, "name")), "members")
-    pairs = name_match.name_pairs(land(members.select("name").distinct(), "names"), NAME_THRESHOLD)
-    return name_match.seed_name_edges(members, _seeds(spark, d, every), pairs).withColumn("score", F.round("score", 9))
+    members, seeds = land(name_match.name_members(_tokens(spark, d, "name")), "members"), land(_seeds(spark, d), "seeds")
+    return name_match.seed_name_edges(members, seeds, pipeline.seed_name_pairs(members, seeds, NAME_THRESHOLD)).withColumn("score", F.round("score", 9))
 
 
-def all_seed_name_hits(spark: SparkSession, d: str) -> DataFrame:
-    return seed_name_hits(spark, d, every=True)
+def seed_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts and tokens that each seed's hits reach, in every dimension and in all together; metadata as texts."""
+    rows = land(_rows(spark, d, "name", "token_uri", "image_uri", "metadata"), "rows")
+    edges = pipeline.match_seeds(rows, _seeds(spark, d), NAME_THRESHOLD, METADATA_THRESHOLD, documents=lambda rows, _: source.first_texts(rows))
+    return uri_match.seed_scale(pipeline.expand_edges(land(edges, "edges"), source.tokens(rows)))
 
 
-def seed_hits(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    """Tokens that each seed's hits reach in every dimension and in all together."""
-    rows = _rows(spark, d, "name", "token_uri", "image_uri", "metadata")
-    edges = pipeline.match_seeds(rows, _seeds(spark, d, every), NAME_THRESHOLD, METADATA_THRESHOLD)
-    return uri_match.seed_scale(pipeline.expand_edges(land(edges, "edges"), source.tokens(rows)))
+def seed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The metadata that a comparison with the seeds needs, parsed no more than that needs."""
+    rows = land(_rows(spark, d, "metadata"), "rows")
+    return source.seed_anchors(rows, _seeds(spark, d)).select(*source.KEY, F.col("source_order").alias("row_id"))
+
 
+def seed_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of the seeds' contracts."""
+    return source.identities(_rows(spark, d), _seeds(spark, d)).withColumnRenamed("source_order", "row_id")
 
-def all_seed_hits(spark: SparkSession, d: str) -> DataFrame:
-    return seed_hits(spark, d, every=True)
+
+def seed_text_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts whose metadata texts match a seed's."""
+    seeds = land(_seeds(spark, d), "seeds")
+    pairs = metadata_match.both_ways(metadata_match.similar_contracts(_text_anchors(spark, d), METADATA_THRESHOLD, seeds)).withColumn("score", F.round("score", 6))
+    return pairs.join(seeds, ["chain", "contract_address"], "left_semi")
 
 
 def snapshot_report(spark: SparkSession, d: str) -> DataFrame:
@@ -352,8 +369,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snapshot_tokens, snapshot_totals, snapshot_one_chain, snapshot_conflicts, snapshot_anchors, highest_tokens, url_forms, asset_facts, exported_snapshot, export_counts, canonical_documents,
-        token_uri_scopes, token_uri_ratios, image_uri_scopes, name_bearers, exact_name_scopes, fuzzy_name_pairs, fuzzy_name_scopes, metadata_pairs, metadata_scopes, sampled_metadata_pairs, asset_text_pairs, snapshot_report,
-        all_seed_uri_scale, all_seed_uri_scale_images_apart, all_seed_name_hits, all_seed_hits, all_unlisted_tokens,
+        token_uri_scopes, token_uri_ratios, image_uri_scopes, name_bearers, exact_name_scopes, fuzzy_name_pairs, fuzzy_name_scopes, metadata_pairs, metadata_scopes, sampled_metadata_pairs, text_pairs, text_scopes, text_profiles, text_scopes_of_all, lowest_anchors, snapshot_report, seed_text_hits, seed_documents, seed_tokens,
         ranked_seeds, seed_uri_scale, seed_uri_scale_images_apart, seed_name_hits, seed_hits, relations_unified, relations_by_scope, sampled_relations, retry_images, staged_assets, filled_assets, unlisted_tokens,
         transfer_lifecycles, token_holders, first_disposals, paid_and_held, transaction_gas, mint_payments, gas_concentration, receipt_gini, nearest_moves,
         address_edges, trading_cycles, cycle_sizes, cycle_exits, repeated_addresses, fan_addresses, inventory_shares, token_handovers, streamed_daily_counts, streamed_tokens,
@@ -409,8 +425,8 @@ _NEAR = f"f AS (SELECT x.name a, y.name b, jaro_winkler_similarity(x.name, y.nam
 _TOP = f"""
 sb AS (SELECT feed, metric, metric_window, lower(trim(chain)) chain, {_address("chain", "address")} address, min(seed_rank) seed_rank FROM seeds WHERE trim(address) <> '' GROUP BY ALL),
 top AS (SELECT *, row_number() OVER (PARTITION BY feed, metric, metric_window, chain ORDER BY seed_rank NULLS LAST, address) position FROM sb QUALIFY position <= {SEEDS_PER_RANKING})"""
+_SEEDS = f"sd AS (SELECT DISTINCT lower(trim(chain)) chain, {_address('chain', 'address')} contract_address FROM seeds WHERE trim(chain) <> '' AND trim(address) <> '')"
 _SEED_EDGES = """
-sd AS (SELECT DISTINCT chain, address contract_address FROM top),
 w AS (SELECT 'token_uri' dimension, token_uri_norm u, * FROM k WHERE token_uri_norm <> '' UNION ALL SELECT 'image_uri', image_uri_norm, * FROM k WHERE image_uri_norm <> ''),
 sw AS (SELECT DISTINCT dimension, u, chain, contract_address FROM w SEMI JOIN sd USING (chain, contract_address)),
 e AS (SELECT DISTINCT sw.dimension, sw.chain seed_chain, sw.contract_address seed_address, w.chain candidate_chain, w.contract_address candidate_address, token_id FROM w JOIN sw USING (dimension, u)
@@ -450,16 +466,40 @@ def _url(c: str) -> str:
         ELSE rtrim(lower({v}), '/') END"""
 
 
-_BM25 = f"""
-tx AS (SELECT lower(metadata) t, min(asset_id) i FROM nft_assets WHERE metadata IS NOT NULL GROUP BY 1),
-ws AS (SELECT i, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+')) term FROM tx),
-tf AS (SELECT i, term, count(*) n FROM ws GROUP BY ALL), ln AS (SELECT i, sum(n) l FROM tf GROUP BY i),
-cand AS (SELECT a.i x, b.i y FROM tf a JOIN tf b ON a.term = b.term AND a.i < b.i GROUP BY ALL),
-al AS (SELECT x, y, lx.l lx, ly.l ly, greatest((lx.l + ly.l) / 2, 1.0) av FROM cand JOIN ln lx ON lx.i = x JOIN ln ly ON ly.i = y),
-xw AS (SELECT x, y, term, n * 2.2 / (n + 1.2 * (0.25 + 0.75 * lx / av)) w FROM al JOIN tf ON tf.i = x),
-yw AS (SELECT x, y, term, n * 2.2 / (n + 1.2 * (0.25 + 0.75 * ly / av)) w FROM al JOIN tf ON tf.i = y),
+_FIRST_TEXTS = f"""
+raw AS (SELECT row_id, lower(trim(chain)) chain, {_address("chain", "contract_address")} contract_address, trim(token_id) token_id, lower(trim(metadata_json)) t FROM snapshot
+  WHERE trim(chain) <> '' AND trim(contract_address) <> '' AND trim(token_id) <> '' AND trim(metadata_json) <> ''),
+ax AS (SELECT chain, contract_address, token_id, arg_min(t, row_id) t FROM raw GROUP BY ALL),
+an AS (SELECT ax.*, chain <> 'solana' al, CASE WHEN regexp_full_match(token_id, '[0-9]+') THEN 0 ELSE 1 END d, CASE WHEN regexp_full_match(token_id, '[0-9]+') THEN regexp_replace(token_id, '^0+(.)', '\\1') ELSE token_id END p FROM ax),
+ar AS (SELECT *, (d, CASE WHEN d = 0 THEN length(p) ELSE 0 END, p) o FROM an)"""
+
+
+def _text_match(unit: str) -> str:
+    """SQL of the matching pairs (a, b, s) of units (id u, chain, contract_address) over _FIRST_TEXTS."""
+    return f"""
+un AS (SELECT *, {unit} unit FROM ar), ui AS (SELECT chain, contract_address, unit, any_value(al) al, arg_max(t, (o, token_id)) top FROM un GROUP BY ALL),
+us AS (SELECT *, row_number() OVER (ORDER BY chain, contract_address, unit) u FROM ui), ua AS (SELECT u, token_id, o, t, un.al FROM un JOIN us USING (chain, contract_address, unit)),
+cm AS (SELECT x.u a, y.u b, arg_max(x.t, (x.o, x.token_id)) ta, arg_max(y.t, (x.o, x.token_id)) tb FROM ua x JOIN ua y ON x.token_id = y.token_id AND x.u < y.u AND x.al AND y.al GROUP BY ALL),
+pr AS (SELECT x.u a, y.u b, coalesce(cm.ta, x.top) ta, coalesce(cm.tb, y.top) tb FROM us x JOIN us y ON x.u < y.u LEFT JOIN cm ON cm.a = x.u AND cm.b = y.u),
+dd AS (SELECT DISTINCT ta x, tb y FROM pr WHERE ta < tb UNION SELECT DISTINCT tb, ta FROM pr WHERE tb < ta),
+dt AS (SELECT t, row_number() OVER (ORDER BY t) i FROM (SELECT DISTINCT t FROM ar)),
+tf AS (SELECT i, term, count(*) n FROM (SELECT i, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+')) term FROM dt) GROUP BY ALL), ln AS (SELECT i, sum(n) l FROM tf GROUP BY i),
+di AS (SELECT a.i x, b.i y FROM dd JOIN dt a ON a.t = x JOIN dt b ON b.t = y),
+al2 AS (SELECT x, y, lx.l lx, ly.l ly, greatest((lx.l + ly.l) / 2, 1.0) av FROM di JOIN ln lx ON lx.i = x JOIN ln ly ON ly.i = y),
+xw AS (SELECT x, y, term, n * 2.2 / (n + 1.2 * (0.25 + 0.75 * lx / av)) w FROM al2 JOIN tf ON tf.i = x),
+yw AS (SELECT x, y, term, n * 2.2 / (n + 1.2 * (0.25 + 0.75 * ly / av)) w FROM al2 JOIN tf ON tf.i = y),
 bo AS (SELECT x, y, coalesce(xw.w, 0) a, coalesce(yw.w, 0) b, CASE WHEN xw.w IS NULL OR yw.w IS NULL THEN ln(2.0) ELSE ln(1.2) END idf FROM xw FULL JOIN yw USING (x, y, term)),
-sc AS (SELECT x, y, sum(idf * idf * a * b) / sqrt(sum(idf * idf * a * a) * sum(idf * idf * b * b)) s FROM bo GROUP BY ALL)"""
+sc AS (SELECT x, y, sum(idf * idf * a * b) / sqrt(sum(idf * idf * a * a) * sum(idf * idf * b * b)) s FROM bo GROUP BY ALL),
+st2 AS (SELECT a.t x, b.t y, s FROM sc JOIN dt a ON a.i = sc.x JOIN dt b ON b.i = sc.y),
+mt AS (SELECT a, b, CASE WHEN ta = tb THEN 1.0 ELSE s END s FROM pr LEFT JOIN st2 ON x = least(ta, tb) AND y = greatest(ta, tb) WHERE ta = tb OR s >= {METADATA_THRESHOLD})"""
+
+
+_CONTRACTS, _UNITS = "''", "CASE WHEN al THEN '' ELSE token_id END"
+_TEXT_SCOPES = f"""
+sz AS (SELECT chain, contract_address, count(*) n FROM k GROUP BY ALL),
+mb AS (SELECT u, us.chain, us.contract_address, CASE WHEN us.al THEN sz.n ELSE 1 END n FROM us JOIN sz USING (chain, contract_address)),
+h AS (SELECT DISTINCT kind, m.chain primary_chain, CASE WHEN kind = 'matrix' THEN p.chain END secondary_chain, m.contract_address, m.u, m.n FROM mb m JOIN (SELECT a, b FROM {{}} UNION ALL SELECT b, a FROM {{}}) e ON e.a = m.u JOIN mb p ON p.u = e.b
+  JOIN (VALUES ('intra'), ('cross'), ('matrix')) v(kind) ON (kind = 'intra') = (m.chain = p.chain))"""
 
 ORACLES = {
     "snapshot_tokens": f"WITH {_CLEAN} SELECT * FROM k",
@@ -483,13 +523,31 @@ ORACLES = {
     "fuzzy_name_pairs": f"WITH {_CLEAN}, {_NAMES}, {_NEAR} SELECT a, b, round(s, 9) similarity FROM f",
     "fuzzy_name_scopes": f"""WITH {_CLEAN}, {_NAMES}, {_NEAR}, fb AS (SELECT a, b FROM f UNION ALL SELECT b, a FROM f),
         l AS ({_SAME} UNION SELECT x.name, x.chain, y.chain FROM st x JOIN fb ON fb.a = x.name JOIN st y ON y.name = fb.b), {_LINKS} {_COUNTED.format("name")}""",
-    "asset_text_pairs": f"WITH {_BM25} SELECT x asset_a, y asset_b, round(s, 6) score FROM sc WHERE s >= {TEXT_THRESHOLD}",
+    "text_pairs": f"WITH {_CLEAN}, {_FIRST_TEXTS}, {_text_match(_CONTRACTS)} SELECT x.chain chain_a, x.contract_address contract_a, y.chain chain_b, y.contract_address contract_b, round(s, 6) score FROM mt JOIN us x ON x.u = a JOIN us y ON y.u = b",
+    "text_scopes": f"WITH {_CLEAN}, {_FIRST_TEXTS}, {_text_match(_UNITS)}, {_TEXT_SCOPES.format('mt', 'mt')} {_COUNTED.format('metadata')}",
+    "text_scopes_of_all": f"""WITH {_CLEAN}, {_FIRST_TEXTS}, us AS (SELECT *, row_number() OVER (ORDER BY chain, contract_address, unit) u FROM (SELECT DISTINCT chain, contract_address, al, {_UNITS} unit FROM ar)),
+        mt AS (SELECT x.u a, y.u b FROM us x JOIN us y ON x.u < y.u), {_TEXT_SCOPES.format("mt", "mt")} {_COUNTED.format("metadata")}""",
+    "text_profiles": f"""WITH {_FIRST_TEXTS}, un AS (SELECT *, {_UNITS} unit FROM ar), pf AS (SELECT chain, contract_address, unit, al, CASE WHEN any_value(al) THEN list_sort(list((token_id, t))) ELSE [('', arg_max(t, (o, token_id)))] END l FROM un GROUP BY ALL)
+        SELECT chain, contract_address, unit, al aligned, members FROM (SELECT *, row_number() OVER w i, count(*) OVER (PARTITION BY al, l) members FROM pf WINDOW w AS (PARTITION BY al, l ORDER BY chain, contract_address, unit)) WHERE i = 1""",
+    "lowest_anchors": f"""WITH {_FIRST_TEXTS}, fr AS (SELECT chain, contract_address, token_id, min(row_id) row_id FROM raw GROUP BY ALL), oa AS (SELECT ar.*, row_id FROM ar JOIN fr USING (chain, contract_address, token_id))
+        SELECT chain, contract_address, token_id, 'low' AS "end", row_id FROM oa QUALIFY row_number() OVER (PARTITION BY chain, contract_address ORDER BY o, token_id) <= 3
+        UNION ALL SELECT chain, contract_address, token_id, 'high', row_id FROM oa QUALIFY row_number() OVER (PARTITION BY chain, contract_address ORDER BY o DESC, token_id DESC) <= 2""",
+    "seed_tokens": f"WITH {_CLEAN}, {_SEEDS} SELECT chain, contract_address, token_id, first_row row_id FROM k SEMI JOIN sd USING (chain, contract_address)",
+    "seed_hits": f"""WITH {_CLEAN}, {_NAMES}, {_NEAR}, {_SEEDS}, tm AS (WITH {_FIRST_TEXTS}, {_text_match(_CONTRACTS)} SELECT x.chain ca, x.contract_address xa, y.chain cb, y.contract_address xb FROM mt JOIN us x ON x.u = a JOIN us y ON y.u = b),
+        {_SEED_EDGES}, sn AS (SELECT DISTINCT z.chain, z.contract_address, name FROM z SEMI JOIN sd USING (chain, contract_address)),
+        nw AS (SELECT chain, contract_address, name FROM sn UNION SELECT chain, contract_address, b FROM sn JOIN f ON a = name UNION SELECT chain, contract_address, a FROM sn JOIN f ON b = name),
+        wh AS (SELECT DISTINCT 'name' dimension, nw.chain seed_chain, nw.contract_address seed_address, z.chain candidate_chain, z.contract_address candidate_address FROM nw JOIN z USING (name)
+          UNION ALL SELECT 'metadata', ca, xa, cb, xb FROM tm SEMI JOIN sd ON sd.chain = ca AND sd.contract_address = xa UNION ALL SELECT 'metadata', cb, xb, ca, xa FROM tm SEMI JOIN sd ON sd.chain = cb AND sd.contract_address = xb),
+        al3 AS (SELECT * FROM e UNION ALL SELECT wh.*, k.token_id FROM wh JOIN k ON k.chain = candidate_chain AND k.contract_address = candidate_address WHERE seed_chain <> candidate_chain OR seed_address <> candidate_address)
+        {_SCALE.format("al3")}""",
+    "seed_text_hits": f"""WITH {_CLEAN}, {_FIRST_TEXTS}, {_text_match(_CONTRACTS)}, {_SEEDS}, w AS (SELECT a, b, s FROM mt UNION ALL SELECT b, a, s FROM mt)
+        SELECT x.chain, x.contract_address, y.chain peer_chain, y.contract_address peer_address, round(s, 6) score FROM w JOIN us x ON x.u = a JOIN us y ON y.u = b WHERE EXISTS (SELECT 1 FROM sd WHERE sd.chain = x.chain AND sd.contract_address = x.contract_address)""",
     "ranked_seeds": f"WITH {_TOP} SELECT * FROM top",
-    "seed_uri_scale": f"WITH {_CLEAN}, {_TOP}, {_SEED_EDGES} {_SCALE.format('e')}",
-    "seed_uri_scale_images_apart": f"""WITH {_CLEAN}, {_TOP}, {_SEED_EDGES}, ap AS (SELECT * FROM e WHERE dimension = 'token_uri' OR NOT EXISTS (SELECT 1 FROM e x WHERE x.dimension = 'token_uri' AND x.seed_chain = e.seed_chain
+    "seed_uri_scale": f"WITH {_CLEAN}, {_SEEDS}, {_SEED_EDGES} {_SCALE.format('e')}",
+    "seed_uri_scale_images_apart": f"""WITH {_CLEAN}, {_SEEDS}, {_SEED_EDGES}, ap AS (SELECT * FROM e WHERE dimension = 'token_uri' OR NOT EXISTS (SELECT 1 FROM e x WHERE x.dimension = 'token_uri' AND x.seed_chain = e.seed_chain
         AND x.seed_address = e.seed_address AND x.candidate_chain = e.candidate_chain AND x.candidate_address = e.candidate_address AND x.token_id = e.token_id)) {_SCALE.format("ap")}""",
-    "seed_name_hits": f"""WITH {_CLEAN}, {_NAMES}, {_NEAR}, {_TOP}, sd AS (SELECT DISTINCT z.chain, contract_address, name FROM z JOIN (SELECT DISTINCT chain, address FROM top) t ON t.chain = z.chain AND t.address = z.contract_address),
-        w AS (SELECT chain, contract_address, name, 1.0 s FROM sd UNION ALL SELECT chain, contract_address, b, s FROM sd JOIN f ON a = name UNION ALL SELECT chain, contract_address, a, s FROM sd JOIN f ON b = name)
+    "seed_name_hits": f"""WITH {_CLEAN}, {_NAMES}, {_NEAR}, {_SEEDS}, sn AS (SELECT DISTINCT z.chain, z.contract_address, name FROM z SEMI JOIN sd USING (chain, contract_address)),
+        w AS (SELECT chain, contract_address, name, 1.0 s FROM sn UNION ALL SELECT chain, contract_address, b, s FROM sn JOIN f ON a = name UNION ALL SELECT chain, contract_address, a, s FROM sn JOIN f ON b = name)
         SELECT w.chain seed_chain, w.contract_address seed_address, z.chain candidate_chain, z.contract_address candidate_address, round(max(s), 9) score FROM w JOIN z USING (name)
         WHERE w.chain <> z.chain OR w.contract_address <> z.contract_address GROUP BY ALL""",
     "snapshot_report": f"""WITH {_CLEAN}, {_TOTALS}, n AS (WITH {_NAMES}, l AS ({_SAME}), {_LINKS} {_COUNTED.format("name")}), u AS (WITH {_SHARED} {_COUNTED.format("token_uri")}), i AS (WITH {_IMAGES} {_COUNTED.format("image_uri")}),
@@ -513,7 +571,7 @@ ORACLES = {
     "filled_assets": f"""WITH {_CLEAN}, f AS (SELECT lower(trim(chain)) chain, {_address("chain", "contract_address")} contract_address, token_id, min(nullif({_url("token_uri")}, '')) token_uri, min(nullif({_url("image_uri")}, '')) image_uri
           FROM nft_assets WHERE trim(contract_address) <> '' AND token_id <> '' GROUP BY ALL)
         SELECT chain, contract_address, token_id, coalesce(nullif(token_uri_norm, ''), token_uri) token_uri, coalesce(nullif(image_uri_norm, ''), image_uri) image_uri FROM k FULL JOIN f USING (chain, contract_address, token_id)""",
-    "unlisted_tokens": f"WITH {_CLEAN}, {_TOP} SELECT chain, count(*) nfts FROM k WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.chain = k.chain AND top.address = k.contract_address) GROUP BY chain",
+    "unlisted_tokens": f"WITH {_CLEAN}, {_SEEDS} SELECT chain, count(*) nfts FROM k ANTI JOIN sd USING (chain, contract_address) GROUP BY chain",
     "transfer_lifecycles": f"""WITH {_MOVES} SELECT chain, contract_address, count(*) events, count(DISTINCT token_id) tokens, count(*) FILTER (WHERE is_mint) mints, min(block_ts) first_at, max(block_ts) last_at,
         min(block_ts) FILTER (WHERE is_mint) first_mint_at, min(block_ts) FILTER (WHERE NOT coalesce(is_mint, false)) first_transfer_at FROM m GROUP BY ALL""",
     "token_holders": f"WITH {_MOVES}, {_LAST} SELECT chain, contract_address, token_id, to_address owner FROM held",
@@ -550,8 +608,3 @@ ORACLES = {
     "streamed_daily_counts": "SELECT lower(trim(chain)) chain, strftime(ingested_at, '%Y-%m-%d') AS day, count(*) records, max(first_seen_block) highest_block FROM snapshot WHERE ingested_at IS NOT NULL GROUP BY ALL",
     "streamed_tokens": f"SELECT lower(trim(chain)) chain, count(DISTINCT ({_address('chain', 'contract_address')}, token_id)) nfts FROM snapshot WHERE chain IS NOT NULL AND trim(contract_address) <> '' AND token_id IS NOT NULL GROUP BY 1",
 }
-
-#: the same over every seed
-_EVERY = f"""
-top AS (SELECT DISTINCT lower(trim(chain)) chain, {_address("chain", "address")} address FROM seeds WHERE trim(chain) <> '' AND trim(address) <> '')"""
-ORACLES |= {f"all_{name}": ORACLES[name].replace(_TOP, _EVERY) for name in ("seed_uri_scale", "seed_uri_scale_images_apart", "seed_name_hits", "seed_hits", "unlisted_tokens") if name in ORACLES}

@@ -58,7 +58,7 @@ def _replace(spark: SparkSession, path: str, force: bool, write: Callable[[str],
     """Puts the folder that write() makes at a path; see publish."""
     fs, at = _fs(spark, path)
     if fs.exists(at) and not force:
-        raise FileExistsError(path)
+        raise FileExistsError(f"{path} exists")
     fresh, old = f"{path}.fresh", f"{path}.old"
     remove_path(spark, fresh)
     write(fresh)

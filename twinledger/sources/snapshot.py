@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinledger.functions.documents import canonical_json
-from twinledger.functions.text import normalize_name, normalize_url
+from twinledger.functions.text import normalize_name, normalize_url, token_order
 from twinledger.identity import tidy_address, tidy_chain
-from twinledger.runtime import spread
+from twinledger.runtime import land, spread
 
 KEY = ["chain", "contract_address", "token_id"]
 #: columns beside the key that a dimension needs
@@ -112,19 +112,53 @@ def chain_totals(rows: DataFrame) -> DataFrame:
 def anchors(rows: DataFrame, normalised: bool = True, keep: int | None = None, highest: bool = False) -> DataFrame:
     """(key, source_order, document): the first valid canonical metadata of each token in source order.
 
-    keep: only so many tokens per contract, in ascending order of token ids, or descending with highest. rows: a scan, see runtime.spread.
+    keep, highest: see bounded. rows: a scan, see runtime.spread.
     """
-    from pyspark.sql import Window
-
-    from twinledger.functions.text import token_order
-
     valid = spread(rows.filter("metadata_json <> ''")).withColumn("document", canonical_json(F.col("metadata_json"), normalised)).filter(F.col("document").isNotNull())
     first = valid.groupBy(*KEY).agg(F.min(F.struct("source_order", "document")).alias("f")).select(*KEY, "f.*")
-    if keep is None:
-        return first
+    return first if keep is None else bounded(first, keep, highest)
+
+
+def bounded(found: DataFrame, keep: int, highest: bool = False) -> DataFrame:
+    """Of anchors only ``keep`` tokens per contract, in ascending order of token ids, or descending with highest.
+
+    Spark keeps the best rows of each task before they move (a window group limit), so a contract with most tokens sends ``keep`` rows per task.
+    """
     order = token_order(F.col("token_id"))
-    ranked = first.withColumn("__rank", F.row_number().over(Window.partitionBy("chain", "contract_address").orderBy(order.desc() if highest else order)))
-    return ranked.filter(F.col("__rank") <= keep).drop("__rank")
+    by = Window.partitionBy("chain", "contract_address").orderBy(*([order.desc(), F.col("token_id").desc()] if highest else [order, F.col("token_id")]))
+    return found.withColumn("__rank", F.row_number().over(by)).filter(F.col("__rank") <= keep).drop("__rank")
+
+
+def first_texts(rows: DataFrame) -> DataFrame:
+    """(key, source_order, document): the first metadata of each token as it is, in lower case; for documents that need no canonical form."""
+    given = rows.filter("metadata_json <> ''").select(*KEY, "source_order", F.lower("metadata_json").alias("document"))
+    return given.groupBy(*KEY).agg(F.min(F.struct("source_order", "document")).alias("f")).select(*KEY, "f.*")
+
+
+def seed_anchors(rows: DataFrame, seeds: DataFrame, normalised: bool = True) -> DataFrame:
+    """The anchors (see anchors) that can matter to a comparison with seeds (chain, contract_address), of a landed table of cleaned rows.
+
+    Metadata is parsed only of rows of the seeds' contracts, of rows with a token id that a seed has, and of each other contract's highest
+    token; where that has no valid document, of all rows of its contract. What is left out can neither be aligned with a seed's token
+    nor be its contract's highest.
+    """
+    key = ["chain", "contract_address"]
+    given = rows.filter("metadata_json <> ''")
+    mine = land(seeds.select(*key).distinct(), "seeds")
+    shared = given.join(mine, key, "left_semi").select("token_id").distinct().withColumn("shared", F.lit(True))
+    top = given.groupBy(*key).agg(F.max(F.struct(token_order(F.col("token_id")), "token_id")).alias("t")).select(*key, F.col("t.token_id").alias("top"))
+    flagged = given.join(mine.withColumn("mine", F.lit(True)), key, "left").join(shared, "token_id", "left").join(top, key)
+    flagged = land(flagged.withColumn("matters", F.coalesce(F.col("mine"), F.lit(False)) | F.coalesce("shared", F.lit(False))).select(*rows.columns, "matters", (F.col("token_id") == F.col("top")).alias("highest")), "flagged")
+    first = land(anchors(flagged.filter("matters or highest").select(*rows.columns), normalised), "anchors")
+    topped = first.join(flagged.filter("highest").select(*KEY).distinct(), KEY, "left_semi").select(*key).distinct()
+    rest = flagged.filter("not matters and not highest").join(topped, key, "left_anti")
+    return first.unionByName(anchors(land(rest.select(*rows.columns), "rest"), normalised))
+
+
+def identities(rows: DataFrame, contracts: DataFrame) -> DataFrame:
+    """(chain, contract_address, token_id, source_order) of the tokens of some contracts (chain, contract_address) only, as a cached run needs them; no other
+    column is read."""
+    return rows.select(*KEY, "source_order").join(contracts.select("chain", "contract_address").distinct(), ["chain", "contract_address"], "left_semi").groupBy(*KEY).agg(F.min("source_order").alias("source_order"))
 
 
 def exported(assets: DataFrame, names: bool = True) -> DataFrame:
