@@ -19,6 +19,14 @@ SALES = f"nftSales array<struct<transactionHash:string,sellerAddress:string,buye
 RECEIPT = "struct<gasUsed:string,effectiveGasPrice:string,gasPrice:string,from:string>"
 BALANCES = "array<struct<accountIndex:long,mint:string,owner:string,uiTokenAmount:struct<amount:string>>>"
 META = f"meta struct<preTokenBalances:{BALANCES},postTokenBalances:{BALANCES}>"
+NATIVE = "result struct<pageKey:string,transfers:array<struct<category:string,hash:string,transactionHash:string,uniqueId:string,from:string,to:string,value:double,rawContract:struct<value:string,decimal:string,decimals:int>,blockNum:string,metadata:struct<blockTimestamp:string>>>>"
+LISTED = "result array<map<string,string>>"
+MARKET_SALES = "asset_events array<struct<event_type:string,type:string,transaction:string,transaction_hash:string,seller:string,buyer:string,event_timestamp:string,total_price:string,nft:struct<identifier:string,token_id:string,contract:string>,payment:struct<quantity:string,amount:string,decimals:int,symbol:string,contract_address:string,token_address:string,address:string>>>"
+_GROUP = "struct<group_key:string,group_value:string,collection_metadata:struct<update_authority:string,updateAuthority:string>>"
+ASSETS = f"result struct<items:array<struct<id:string,burnt:boolean,interface:string,content:struct<json_uri:string,metadata:struct<name:string,symbol:string>>,grouping:array<{_GROUP}>,creators:array<struct<address:string,verified:boolean>>,ownership:struct<owner:string>>>>"
+_STEP = "struct<parsed:struct<type:string,info:struct<source:string,from:string,destination:string,to:string,lamports:long>>>"
+SOL = f"transaction struct<message:struct<accountKeys:array<struct<pubkey:string>>,instructions:array<{_STEP}>>>, meta struct<fee:long,preBalances:array<long>,postBalances:array<long>,innerInstructions:array<struct<instructions:array<{_STEP}>>>>"
+LAMPORTS = 1_000_000_000
 #: members that name a ranked collection's address, rank and name, in order of preference
 RANKED = {"address": ["contract_address", "contract", "address"], "rank": ["rank", "ranking"], "name": ["name", "contract_name", "collection"]}
 
@@ -129,6 +137,97 @@ def receipts(pages: DataFrame) -> DataFrame:
     return out.filter("wei is not null").select("tx_hash", (F.col("wei") / 1e18).alias("gas_native"), "fee_payer")
 
 
+def native_moves(pages: DataFrame) -> DataFrame:
+    """(chain, tx_hash, event_id, from_address, to_address, amount, at, block_number) of pages (chain, payload) of plain transfers of a chain's coin.
+
+    The amount is the reply's own, else the raw one over its decimals (18 if not said). Items of another category, without a hash or without any
+    end are left out.
+    """
+    each = pages.withColumn("i", F.explode(F.from_json("payload", NATIVE)["result"]["transfers"]))
+    raw = whole(F.col("i.rawContract.value")).cast("double") / F.pow(F.lit(10.0), F.coalesce(whole(F.col("i.rawContract.decimal")).cast("int"), F.col("i.rawContract.decimals"), F.lit(18)))
+    end = lambda c: F.nullif(F.lower(F.coalesce(F.col(f"i.{c}"), F.lit(""))), F.lit(""))
+    out = each.select(
+        "chain", F.nullif(F.lower(F.trim(F.coalesce("i.hash", "i.transactionHash"))), F.lit("")).alias("tx_hash"), F.nullif(F.trim("i.uniqueId"), F.lit("")).alias("event_id"), end("from").alias("from_address"), end("to").alias("to_address"),
+        F.coalesce("i.value", raw).alias("amount"), seconds(F.col("i.metadata.blockTimestamp")).alias("at"), number(F.col("i.blockNum")).alias("block_number"), F.lower(F.coalesce("i.category", F.lit(""))).alias("c"),
+    )
+    return out.filter("c in ('', 'external') and tx_hash is not null and (from_address is not null or to_address is not null)").drop("c")
+
+
+def listed_transfers(pages: DataFrame) -> DataFrame:
+    """The columns of transfers, of pages of an explorer that lists one token move per item with numbers as decimal text."""
+    i = pages.withColumn("i", F.explode(F.from_json("payload", LISTED)["result"]))
+    of = lambda c: F.col("i")[c]
+    sender = F.lower(F.coalesce(of("from"), F.lit("")))
+    out = i.select(
+        "chain", "contract_address", F.coalesce(of("hash"), F.lit("")).alias("tx_hash"), token_id(F.coalesce(of("tokenID"), of("tokenId"))).alias("token_id"), sender.alias("from_address"), F.lower(F.coalesce(of("to"), F.lit(""))).alias("to_address"),
+        seconds(of("timeStamp")).alias("at"), number(of("blockNumber")).alias("block_number"), ((sender == "") | (sender == ZERO)).alias("is_mint"),
+    )
+    return out.filter("token_id <> ''")
+
+
+def _party(text: Column) -> Column:
+    """An address given as text or in an object."""
+    return F.coalesce(F.get_json_object(text, "$.address"), F.get_json_object(text, "$.hash"), F.when(~text.startswith("{"), text))
+
+
+def market_sales(pages: DataFrame) -> DataFrame:
+    """(chain, contract_address, tx_hash, token_id, seller, buyer, at, amount, symbol, currency) of pages of a marketplace's events.
+
+    Events of another type count only if they name a payment; those of another contract don't. Amounts are over the payment's decimals, else 18,
+    on solana 9; such replies do not split fees. Sales without seller, buyer or token are left out.
+    """
+    chain = F.col("chain")
+    i = pages.withColumn("i", F.explode(F.from_json("payload", MARKET_SALES)["asset_events"]))
+    kind = F.lower(F.coalesce("i.event_type", "i.type", F.lit("sale")))
+    paid = F.col("i.payment").isNotNull() | F.col("i.total_price").isNotNull()
+    raw = F.coalesce("i.payment.quantity", "i.payment.amount", "i.total_price").try_cast("double")
+    decimals = F.coalesce("i.payment.decimals", F.when(chain == "solana", 9).otherwise(18))
+    own = F.coalesce(tidy_address(chain, _party(F.col("i.nft.contract"))) == tidy_address(chain, F.col("contract_address")), F.lit(True))
+    out = i.filter((kind.isin("sale", "order") | paid) & own).select(
+        "chain", "contract_address", F.coalesce(_party(F.col("i.transaction")), F.col("i.transaction_hash"), F.lit("")).alias("tx_hash"), token_id(F.coalesce("i.nft.identifier", "i.nft.token_id")).alias("token_id"),
+        tidy_address(chain, _party(F.col("i.seller"))).alias("seller"), tidy_address(chain, _party(F.col("i.buyer"))).alias("buyer"), seconds(F.col("i.event_timestamp")).alias("at"),
+        (raw / F.pow(F.lit(10.0), decimals)).alias("amount"), F.col("i.payment.symbol").alias("symbol"), tidy_address(chain, F.coalesce("i.payment.contract_address", "i.payment.token_address", "i.payment.address")).alias("currency"),
+    )
+    return out.filter("seller is not null and buyer is not null and token_id <> ''")
+
+
+def collection_assets(pages: DataFrame) -> DataFrame:
+    """(collection, mint, owner, name, symbol, uri, interface, authorities) of pages (collection, payload) of a collection's assets; burnt ones and those without id are left out.
+
+    authorities: sorted, the update authorities of the collection's group and the verified creators of the asset, comma-separated.
+    """
+    i = pages.withColumn("i", F.explode(F.from_json("payload", ASSETS)["result"]["items"])).filter("i.id <> '' and not coalesce(i.burnt, false)")
+    own = F.filter("i.grouping", lambda g: (g["group_key"] == "collection") & F.coalesce(g["group_value"] == F.col("collection"), F.lit(True)))[0]["collection_metadata"]
+    verified = F.transform(F.filter("i.creators", lambda c: F.coalesce(c["verified"], F.lit(False))), lambda c: c["address"])
+    named = F.transform(F.concat(F.array(own["update_authority"], own["updateAuthority"]), F.coalesce(verified, F.array().cast("array<string>"))), lambda a: F.trim(a))
+    listed = F.array_join(F.sort_array(F.array_distinct(F.filter(named, lambda a: a != ""))), ",")
+    return i.select("collection", F.col("i.id").alias("mint"), F.col("i.ownership.owner").alias("owner"), F.col("i.content.metadata.name").alias("name"), F.col("i.content.metadata.symbol").alias("symbol"), F.col("i.content.json_uri").alias("uri"), F.col("i.interface").alias("interface"), listed.alias("authorities"))
+
+
+def sol_moves(pages: DataFrame) -> DataFrame:
+    """(signature, event_id, from_address, to_address, amount) of (signature, payload): movements of the coin in a transaction, in whole coins.
+
+    The parsed transfer instructions, outer before inner, with their index among all instructions. Where there is none, the balances: if apart
+    from the first account's fee one account lost and one got, what is the smaller of both moved between them.
+    """
+    p = pages.select("signature", F.from_json("payload", SOL).alias("j")).select("signature", F.col("j.transaction.message").alias("m"), "j.meta")
+    inner = F.flatten(F.transform(F.coalesce("meta.innerInstructions", F.array().cast(f"array<struct<instructions:array<{_STEP}>>>")), lambda g: g["instructions"]))
+    steps = F.concat(F.coalesce("m.instructions", F.array().cast(f"array<{_STEP}>")), inner)
+
+    def step(x: Column, i: Column) -> Column:
+        info = x["parsed"]["info"]
+        return F.struct(F.concat(F.lit("instruction:"), i.cast("string")).alias("event_id"), F.trim(F.coalesce(info["source"], info["from"])).alias("from_address"), F.trim(F.coalesce(info["destination"], info["to"])).alias("to_address"), F.when(x["parsed"]["type"].isin("transfer", "transferWithSeed"), info["lamports"]).alias("lamports"))
+
+    told = F.filter(F.transform(steps, step), lambda s: (s["lamports"] > 0) & (s["from_address"] != "") & (s["to_address"] != ""))
+    keys, pre, post = F.transform("m.accountKeys", lambda a: a["pubkey"]), F.col("meta.preBalances"), F.col("meta.postBalances")
+    delta = F.transform(keys, lambda a, i: F.struct(i.alias("i"), a.alias("a"), (F.get(post, i) - F.get(pre, i) + F.when(i == 0, F.coalesce("meta.fee", F.lit(0))).otherwise(0)).alias("d")))
+    q = p.withColumns({"told": told, "delta": F.when((F.size(keys) == F.size(pre)) & (F.size(pre) == F.size(post)), F.filter(delta, lambda x: x["a"] != ""))})
+    q = q.withColumns({"gave": F.filter("delta", lambda x: x["d"] < 0), "got": F.filter("delta", lambda x: x["d"] > 0)})
+    one = F.when((F.size("gave") == 1) & (F.size("got") == 1), F.array(F.struct(F.concat_ws(":", F.lit("balance"), F.col("gave")[0]["i"], F.col("got")[0]["i"]).alias("event_id"), F.col("gave")[0]["a"].alias("from_address"), F.col("got")[0]["a"].alias("to_address"), F.least(-F.col("gave")[0]["d"], F.col("got")[0]["d"]).alias("lamports"))))
+    found = q.select("signature", F.explode(F.when(F.size("told") > 0, F.col("told")).otherwise(one)).alias("x"))
+    return found.select("signature", "x.event_id", "x.from_address", "x.to_address", (F.col("x.lamports") / LAMPORTS).alias("amount"))
+
+
 def owner_changes(pages: DataFrame) -> DataFrame:
     """(signature, mint, from_owner, to_owner, is_mint) of (signature, mint, payload): who lost and who got most of a token in a transaction.
 
