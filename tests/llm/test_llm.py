@@ -67,7 +67,7 @@ def test_small_sets_and_hot_tokens(spark, block_rows):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)] + [(900, []), (901, None)], "row_id long, t array<long>")
     hashed = lambda d: d.select(F.col("row_id").alias("id"), F.transform("t", lambda x: F.xxhash64(x)).alias("tokens"))
     for t in (0.5, 0.8):
-        found = similar.similar_sets(df, hashed, similar.Join(t, 6, block_rows), "row_id")
+        found = similar.similar_sets(df, hashed, similar.Join(t, 6, block_rows))
         truth = {(i, j) for i, j in itertools.combinations(range(200), 2) if jaccard(set(sets[i]), set(sets[j])) >= t}
         assert set(rows(similar.row_pairs(found))) == truth
 
@@ -82,7 +82,7 @@ def test_long_sets_beside_brute_force(spark, monkeypatch):
             sets.append(keep | {rng.randrange(4000, 5000) for _ in range(rng.randint(0, size // 6))})
     df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "row_id long, t array<long>").coalesce(2)
     hashed = lambda d: d.select(F.col("row_id").alias("id"), F.transform("t", lambda x: F.xxhash64(x)).alias("tokens"))
-    found = similar.similar_sets(df, hashed, similar.Join(0.7, 10), "row_id")
+    found = similar.similar_sets(df, hashed, similar.Join(0.7, 10))
     truth = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if jaccard(sets[i], sets[j]) >= 0.7}
     assert set(rows(similar.row_pairs(found))) == truth and len(truth) >= 40
     from types import SimpleNamespace
@@ -125,7 +125,7 @@ def test_hot_classes_and_signatures_are_spread(spark, monkeypatch):
     few = lambda rows, on, share=0, least=0: skew.hot_keys(rows, on, 1 / 100, 5)
     monkeypatch.setattr(similar, "hot_keys", few)
     source = snapshot(spark, metadata_json=texts)
-    found = similar.similar_sets(source, near_duplicates.metadata_sets, similar.Join(0.7, 4, block_rows=3), "row_id")
+    found = similar.similar_sets(source, near_duplicates.metadata_sets, similar.Join(0.7, 4, block_rows=3))
     assert set(rows(similar.row_pairs(found))) == truth
     counted = Counter(x for p in truth for x in p)
     assert {r.id: r.links for r in similar.links(found).collect()} == {i: counted[i] for i in sets}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinledger.llm.similar import Join, Similar, similar_sets
 from twinledger.llm.terms import terms
+from twinledger.runtime import land
 
 METADATA_LEAST_TERMS, METADATA_THRESHOLD, METADATA_SHARED = 20, 0.7, 10
 NAME_LEAST_CHARS, NAME_THRESHOLD, NAME_GRAM = 8, 0.5, 3
@@ -31,11 +32,9 @@ def distinct_names(snapshot: DataFrame) -> DataFrame:
 
 def similar_metadata(snapshot: DataFrame, threshold: float = METADATA_THRESHOLD) -> Similar:
     """Rows whose metadata terms are similar; rows with null or short metadata take no part, and equal term sets are one class."""
-    return similar_sets(snapshot.select("row_id", "metadata_json"), metadata_sets, Join(threshold, METADATA_SHARED), "row_id")
+    return similar_sets(snapshot.select("row_id", "metadata_json"), metadata_sets, Join(threshold, METADATA_SHARED))
 
 
 def similar_names(snapshot: DataFrame, threshold: float = NAME_THRESHOLD) -> Similar:
     """Names, each standing for its smallest row_id, that are similar in their substrings; short and null names take no part."""
-    from twinledger.runtime import land
-
-    return similar_sets(land(distinct_names(snapshot.select("row_id", "name_norm")), "names"), name_sets, Join(threshold), "row_id")
+    return similar_sets(land(distinct_names(snapshot.select("row_id", "name_norm")), "names"), name_sets, Join(threshold))

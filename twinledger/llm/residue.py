@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -204,6 +205,27 @@ def _unfilled(unit: Column) -> Column:
     return _any(unit, FIELDS, "(?u)", unit) & _any(rest, FIELDS, "(?u)", rest)
 
 
+def _one_of(words) -> str:
+    """A pattern for any of some words that tries their common beginnings once."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def written(at: dict) -> str:
+        parts = [re.escape(c) + written(next_) for c, next_ in sorted(at.items()) if c]
+        body = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+        return "" if not parts else f"(?:{body})?" if "" in at else body
+
+    return written(tree)
+
+
+#: any word of filler or mashed keys
+_KNOWN = _one_of({*FILLER_WORDS, *MASHED})
+
+
 def kind(unit: Column, low: Column) -> Column:
     """What kind of residue a unit, given as it is and in lower case, is, or null: script, error, placeholder or filler."""
     unit, low = (F.translate(x, "’‘", "''") for x in (unit, low))
@@ -212,8 +234,7 @@ def kind(unit: Column, low: Column) -> Column:
     flags = "(?iu)"
     words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     n = F.size(words)
-    known = sorted({*FILLER_WORDS, *MASHED})
-    some = low.rlike(rf"(?u)\b(?:{'|'.join(known)})\b")  # cheaper than counting, which few lines then need
+    some = low.rlike(rf"(?u)\b{_KNOWN}\b")  # cheaper than counting, which few lines then need
     again = low.rlike(r"(?u)\b(\p{L}{2,40})[\s.,]{1,3}\1\b")  # groups that repeat without bound would recurse on long texts
     filler = F.size(F.filter(words, lambda w: w.isin(*FILLER_WORDS)))
     mashed = F.size(F.filter(words, lambda w: w.isin(*MASHED)))
@@ -223,7 +244,7 @@ def kind(unit: Column, low: Column) -> Column:
     of_words = ((n >= 3) & ((filler >= 0.5 * n) | (mashed >= 0.6 * n))) | ((n >= 2) & (filler == n)) | ((n >= 5) & (filler >= 1) & ~plain) | ((filler >= 3) & (joining <= 0.1 * n)) | low.rlike(rf"(?u)\b(?:{'|'.join(MASHED)})(?:\W{{1,3}}(?:{'|'.join(MASHED)})\b){{2}}")
     # one word alone, or a word four times in a row, or few words over and over with none that joins them
     repeated = ((n >= 3) & (distinct == 1) & (F.length(words[0]) >= 3)) | low.rlike(r"(?u)\b(\p{L}{2,40})[\s.,]{1,3}\1[\s.,]{1,3}\1[\s.,]{1,3}\1\b") | ((n >= 6) & (distinct <= 0.5 * n) & ~plain)
-    cited = low.rlike(rf"(?u)\b{CITED}[ :,]{{1,2}}(?:(?:{'|'.join(known)})\b|(\p{{L}}{{2,40}})[\s.,]{{1,3}}\1[\s.,]{{1,3}}\1\b)")
+    cited = low.rlike(rf"(?u)\b{CITED}[ :,]{{1,2}}(?:{_KNOWN}\b|(\p{{L}}{{2,40}})[\s.,]{{1,3}}\1[\s.,]{{1,3}}\1\b)")
     return (
         F.when(_stated(said, SCRIPT_NOTICES, flags, low), "script")
         .when(_stated(said, ERROR_PAGES, flags, low), "error")

@@ -36,7 +36,7 @@ LEVEL_SIZE, LEVEL_SHARE = 256, 0.15
 BATCH_TOKENS = 2_000_000
 #: members of a class from which on its pairs are made by several tasks
 CLASS_LEAST = 1_000
-#: signatures that a task compares
+#: tokens of the sets whose signatures a task compares; signatures are about as many
 TASK_SIGNATURES = 4_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -149,9 +149,10 @@ def _parts(batch: pa.RecordBatch):
 SIGNATURES = "sig long, grp long, sketch long, size int"
 
 
-def _keys(batches, join: Join, counts):
-    """Of each part of the batches: the ordered sets, their groups and sketches, and (signature, set) of the sets that give signatures: the
-    pairs of prefix tokens of one class, and single tokens where sets are small. Copies within a part give them once."""
+def _keys(batches, join: Join, counts, above: int = 0):
+    """Of each part of the batches: the ordered sets, their groups and sketches, and (signature, set, sets that may have it) of the sets that
+    give signatures: the pairs of prefix tokens of one class, and single tokens where sets are small. Copies within a part give them once.
+    above: only signatures of tokens that more sets may have."""
     for part in (part for whole in batches for part in _parts(whole)):
         x = _Ordered(part, counts)
         group, (sketch,) = x.group(join), x.sketch(1)
@@ -159,16 +160,16 @@ def _keys(batches, join: Join, counts):
         _, first = np.unique(np.stack([described[1][::4], described[1][1::4], described[2][::4], described[2][3::4]]), axis=1, return_index=True)  # group, both sums, size
         chosen = np.zeros(len(group), bool)
         chosen[first] = True
-        yield x, group, sketch, described, (*_pairs(x, join, chosen), *_singles(x, join, chosen))
+        yield x, group, sketch, described, (*_pairs(x, join, chosen, above), *_singles(x, join, chosen, above))
 
 
-def _signature_slots(join: Join, counts) -> Callable:
-    """(slot, n): how many signatures fall into each of SLOTS slots."""
+def _signature_slots(join: Join, counts, above: int) -> Callable:
+    """(slot, n): how many signatures, of those that more than ``above`` sets may have by their tokens, fall into each of SLOTS slots."""
 
     def run(batches):
         total = np.zeros(SLOTS, np.int64)
-        for *_, keys in _keys(batches, join, counts.value):
-            for sig, _ in keys:
+        for *_, keys in _keys(batches, join, counts.value, above):
+            for sig, *_ in keys:
                 total += np.bincount((sig & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["slot", "n"])
@@ -182,30 +183,30 @@ def _signatures(join: Join, counts, slots, block_rows: int) -> Callable:
     def run(batches):
         for x, group, sketch, described, keys in _keys(batches, join, counts.value):
             yield pa.RecordBatch.from_arrays(list(map(pa.array, described)), ["sig", "grp", "sketch", "size"])
-            for sig, doc in keys:
-                sig, doc = _spread(sig, doc, slots.value, group, block_rows)
+            for sig, doc, often in keys:
+                sig, doc = _spread(sig, doc, often, slots.value, group, block_rows)
                 yield pa.RecordBatch.from_arrays([_signed(sig), _signed(group[doc]), _signed(sketch[doc]), pa.array(x.size[doc].astype(np.int32))], ["sig", "grp", "sketch", "size"])
 
     return run
 
 
-def _pairs(x: _Ordered, join: Join, chosen: np.ndarray):
-    """(signature, set), for each level that a set, or a similar larger one, is of."""
+def _pairs(x: _Ordered, join: Join, chosen: np.ndarray, above: int):
+    """(signature, set, sets that may have it), for each level that a set, or a similar larger one, is of."""
     wanted = chosen & (x.size > join.small)
     low, high = join.level(x.size), join.level(np.floor(x.size / join.threshold + 1e-9))
     for level in range(int(low.min()), int(high.max()) + 1):
         own = wanted & (low <= level) & (level <= high)
         if own.any():
             shared = join.shared_at(level)
-            yield from _pairs_at(x, x.in_prefix(join, shared) & own[x.doc], max(1, shared - 1), np.array([level], np.uint64) * _C)
+            yield from _pairs_at(x, x.in_prefix(join, shared) & own[x.doc] & (x.often > above), max(1, shared - 1), np.array([level], np.uint64) * _C)
 
 
 def _pairs_at(x: _Ordered, keep: np.ndarray, classes: int, salt: np.ndarray):
-    token, doc = x.token[keep], x.doc[keep]
+    token, doc, often = x.token[keep], x.doc[keep], x.often[keep]
     kind = (_mix(token ^ _B) % np.uint64(classes)).astype(np.int64)
     key = doc * classes + kind
     order = np.argsort(key, kind="stable")
-    token, doc, key = token[order], doc[order], key[order]
+    token, doc, often, key = token[order], doc[order], often[order], key[order]
     live, step = np.arange(len(key)), 1
     while True:
         live = live[live + step < len(key)]
@@ -213,22 +214,22 @@ def _pairs_at(x: _Ordered, keep: np.ndarray, classes: int, salt: np.ndarray):
         if not len(live):
             return
         a, b = token[live], token[live + step]
-        yield _mix(a * _A + _mix(b + _C) + salt), doc[live]
+        yield _mix(a * _A + _mix(b + _C) + salt), doc[live], np.minimum(often[live], often[live + step])
         step += 1
 
 
-def _singles(x: _Ordered, join: Join, chosen: np.ndarray):
+def _singles(x: _Ordered, join: Join, chosen: np.ndarray, above: int):
     if join.small < 1:
         return
     fits = x.size <= join.small / join.threshold + 1e-9
-    keep = x.in_prefix(join, 1) & (chosen & fits)[x.doc]
+    keep = x.in_prefix(join, 1) & (chosen & fits)[x.doc] & (x.often > above)
     if keep.any():
-        yield _mix(x.token[keep] ^ _A), x.doc[keep]
+        yield _mix(x.token[keep] ^ _A), x.doc[keep], x.often[keep]
 
 
-def _spread(sig: np.ndarray, doc: np.ndarray, slots: np.ndarray, group: np.ndarray, block_rows: int):
-    """Signatures of slots with more than block_rows, repeated for each pair of blocks that their group's block is part of."""
-    blocks = -(-slots[(sig & np.uint64(SLOTS - 1)).astype(np.int64)] // block_rows)
+def _spread(sig: np.ndarray, doc: np.ndarray, often: np.ndarray, slots: np.ndarray, group: np.ndarray, block_rows: int):
+    """Signatures that more than block_rows sets may have, by their tokens and by their slot, repeated for each pair of blocks that their group's block is part of."""
+    blocks = -(-np.minimum(often, slots[(sig & np.uint64(SLOTS - 1)).astype(np.int64)]) // block_rows)
     if (blocks <= 1).all():
         return sig, doc
     sigs, docs = [sig[blocks <= 1]], [doc[blocks <= 1]]
@@ -352,24 +353,24 @@ def _some(ids: DataFrame, column: str) -> Callable[[DataFrame, Column], DataFram
     return lambda df, c: df.withColumn("__slot", slot(c)).join(known, "__slot", "left_semi").drop("__slot")
 
 
-def similar_sets(source: DataFrame, sets_of: Callable[[DataFrame], DataFrame], join: Join, id_column: str) -> Similar:
+def similar_sets(source: DataFrame, sets_of: Callable[[DataFrame], DataFrame], join: Join) -> Similar:
     """All pairs of sets with similarity >= join.threshold.
 
     source: a scan (see runtime.spread) of rows with a unique id; sets_of turns such rows into (id long, tokens array<long>), the tokens distinct 64-bit hashes, and
-    may leave rows out. It must be a row-wise function, as it runs on few rows again to verify. Rows without a set (null) and empty
+    may leave rows out. The sets are made once and written, as four passes read them. Rows without a set (null) and empty
     sets are similar to none and are in neither result. Equal sets are one class, represented by its smallest id; pairs of a class
     with itself aren't listed, they follow from members. An empty input gives empty results.
     """
     spark = source.sparkSession
-    scanned, source = source, spread(source)
-    sets = sets_of(source).filter(F.size("tokens") > 0).select("id", "tokens")
+    sets = land(sets_of(spread(source)).filter(F.size("tokens") > 0).select("id", "tokens"), "sets")
     counts = spark.sparkContext.broadcast(token_counts(sets))
 
-    # how often a signature may occur, so that only those are spread that really are frequent; never below twice what an even spread gives
-    slots = _slot_table(sets.mapInArrow(_signature_slots(join, counts), "slot int, n long"))
-    block_rows = max(join.block_rows, int(2 * slots.mean()))
+    # a signature is as frequent as its rarer token at most; of those that may be frequent by this it is counted how many there are
+    frequent = counts.value.max() > join.block_rows
+    slots = _slot_table(sets.mapInArrow(_signature_slots(join, counts, join.block_rows), "slot int, n long")) if frequent else np.zeros(SLOTS, np.int64)
     spread_slots = spark.sparkContext.broadcast(slots)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(slots.sum()) // TASK_SIGNATURES)
+    block_rows = max(join.block_rows, int(2 * slots.mean()))  # slots that are full evenly tell nothing
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.value.sum()) // TASK_SIGNATURES)
     signatures = sets.mapInArrow(_signatures(join, counts, spread_slots, block_rows), SIGNATURES).repartition(n, "sig").sortWithinPartitions("sig", "size", "grp")
     found = land(signatures.mapInArrow(_candidates(join), FOUND), "found")
     docs, group_pairs = found.filter("id is not null").select(*DOC_COLUMNS), land(found.filter("id is null").select("a", "b").distinct(), "group-pairs")
@@ -396,8 +397,7 @@ def similar_sets(source: DataFrame, sets_of: Callable[[DataFrame], DataFrame], j
     likely = land(likely.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")), "likely")
 
     ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
-    wanted = sets_of(_some(ends, "id")(scanned, F.col(id_column))).select("id", "tokens")
-    wanted = wanted.join(ends.distinct(), "id", "left_semi")
+    wanted = _some(ends, "id")(sets, F.col("id")).join(ends.distinct(), "id", "left_semi")
     left = spread_join(likely, wanted.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), ["a"], hot_keys(likely, ["a"]), ["b"])
     both = spread_join(left, wanted.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), ["b"], hot_keys(likely, ["b"]), ["a"])
     overlap = F.size(F.array_intersect("tokens_a", "tokens_b"))
