@@ -255,6 +255,50 @@ def test_strong_components_beside_brute_force(spark):
     assert graph.strong_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("whole", [0, 3, 10**6])
+def test_strong_components_of_whole_contracts_and_in_rounds(spark, whole):
+    rng, data = random.Random(12), []
+    for c in range(6):
+        data += [("base", f"c{c}", f"v{rng.randint(0, 14):02}", f"v{rng.randint(0, 14):02}") for _ in range(rng.choice([2, 12, 25, 40]))]
+    data += [("base", "ring", f"r{i:03}", f"r{(i + 1) % 40:03}") for i in range(40)]
+    edges = spark.createDataFrame(data, "chain string, contract_address string, src string, dst string")
+    truth = set()
+    for c in {d[1] for d in data}:
+        own = {(d[2], d[3]) for d in data if d[1] == c}
+        reach = {v: {v} for e in own for v in e}
+        for _ in reach:
+            for a, b in own:
+                reach[a] |= reach[b]
+        for _ in reach:
+            for a, b in own:
+                reach[a] |= reach[b]
+        for v in reach:
+            group = sorted(w for w in reach[v] if v in reach[w])
+            if len(group) > 1:
+                truth.add((c, group[0], v))
+    assert set(rows(graph.strong_components(edges, whole), "contract_address", "component", "v")) == truth
+    assert graph.strong_components(edges.limit(0), whole).count() == 0
+
+
+def test_long_chain_of_moves_is_searched_at_once(spark):
+    n = 10_000
+    edges = spark.range(n).selectExpr("'base' chain", "'c' contract_address", "format_string('%06d', hash(id) & 1048575) || '-' || id src", "format_string('%06d', hash(id + 1) & 1048575) || '-' || (id + 1) dst")
+    assert graph.strong_components(edges).count() == 0
+    back = edges.unionByName(edges.orderBy("src").limit(0)).unionByName(spark.sql(f"select 'base' chain, 'c' contract_address, format_string('%06d', hash({n}L) & 1048575) || '-' || {n} src, format_string('%06d', hash(0L) & 1048575) || '-0' dst"))
+    assert graph.strong_components(back).count() == n + 1
+
+
+def test_group_pairs_are_sampled_without_making_all(spark):
+    data = [("big", i) for i in range(300)] + [("small", i) for i in range(4)] + [("one", 1), ("small", 3), (None, 1), ("big", None)]
+    members = spark.createDataFrame(data, "g string, m int")
+    found = rows(sampling.sample_group_pairs(members, "g", "m", 50))
+    assert len(found) == len(set(found)) == 56 and all(a < b for _, a, b in found)
+    assert {(a, b) for g, a, b in found if g == "small"} == set(itertools.combinations(range(4), 2))
+    assert found == rows(sampling.sample_group_pairs(members.repartition(3), "g", "m", 50))
+    assert len({x for g, *p in found if g == "big" for x in p}) > 60
+    assert sampling.sample_group_pairs(members.limit(0), "g", "m", 5).count() == 0
+
+
 def test_handovers_and_fans(spark):
     moved = moves(spark, [("1", "a", "b", 1), ("1", "b", "c", 2), ("1", "x", "y", 3), ("2", "a", "b", 1), ("2", "b", "a", 2), ("3", "a", "d", 1)])
     assert rows(graph.handovers(moved), "token_id", "path") == [("1", "a>b>c")]
@@ -289,7 +333,7 @@ def test_sampling(spark):
     one, two = (rows(sampling.sample_per_scope(df, ["s"], ["i"], 5)) for _ in range(2))
     assert one == two and len([r for r in one if r[0] == "hot"]) == 5 and len([r for r in one if r[0] == "cold"]) == 1
     assert one != rows(sampling.sample_per_scope(df, ["s"], ["i"], 5, "other"))
-    assert sampling.balanced_targets({"a": 1, "b": 100, "c": 100}, 31) in ({"a": 1, "b": 15, "c": 15},)
+    assert sampling.balanced_targets({"a": 1, "b": 100, "c": 100}, 31) == {"a": 1, "b": 15, "c": 15}
     assert sum(sampling.balanced_targets({"a": 2, "b": 3}, 100).values()) == 5
 
 

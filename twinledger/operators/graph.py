@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinledger.operators.events import CONTRACT
-from twinledger.runtime import land
+from twinledger.runtime import land, release
 
 
 def address_edges(moved: DataFrame) -> DataFrame:
@@ -15,58 +19,174 @@ def address_edges(moved: DataFrame) -> DataFrame:
     return edges.filter("src is not null and dst is not null and src <> dst").distinct()
 
 
-def _flow(edges: DataFrame, labels: DataFrame, forward: bool) -> DataFrame:
-    """Labels pushed along (or against) the edges until none gets smaller: (contract, v, label)."""
-    a, b = ("src", "dst") if forward else ("dst", "src")
+#: contracts with up to so many edges are handled whole by a task; a task's batch of edges has at most this and one batch more
+WHOLE_EDGES = 200_000
+#: layers that one pass of trimming takes off
+LAYERS = 4
+
+
+def strong_components(edges: DataFrame, whole_edges: int = WHOLE_EDGES) -> DataFrame:
+    """(contract, component, v): the strongly connected groups of two or more addresses, known by their smallest address.
+
+    Contracts with at most whole_edges distinct edges go to tasks by hash and are searched there, many at once; that bound is checked by
+    counting first. Of larger ones, of which there are few, no task gets the graph: they are searched in rounds over all tasks, see
+    _in_rounds. Both give the same groups. Loops and repeated edges don't matter; null ends must be left out before.
+    """
+    edges = land(edges.select(*CONTRACT, "src", "dst").filter("src <> dst").distinct(), "edges")
+    large = land(edges.groupBy(*CONTRACT).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole_edges).select(*CONTRACT), "large")
+    few = edges.join(F.broadcast(large), CONTRACT, "left_anti")
+    n = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = few.repartition(n, *CONTRACT).sortWithinPartitions(*CONTRACT).mapInArrow(_components_of_batches(whole_edges), "chain string, contract_address string, component string, v string")
+    if large.isEmpty():
+        return found
+    return found.unionByName(_in_rounds(edges.join(F.broadcast(large), CONTRACT, "left_semi")))
+
+
+def _components_of_batches(most: int):
+    """Of a stream of edges sorted by contract: the groups of all contracts that are complete, as soon as there are enough edges."""
+    names = [*CONTRACT, "src", "dst"]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = pa.concat_tables([t for t in (held, pa.Table.from_batches([batch])) if t is not None])
+            if held.num_rows >= most:
+                chain, contract = (held.column(c) for c in CONTRACT)
+                last = pc.and_(pc.equal(chain, chain[-1]), pc.equal(contract, contract[-1]))
+                yield from found(held.filter(pc.invert(last)))
+                held = held.filter(last)
+        if held is not None:
+            yield from found(held)
+
+    def found(table):
+        if not table.num_rows:
+            return
+        pdf = table.select(names).to_pandas()
+        contract = pdf.groupby(CONTRACT, sort=False).ngroup().to_numpy()
+        both = pd.MultiIndex.from_arrays([np.r_[contract, contract], np.r_[pdf["src"], pdf["dst"]]])
+        code, vertex = both.factorize()
+        group = strong_groups(code[: len(pdf)], code[len(pdf) :], len(vertex))
+        out = pd.DataFrame({"k": vertex.get_level_values(0), "v": vertex.get_level_values(1), "g": group})
+        out = out[out.groupby("g")["v"].transform("size") > 1]
+        out["component"] = out.groupby("g")["v"].transform("min")
+        first = pdf[CONTRACT].groupby(contract).first()
+        for c in CONTRACT:
+            out[c] = first[c].reindex(out["k"]).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(out[c].tolist(), pa.string()) for c in (*CONTRACT, "component", "v")], [*CONTRACT, "component", "v"])
+
+    return run
+
+
+def strong_groups(src: np.ndarray, dst: np.ndarray, n: int) -> list[int]:
+    """A number for each of n vertices, the same for those that reach each other: one search in depth with low marks, its stack kept by hand."""
+    order = np.argsort(src, kind="stable")
+    to, start = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    seen, low, group = [0] * n, [0] * n, [-1] * n
+    at, open_, time, groups = start[:-1].copy(), [], 0, 0
+    for root in range(n):
+        if seen[root]:
+            continue
+        path = [root]
+        time += 1
+        seen[root] = low[root] = time
+        open_.append(root)
+        while path:
+            v = path[-1]
+            if at[v] < start[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if not seen[w]:
+                    time += 1
+                    seen[w] = low[w] = time
+                    open_.append(w)
+                    path.append(w)
+                elif group[w] < 0:
+                    low[v] = min(low[v], seen[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == seen[v]:
+                while True:
+                    w = open_.pop()
+                    group[w] = groups
+                    if w == v:
+                        break
+                groups += 1
+    return group
+
+
+def _flow(edges: DataFrame) -> DataFrame:
+    """(contract, v, label): the smallest vertex that reaches each vertex, itself among them.
+
+    A label that reaches a vertex is itself reached by its own label, so each round takes labels one edge on and then jumps from a label to its
+    label; the rounds grow as the logarithm of the longest way, not as its length, as long as labels don't lie against their order.
+    """
+    labels = land(edges.select(*CONTRACT, F.col("src").alias("v")).distinct().withColumn("label", F.col("v")), "flow")
     while True:
-        step = edges.join(labels.withColumnRenamed("v", a), [*CONTRACT, a]).select(*CONTRACT, F.col(b).alias("v"), "label")
-        fresh = land(labels.unionByName(step).groupBy(*CONTRACT, "v").agg(F.min("label").alias("label")), "flow")
-        done = fresh.join(labels.withColumnRenamed("label", "old"), [*CONTRACT, "v"]).filter("old <> label").isEmpty()
+        step = edges.join(labels.withColumnRenamed("v", "src"), [*CONTRACT, "src"]).select(*CONTRACT, F.col("dst").alias("v"), "label")
+        near = land(labels.unionByName(step).groupBy(*CONTRACT, "v").agg(F.min("label").alias("label")), "near")
+        on = near.select(*CONTRACT, F.col("v").alias("label"), F.col("label").alias("next"))
+        fresh = land(near.join(on, [*CONTRACT, "label"], "left").select(*CONTRACT, "v", F.least("label", "next").alias("label")), "flow")
+        same = fresh.join(labels.withColumnRenamed("label", "old"), [*CONTRACT, "v"]).filter("old <> label").isEmpty()
+        release(near, labels)
         labels = fresh
-        if done:
+        if same:
             return labels
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(contract, component, v): the strongly connected groups of two or more addresses, known by their smallest address.
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those that lie on no cycle, as their source is reached by nobody or their target reaches nobody, LAYERS deep at a time, until none is left to take."""
+    size = edges.count()
+    while size:
+        fewer = edges
+        for _ in range(LAYERS):
+            sources, targets = fewer.select(*CONTRACT, F.col("src").alias("dst")).distinct(), fewer.select(*CONTRACT, F.col("dst").alias("src")).distinct()
+            fewer = fewer.join(sources, [*CONTRACT, "dst"], "left_semi").join(targets, [*CONTRACT, "src"], "left_semi")
+        fewer = land(fewer.select(*CONTRACT, "src", "dst"), "edges")
+        before, size = size, fewer.count()
+        release(edges)
+        edges = fewer
+        if size == before:
+            break
+    return edges
 
-    All contracts at once, in DataFrames, so no contract's graph must fit a task. Edges that lie on no cycle are trimmed: those whose
-    source nobody reaches or whose target reaches nobody. On the rest each vertex takes the smallest vertex that reaches it; of the
-    vertices with one such label, those that reach the label's vertex are its group; what remains goes round again.
+
+def _in_rounds(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """strong_components in DataFrames, so that no contract's graph must fit a task.
+
+    Edges on no cycle are trimmed. On the rest each vertex takes the smallest vertex that reaches it; of the vertices with one such label,
+    those that reach the label's vertex are its group; what remains goes round again. Tables of earlier rounds are deleted. Ways that
+    branch at every step and lie on no cycle are trimmed by LAYERS hops a pass.
     """
-    left = land(edges.select(*CONTRACT, "src", "dst"), "edges")
-    size, found = left.count(), None
+    left, found = land(edges.select(*CONTRACT, "src", "dst"), "edges"), None
     for _ in range(max_rounds):
-        while size:
-            sources, targets = left.select(*CONTRACT, F.col("src").alias("dst")).distinct(), left.select(*CONTRACT, F.col("dst").alias("src")).distinct()
-            trimmed = land(left.join(sources, [*CONTRACT, "dst"], "left_semi").join(targets, [*CONTRACT, "src"], "left_semi"), "edges")
-            before, size = size, trimmed.count()
-            left = trimmed
-            if size == before:
-                break
-        if not size:
+        left = _trimmed(left)
+        if left.isEmpty():
             break
-        vertices = left.select(*CONTRACT, F.col("src").alias("v")).distinct()
-        color = _flow(left, vertices.withColumn("label", F.col("v")), True)
+        color = _flow(left)
         c = color.withColumnRenamed("label", "color")
         same = left.join(c.withColumnRenamed("v", "src").withColumnRenamed("color", "c1"), [*CONTRACT, "src"]).join(c.withColumnRenamed("v", "dst").withColumnRenamed("color", "c2"), [*CONTRACT, "dst"])
         within = land(same.filter("c1 = c2").select(*CONTRACT, "src", "dst", F.col("c1").alias("color")), "within")
         # against the edges, from each color's own vertex
-        reach = color.filter("v = label")
+        reach = land(color.filter("v = label"), "reach")
+        count = reach.count()
         while True:
             step = within.join(reach.select(*CONTRACT, F.col("v").alias("dst"), F.col("label").alias("color")), [*CONTRACT, "dst", "color"]).select(*CONTRACT, F.col("src").alias("v"), F.col("color").alias("label"))
             fresh = land(reach.unionByName(step).distinct(), "reach")
-            grown = fresh.count() > reach.count()
+            before, count = count, fresh.count()
+            release(reach)
             reach = fresh
-            if not grown:
+            if count == before:
                 break
         several = reach.groupBy(*CONTRACT, "label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        groups = reach.join(several, [*CONTRACT, "label"], "left_semi").select(*CONTRACT, F.col("label").alias("component"), "v")
+        groups = land(reach.join(several, [*CONTRACT, "label"], "left_semi").select(*CONTRACT, F.col("label").alias("component"), "v"), "groups")
         found = groups if found is None else found.unionByName(groups)
         gone = reach.select(*CONTRACT, "v")
         rest = within.join(gone.withColumnRenamed("v", "src"), [*CONTRACT, "src"], "left_anti").join(gone.withColumnRenamed("v", "dst"), [*CONTRACT, "dst"], "left_anti")
-        left = land(rest.select(*CONTRACT, "src", "dst"), "edges")
-        size = left.count()
+        rest = land(rest.select(*CONTRACT, "src", "dst"), "edges")
+        release(left, color, within, reach)
+        left = rest
     else:
         raise RuntimeError(f"groups remain after {max_rounds} rounds")
     if found is None:
@@ -74,6 +194,17 @@ def strong_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return found
 
 
+def instances(moved: DataFrame, components: DataFrame, value: str) -> DataFrame:
+    """(contract, component, events, addresses, tokens, first_at, last_at, first_block, last_block, value): per group the moves between its members, with the sum of a value, negative ones as 0."""
+    member = components.select(*CONTRACT, "component", "v")
+    inner = moved.filter("from_address <> to_address").join(member.withColumnRenamed("v", "from_address"), [*CONTRACT, "from_address"]).join(member.withColumnRenamed("v", "to_address"), [*CONTRACT, "component", "to_address"])
+    inner = land(inner.select(*CONTRACT, "component", "from_address", "token_id", "block_ts", "block_number", F.greatest(F.lit(0.0), F.coalesce(value, F.lit(0.0))).alias("x")), "inner")
+    key = [*CONTRACT, "component"]
+    sums = inner.groupBy(*key).agg(F.count(F.lit(1)).alias("events"), F.min("block_ts").alias("first_at"), F.max("block_ts").alias("last_at"), F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block"), F.sum("x").alias("value"))
+    distinct = lambda c, name: inner.select(*key, c).filter(F.col(c).isNotNull()).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias(name))
+    return sums.join(distinct("from_address", "addresses"), key, "left").join(distinct("token_id", "tokens"), key, "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+
+
 def cycle_sizes(components: DataFrame) -> DataFrame:
     """(size_class, groups, addresses): how many groups of 2, 3, 4, and 5 or more addresses there are."""
     sizes = components.groupBy(*CONTRACT, "component").agg(F.count(F.lit(1)).alias("n"))
@@ -89,12 +220,17 @@ def fans(edges: DataFrame, least: int = 3) -> DataFrame:
 
 
 def inventories(moved: DataFrame, edges: DataFrame, least: int = 3) -> DataFrame:
-    """(contract, address, sources, tokens, token_share): of addresses that at least so many others sent to, the share of the contract's tokens they got."""
+    """(contract, address, sources, tokens, token_share, value_share): of addresses that at least so many others sent to, the share of the contract's tokens they
+    got, and of what was paid for its mints; null where nothing was."""
     got = moved.filter("to_address is not null and token_id is not null").select(*CONTRACT, F.col("to_address").alias("address"), "token_id").distinct()
     totals = moved.filter("token_id is not null").select(*CONTRACT, "token_id").distinct().groupBy(*CONTRACT).agg(F.count(F.lit(1)).alias("all_tokens"))
     into = fans(edges, least).filter("direction = 'in'").select(*CONTRACT, "address", F.col("others").alias("sources"))
     held = got.groupBy(*CONTRACT, "address").agg(F.count(F.lit(1)).alias("tokens"))
-    return into.join(held, [*CONTRACT, "address"]).join(totals, CONTRACT).select(*CONTRACT, "address", "sources", "tokens", (F.col("tokens") / F.col("all_tokens")).alias("token_share"))
+    paid = moved.filter("mint_payment_native > 0 and mint_payment_receiver is not null").groupBy(*CONTRACT, F.col("mint_payment_receiver").alias("address")).agg(F.sum("mint_payment_native").alias("paid"))
+    all_paid = paid.groupBy(*CONTRACT).agg(F.sum("paid").alias("all_paid"))
+    joined = into.join(held, [*CONTRACT, "address"]).join(totals, CONTRACT).join(paid, [*CONTRACT, "address"], "left").join(all_paid, CONTRACT, "left")
+    share = F.when(F.col("all_paid") > 0, F.coalesce("paid", F.lit(0.0)) / F.col("all_paid"))
+    return joined.select(*CONTRACT, "address", "sources", "tokens", (F.col("tokens") / F.col("all_tokens")).alias("token_share"), share.alias("value_share"))
 
 
 def handovers(moved: DataFrame, least: int = 3) -> DataFrame:

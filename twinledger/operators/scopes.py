@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COUNTS = ["kind", "primary_chain", "secondary_chain", "dimension", "duplicate_contract_count", "duplicate_nft_count"]
@@ -104,3 +104,21 @@ def relation_counts(relations: DataFrame) -> DataFrame:
         own = end(c).alias("y")
         out = out.alias("x").join(own, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]).select("x.*", f"y.{c}s")
     return out
+
+
+def edge_scope(a: str, b: str) -> Column:
+    """The scopes of an edge from chain a to chain b, as an array: total, and intra, or cross and matrix with the other chain."""
+    scope = lambda kind, x=None: F.struct(F.lit(kind).alias("scope"), (F.lit(None) if x is None else x).cast("string").alias("secondary_chain"))
+    return F.when(F.col(a) == F.col(b), F.array(scope("total"), scope("intra"))).otherwise(F.array(scope("total"), scope("cross"), scope("matrix", F.col(b))))
+
+
+def scale_with_denominators(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """relation_counts with the contracts that there are (totals: chain, contracts) where the candidates lie, and the share of them that is reached.
+
+    Candidates of matrix lie on the second chain, those of intra_chain on the first; other scopes take in all chains. Null without contracts.
+    """
+    own = F.coalesce(F.when(F.col("scope") == "intra_chain", F.col("primary_chain")), F.when(F.col("scope") == "matrix", F.col("secondary_chain")))
+    every = totals.agg(F.sum("contracts").alias("__all"))
+    joined = counts.withColumn("__c", own).join(F.broadcast(totals.select(F.col("chain").alias("__c"), F.col("contracts").alias("__own"))), "__c", "left").join(F.broadcast(every))
+    n = F.when(F.col("__c").isNull(), F.col("__all")).otherwise(F.col("__own"))
+    return joined.withColumn("contracts", n).withColumn("candidate_share", F.when(F.col("contracts") > 0, F.col("candidates") / F.col("contracts"))).select(*counts.columns, "contracts", "candidate_share")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.operators.scopes import scope_counts
+from twinledger.operators.scopes import edge_scope, scope_counts
 from twinledger.operators.skew import hot_keys, spread_join
 from twinledger.runtime import land
 
@@ -94,12 +94,13 @@ def seed_uri_edges(tokens: DataFrame, seeds: DataFrame, uri: str, dimension: str
     return joined.select("seed_chain", "seed_address", "candidate_chain", "candidate_address", "token_id", F.lit(dimension).alias("dimension"))
 
 
-def seed_uri_scale(tokens: DataFrame, seeds: DataFrame, images_apart: bool = False) -> DataFrame:
+def seed_uri_scale(tokens: DataFrame, seeds: DataFrame, images_apart: bool = False, by_scope: bool = False) -> DataFrame:
     """(seed_chain, seed_address, dimension, candidate_contracts, candidate_nfts): what seed_scale gives of the token and image edges of seeds.
 
     No edge per token is made: tokens of a contract with the same URIs are one class, contracts and classes are numbers, and an edge is a
     seed, a class and two bits, which are aggregated in the task that makes them. images_apart: image edges count only for tokens that no
-    token URI edge of the same seed has already.
+    token URI edge of the same seed has already. by_scope: one row for each scope that the candidates lie in (see scopes.edge_scope),
+    with scope and secondary_chain.
     """
     classes = land(alike(tokens.filter("token_uri_norm <> '' or image_uri_norm <> ''")), "classes")
     contracts = land(classes.select("chain", "contract_address").distinct().withColumn("contract", F.monotonically_increasing_id()), "contracts")
@@ -118,10 +119,15 @@ def seed_uri_scale(tokens: DataFrame, seeds: DataFrame, images_apart: bool = Fal
     image = (F.col("bits") == 2) if images_apart else (F.col("bits") >= 2)
     kinds = {"token_uri": F.col("bits") % 2 == 1, "image_uri": image, "total": F.lit(True)}
     per_contract = each.groupBy("seed", "contract").agg(*(F.sum(F.when(c, F.col("n"))).alias(k) for k, c in kinds.items()))
-    per_seed = per_contract.groupBy("seed").agg(*(F.struct(F.lit(k).alias("dimension"), F.count(k).alias("candidate_contracts"), F.sum(k).alias("candidate_nfts")).alias(k) for k in kinds))
-    found = per_seed.select("seed", F.explode(F.array(*kinds)).alias("d")).select("seed", "d.*").filter("candidate_contracts > 0")
+    key = ["seed", "scope", "secondary_chain"] if by_scope else ["seed"]
+    if by_scope:
+        chain = contracts.select("contract", "chain")
+        both = per_contract.join(chain.select("contract", F.col("chain").alias("b")), "contract").join(chain.select(F.col("contract").alias("seed"), F.col("chain").alias("a")), "seed")
+        per_contract = both.withColumn("s", F.explode(edge_scope("a", "b"))).select("*", "s.*")
+    per_seed = per_contract.groupBy(*key).agg(*(F.struct(F.lit(k).alias("dimension"), F.count(k).alias("candidate_contracts"), F.sum(k).alias("candidate_nfts")).alias(k) for k in kinds))
+    found = per_seed.select(*key, F.explode(F.array(*kinds)).alias("d")).select(*key, "d.*").filter("candidate_contracts > 0")
     named = contracts.select(F.col("contract").alias("seed"), F.col("chain").alias("seed_chain"), F.col("contract_address").alias("seed_address"))
-    return found.join(named, "seed").select("seed_chain", "seed_address", "dimension", "candidate_contracts", "candidate_nfts")
+    return found.join(named, "seed").select("seed_chain", "seed_address", *key[1:], "dimension", "candidate_contracts", "candidate_nfts")
 
 
 def seed_scale(edges: DataFrame) -> DataFrame:

@@ -53,6 +53,7 @@ def run_all(spark: SparkSession, paths: str | Iterable[str], out: str | None = N
     report = land(scopes.with_ratios(counts, totals), "report")
     if out:
         tables = {"summary": report.filter("kind <> 'matrix'").orderBy(*REPORT_ORDER).coalesce(1), "chain_matrix": report.filter("kind = 'matrix'").orderBy(*REPORT_ORDER).coalesce(1)}
+        tables |= {f"{d}_counts": report.filter(F.col("dimension").isin(*named)).orderBy(*REPORT_ORDER).coalesce(1) for d, named in {"name": ["name"], "uri": ["token_uri", "image_uri"], "metadata": ["metadata"]}.items() if d in dimensions}
         sinks.publish(tables, out, force, "csv", header="true")
         facts = {"inputs": [paths] if isinstance(paths, str) else list(paths), "dimensions": list(dimensions), "name_threshold": name_threshold, "metadata_threshold": metadata_threshold, "seconds": round(time.time() - began, 3), "totals": [r.asDict() for r in totals.orderBy("chain").collect()]}
         sinks.write_manifest(spark, f"{out}/manifest.json", facts)
@@ -116,3 +117,39 @@ def expand_edges(edges: DataFrame, tokens: DataFrame) -> DataFrame:
     own = tokens.select(F.col("chain").alias("candidate_chain"), F.col("contract_address").alias("candidate_address"), F.col("token_id").alias("__t"))
     whole = edges.filter("token_id is null").join(own, ["candidate_chain", "candidate_address"]).withColumn("token_id", F.col("__t")).select(*edges.columns)
     return edges.filter("token_id is not null").unionByName(whole)
+
+
+def restricted(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Edges to some candidates (chain, contract_address) only."""
+    wanted = candidates.select(F.col("chain").alias("candidate_chain"), F.col("contract_address").alias("candidate_address")).distinct()
+    return edges.join(wanted, ["candidate_chain", "candidate_address"], "left_semi").select(*edges.columns)
+
+
+def run_seeds(spark: SparkSession, paths: str | Iterable[str], seeds: DataFrame, out: str | None = None, cache: str | None = None, per_ranking: int | None = None, candidates: DataFrame | None = None, name_threshold: float | None = 0.98, metadata_threshold: float | None = 0.6, order: str | None = None) -> DataFrame:
+    """Seeds matched against a snapshot, scaled and reported: (seed_chain, seed_address, dimension, candidate_contracts, candidate_nfts).
+
+    seeds: a table of rankings; the best per_ranking of each, or all that have a contract. cache: a folder that keeps the hit edges as long as
+    the input files, seeds and thresholds stay the same (see sinks.fingerprint). candidates: only edges to these. With ``out`` the scale and the
+    strongest relations are written as a tree of reports.
+    """
+    given = source.seed_contracts(seeds) if per_ranking is None else select_seeds(seeds, per_ranking)
+    given = land(given, "given-seeds")
+    rows = source.read_snapshot(spark, paths, source.ReadOptions(order=order))
+    files = [paths] if isinstance(paths, str) else list(paths)
+
+    def edges() -> DataFrame:
+        return match_seeds(rows, given, name_threshold, metadata_threshold)
+
+    if cache:
+        known = given.agg(F.coalesce(F.bit_xor(F.xxhash64("chain", "contract_address")), F.lit(0)), F.count(F.lit(1))).first()
+        found = sinks.cached(spark, cache, sinks.fingerprint(spark, files, seeds=list(known), name=name_threshold, metadata=metadata_threshold, order=order), edges)
+    else:
+        found = land(edges(), "edges")
+    if candidates is not None:
+        found = restricted(found, candidates)
+    scale = land(uri_match.seed_scale(expand_edges(found, source.tokens(rows))), "scale")
+    if out:
+        per_dimension = scale.groupBy("dimension").agg(F.count(F.lit(1)).alias("seeds"), F.sum("candidate_contracts").alias("candidate_contracts"), F.sum("candidate_nfts").alias("candidate_nfts")).orderBy("dimension")
+        strongest = scale.filter("dimension = 'total'").orderBy(F.col("candidate_nfts").desc(), "seed_chain", "seed_address").limit(100)
+        sinks.write_tree(spark, out, {"summary": {"dimensions": per_dimension}, "detail": {"strongest_seeds": strongest}})
+    return scale

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from twinledger.functions import documents as json_forms
 from twinledger.functions import text
 from twinledger.identity import tidy_address, tidy_chain
-from twinledger.operators import events, graph, metadata_match, name_match, ranking, sampling, scopes, staging, uri_match
+from twinledger.operators import events, evidence, graph, metadata_match, name_match, ranking, sampling, scopes, staging, uri_match
 from twinledger.plans import pipeline
 from twinledger.runtime import land, shared_path, table
-from twinledger.sources import sinks
+from twinledger.sources import providers, sinks
 from twinledger.sources import snapshot as source
 from twinledger.streaming import ingest
 
@@ -30,9 +30,7 @@ def _tokens(spark: SparkSession, d: str, *dimensions: str) -> DataFrame:
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
     """Every contract that is a seed."""
-    seeds = table(spark, d, "seeds")
-    tidy = seeds.select(tidy_chain(F.col("chain")).alias("chain"), tidy_address(F.col("chain"), F.col("address")).alias("contract_address"))
-    return tidy.filter("chain <> '' and contract_address is not null").distinct()
+    return source.seed_contracts(table(spark, d, "seeds"))
 
 
 def snapshot_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -93,6 +91,11 @@ def canonical_documents(spark: SparkSession, d: str) -> DataFrame:
     return a.filter("document is not null").groupBy("document").agg(F.min("asset_id").alias("asset_id"), F.count(F.lit(1)).alias("copies")).select("asset_id", "copies", F.sha2("document", 256).alias("document_hash"))
 
 
+def canonical_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Assets whose metadata is the same in canonical form, by the smallest of them."""
+    return canonical_documents(spark, d).select("asset_id", "copies")
+
+
 def token_uri_scopes(spark: SparkSession, d: str) -> DataFrame:
     return uri_match.token_uri_counts(_tokens(spark, d, "token_uri"))
 
@@ -178,6 +181,10 @@ def seed_uri_scale_images_apart(spark: SparkSession, d: str) -> DataFrame:
     return uri_match.seed_uri_scale(_tokens(spark, d, "token_uri", "image_uri"), _seeds(spark, d), images_apart=True)
 
 
+def seed_uri_scale_by_scope(spark: SparkSession, d: str) -> DataFrame:
+    return uri_match.seed_uri_scale(_tokens(spark, d, "token_uri", "image_uri"), _seeds(spark, d), by_scope=True)
+
+
 def relations_unified(spark: SparkSession, d: str) -> DataFrame:
     return scopes.unified_relations(table(spark, d, "seed_relations"))
 
@@ -186,6 +193,52 @@ def relations_by_scope(spark: SparkSession, d: str) -> DataFrame:
     return scopes.relation_counts(scopes.unified_relations(table(spark, d, "seed_relations")))
 
 
+def relation_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Relations by scope, with the contracts that there are where the candidates lie."""
+    counts = scopes.relation_counts(scopes.unified_relations(table(spark, d, "seed_relations")))
+    return scopes.scale_with_denominators(counts, source.chain_totals(_rows(spark, d)).select("chain", "contracts")).withColumn("candidate_share", F.round("candidate_share", 9))
+
+
+def sampled_in_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """Four relations of each scope of a sample, by hash priority."""
+    found = sampling.pair_scopes(scopes.unified_relations(table(spark, d, "seed_relations")), "seed_chain", "candidate_chain")
+    key = ["seed_chain", "seed_address", "candidate_chain", "candidate_address"]
+    return sampling.sample_per_scope(found, ["scope", "chain", "other"], key, 4, "7").select("scope", "chain", "other", *key, "rank")
+
+
+def sampled_group_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs of contracts with one name a sample of 20 holds of each name."""
+    members = name_match.name_members(_tokens(spark, d, "name")).select("name", F.concat_ws(":", "chain", "contract_address").alias("contract"))
+    found = sampling.sample_group_pairs(members, "name", "contract", 20)
+    return found.groupBy("name").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("a", "b").alias("different"))
+
+
+def names_by_length(spark: SparkSession, d: str) -> DataFrame:
+    """Names of each chain in the order of their length and text."""
+    names = name_match.name_members(_tokens(spark, d, "name")).select("chain", "name").distinct()
+    return ranking.with_rank(names, ["chain"], [F.length("name"), F.col("name")]).select("chain", "name", F.col("rank").cast("long").alias("rank"))
+
+
+def related_name_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts that bear a seed's name or one like it, of those only that relations name as candidates."""
+    r = scopes.unified_relations(table(spark, d, "seed_relations"))
+    return pipeline.restricted(seed_name_hits(spark, d), r.select(F.col("candidate_chain").alias("chain"), F.col("candidate_address").alias("contract_address")))
+
+
+def unexcluded_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens per chain without contracts that an asset explicitly flags."""
+    a = table(spark, d, "nft_assets", "chain", "contract_address", "token_standard")
+    flags = a.select(tidy_chain(F.col("chain")).alias("chain"), tidy_address(F.col("chain"), F.col("contract_address")).alias("contract_address"), (F.lower("token_standard") == "erc1155").alias("excluded"))
+    return evidence.without_listed(_tokens(spark, d), flags, ["chain", "contract_address"]).groupBy("chain").agg(F.count(F.lit(1)).alias("nfts"))
+
+
+def overlaid_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens per contract, those of seeds as the collectors list them."""
+    found = source.exported(table(spark, d, "nft_assets"), names=False).filter("chain <> '' and contract_address <> '' and token_id <> ''")
+    listed = found.select("chain", "contract_address", "token_id").distinct().join(_seeds(spark, d), ["chain", "contract_address"], "left_semi")
+    return pipeline.overlay_seeds(_tokens(spark, d).select(*source.KEY), land(listed, "listed")).groupBy("chain", "contract_address").agg(F.count(F.lit(1)).alias("nfts"))
+
+
 def sampled_relations(spark: SparkSession, d: str) -> DataFrame:
     """Five relations of each pair of chains, by hash priority."""
     key = ["seed_chain", "candidate_chain"], ["seed_address", "candidate_address"]
@@ -286,7 +339,19 @@ def fan_addresses(spark: SparkSession, d: str) -> DataFrame:
 
 def inventory_shares(spark: SparkSession, d: str) -> DataFrame:
     moved = _moved(spark, d)
-    return graph.inventories(moved, graph.address_edges(moved)).withColumn("token_share", F.round("token_share", 9))
+    return graph.inventories(moved, graph.address_edges(moved)).withColumns({c: F.round(c, 9) for c in ("token_share", "value_share")})
+
+
+def cycle_instances(spark: SparkSession, d: str) -> DataFrame:
+    moved = _moved(spark, d)
+    return graph.instances(moved, land(graph.strong_components(graph.address_edges(moved)), "cycles"), "gas_native").withColumn("value", F.round("value", 9))
+
+
+def licensed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Assets by whether their metadata holds a mark of an open licence; the mark is put into the description of every third."""
+    a = table(spark, d, "nft_assets", "asset_id", "metadata").filter("metadata is not null")
+    text_ = F.when(F.col("asset_id") % 3 == 0, F.concat(F.lit('{"license":"CC0-1.0 ","m":'), F.col("metadata"), F.lit("}"))).when(F.col("asset_id") % 3 == 1, F.concat(F.lit('{"public domain":"no","m":'), F.col("metadata"), F.lit("}"))).otherwise(F.col("metadata"))
+    return a.select("asset_id", providers.licensed_open(text_).alias("open"))
 
 
 def token_handovers(spark: SparkSession, d: str) -> DataFrame:
@@ -370,6 +435,7 @@ QUERIES = {
     for f in (
         snapshot_tokens, snapshot_totals, snapshot_one_chain, snapshot_conflicts, snapshot_anchors, highest_tokens, url_forms, asset_facts, exported_snapshot, export_counts, canonical_documents,
         token_uri_scopes, token_uri_ratios, image_uri_scopes, name_bearers, exact_name_scopes, fuzzy_name_pairs, fuzzy_name_scopes, metadata_pairs, metadata_scopes, sampled_metadata_pairs, text_pairs, text_scopes, text_profiles, text_scopes_of_all, lowest_anchors, snapshot_report, seed_text_hits, seed_documents, seed_tokens,
+        seed_uri_scale_by_scope, relation_shares, sampled_in_scopes, sampled_group_pairs, names_by_length, related_name_hits, unexcluded_tokens, overlaid_tokens, cycle_instances, licensed_documents, canonical_copies,
         ranked_seeds, seed_uri_scale, seed_uri_scale_images_apart, seed_name_hits, seed_hits, relations_unified, relations_by_scope, sampled_relations, retry_images, staged_assets, filled_assets, unlisted_tokens,
         transfer_lifecycles, token_holders, first_disposals, paid_and_held, transaction_gas, mint_payments, gas_concentration, receipt_gini, nearest_moves,
         address_edges, trading_cycles, cycle_sizes, cycle_exits, repeated_addresses, fan_addresses, inventory_shares, token_handovers, streamed_daily_counts, streamed_tokens,
@@ -598,7 +664,24 @@ ORACLES = {
         UNION ALL SELECT chain, contract_address, dst, 'in', count(*) FROM ed GROUP BY ALL HAVING count(*) >= 3""",
     "inventory_shares": f"""WITH {_MOVES}, {_EDGES}, i AS (SELECT chain, contract_address, dst address, count(*) sources FROM ed GROUP BY ALL HAVING count(*) >= 3),
         a AS (SELECT chain, contract_address, count(DISTINCT token_id) n FROM m GROUP BY ALL), h AS (SELECT chain, contract_address, to_address address, count(DISTINCT token_id) tokens FROM m GROUP BY ALL)
-        SELECT chain, contract_address, address, sources, tokens, round(tokens / n, 9) token_share FROM i JOIN h USING (chain, contract_address, address) JOIN a USING (chain, contract_address)""",
+        SELECT chain, contract_address, address, sources, tokens, round(tokens / n, 9) token_share, round(coalesce(paid, 0.0) / all_paid, 9) value_share
+        FROM i JOIN h USING (chain, contract_address, address) JOIN a USING (chain, contract_address) LEFT JOIN (SELECT chain, contract_address, mint_payment_receiver address, sum(mint_payment_native) paid FROM m WHERE mint_payment_native > 0 AND mint_payment_receiver IS NOT NULL GROUP BY ALL) USING (chain, contract_address, address)
+        LEFT JOIN (SELECT chain, contract_address, sum(mint_payment_native) all_paid FROM m WHERE mint_payment_native > 0 AND mint_payment_receiver IS NOT NULL GROUP BY ALL) USING (chain, contract_address)""",
+    "cycle_instances": f"""WITH RECURSIVE {_MOVES}, {_EDGES}, {_SCC}, x AS (SELECT m.*, a.component FROM m JOIN scc a ON a.chain = m.chain AND a.contract_address = m.contract_address AND a.v = m.from_address JOIN scc b ON b.chain = m.chain AND b.contract_address = m.contract_address AND b.v = m.to_address AND b.component = a.component WHERE from_address <> to_address)
+        SELECT chain, contract_address, component, count(*) events, count(DISTINCT from_address) addresses, count(DISTINCT token_id) tokens, min(block_ts) first_at, max(block_ts) last_at, min(block_number) first_block, max(block_number) last_block, round(sum(greatest(0.0, coalesce(gas_native, 0.0))), 9) "value" FROM x GROUP BY ALL""",
+    "licensed_documents": """WITH x AS (SELECT asset_id, CASE asset_id % 3 WHEN 0 THEN '{"license":"CC0-1.0 ","m":' || metadata || '}' WHEN 1 THEN '{"public domain":"no","m":' || metadata || '}' ELSE metadata END t FROM nft_assets WHERE metadata IS NOT NULL)
+        SELECT asset_id, json_valid(t) AND asset_id % 3 = 0 AS "open" FROM x""",
+    "seed_uri_scale_by_scope": f"""WITH {_CLEAN}, {_SEEDS}, {_SEED_EDGES}, t AS (SELECT * FROM e UNION ALL SELECT * REPLACE ('total' AS dimension) FROM e),
+        s AS (SELECT *, unnest(CASE WHEN seed_chain = candidate_chain THEN [{{'s': 'total', 'c': NULL}}, {{'s': 'intra', 'c': NULL}}] ELSE [{{'s': 'total', 'c': NULL}}, {{'s': 'cross', 'c': NULL}}, {{'s': 'matrix', 'c': candidate_chain}}] END) x FROM t)
+        SELECT seed_chain, seed_address, x.s scope, x.c secondary_chain, dimension, count(DISTINCT (candidate_chain, candidate_address)) candidate_contracts, count(DISTINCT (candidate_chain, candidate_address, token_id)) candidate_nfts FROM s GROUP BY ALL""",
+    "sampled_in_scopes": f"""WITH {_RELATIONS}, x AS (SELECT *, unnest(CASE WHEN seed_chain = candidate_chain THEN [{{'s': 'all', 'a': NULL, 'b': NULL}}, {{'s': 'intra', 'a': seed_chain, 'b': NULL}}] ELSE [{{'s': 'all', 'a': NULL, 'b': NULL}},
+          {{'s': 'pair', 'a': least(seed_chain, candidate_chain), 'b': greatest(seed_chain, candidate_chain)}}, {{'s': 'cross', 'a': seed_chain, 'b': NULL}}, {{'s': 'cross', 'a': candidate_chain, 'b': NULL}}] END) x FROM uni)
+        SELECT x.s scope, x.a chain, x.b "other", seed_chain, seed_address, candidate_chain, candidate_address, row_number() OVER (PARTITION BY x.s, x.a, x.b ORDER BY sha256('7|' || seed_chain || '|' || seed_address || '|' || candidate_chain || '|' || candidate_address)) rank FROM x QUALIFY rank <= 4""",
+    "sampled_group_pairs": f"WITH {_CLEAN}, {_NAMES}, x AS (SELECT name, count(DISTINCT (chain, contract_address)) n FROM z GROUP BY name) SELECT name, least(20, n * (n - 1) // 2) pairs, least(20, n * (n - 1) // 2) different FROM x WHERE n > 1",
+    "names_by_length": f"WITH {_CLEAN}, {_NAMES} SELECT chain, name, row_number() OVER (PARTITION BY chain ORDER BY length(name), name) rank FROM (SELECT DISTINCT chain, name FROM z)",
+    "unexcluded_tokens": f"""WITH {_CLEAN}, x AS (SELECT DISTINCT lower(trim(chain)) chain, {_address("chain", "contract_address")} contract_address FROM nft_assets WHERE lower(token_standard) = 'erc1155') SELECT chain, count(*) nfts FROM k ANTI JOIN x USING (chain, contract_address) GROUP BY chain""",
+    "overlaid_tokens": f"""WITH {_CLEAN}, {_SEEDS}, l AS (SELECT DISTINCT lower(trim(chain)) chain, {_address("chain", "contract_address")} contract_address, token_id FROM nft_assets WHERE trim(chain) <> '' AND trim(contract_address) <> '' AND token_id <> ''), ls AS (SELECT l.* FROM l SEMI JOIN sd USING (chain, contract_address)),
+        u AS (SELECT chain, contract_address, token_id FROM k ANTI JOIN ls USING (chain, contract_address) UNION ALL SELECT * FROM ls) SELECT chain, contract_address, count(*) nfts FROM u GROUP BY ALL""",
     "token_handovers": f"""WITH {_MOVES}, o AS (SELECT *, row_number() OVER w i, CASE WHEN from_address IS NOT DISTINCT FROM lag(to_address) OVER w THEN 0 ELSE 1 END b FROM m
           WHERE token_id IS NOT NULL AND block_ts IS NOT NULL AND from_address IS NOT NULL AND to_address IS NOT NULL
           WINDOW w AS (PARTITION BY chain, contract_address, token_id ORDER BY block_ts, block_number NULLS FIRST, tx_hash NULLS FIRST, from_address, to_address)),

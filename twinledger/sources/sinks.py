@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinledger.runtime import remove_path
+from twinledger.runtime import land, remove_path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -96,8 +98,7 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows")
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows)])
+    return _table(df.columns, [r.asDict() for r in rows])
 
 
 def fingerprint(spark: SparkSession, paths: list[str], **parameters) -> str:
@@ -118,3 +119,57 @@ def cached(spark: SparkSession, path: str, mark: str, make) -> DataFrame:
         write_text(spark, f"{path}/MARK", mark)
     return spark.read.parquet(f"{path}/table")
 
+
+
+def write_tree(spark: SparkSession, path: str, tables: Mapping[str, Mapping[str, DataFrame]], most: int = 1000) -> list[str]:
+    """Small results as a tree of reports: <folder>/<name>.json, one object with its rows, and <folder>/<name>.md beside it. Returns the files.
+
+    A result of more than ``most`` rows is refused before anything is written, as it belongs in a table.
+    """
+    small = {f"{folder}/{name}": df.limit(most + 1).collect() for folder, of in tables.items() for name, df in of.items()}
+    for name, rows in small.items():
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows")
+    files = []
+    for folder, of in tables.items():
+        for name, df in of.items():
+            rows = [r.asDict(recursive=True) for r in small[f"{folder}/{name}"]]
+            write_text(spark, f"{path}/{folder}/{name}.json", json.dumps({"name": name, "rows": rows}, indent=1, default=str))
+            write_text(spark, f"{path}/{folder}/{name}.md", f"# {name}\n\n{_table(df.columns, rows)}\n")
+            files += [f"{path}/{folder}/{name}.json", f"{path}/{folder}/{name}.md"]
+    return files
+
+
+def _table(columns: list[str], rows: list[dict]) -> str:
+    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    return "\n".join([*lines, *("| " + " | ".join("" if r[c] is None else str(r[c]).replace("|", "\\|") for c in columns) + " |" for r in rows)])
+
+
+def append_failures(failures: DataFrame, path: str, run: str) -> None:
+    """Failures as lines of JSON, added to those of earlier runs; each knows its run. Reading the folder gives all."""
+    failures.withColumn("run", F.lit(run)).write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def resumed(spark: SparkSession, path: str, wanted: DataFrame, keys: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What make() gives for the wanted keys, kept at a path: made only for keys that are not there yet, and added.
+
+    Each call adds one folder, complete or not there, and a list of the keys it made, also of those with no rows, so a run that is lost
+    makes its keys anew and nothing else. Keys are distinct and not null; make gets a frame of keys and returns rows with them.
+    """
+    fs, root = _fs(spark, path)
+    parts = [str(f.getPath()) for f in fs.listStatus(root)] if fs.exists(root) else []
+    done = [p for p in parts if p.rsplit("/", 1)[-1].startswith("part-")]
+    lacking = wanted.select(*keys).distinct()
+    for p in done:
+        lacking = lacking.join(spark.read.parquet(f"{p}/keys"), keys, "left_anti")
+    lacking = land(lacking, "lacking")
+    if not lacking.isEmpty() or not done:
+        fresh = f"{path}/fresh-{uuid.uuid4().hex}"
+        make(lacking).write.option("compression", "zstd").parquet(f"{fresh}/rows")
+        lacking.write.parquet(f"{fresh}/keys")
+        place = f"{path}/part-{len(done):06d}-{uuid.uuid4().hex}"
+        if not fs.rename(_fs(spark, fresh)[1], _fs(spark, place)[1]):
+            raise OSError(f"cannot add to {path}")
+        done.append(place)
+    rows = reduce(DataFrame.unionByName, (spark.read.parquet(f"{p}/rows") for p in done))
+    return rows.join(wanted.select(*keys).distinct(), keys, "left_semi")

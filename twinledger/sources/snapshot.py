@@ -155,6 +155,12 @@ def seed_anchors(rows: DataFrame, seeds: DataFrame, normalised: bool = True) ->
     return first.unionByName(anchors(land(rest.select(*rows.columns), "rest"), normalised))
 
 
+def seed_contracts(seeds: DataFrame) -> DataFrame:
+    """(chain, contract_address) of every row of a table of seeds (chain, address) that has both."""
+    tidy = seeds.select(tidy_chain(F.col("chain")).alias("chain"), tidy_address(F.col("chain"), F.col("address")).alias("contract_address"))
+    return tidy.filter("chain <> '' and contract_address is not null").distinct()
+
+
 def identities(rows: DataFrame, contracts: DataFrame) -> DataFrame:
     """(chain, contract_address, token_id, source_order) of the tokens of some contracts (chain, contract_address) only, as a cached run needs them; no other
     column is read."""
