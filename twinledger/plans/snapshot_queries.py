@@ -51,8 +51,8 @@ def snapshot_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snapshot_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """The first valid metadata of each token, as a hash of its canonical form."""
-    return source.anchors(_rows(spark, d, "metadata")).select(*source.KEY, F.col("source_order").alias("row_id"), F.sha2("document", 256).alias("document_hash"))
+    """The row of the first valid metadata of each token."""
+    return source.anchors(_rows(spark, d, "metadata")).select(*source.KEY, F.col("source_order").alias("row_id"))
 
 
 def highest_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,7 @@ def exported_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Assets as a snapshot, written by chain and read again."""
     path = shared_path(spark, "export")
     sinks.write_snapshot(source.exported(table(spark, d, "nft_assets")), path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).withColumn("chain", F.col("chain").cast("string"))
 
 
 def export_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -88,12 +88,7 @@ def export_counts(spark: SparkSession, d: str) -> DataFrame:
 def canonical_documents(spark: SparkSession, d: str) -> DataFrame:
     """Assets by canonical metadata: copies of one document under any spelling."""
     a = table(spark, d, "nft_assets", "asset_id", "metadata").select("asset_id", json_forms.canonical_json(F.col("metadata")).alias("document"))
-    return a.filter("document is not null").groupBy("document").agg(F.min("asset_id").alias("asset_id"), F.count(F.lit(1)).alias("copies")).select("asset_id", "copies", F.sha2("document", 256).alias("document_hash"))
-
-
-def canonical_copies(spark: SparkSession, d: str) -> DataFrame:
-    """Assets whose metadata is the same in canonical form, by the smallest of them."""
-    return canonical_documents(spark, d).select("asset_id", "copies")
+    return a.filter("document is not null").groupBy("document").agg(F.min("asset_id").alias("asset_id"), F.count(F.lit(1)).alias("copies")).select("asset_id", "copies")
 
 
 def token_uri_scopes(spark: SparkSession, d: str) -> DataFrame:
@@ -378,10 +373,10 @@ def metadata_scopes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sampled_metadata_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Three matched pairs of contracts with pictures of each pair of chains."""
+    """How many matched pairs of contracts with pictures a sample of three of one chain and three of two chains holds."""
     rows = land(_rows(spark, d, "image_uri", "metadata"), "rows")
     pairs = metadata_match.similar_contracts(source.anchors(rows), METADATA_THRESHOLD)
-    return sampling.sample_pairs_with_pictures(pairs, source.tokens(rows), 3).drop("score")
+    return sampling.sample_pairs_with_pictures(pairs, source.tokens(rows), 3).groupBy("pool").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def seed_name_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -435,7 +430,7 @@ QUERIES = {
     for f in (
         snapshot_tokens, snapshot_totals, snapshot_one_chain, snapshot_conflicts, snapshot_anchors, highest_tokens, url_forms, asset_facts, exported_snapshot, export_counts, canonical_documents,
         token_uri_scopes, token_uri_ratios, image_uri_scopes, name_bearers, exact_name_scopes, fuzzy_name_pairs, fuzzy_name_scopes, metadata_pairs, metadata_scopes, sampled_metadata_pairs, text_pairs, text_scopes, text_profiles, text_scopes_of_all, lowest_anchors, snapshot_report, seed_text_hits, seed_documents, seed_tokens,
-        seed_uri_scale_by_scope, relation_shares, sampled_in_scopes, sampled_group_pairs, names_by_length, related_name_hits, unexcluded_tokens, overlaid_tokens, cycle_instances, licensed_documents, canonical_copies,
+        seed_uri_scale_by_scope, relation_shares, sampled_in_scopes, sampled_group_pairs, names_by_length, related_name_hits, unexcluded_tokens, overlaid_tokens, cycle_instances, licensed_documents,
         ranked_seeds, seed_uri_scale, seed_uri_scale_images_apart, seed_name_hits, seed_hits, relations_unified, relations_by_scope, sampled_relations, retry_images, staged_assets, filled_assets, unlisted_tokens,
         transfer_lifecycles, token_holders, first_disposals, paid_and_held, transaction_gas, mint_payments, gas_concentration, receipt_gini, nearest_moves,
         address_edges, trading_cycles, cycle_sizes, cycle_exits, repeated_addresses, fan_addresses, inventory_shares, token_handovers, streamed_daily_counts, streamed_tokens,
@@ -691,3 +686,58 @@ ORACLES = {
     "streamed_daily_counts": "SELECT lower(trim(chain)) chain, strftime(ingested_at, '%Y-%m-%d') AS day, count(*) records, max(first_seen_block) highest_block FROM snapshot WHERE ingested_at IS NOT NULL GROUP BY ALL",
     "streamed_tokens": f"SELECT lower(trim(chain)) chain, count(DISTINCT ({_address('chain', 'contract_address')}, token_id)) nfts FROM snapshot WHERE chain IS NOT NULL AND trim(contract_address) <> '' AND token_id IS NOT NULL GROUP BY 1",
 }
+
+
+def _base58(n: int) -> str:
+    return text.base58_encode(n.to_bytes(32, "big"))
+
+
+def _name_norm() -> str:
+    """SQL of tables n0 ... with (asset_id, n): the name, its numbered ends taken off one after another."""
+    strip = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+    parts = [f"n0 AS (SELECT asset_id, {strip.format("regexp_replace(asset_name, '\\s+', ' ', 'g')")} n FROM nft_assets)"]
+    for i in range(4):
+        cases = " ".join("WHEN {0} <> n THEN {0}".format(strip.format(f"regexp_replace(n, '{p}', '')")) for p in text.NUMBERED_ENDS)
+        parts.append(f"n{i + 1} AS (SELECT asset_id, CASE {cases} ELSE n END n FROM n{i})")
+    return ", ".join(parts)
+
+
+_VALID = "left(trim({0}), 1) IN ('{{', '[') AND json_valid(trim({0})) AND strlen(trim({0})) <= 65536 AND NOT regexp_full_match(trim({0}), '\\{{\\s*\\}}') AND NOT regexp_matches(trim({0}), '[:\\[,]\\s*-?(NaN|Infinity)')"
+_PLAIN = "lower(regexp_replace(regexp_replace({}, '\\s+', ' ', 'g'), '^ | $', '', 'g'))"
+_CANON = f"""
+vd AS (SELECT asset_id, CAST(trim(metadata) AS JSON) j FROM nft_assets WHERE {_VALID.format("metadata")}),
+tr AS (SELECT asset_id, replace(x.fullkey, '"', '') p, x.type ty, CASE x.type WHEN 'VARCHAR' THEN {_PLAIN.format("x.atom ->> '$'")} WHEN 'OBJECT' THEN NULL WHEN 'ARRAY' THEN NULL WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN CAST(x.atom AS VARCHAR) ELSE CAST(CAST(CAST(x.atom AS VARCHAR) AS DOUBLE) AS VARCHAR) END a FROM vd, json_tree(j) x),
+ps AS (SELECT asset_id, lower(p) p, a, CASE ty WHEN 'OBJECT' THEN 'o' WHEN 'ARRAY' THEN 'a' WHEN 'VARCHAR' THEN 's' WHEN 'NULL' THEN 'n' WHEN 'BOOLEAN' THEN 'b' ELSE 'd' END ty, regexp_extract(lower(p), '^(.*?\\.attributes\\[[0-9]+\\])', 1) el FROM tr),
+es AS (SELECT asset_id, regexp_replace(el, '[0-9]+\\]$', '') base, list_sort(list(concat_ws(chr(1), substring(p, length(el) + 1), ty, a))) sg FROM ps WHERE el <> '' GROUP BY asset_id, el),
+eg AS (SELECT asset_id, list_sort(list((base, sg))) es FROM es GROUP BY asset_id),
+og AS (SELECT asset_id, list_sort(list(concat_ws(chr(1), p, ty, a))) os FROM ps WHERE el = '' GROUP BY asset_id),
+sg AS (SELECT og.asset_id, os, es FROM og LEFT JOIN eg USING (asset_id))"""
+
+ORACLES |= {
+    "relation_shares": f"""WITH {_RELATIONS}, {_CLEAN}, {_TOTALS}, s AS (SELECT *, unnest(CASE WHEN seed_chain = candidate_chain THEN [{{'scope': 'all', 'p': NULL, 's': NULL}}, {{'scope': 'intra', 'p': NULL, 's': NULL}}, {{'scope': 'intra_chain', 'p': seed_chain, 's': NULL}}]
+        ELSE [{{'scope': 'all', 'p': NULL, 's': NULL}}, {{'scope': 'cross', 'p': NULL, 's': NULL}}, {{'scope': 'cross_primary', 'p': seed_chain, 's': NULL}}, {{'scope': 'matrix', 'p': seed_chain, 's': candidate_chain}}] END) x FROM uni),
+        rc AS (SELECT x.scope scope, x.p primary_chain, x.s secondary_chain, count(DISTINCT (seed_chain, seed_address)) seeds, count(DISTINCT (candidate_chain, candidate_address)) candidates, count(*) relations FROM s GROUP BY ALL),
+        w AS (SELECT rc.*, CASE WHEN scope = 'matrix' THEN secondary_chain WHEN scope = 'intra_chain' THEN primary_chain END o FROM rc), v AS (SELECT w.*, CAST(CASE WHEN o IS NULL THEN (SELECT sum(contracts) FROM t) ELSE t.contracts END AS BIGINT) n FROM w LEFT JOIN t ON t.chain = o)
+        SELECT scope, primary_chain, secondary_chain, seeds, candidates, relations, n contracts, round(candidates / n, 9) candidate_share FROM v""",
+    "asset_facts": f"""WITH x AS (SELECT asset_id, chain, trim(contract_address) a, {_STRIP.format("coalesce(asset_name, '')")} n, metadata FROM nft_assets)
+        SELECT asset_id, CASE WHEN lower(trim(chain)) = 'solana' THEN coalesce(regexp_full_match(a, '[1-9A-HJ-NP-Za-km-z]+') AND ((length(a) = 44 AND a <= '{_base58(2**256 - 1)}') OR (length(a) = 43 AND a >= '{_base58(2**248)}')), false) ELSE regexp_full_match(a, '0[xX][0-9a-fA-F]{{40}}') END valid_address,
+        n <> '' AND lower(n) NOT IN ({", ".join(f"'{x}'" for x in text.NO_NAME)}) AND NOT regexp_full_match(n, '[0-9]') usable_name,
+        CASE WHEN json_valid(metadata) THEN coalesce({", ".join(f"nullif(trim(metadata ->> '$.{k}'), '')" for k in text.IMAGE_KEYS)}) END image FROM x""",
+    "exported_snapshot": f"""WITH {_name_norm()} SELECT lower(trim(chain)) chain, coalesce({_address("chain", "contract_address")}, '') contract_address, coalesce(token_id, '') token_id, coalesce(token_uri, '') token_uri, coalesce(image_uri, '') image_uri, coalesce(asset_name, '') AS name, coalesce(symbol, '') symbol,
+        coalesce(metadata, '') metadata_json, {_url("token_uri")} token_uri_norm, {_url("image_uri")} image_uri_norm, coalesce(lower(regexp_replace(n, '\\s+', ' ', 'g')), '') name_norm FROM nft_assets JOIN n4 USING (asset_id)""",
+    "snapshot_anchors": f"""WITH v AS (SELECT row_id, lower(trim(chain)) chain, {_address("chain", "contract_address")} contract_address, trim(token_id) token_id FROM snapshot WHERE trim(chain) <> '' AND trim(contract_address) <> '' AND trim(token_id) <> '' AND {_VALID.format("metadata_json")})
+        SELECT chain, contract_address, token_id, min(row_id) row_id FROM v GROUP BY ALL""",
+    "canonical_documents": f"WITH {_CANON} SELECT min(asset_id) asset_id, count(*) copies FROM sg GROUP BY os, es",
+    "related_name_hits": f"WITH h AS ({ORACLES['seed_name_hits']}), r AS (SELECT DISTINCT candidate_chain, candidate_address FROM (WITH {_RELATIONS} SELECT * FROM uni)) SELECT h.* FROM h SEMI JOIN r USING (candidate_chain, candidate_address)",
+}
+
+#: documents as texts where these are valid, which canonical forms of them have the same words as, in the test tables
+_FIRST_VALID = _FIRST_TEXTS.replace("AND trim(metadata_json) <> ''", "AND " + _VALID.format("metadata_json"))
+_VALID_PAIRS = f"{_FIRST_VALID}, {_text_match(_CONTRACTS)}, vp AS (SELECT x.chain chain_a, x.contract_address contract_a, y.chain chain_b, y.contract_address contract_b, s score FROM mt JOIN us x ON x.u = a JOIN us y ON y.u = b)"
+ORACLES |= {
+    "metadata_pairs": f"WITH {_CLEAN}, {_VALID_PAIRS} SELECT * REPLACE (round(score, 9) AS score) FROM vp",
+    "metadata_scopes": f"WITH {_CLEAN}, {_FIRST_VALID}, {_text_match(_UNITS)}, {_TEXT_SCOPES.format('mt', 'mt')} {_COUNTED.format('metadata')}",
+    "sampled_metadata_pairs": f"""WITH {_CLEAN}, {_VALID_PAIRS}, pi AS (SELECT DISTINCT chain, contract_address FROM k WHERE image_uri_norm <> ''),
+        pb AS (SELECT chain_a = chain_b same FROM vp SEMI JOIN pi x ON x.chain = chain_a AND x.contract_address = contract_a SEMI JOIN pi y ON y.chain = chain_b AND y.contract_address = contract_b)
+        SELECT CASE WHEN same THEN 'intra' ELSE 'cross' END pool, least(3, count(*)) pairs FROM pb GROUP BY 1""",
+}
