@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,13 @@ def test_very_long_texts(spark):
     df = spark.createDataFrame([(t,) for t in texts], "u string")
     found = rows(df.select(text.normalize_url(F.col("u")), text.normalize_name(F.col("u")), text.usable_name(F.col("u")), text.plain_decimal(F.col("u"))))
     assert [r[0][:3] for r in found] == ["x", "///", "", "###", "x  ", "999"] and found[4][1] == "x"
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 1000, 4097])
+def test_permutations_and_back(n):
+    from twinledger.functions.permutations import permuted, unpermuted
+
+    seen = {tuple(permuted(np.arange(n), np.full(n, n), np.full(n, k))) for k in range(4)}
+    assert all(sorted(p) == list(range(n)) for p in seen) and (n < 64 or len(seen) == 4)
+    at, size, key = np.arange(n), np.full(n, n), np.full(n, 3)
+    assert (unpermuted(permuted(at, size, key), size, key) == at).all()
