@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinledger.functions.permutations import permuted
 from twinledger.llm import components, copies, frequency, ledger, mixing, near_duplicates, packing, relations, residue, salience, similar
 from tests.llm.residue_sentences import LEFT, LEFT_UNSEEN, SPOKEN, SPOKEN_UNSEEN
 from twinledger.llm.tokens import Tokenizer, tokenised
@@ -370,14 +371,6 @@ def test_tokens_decode_to_the_text(spark):
     assert tiktoken.Encoding("x", pat_str=t.pattern, mergeable_ranks=ranks, special_tokens={}).decode(list(got.tokens)) == text and got.n == len(got.tokens)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 64, 1000, 4097])
-def test_permutations(n):
-    seen = {tuple(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, k))) for k in range(4)}
-    assert all(sorted(p) == list(range(n)) for p in seen) and (n < 64 or len(seen) == 4)
-    at, size, key = np.arange(n), np.full(n, n), np.full(n, 3)
-    assert (mixing.unpermuted(mixing.permuted(at, size, key), size, key) == at).all()
-
-
 def test_totals_and_draws():
     sources = [mixing.Source("a", 0.5, 1, 100), mixing.Source("b", 0.3, 4, 10), mixing.Source("c", 0.2, 2, 0)]
     count = mixing.totals(sources)
@@ -398,7 +391,7 @@ def test_draws_of_a_huge_corpus_are_few():
     plan = mixing.Plan(drawn, np.array(count), np.array([10_000_000_000, 5_000_000_000, 7]), 7)
     k, block, passes = np.array([0, 0, 0, 1, 2]), np.array([5, 5, 9_999_999_999, 17, 6]), np.array([0, 2, 1, 0, 0])
     slot = plan.slots(k, block, passes)
-    assert (slot // plan.sizes[k] == passes).all() and (mixing.permuted(slot % plan.sizes[k], plan.sizes[k], plan.key(k, passes)) == block).all()
+    assert (slot // plan.sizes[k] == passes).all() and (permuted(slot % plan.sizes[k], plan.sizes[k], plan.key(k, passes)) == block).all()
     shard, position = plan.places(k, slot)
     assert (position < drawn.sum(axis=1)[shard]).all()
 

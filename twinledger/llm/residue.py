@@ -171,8 +171,8 @@ SPOKEN_FIELDS = [
 
 
 def units(text: Column) -> Column:
-    """The sentences and lines of a text, trimmed; null gives null."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n"), lambda u: F.btrim(u, F.lit(" \t\r"))), lambda u: u != "")
+    """The sentences and lines of a text, trimmed, with one kind of apostrophe; null gives null."""
+    return F.filter(F.transform(F.split(F.translate(text, "’‘", "''"), r"(?<=[.!?])\s+|\n"), lambda u: F.btrim(u, F.lit(" \t\r"))), lambda u: u != "")
 
 
 def without_ids(unit: Column) -> Column:
@@ -226,11 +226,16 @@ def _one_of(words) -> str:
 _KNOWN = _one_of({*FILLER_WORDS, *MASHED})
 
 
-def kind(unit: Column, low: Column) -> Column:
-    """What kind of residue a unit, given as it is and in lower case, is, or null: script, error, placeholder or filler."""
-    unit, low = (F.translate(x, "’‘", "''") for x in (unit, low))
+def without_quotes(unit: Column) -> Column:
+    """A unit with quoted words, which are spoken about, as an empty quote."""
     said = F.when(~unit.rlike("[\"“„«]"), unit).otherwise(F.regexp_replace(unit, r"(?<!\{|:|,)[\"“„«](?![:,])[^\"“”„«»{}:]{2,60}[\"”“»]", '""'))  # quoted words are spoken about
     said = F.when(~said.contains(" '"), said).otherwise(F.regexp_replace(said, r"(?<= )'(?=\w)[^'{}:]{2,60}(?<=\w)'(?= )", '""'))
+    return said
+
+
+def kind(unit: Column, low: Column, said: Column) -> Column:
+    """What kind of residue a unit is, or null: script, error, placeholder or filler. low, said: the unit in lower case and without_quotes; these are
+    columns of their own, as they would be worked out anew for each rule."""
     flags = "(?iu)"
     words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     n = F.size(words)
@@ -255,9 +260,9 @@ def kind(unit: Column, low: Column) -> Column:
 
 def lines(documents: DataFrame) -> DataFrame:
     """(doc_id, host, line, kind): every unit of every document, its host (null is a host of its own), its normalised form's hash and its kind."""
-    both = lambda u: F.struct(u.alias("unit"), F.lower(u).alias("low"))  # noqa: E731  # made once, as many rules look at it
-    exploded = spread(documents.select("doc_id", "source", "text")).select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.explode(F.transform(units(F.col("text")), both)).alias("u"))
-    return exploded.select("doc_id", "host", F.xxhash64(normalised(F.col("u.unit"))).alias("line"), kind(F.col("u.unit"), F.col("u.low")).alias("kind"))
+    forms = lambda u: F.struct(u.alias("unit"), F.lower(u).alias("low"), without_quotes(u).alias("said"))  # noqa: E731  # made once, as many rules look at it
+    exploded = spread(documents.select("doc_id", "source", "text")).select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.explode(F.transform(units(F.col("text")), forms)).alias("u"))
+    return exploded.select("doc_id", "host", F.xxhash64(normalised(F.col("u.unit"))).alias("line"), kind(F.col("u.unit"), F.col("u.low"), F.col("u.said")).alias("kind"))
 
 
 def _wholly_frame(documents: DataFrame, found: DataFrame, frame: DataFrame, size: DataFrame, rare: Column, flagged: DataFrame) -> DataFrame:
