@@ -473,8 +473,8 @@ def test_frame_of_a_host_is_no_residue(spark):
 
 
 def test_residue_beside_words_of_mention(spark):
-    left = ["This piece is titled {{title}} by ${artist}.", "Error 500: the template could not be rendered.", "The template could not be loaded.", "Flagged by {{moderator}}.", "The motto of {{team}} is new.", "Use a field such as {{name}} for {{owner}} of this."]
-    spoken = ["Templates hold fields such as {{title}} and ${artist}.", "The field named ${owner} holds the address.", "Scripts read ${seed} from a hash.", "A NaN carved in stone.", "They show messages such as: something went wrong.", "In drafts, {{title}} stood for the title.", "Its motto: lorem ipsum dolor sit amet."]
+    left = ["This piece is titled {{title}} by ${artist}.", "Error 500: the template could not be rendered.", "The template could not be loaded.", "Flagged by {{moderator}}.", "The motto of {{team}} is new.", "Use a field such as {{name}} for {{owner}} of this.", "One buyer moved the NaN set to storage.", "The undefined set was sold.", "Royalties are set to NaN percent."]
+    spoken = ["Templates hold fields such as {{title}} and ${artist}.", "The field named ${owner} holds the address.", "Scripts read ${seed} from a hash.", "A NaN carved in stone.", "They show messages such as: something went wrong.", "In drafts, {{title}} stood for the title.", "Its motto: lorem ipsum dolor sit amet.", "The field is set to null if unknown.", "A null set has measure zero."]
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(left + spoken)], "doc_id long, text string, source string")
     assert rows(residue.residue(df), "doc_id") == [(i,) for i in range(len(left))]
 

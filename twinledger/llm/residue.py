@@ -164,8 +164,9 @@ SPOKEN_FIELDS = [
     rf"(?iu:\b(?:flag|report|list)(?:s|ed|ged|ging|ing)? ){_LIST} as an? (?:\w+ ){{0,3}}(?:value|placeholder|error|field|leftover|string)\b",
     rf"{_LIST} in the (?:examples?|templates?|source|code|syntax)\b|(?iu:\b(?:sort|group|filter)(?:s|ed|ing)? by ){_LIST}",
     rf"{_LIST} (?:is|are|was|were|gets?) (?:filled in|replaced|substituted|expanded)\b|{_LIST} (?:stands?|stood) for\b",
-    r"(?iu:\b(?:returns?|returned|returning|equals?|throws?|yields?|holds?|contains?|becomes?|prints?|compared? (?:to|with)|check(?:s|ed|ing)? for|test(?:s|ed|ing)? for|instead of|rather than|(?:remain|leave|stay)(?:s|ed)?|left|(?:values?|results?) (?:of|is|are)|set to|neither|either|not) )(?:undefined|NaN|null)\b",
-    r"\b(?:undefined|NaN|[Nn]ull)(?= (?:hypothes[ie]s|pointers?|devices?|modems?|vectors?|spaces?|distributions?|values?|sets?|bytes?|strings?|references?|objects?|results?|behaviou?rs?|terms?|checks?|models?|variables?|and (?:defined|void|undefined|NaN|null)|or (?:undefined|NaN|null|empty|zero|missing)|(?:is|are) (?:not|never|rejected|returned|used|allowed))\b)",
+    r"(?iu:\b(?:returns?|returned|returning|equals?|throws?|yields?|holds?|contains?|becomes?|prints?|compared? (?:to|with)|check(?:s|ed|ing)? for|test(?:s|ed|ing)? for|instead of|rather than|(?:remain|leave|stay)(?:s|ed)?|left|(?:values?|results?) (?:of|is|are)|neither|either|not) )(?:undefined|NaN|null)\b",
+    r"\bset to (?:undefined|NaN|null)(?=\W*$|[.,;:]| (?:if|when|by|and|or|until|unless|before|after)\b)|\b[Nn]ull sets?\b",
+    r"\b(?:undefined|NaN|[Nn]ull)(?= (?:hypothes[ie]s|pointers?|devices?|modems?|vectors?|spaces?|distributions?|values?|bytes?|strings?|references?|objects?|results?|behaviou?rs?|terms?|checks?|models?|variables?|and (?:defined|void|undefined|NaN|null)|or (?:undefined|NaN|null|empty|zero|missing)|(?:is|are) (?:not|never|rejected|returned|used|allowed))\b)",
     r"\b[Aa]n? (?:undefined|NaN|null)(?= (?:\w+ed|in|on|of|from|is|was|that|which|values?)\b|[,;.])",
 ]
 
