@@ -248,6 +248,28 @@ def handovers(moved: DataFrame, least: int = 3) -> DataFrame:
     return out.filter(F.col("addresses") >= least)
 
 
+def layered_paths(moved: DataFrame, starts: DataFrame, addresses: int = 3) -> DataFrame:
+    """(contract, token_id, start, hops, path, first_block, last_block): for each token and starting address (chain, address) the first way over so many different addresses.
+
+    Each hop is a later move of the token by the address that got it, later by block or, where a block is unknown, by time; the first way is the one
+    whose first move is earliest, then its second, and so on (by block, time, transaction and receiver; unknown ones first). Ways are built hop by
+    hop from the starts on, by joins on token and address. Moves without a token or an end are left out.
+    """
+    key = [*CONTRACT, "token_id"]
+    order = F.struct("block_number", "block_ts", "tx_hash", F.col("to_address").alias("to"))
+    events = moved.filter("token_id <> '' and from_address <> '' and to_address <> ''").select(*key, F.col("from_address").alias("src"), F.col("to_address").alias("dst"), order.alias("o")).distinct()
+    begun = events.join(starts.select("chain", F.col("address").alias("src")).distinct(), ["chain", "src"], "left_semi").filter("src <> dst")
+    ways = begun.select(*key, F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"), F.array("o").alias("os"))
+    for _ in range(addresses - 2):
+        following = events.select(*key, F.col("src").alias("last"), "dst", "o")
+        before = F.element_at("os", -1)
+        later = F.when(before["block_number"].isNotNull() & F.col("o.block_number").isNotNull(), before["block_number"] < F.col("o.block_number")).otherwise(before["block_ts"] < F.col("o.block_ts"))
+        met = ways.join(following, [*key, "last"]).filter(later & ~F.array_contains("path", F.col("dst")))
+        ways = met.select(*key, "start", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path"), F.concat("os", F.array("o")).alias("os"))
+    best = ways.groupBy(*key, "start").agg(F.min(F.struct("os", "path")).alias("b"))
+    return best.select(*key, "start", (F.size("b.path") - 1).alias("hops"), F.array_join("b.path", ">").alias("path"), F.col("b.os")[0]["block_number"].alias("first_block"), F.element_at("b.os", -1)["block_number"].alias("last_block"))
+
+
 def repeated_addresses(moved: DataFrame, least: int = 2) -> DataFrame:
     """(chain, address, contracts): addresses that moved tokens of at least so many contracts of a chain, as sender or receiver."""
     ends = moved.select("chain", "contract_address", F.explode(F.array("from_address", "to_address")).alias("address")).filter("address is not null").distinct()

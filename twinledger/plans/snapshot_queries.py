@@ -337,6 +337,12 @@ def inventory_shares(spark: SparkSession, d: str) -> DataFrame:
     return graph.inventories(moved, graph.address_edges(moved)).withColumns({c: F.round(c, 9) for c in ("token_share", "value_share")})
 
 
+def layered_paths(spark: SparkSession, d: str) -> DataFrame:
+    """First ways of tokens over three addresses, from addresses that moved tokens of two contracts."""
+    moved = _moved(spark, d)
+    return graph.layered_paths(moved, graph.repeated_addresses(moved))
+
+
 def cycle_instances(spark: SparkSession, d: str) -> DataFrame:
     moved = _moved(spark, d)
     return graph.instances(moved, land(graph.strong_components(graph.address_edges(moved)), "cycles"), "gas_native").withColumn("value", F.round("value", 9))
@@ -430,7 +436,7 @@ QUERIES = {
     for f in (
         snapshot_tokens, snapshot_totals, snapshot_one_chain, snapshot_conflicts, snapshot_anchors, highest_tokens, url_forms, asset_facts, exported_snapshot, export_counts, canonical_documents,
         token_uri_scopes, token_uri_ratios, image_uri_scopes, name_bearers, exact_name_scopes, fuzzy_name_pairs, fuzzy_name_scopes, metadata_pairs, metadata_scopes, sampled_metadata_pairs, text_pairs, text_scopes, text_profiles, text_scopes_of_all, lowest_anchors, snapshot_report, seed_text_hits, seed_documents, seed_tokens,
-        seed_uri_scale_by_scope, relation_shares, sampled_in_scopes, sampled_group_pairs, names_by_length, related_name_hits, unexcluded_tokens, overlaid_tokens, cycle_instances, licensed_documents,
+        seed_uri_scale_by_scope, relation_shares, sampled_in_scopes, sampled_group_pairs, names_by_length, related_name_hits, unexcluded_tokens, overlaid_tokens, layered_paths, cycle_instances, licensed_documents,
         ranked_seeds, seed_uri_scale, seed_uri_scale_images_apart, seed_name_hits, seed_hits, relations_unified, relations_by_scope, sampled_relations, retry_images, staged_assets, filled_assets, unlisted_tokens,
         transfer_lifecycles, token_holders, first_disposals, paid_and_held, transaction_gas, mint_payments, gas_concentration, receipt_gini, nearest_moves,
         address_edges, trading_cycles, cycle_sizes, cycle_exits, repeated_addresses, fan_addresses, inventory_shares, token_handovers, streamed_daily_counts, streamed_tokens,
@@ -662,6 +668,12 @@ ORACLES = {
         SELECT chain, contract_address, address, sources, tokens, round(tokens / n, 9) token_share, round(coalesce(paid, 0.0) / all_paid, 9) value_share
         FROM i JOIN h USING (chain, contract_address, address) JOIN a USING (chain, contract_address) LEFT JOIN (SELECT chain, contract_address, mint_payment_receiver address, sum(mint_payment_native) paid FROM m WHERE mint_payment_native > 0 AND mint_payment_receiver IS NOT NULL GROUP BY ALL) USING (chain, contract_address, address)
         LEFT JOIN (SELECT chain, contract_address, sum(mint_payment_native) all_paid FROM m WHERE mint_payment_native > 0 AND mint_payment_receiver IS NOT NULL GROUP BY ALL) USING (chain, contract_address)""",
+    "layered_paths": f"""WITH {_MOVES}, st AS (SELECT chain, address FROM (SELECT DISTINCT chain, contract_address, unnest([from_address, to_address]) address FROM m) WHERE address IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+        v AS (SELECT *, row_number() OVER (ORDER BY block_number NULLS FIRST, block_ts NULLS FIRST, tx_hash NULLS FIRST, to_address) o FROM (SELECT DISTINCT chain, contract_address, token_id, from_address, to_address, block_number, block_ts, tx_hash FROM m WHERE token_id <> '' AND from_address <> '' AND to_address <> '')),
+        w AS (SELECT a.chain, a.contract_address, a.token_id, a.from_address AS "start", a.from_address || '>' || a.to_address || '>' || b.to_address path, a.block_number first_block, b.block_number last_block, row_number() OVER (PARTITION BY a.chain, a.contract_address, a.token_id, a.from_address ORDER BY a.o, b.o) i
+          FROM v a SEMI JOIN st ON st.chain = a.chain AND st.address = a.from_address JOIN v b ON b.chain = a.chain AND b.contract_address = a.contract_address AND b.token_id = a.token_id AND b.from_address = a.to_address
+          WHERE a.from_address <> a.to_address AND b.to_address NOT IN (a.from_address, a.to_address) AND CASE WHEN a.block_number IS NOT NULL AND b.block_number IS NOT NULL THEN a.block_number < b.block_number ELSE a.block_ts < b.block_ts END)
+        SELECT chain, contract_address, token_id, "start", 2 hops, path, first_block, last_block FROM w WHERE i = 1""",
     "cycle_instances": f"""WITH RECURSIVE {_MOVES}, {_EDGES}, {_SCC}, x AS (SELECT m.*, a.component FROM m JOIN scc a ON a.chain = m.chain AND a.contract_address = m.contract_address AND a.v = m.from_address JOIN scc b ON b.chain = m.chain AND b.contract_address = m.contract_address AND b.v = m.to_address AND b.component = a.component WHERE from_address <> to_address)
         SELECT chain, contract_address, component, count(*) events, count(DISTINCT from_address) addresses, count(DISTINCT token_id) tokens, min(block_ts) first_at, max(block_ts) last_at, min(block_number) first_block, max(block_number) last_block, round(sum(greatest(0.0, coalesce(gas_native, 0.0))), 9) "value" FROM x GROUP BY ALL""",
     "licensed_documents": """WITH x AS (SELECT asset_id, CASE asset_id % 3 WHEN 0 THEN '{"license":"CC0-1.0 ","m":' || metadata || '}' WHEN 1 THEN '{"public domain":"no","m":' || metadata || '}' ELSE metadata END t FROM nft_assets WHERE metadata IS NOT NULL)
