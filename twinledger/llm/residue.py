@@ -248,8 +248,9 @@ def kind(unit: Column, low: Column, said: Column) -> Column:
     plain = joining > 0
     distinct = F.size(F.array_distinct(words))
     of_words = ((n >= 3) & ((filler >= 0.5 * n) | (mashed >= 0.6 * n))) | ((n >= 2) & (filler == n)) | ((n >= 5) & (filler >= 1) & ~plain) | ((filler >= 3) & (joining <= 0.1 * n)) | low.rlike(rf"(?u)\b(?:{'|'.join(MASHED)})(?:\W{{1,3}}(?:{'|'.join(MASHED)})\b){{2}}")
-    # one word alone, or a word four times in a row, or few words over and over with none that joins them
-    repeated = ((n >= 3) & (distinct == 1) & (F.length(words[0]) >= 3)) | low.rlike(r"(?u)\b(\p{L}{2,40})[\s.,]{1,3}\1[\s.,]{1,3}\1[\s.,]{1,3}\1\b") | ((n >= 6) & (distinct <= 0.5 * n) & ~plain)
+    # one word alone, or a word four times in a row (what a slot is called, three times), or few words over and over with none that joins them
+    slots = low.rlike(rf"(?u)\b({SLOT})[\s.,]{{1,3}}\1[\s.,]{{1,3}}\1\b")
+    repeated = slots | ((n >= 3) & (distinct == 1) & (F.length(words[0]) >= 3)) | low.rlike(r"(?u)\b(\p{L}{2,40})[\s.,]{1,3}\1[\s.,]{1,3}\1[\s.,]{1,3}\1\b") | ((n >= 6) & (distinct <= 0.5 * n) & ~plain)
     cited = low.rlike(rf"(?u)\b{CITED}[ :,]{{1,2}}(?:{_KNOWN}\b|(\p{{L}}{{2,40}})[\s.,]{{1,3}}\1[\s.,]{{1,3}}\1\b)")
     return (
         F.when(_stated(said, SCRIPT_NOTICES, flags, low), "script")
