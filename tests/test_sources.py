@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from twinledger.functions import decode
@@ -69,3 +70,23 @@ def test_prices_are_exact_at_any_length(spark):
     fee = {"symbol": "eth", "decimals": 18}
     page = {"nftSales": [{"transactionHash": "t", "sellerAddress": "0xS", "buyerAddress": "0xB", "tokenId": "1", "sellerFee": fee | {"amount": str(10**60)}, "royaltyFee": fee | {"amount": "0001"}}]}
     assert rows(providers.sales(pages(spark, page)), "price_raw") == [(str(10**60 + 1),)]
+
+
+def test_assets_of_a_database(spark, tmp_path):
+    """A database that comes with Spark stands for any."""
+    from twinledger.sources import snapshot
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    data = [(i, i, f"0x{i}", "ipfs://u", "", f"n{i}", "old", "new", i * 10) for i in range(5)]
+    df = spark.createDataFrame(data, "id long, token_id long, contract_address string, token_uri string, image_uri string, name string, metadata string, raw_metadata string, first_seen_block long")
+    texts = ("contract_address", "token_uri", "image_uri", "name", "metadata", "raw_metadata")
+    df.write.format("jdbc").option("quoteIdentifiers", "false").options(url=url, dbtable="assets", createTableColumnTypes=", ".join(f"{c} VARCHAR(200)" for c in texts)).save()
+    columns = spark.read.format("jdbc").options(url=url, dbtable="assets").load().columns
+    plain = ", ".join(f'"{c}" AS {c}' for c in columns)
+    found = snapshot.read_assets(spark, url, f"(SELECT {plain} FROM assets) AS a", "base", blocks=(10, 30), text_type="CHAR(20)", isolation="VALUES 1")
+    assert sorted((r.source_order, r.token_id.strip(), r.asset_name, r.symbol, r.metadata.strip()) for r in found.collect()) == [(i, str(i), f"n{i}", None, "new") for i in (1, 2, 3)]
+    assert snapshot.exported(found).count() == 3
+    with pytest.raises(ValueError):
+        snapshot.metadata_column(["id"])
+    options = snapshot.jdbc_options(url, "assets", df.columns, blocks=(10, 30), partitions=2, bounds=(0, 5), text_type="VARCHAR(250)", user="u")
+    assert "BETWEEN 10 AND 30" in options["dbtable"] and "CAST(raw_metadata AS VARCHAR(250)) AS metadata" in options["dbtable"] and options["numPartitions"] == "2" and options["user"] == "u"

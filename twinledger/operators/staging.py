@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinledger.functions.text import fill_token_id, image_of, inline_json
+
 
 def insert_absent(table: DataFrame, batch: DataFrame, key: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The table and those rows of a batch whose key it lacks; of rows with one key the first in order. Keys with a null count as equal."""
@@ -32,6 +34,28 @@ def storable(text: Column, most: int) -> Column:
     return F.substring(F.regexp_replace(text, "\u0000", ""), 1, most)
 
 
+def insert_assets(table: DataFrame, batch: DataFrame, key: Sequence[str], order: Sequence[str | Column], widths: dict[str, int]) -> DataFrame:
+    """insert_absent of a batch whose texts are made storable: without NUL signs, and those of columns with a width cut to it."""
+    plain = {f.name: storable(F.col(f.name), widths.get(f.name, 2**31 - 1)) for f in batch.schema.fields if f.dataType.typeName() == "string"}
+    return insert_absent(table, batch.withColumns(plain), key, order)
+
+
+def usable_assets(assets: DataFrame, bad_prefixes: Sequence[str] = ()) -> DataFrame:
+    """Collected assets (chain, contract_address, token_id, token_uri, image_uri, ...) that are worth keeping, with what their URI tells filled in.
+
+    A missing picture is taken from a document inside the token URI. Contracts of which any asset has its picture inside the URI itself
+    (``data:image``) are left out whole, as they can't be told apart by URIs; so are assets without a token URI or with one that begins with one of
+    bad_prefixes. ``{id}`` in a token URI becomes the token id.
+    """
+    key = ["chain", "contract_address"]
+    shown = assets.withColumn("image_uri", F.coalesce("image_uri", image_of(inline_json(F.col("token_uri")))))
+    inside = shown.filter(F.col("image_uri").startswith("data:image")).select(*key).distinct()
+    given = shown.filter(F.coalesce(F.col("token_uri") != "", F.lit(False)))
+    for p in bad_prefixes:
+        given = given.filter(~F.col("token_uri").startswith(p))
+    return given.join(inside, key, "left_anti").withColumn("token_uri", fill_token_id(F.col("token_uri"), F.col("token_id"))).select(*assets.columns)
+
+
 def retry_queue(assets: DataFrame, limit: int) -> DataFrame:
     """(token_uri, checked_at): token URIs of assets that lack a picture, longest unchecked first, ties by URI."""
     lacking = assets.filter((F.trim(F.coalesce("image_uri", F.lit(""))) == "") & (F.trim(F.coalesce("token_uri", F.lit(""))) != ""))

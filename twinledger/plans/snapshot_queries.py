@@ -260,6 +260,32 @@ def filled_assets(spark: SparkSession, d: str) -> DataFrame:
     return staging.upsert(new, old, key)
 
 
+def inserted_assets(spark: SparkSession, d: str) -> DataFrame:
+    """Assets of even ids added to those of odd ones where their token is new, names cut to ten signs."""
+    a = table(spark, d, "nft_assets", "asset_id", "chain", "contract_address", "token_id", "asset_name").filter("chain is not null and contract_address is not null and token_id is not null")
+    key = ["chain", "contract_address", "token_id"]
+    odd = staging.insert_absent(a.limit(0), a.filter("asset_id % 2 = 1"), key, ["asset_id"])
+    return staging.insert_assets(odd, a.filter("asset_id % 2 = 0").withColumn("asset_name", F.concat(F.lit("\u0000"), F.col("asset_name"))), key, ["asset_id"], {"asset_name": 10})
+
+
+def usable_assets(spark: SparkSession, d: str) -> DataFrame:
+    """Assets worth keeping; those of even ids tell their picture inside their URI, every 97th has it there itself."""
+    a = table(spark, d, "nft_assets", "asset_id", "chain", "contract_address", "token_id", "token_uri", "image_uri").filter("chain is not null and contract_address is not null")
+    inside = F.concat(F.lit("data:application/json;base64,"), F.base64(F.encode(F.concat(F.lit('{"image":"ipfs://p/'), F.col("asset_id").cast("string"), F.lit('"}')), "UTF-8")))
+    even = F.col("asset_id") % 2 == 0
+    told = a.withColumn("image_uri", F.when(F.col("asset_id") % 97 == 0, "data:image/png;base64,AA").when(even, None).otherwise(F.col("image_uri"))).withColumn("token_uri", F.when(even, inside).otherwise(F.col("token_uri")))
+    return staging.usable_assets(told, ["ar://"]).select("asset_id", "image_uri", F.length("token_uri").alias("uri_length"))
+
+
+def block_range(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the middle half of the blocks of all, by chain."""
+    rows = table(spark, d, "snapshot", "chain", "first_seen_block")
+    lo, hi = rows.agg(F.min("first_seen_block"), F.max("first_seen_block")).first()
+    if lo is None:
+        lo = hi = 0
+    return source.in_blocks(rows, lo + (hi - lo) // 4, hi - (hi - lo) // 4).groupBy(tidy_chain(F.col("chain")).alias("chain")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def unlisted_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens per chain, without the contracts of seeds."""
     left = staging.remove_listed(_tokens(spark, d), _seeds(spark, d), ["chain", "contract_address"])
@@ -436,7 +462,7 @@ QUERIES = {
     for f in (
         snapshot_tokens, snapshot_totals, snapshot_one_chain, snapshot_conflicts, snapshot_anchors, highest_tokens, url_forms, asset_facts, exported_snapshot, export_counts, canonical_documents,
         token_uri_scopes, token_uri_ratios, image_uri_scopes, name_bearers, exact_name_scopes, fuzzy_name_pairs, fuzzy_name_scopes, metadata_pairs, metadata_scopes, sampled_metadata_pairs, text_pairs, text_scopes, text_profiles, text_scopes_of_all, lowest_anchors, snapshot_report, seed_text_hits, seed_documents, seed_tokens,
-        seed_uri_scale_by_scope, relation_shares, sampled_in_scopes, sampled_group_pairs, names_by_length, related_name_hits, unexcluded_tokens, overlaid_tokens, layered_paths, cycle_instances, licensed_documents,
+        seed_uri_scale_by_scope, relation_shares, sampled_in_scopes, sampled_group_pairs, names_by_length, related_name_hits, unexcluded_tokens, overlaid_tokens, inserted_assets, usable_assets, block_range, layered_paths, cycle_instances, licensed_documents,
         ranked_seeds, seed_uri_scale, seed_uri_scale_images_apart, seed_name_hits, seed_hits, relations_unified, relations_by_scope, sampled_relations, retry_images, staged_assets, filled_assets, unlisted_tokens,
         transfer_lifecycles, token_holders, first_disposals, paid_and_held, transaction_gas, mint_payments, gas_concentration, receipt_gini, nearest_moves,
         address_edges, trading_cycles, cycle_sizes, cycle_exits, repeated_addresses, fan_addresses, inventory_shares, token_handovers, streamed_daily_counts, streamed_tokens,
@@ -668,6 +694,13 @@ ORACLES = {
         SELECT chain, contract_address, address, sources, tokens, round(tokens / n, 9) token_share, round(coalesce(paid, 0.0) / all_paid, 9) value_share
         FROM i JOIN h USING (chain, contract_address, address) JOIN a USING (chain, contract_address) LEFT JOIN (SELECT chain, contract_address, mint_payment_receiver address, sum(mint_payment_native) paid FROM m WHERE mint_payment_native > 0 AND mint_payment_receiver IS NOT NULL GROUP BY ALL) USING (chain, contract_address, address)
         LEFT JOIN (SELECT chain, contract_address, sum(mint_payment_native) all_paid FROM m WHERE mint_payment_native > 0 AND mint_payment_receiver IS NOT NULL GROUP BY ALL) USING (chain, contract_address)""",
+    "inserted_assets": """WITH x AS (SELECT asset_id, chain, contract_address, token_id, asset_name, asset_id % 2 e FROM nft_assets WHERE chain IS NOT NULL AND contract_address IS NOT NULL AND token_id IS NOT NULL),
+        f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY chain, contract_address, token_id, e ORDER BY asset_id) = 1)
+        SELECT asset_id, chain, contract_address, token_id, CASE WHEN e = 0 THEN substring(asset_name, 1, 10) ELSE asset_name END asset_name FROM f WHERE e = 1 OR NOT EXISTS (SELECT 1 FROM f o WHERE o.e = 1 AND o.chain = f.chain AND o.contract_address = f.contract_address AND o.token_id = f.token_id)""",
+    "usable_assets": """WITH x AS (SELECT asset_id, chain, contract_address, CASE WHEN asset_id % 97 = 0 THEN 'data:image/png;base64,AA' WHEN asset_id % 2 = 0 THEN 'ipfs://p/' || asset_id ELSE image_uri END image_uri,
+          CASE WHEN asset_id % 2 = 0 THEN 'data:application/json;base64,' || base64(CAST('{"image":"ipfs://p/' || asset_id || '"}' AS BLOB)) ELSE token_uri END token_uri FROM nft_assets WHERE chain IS NOT NULL AND contract_address IS NOT NULL)
+        SELECT asset_id, image_uri, length(token_uri) uri_length FROM x WHERE token_uri <> '' AND token_uri NOT LIKE 'ar://%' AND NOT EXISTS (SELECT 1 FROM x y WHERE y.chain = x.chain AND y.contract_address = x.contract_address AND y.image_uri LIKE 'data:image%')""",
+    "block_range": """WITH b AS (SELECT min(first_seen_block) lo, max(first_seen_block) hi FROM snapshot) SELECT lower(trim(chain)) chain, count(*) n FROM snapshot, b WHERE first_seen_block BETWEEN lo + (hi - lo) // 4 AND hi - (hi - lo) // 4 GROUP BY 1""",
     "layered_paths": f"""WITH {_MOVES}, st AS (SELECT chain, address FROM (SELECT DISTINCT chain, contract_address, unnest([from_address, to_address]) address FROM m) WHERE address IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
         v AS (SELECT *, row_number() OVER (ORDER BY block_number NULLS FIRST, block_ts NULLS FIRST, tx_hash NULLS FIRST, to_address) o FROM (SELECT DISTINCT chain, contract_address, token_id, from_address, to_address, block_number, block_ts, tx_hash FROM m WHERE token_id <> '' AND from_address <> '' AND to_address <> '')),
         w AS (SELECT a.chain, a.contract_address, a.token_id, a.from_address AS "start", a.from_address || '>' || a.to_address || '>' || b.to_address path, a.block_number first_block, b.block_number last_block, row_number() OVER (PARTITION BY a.chain, a.contract_address, a.token_id, a.from_address ORDER BY a.o, b.o) i

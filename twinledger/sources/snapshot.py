@@ -178,18 +178,51 @@ def exported(assets: DataFrame, names: bool = True) -> DataFrame:
     )
 
 
-def jdbc_options(url: str, table: str, columns: Sequence[str], id_column: str = "id", blocks: tuple[int, int] | None = None, fetch_rows: int = 100_000, partitions: int = 1, bounds: tuple[int, int] | None = None) -> dict[str, str]:
+def in_blocks(rows: DataFrame, first: int, last: int, column: str = "first_seen_block") -> DataFrame:
+    """Rows of an inclusive range of blocks; null blocks are out. A plain comparison, so that scans and databases prune by it."""
+    if first < 0 or first > last:
+        raise ValueError(f"no block range: {(first, last)}")
+    return rows.filter(F.col(column).between(first, last))
+
+
+def metadata_column(columns: Sequence[str]) -> str:
+    """The column that holds metadata: ``raw_metadata`` where a table has it, else ``metadata``; ValueError if it has neither."""
+    found = [c for c in ("raw_metadata", "metadata") if c in {x.lower() for x in columns}]
+    if not found:
+        raise ValueError("no column with metadata")
+    return found[0]
+
+
+def jdbc_options(url: str, table: str, columns: Sequence[str], id_column: str = "id", blocks: tuple[int, int] | None = None, fetch_rows: int = 100_000, partitions: int = 1, bounds: tuple[int, int] | None = None, text_type: str = "TEXT", **more: str) -> dict[str, str]:
     """Options of Spark's JDBC reader for an asset table; ``raw_metadata`` is read as metadata where the table has it.
 
-    Text casts happen in the database, as token ids exceed any numeric type. blocks: an inclusive range of first_seen_block.
+    Text casts happen in the database, as token ids exceed any numeric type; text_type is its name for long texts. blocks: an inclusive range
+    of first_seen_block. more: further options of the reader, such as user, driver or sessionInitStatement.
     """
-    metadata = "raw_metadata" if "raw_metadata" in columns else "metadata"
+    metadata = metadata_column(columns)
     if blocks and (blocks[0] < 0 or blocks[0] > blocks[1]):
         raise ValueError(f"no block range: {blocks}")
     where = f" WHERE first_seen_block BETWEEN {int(blocks[0])} AND {int(blocks[1])}" if blocks else ""
-    plain = [c for c in ("contract_address", "token_uri", "image_uri", "name", "symbol") if c in columns]
-    query = f"SELECT {id_column}, token_id::text AS token_id, {', '.join(plain)}, {metadata}::text AS metadata FROM {table}{where}"
-    options = {"url": url, "dbtable": f"({query}) AS assets", "fetchsize": str(fetch_rows)}
+    known = {c.lower() for c in columns}
+    plain = [c for c in ("contract_address", "token_uri", "image_uri", "name", "symbol") if c in known]
+    query = f"SELECT {id_column}, CAST(token_id AS {text_type}) AS token_id, {', '.join(plain)}, CAST({metadata} AS {text_type}) AS metadata FROM {table}{where}"
+    options = {"url": url, "dbtable": f"({query}) AS assets", "fetchsize": str(fetch_rows)} | more
     if partitions > 1 and bounds:
         options |= {"partitionColumn": id_column, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(partitions)}
     return options
+
+
+def read_assets(spark: SparkSession, url: str, table: str, chain: str, id_column: str = "id", isolation: str | None = None, **options) -> DataFrame:
+    """Assets of one chain's table of a database, as `exported` takes them, with the table's id as source_order.
+
+    The columns are looked up first; missing ones are null. isolation: a statement that opens each connection's transaction, such as the
+    database's for a repeatable read. One partition reads one snapshot; several (see jdbc_options) read one each, so they need a table that
+    is not written meanwhile.
+    """
+    more = {k: v for k, v in options.items() if k in ("user", "password", "driver", "queryTimeout")}
+    probe = spark.read.format("jdbc").options(url=url, dbtable=f"(SELECT * FROM {table} WHERE 1 = 0) AS probe", **more).load()
+    session = {"sessionInitStatement": isolation} if isolation else {}
+    rows = spark.read.format("jdbc").options(**jdbc_options(url, table, probe.columns, id_column, **options, **session)).load()
+    rows = rows.toDF(*(c.lower() for c in rows.columns))
+    text = lambda c, to=None: (F.col(c) if c in rows.columns else F.lit(None).cast("string")).cast("string").alias(to or c)
+    return rows.select(F.col(id_column.lower()).alias("source_order"), F.lit(chain).alias("chain"), text("contract_address"), text("token_id"), text("token_uri"), text("image_uri"), text("name", "asset_name"), text("symbol"), text("metadata"))
