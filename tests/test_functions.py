@@ -114,3 +114,12 @@ def test_permutations_and_back(n):
     assert all(sorted(p) == list(range(n)) for p in seen) and (n < 64 or len(seen) == 4)
     at, size, key = np.arange(n), np.full(n, n), np.full(n, 3)
     assert (unpermuted(permuted(at, size, key), size, key) == at).all()
+
+
+def test_picture_suffixes(spark):
+    from twinledger.functions.text import picture_suffix
+
+    data = [("image/png; x", "a.gif", None), (None, "https://h/A.JPEG?x=.png", b""), (None, "h/a.tif", None), ("text/html", None, b"\x89PNG\r\n\x1a\nrest"), (None, "", b"RIFF1234WEBPx"), (None, None, b"RIFF1234WAVE"), (None, None, b" <SVG"), (None, None, b"GIF88a"), (None, None, None)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(data)], "i int, m string, u string, h binary")
+    found = [r[0] for r in df.orderBy("i").select(picture_suffix(F.col("m"), F.col("u"), F.col("h"))).collect()]
+    assert found == [".png", ".jpg", ".tiff", ".png", ".webp", None, ".svg", None, None]

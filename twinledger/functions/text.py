@@ -78,6 +78,27 @@ def url_suffix(uri: Column) -> Column:
     return F.when(found != "", found)
 
 
+# Media types of pictures with their suffix, other spellings of suffixes, and how files of some types begin (in hexadecimal).
+PICTURE_TYPES = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/webp": ".webp", "image/svg+xml": ".svg", "image/avif": ".avif", "image/bmp": ".bmp", "image/tiff": ".tiff", "image/x-icon": ".ico"}
+SAME_SUFFIX = {".jpeg": ".jpg", ".tif": ".tiff"}
+BEGINNINGS = {".png": "89504E470D0A1A0A", ".jpg": "FFD8FF", ".gif": "474946383[79]61", ".webp": "52494646.{8}57454250"}
+
+
+def picture_suffix(media_type: Column, uri: Column, head: Column) -> Column:
+    """The suffix of a picture file by its media type, else by its URI's path, else by its first bytes (head, binary); null if none tells.
+
+    A text whose first 1,024 bytes hold ``<svg`` is one. Nulls tell nothing.
+    """
+    kind = F.trim(F.substring_index(media_type, ";", 1))
+    by_type = F.coalesce(*(F.when(kind == t, s) for t, s in PICTURE_TYPES.items()))
+    path = F.lower(F.regexp_extract(uri, r"^[^?#]*", 0))
+    known = dict.fromkeys([*PICTURE_TYPES.values(), *SAME_SUFFIX])
+    by_path = F.coalesce(*(F.when(path.endswith(s), SAME_SUFFIX.get(s, s)) for s in known))
+    begins = F.hex(F.substring(head, 1, 16))
+    by_head = F.coalesce(*(F.when(begins.rlike(f"^{p}"), s) for s, p in BEGINNINGS.items()), F.when(F.lower(F.decode(F.substring(head, 1, 1024), "ISO-8859-1")).contains("<svg"), ".svg"))
+    return F.coalesce(by_type, by_path, by_head)
+
+
 def name_without_number(raw: str | None) -> str | None:
     """A name without compatibility forms, numbered ends, spare white space and case."""
     if raw is None:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinledger.runtime import land
+
 #: Of the compact states, a join key is hot from this share on; there are at most its reciprocal many such keys.
 HOT_SHARE = 1 / 64
 
@@ -43,6 +45,7 @@ def eager_join_rollup(
     lk, rk = [c for c in left_keys if c not in on], [c for c in right_keys if c not in on]
     a, b = _states(left, on, lk, left_sums, "l"), _states(right, on, rk, right_sums, "r")
     if lk and salts > 1:
+        a = land(a, "states")  # looked at twice: for hot keys, and to join
         per_key = a.groupBy(*on).agg(F.count(F.lit(1)).alias("__states"))
         total = per_key.agg(F.coalesce(F.sum("__states"), F.lit(0)).alias("__total")).scalar()
         hot = per_key.filter(F.col("__states") > F.greatest(F.lit(10_000), total * HOT_SHARE)).select(*on, F.lit(salts).alias("__salts"))

@@ -294,6 +294,15 @@ def text_forms(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def picture_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    """Suffixes of picture files, by media type for every fourth asset, by first bytes for every fourth, else by URI."""
+    a = table(spark, d, "nft_assets", "asset_id", "image_uri")
+    turn = F.col("asset_id") % 4
+    media = F.when(turn == 0, "image/jpeg; charset=binary").when(turn == 1, "text/html")
+    head = F.when(turn == 2, F.unhex(F.lit("4749463839610000"))).when(turn == 3, F.encode(F.lit("<?xml?><SVG>"), "UTF-8"))
+    return a.select("asset_id", text.picture_suffix(media, F.col("image_uri"), head).alias("suffix"))
+
+
 def _storable(value, most: int):
     from twinledger.operators.staging import storable
 
@@ -304,7 +313,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reply_transfers, listed_transfers, preferred_transfers, reply_holders, populations, reply_sales, market_sales, reply_receipts, gas_by_receipt, owner_changes, coin_moves, collection_assets, native_moves,
-        classified_flows, flows_near_mints, mint_outflows, paid_mints, flow_facts, controllers, controller_continuity, evidence_states, state_counts, reason_counts, unambiguous_symbols, decoded_logs, decoded_accounts, text_forms,
+        classified_flows, flows_near_mints, mint_outflows, paid_mints, flow_facts, controllers, controller_continuity, evidence_states, state_counts, reason_counts, unambiguous_symbols, decoded_logs, decoded_accounts, text_forms, picture_suffixes,
     )
 }
 
@@ -382,6 +391,9 @@ ORACLES = {
     "decoded_logs": """WITH b AS (SELECT lower(trim(contract_address)) contract_address, block_number n FROM transfers WHERE block_number IS NOT NULL AND contract_address IS NOT NULL AND chain IS NOT NULL),
         l AS (SELECT contract_address, n t, 'ERC-721' s, n FROM b UNION ALL SELECT contract_address, n + unnest([1, 2, 3]), 'ERC-1155', n FROM b) SELECT contract_address, CAST(t AS VARCHAR) token_id, s token_standard, min(n) block_number FROM l GROUP BY ALL""",
     "decoded_accounts": r"SELECT asset_id, regexp_replace(asset_name, '^\s+|\s+$', '', 'g') AS name, regexp_replace(symbol, '^\s+|\s+$', '', 'g') symbol, regexp_replace(token_uri, '^\s+|\s+$', '', 'g') uri, true has_mint FROM nft_assets WHERE asset_name IS NOT NULL AND symbol IS NOT NULL AND token_uri IS NOT NULL",
+    "picture_suffixes": f"""WITH x AS (SELECT asset_id, lower(regexp_extract(image_uri, '^[^?#]*')) p FROM nft_assets),
+        y AS (SELECT asset_id, CASE {" ".join(f"WHEN p LIKE '%{s}' THEN '{text.SAME_SUFFIX.get(s, s)}'" for s in [*text.PICTURE_TYPES.values(), *text.SAME_SUFFIX])} END s FROM x)
+        SELECT asset_id, CASE WHEN asset_id % 4 = 0 THEN '.jpg' ELSE coalesce(s, CASE asset_id % 4 WHEN 2 THEN '.gif' WHEN 3 THEN '.svg' END) END suffix FROM y""",
     "text_forms": f"""SELECT asset_id, 'ipfs://c/' || coalesce(lpad({_HEX.format("first_seen_block")}, 64, '0'), '{{id}}') || '.json#' || asset_id filled, metadata inlined, metadata written, token_uri abi, CASE WHEN first_seen_block = 0 THEN '0' ELSE CAST(CAST(first_seen_block AS HUGEINT) * 18446744073709551616 AS VARCHAR) END id,
         substring(asset_name, 1, 8) stored FROM nft_assets WHERE token_uri IS NOT NULL AND metadata IS NOT NULL AND asset_name IS NOT NULL""",
 }
