@@ -400,7 +400,10 @@ def test_scopes_keep_tables_of_other_runs(spark):
     with pytest.raises(Exception, match="exist|FILE"):
         spark.read.parquet(inner.landed_at).count()
     assert outer.count() == 3
-    runtime.release(outer)
+    with runtime.landing_scope(spark):
+        result = runtime.land(spark.range(4), "result", outer=True)
+    assert result.count() == 4
+    runtime.release(outer, result)
 
 
 def test_landed_tables_are_released(spark):

@@ -12,7 +12,7 @@ from twinledger.functions.text import token_order
 from twinledger.identity import CASE_SENSITIVE_CHAIN
 from twinledger.operators.scopes import all_match_counts, member_counts
 from twinledger.operators.skew import hot_keys, spread_join
-from twinledger.runtime import land
+from twinledger.runtime import land, landing_scope
 
 
 def documents_of(anchors: DataFrame) -> DataFrame:
@@ -167,6 +167,12 @@ def similar_profiles(anchors: DataFrame, threshold: float = 0.6, per_token: bool
     documents. Units of one profile match as well and are not listed. Units with no valid document match none. A threshold above 1 leaves
     equal documents; one of 0 or less is refused, see similar_documents. seeds: (chain, contract_address); then only pairs with a profile of one.
     """
+    with landing_scope(anchors.sparkSession):
+        pairs, members = _similar_profiles(anchors, threshold, per_token, seeds)
+        return land(pairs, "profile-pairs", outer=True), land(members, "members", outer=True)
+
+
+def _similar_profiles(anchors: DataFrame, threshold: float, per_token: bool, seeds: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     units = land(units_of(anchors, per_token), "units")
     docs = land(documents_of(land(anchors.select("document").distinct(), "texts")), "documents")
     members, tops = profiled(units)
@@ -207,7 +213,7 @@ def similar_profiles(anchors: DataFrame, threshold: float = 0.6, per_token: bool
     kept = candidates.join(beaten, ["a", "b"], "left_anti").select("a", "b", F.coalesce("score", "top_score").alias("score"))
     if mine is not None:
         kept = kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct()
-    return land(kept, "profile-pairs"), land(members, "members")
+    return kept, members
 
 
 def similar_contracts(anchors: DataFrame, threshold: float = 0.6, seeds: DataFrame | None = None) -> DataFrame:

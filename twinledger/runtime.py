@@ -52,8 +52,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def land(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Writes df as a compressed table in the shared folder and reads it back, without its lineage.
+def land(df: DataFrame, name: str, *partition_by: str, outer: bool = False) -> DataFrame:
+    """Writes df as a compressed table in the shared folder and reads it back, without its lineage. outer: the table is a result of the innermost open
+    landing_scope, which does not end with it.
 
     A table rather than checkpoint(): it is smaller on disk, read by column, and its plan starts anew, where a checkpointed plan keeps
     the constraints of all rounds before it, which in a loop outgrow the driver.
@@ -62,7 +63,7 @@ def land(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     landed = df.sparkSession.read.schema(df.schema).parquet(path)
     landed.landed_at = path
-    _scopes[-1].append(path)
+    _scopes[max(0, len(_scopes) - 1 - outer)].append(path)
     return landed
 
 
