@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinledger.llm.similar import Join, Similar, similar_sets
 from twinledger.llm.terms import terms
-from twinledger.runtime import land
+from twinledger.runtime import land, landing_scope
 
 METADATA_LEAST_TERMS, METADATA_THRESHOLD, METADATA_SHARED = 20, 0.7, 10
 NAME_LEAST_CHARS, NAME_THRESHOLD, NAME_GRAM = 8, 0.5, 3
@@ -30,11 +30,18 @@ def distinct_names(snapshot: DataFrame) -> DataFrame:
     return snapshot.filter(F.col("name_norm").isNotNull()).groupBy("name_norm").agg(F.min("row_id").alias("row_id")).select("row_id", "name_norm")
 
 
+def _similar(snapshot: DataFrame, make) -> Similar:
+    """What make() finds, as two tables; all others that it wrote are deleted."""
+    with landing_scope(snapshot.sparkSession):
+        found = make()
+        return Similar(land(found.pairs, "pairs", outer=True), land(found.members, "members", outer=True))
+
+
 def similar_metadata(snapshot: DataFrame, threshold: float = METADATA_THRESHOLD) -> Similar:
     """Rows whose metadata terms are similar; rows with null or short metadata take no part, and equal term sets are one class."""
-    return similar_sets(snapshot.select("row_id", "metadata_json"), metadata_sets, Join(threshold, METADATA_SHARED))
+    return _similar(snapshot, lambda: similar_sets(snapshot.select("row_id", "metadata_json"), metadata_sets, Join(threshold, METADATA_SHARED)))
 
 
 def similar_names(snapshot: DataFrame, threshold: float = NAME_THRESHOLD) -> Similar:
     """Names, each standing for its smallest row_id, that are similar in their substrings; short and null names take no part."""
-    return similar_sets(land(distinct_names(snapshot.select("row_id", "name_norm")), "names"), name_sets, Join(threshold))
+    return _similar(snapshot, lambda: similar_sets(land(distinct_names(snapshot.select("row_id", "name_norm")), "names"), name_sets, Join(threshold)))

@@ -410,14 +410,18 @@ def _renamed(hot: DataFrame | None, **names: str) -> DataFrame | None:
     return None if hot is None else hot.withColumnsRenamed(names)
 
 
+def _table(df: DataFrame, name: str) -> DataFrame:
+    """df, landed unless it is a landed table already."""
+    return df if hasattr(df, "landed_at") else land(df, name)
+
+
 def row_pairs(found: Similar) -> DataFrame:
     """(a, b) of ids, smaller first: pairs of classes expanded to their members, and the pairs within each class.
 
     All pairs of a large class are many by definition (links gives the same knowledge in one row per set); they are made by tasks that each hold
     a part of its members against the class, so no task makes all of them.
     """
-    members = land(found.members, "members")
-    pairs = land(found.pairs.select("a", "b"), "pairs")
+    members, pairs = _table(found.members, "members"), _table(found.pairs, "pairs").select("a", "b")
     x = members.select(F.col("rep").alias("a"), F.col("id").alias("id_a"))
     y = members.select(F.col("rep").alias("b"), F.col("id").alias("id_b"))
     large = hot_keys(members, ["rep"], least=CLASS_LEAST)
@@ -442,7 +446,7 @@ def _first_of(*hot: DataFrame | None) -> DataFrame | None:
 def links(found: Similar) -> DataFrame:
     """(id, class_id, copies, links) of every set: its class, the sets of that class, and how many other sets are similar to it, copies
     included; from counts per class, without expanding pairs."""
-    members = land(found.members, "members")
+    members = _table(found.members, "members")
     sizes = land(members.groupBy(F.col("rep").alias("class_id")).agg(F.count(F.lit(1)).alias("copies")), "sizes")
     ends = found.pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     ends = land(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))), "ends")
