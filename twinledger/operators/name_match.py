@@ -30,13 +30,17 @@ def name_members(tokens: DataFrame) -> DataFrame:
     return own.unionByName(whole)
 
 
+#: how many marks make a key, and from which threshold on; below, pairs of marks do
+MOST_MARKS, MANY_MARKS_FROM = 3, 0.9
+
+
 def name_pairs(names: DataFrame, threshold: float, probe: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity) of different names, a < b, with Jaro-Winkler similarity of at least the threshold; lossless.
 
     names: one column, name, distinct. probe: some of these names; then only pairs with one of them at least. Characters with their number
     of occurrence (a, a2, ...) make each name a set. From lengths and threshold follows how many of them two names must share. Where that
-    is one, one of the rarest few of each must be shared; where it is two or more, two of the rarest few plus one, so pairs of marks are the
-    join keys, which far fewer names share than single signs. Keys that very many names share are spread over tasks. Lengths, and the
+    is k, the k rarest of them are among the first few of each, so k marks together are a join key, which far fewer names share than a single
+    sign; k is MOST_MARKS at most, 2 below a threshold of MANY_MARKS_FROM, where names offer more of them. Keys that very many names share are spread over tasks. Lengths, and the
     parity of all signs, are checked in the join, the score in batches afterwards. A threshold above 1 gives no pairs; one of 0 or less is
     refused, as every pair would match: `scopes.all_match_counts` counts them without making any. Empty and null names match nothing.
     """
@@ -59,10 +63,18 @@ def name_pairs(names: DataFrame, threshold: float, probe: DataFrame | None = Non
     ordered = marked.select("name", "len", "sketch", F.explode("marks").alias("mark")).join(often, "mark").groupBy("name", "len", "sketch").agg(order.alias("m"))
     known = ordered.join(F.broadcast(least), "len").withColumn("m", F.col("m.mark"))
     front = lambda k: F.slice("m", F.lit(1), F.least(F.col("len"), F.col("len") - F.col("least") + k))
-    two = F.flatten(F.transform(front(2), lambda x, i: F.transform(F.slice(front(2), i + 2, F.col("len")), lambda y: F.xxhash64(x, y))))
-    one = F.transform(front(1), lambda x: F.xxhash64(x))
-    # lengths that may share a single mark ask so of each other, so both offer single marks
-    keys = F.when(F.col("least") >= 2, F.array(F.struct(F.lit(2).alias("k"), two.alias("keys")))).otherwise(F.array(F.struct(F.lit(1).alias("k"), one.alias("keys")), F.struct(F.lit(2).alias("k"), two.alias("keys"))))
+    # the keys of k marks: each of the first ones with the keys of k - 1 marks after it
+    def keys_of(marks, k: int):
+        if k == 1:
+            return F.transform(marks, lambda x: F.xxhash64(x))
+        return F.flatten(F.transform(marks, lambda x, i: F.transform(keys_of(F.slice(marks, i + 2, F.greatest(F.size(marks), F.lit(1))), k - 1), lambda rest: F.xxhash64(x, rest))))
+
+    # a name offers keys of as many marks as its length may ask for with any other: both names of a pair then offer those of their number
+    most = MOST_MARKS if threshold >= MANY_MARKS_FROM else 2
+    kinds = [F.struct(F.lit(k).alias("k"), keys_of(front(k), k).alias("keys")) for k in range(1, most + 1)]
+    keys = F.array(kinds[-1])
+    for k in range(most - 1, 0, -1):
+        keys = F.when(F.col("least") <= k, F.array(*kinds[k - 1 :])).otherwise(keys)
     short = known.select("name", "len", "sketch", F.explode(keys).alias("s")).select("name", "len", "sketch", "s.k", F.explode("s.keys").alias("key"))
     short = land(short, "keys")
     side = lambda df, x: df.select("k", "key", F.col("name").alias(x), F.col("len").alias(f"l{x}"), F.col("sketch").alias(f"s{x}"))
@@ -70,7 +82,7 @@ def name_pairs(names: DataFrame, threshold: float, probe: DataFrame | None = Non
     met = spread_join(side(left, "a"), side(short, "b"), ["k", "key"], hot_keys(short, ["k", "key"]), ["a"])
     met = met.filter("a < b" if probe is None else "a <> b").join(F.broadcast(bounds), ["la", "lb"])
     differ = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
-    near = met.filter((F.col("k") == F.least(F.col("required"), F.lit(2))) & (differ <= F.col("la") + F.col("lb") - 2 * F.col("required")))
+    near = met.filter((F.col("k") == F.least(F.col("required"), F.lit(most))) & (differ <= F.col("la") + F.col("lb") - 2 * F.col("required")))
     candidates = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def score(batches):

@@ -94,40 +94,75 @@ def seed_uri_edges(tokens: DataFrame, seeds: DataFrame, uri: str, dimension: str
     return joined.select("seed_chain", "seed_address", "candidate_chain", "candidate_address", "token_id", F.lit(dimension).alias("dimension"))
 
 
+def uri_profiles(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): contracts with the same shared URIs as one profile.
+
+    A URI is shared if two contracts have it. members: (chain, contract_address, profile, t, i, n), the tokens of a contract by the shared URIs that
+    they have, empty if none, those with none left out. classes: (profile, chain, t, i, contracts, n) summed over the contracts of a profile, which
+    all have these pairs of URIs and lie on one chain. A profile is known by its chain and 128 bits of its pairs, summed up in any order, so no contract's list is collected.
+    """
+    own = land(alike(tokens.filter("token_uri_norm <> '' or image_uri_norm <> ''")), "alike")
+
+    def shared(uri: str, name: str) -> DataFrame:
+        each = own.filter(F.col(uri) != "").select("chain", "contract_address", uri).distinct()
+        return each.groupBy(uri).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(uri, F.col(uri).alias(name))
+
+    kept = own
+    for uri, name in (("token_uri_norm", "t"), ("image_uri_norm", "i")):
+        known = land(shared(uri, name), "shared")
+        kept = spread_join(kept, known, [uri], hot_keys(own, [uri]), ["chain", "contract_address"], "left")
+    none = F.lit("")
+    pairs = kept.select("chain", "contract_address", F.coalesce("t", none).alias("t"), F.coalesce("i", none).alias("i"), "n").filter("t <> '' or i <> ''")
+    pairs = land(pairs.groupBy("chain", "contract_address", "t", "i").agg(F.sum("n").alias("n")), "pairs")
+    bits = [F.bit_xor(F.xxhash64(F.lit(seed), "t", "i")) for seed in ("one", "two")]
+    named = pairs.groupBy("chain", "contract_address").agg(*(b.alias(f"h{k}") for k, b in enumerate(bits)), F.count(F.lit(1)).alias("k"))
+    named = named.select("chain", "contract_address", F.concat_ws("-", "chain", F.hex("h0"), F.hex("h1"), F.col("k").cast("string")).alias("profile"))
+    members = land(pairs.join(named, ["chain", "contract_address"]), "profile-members")
+    return members, land(members.groupBy("profile", "chain", "t", "i").agg(F.count(F.lit(1)).alias("contracts"), F.sum("n").alias("n")), "profile-classes")
+
+
 def seed_uri_scale(tokens: DataFrame, seeds: DataFrame, images_apart: bool = False, by_scope: bool = False) -> DataFrame:
     """(seed_chain, seed_address, dimension, candidate_contracts, candidate_nfts): what seed_scale gives of the token and image edges of seeds.
 
-    No edge per token is made: tokens of a contract with the same URIs are one class, contracts and classes are numbers, and an edge is a
-    seed, a class and two bits, which are aggregated in the task that makes them. images_apart: image edges count only for tokens that no
-    token URI edge of the same seed has already. by_scope: one row for each scope that the candidates lie in (see scopes.edge_scope),
-    with scope and secondary_chain.
+    No edge is made: contracts with the same shared URIs are one profile (see uri_profiles), the profiles of seeds meet those of others, and a
+    seed's own contract is taken off what its profile reaches; so a URI that very many contracts have costs as many pairs as it has profiles.
+    images_apart: image edges count only for tokens that no token URI edge of the same seed has already. by_scope: one row for each scope that the
+    candidates lie in (see scopes.edge_scope), with scope and secondary_chain.
     """
-    classes = land(alike(tokens.filter("token_uri_norm <> '' or image_uri_norm <> ''")), "classes")
-    contracts = land(classes.select("chain", "contract_address").distinct().withColumn("contract", F.monotonically_increasing_id()), "contracts")
-    numbered = land(classes.withColumn("class", F.monotonically_increasing_id()).join(contracts, ["chain", "contract_address"]).select("contract", "class", "token_uri_norm", "image_uri_norm", "n"), "numbered")
-    mine = contracts.join(seeds.select("chain", "contract_address").distinct(), ["chain", "contract_address"], "left_semi").select("contract")
-
-    def edges(uri: str, bit: int) -> DataFrame:
-        given = numbered.filter(F.col(uri) != "").select("contract", "class", "n", F.col(uri).alias("uri"))
-        wanted = given.join(mine, "contract", "left_semi").select(F.col("contract").alias("seed"), "uri").distinct()
-        wanted = land(wanted, "wanted")
-        # a URI that very many seeds have is one of few; its classes are spread
-        met = spread_join(given, wanted, ["uri"], hot_keys(given, ["uri"]), ["class"]).filter("seed <> contract")
-        return met.groupBy("seed", "contract", "class", "n").agg(F.lit(bit).alias("bits"))
-
-    each = edges("token_uri_norm", 1).unionByName(edges("image_uri_norm", 2)).groupBy("seed", "contract", "class", "n").agg(F.bit_or("bits").alias("bits"))
-    image = (F.col("bits") == 2) if images_apart else (F.col("bits") >= 2)
-    kinds = {"token_uri": F.col("bits") % 2 == 1, "image_uri": image, "total": F.lit(True)}
-    per_contract = each.groupBy("seed", "contract").agg(*(F.sum(F.when(c, F.col("n"))).alias(k) for k, c in kinds.items()))
-    key = ["seed", "scope", "secondary_chain"] if by_scope else ["seed"]
-    if by_scope:
-        chain = contracts.select("contract", "chain")
-        both = per_contract.join(chain.select("contract", F.col("chain").alias("b")), "contract").join(chain.select(F.col("contract").alias("seed"), F.col("chain").alias("a")), "seed")
-        per_contract = both.withColumn("s", F.explode(edge_scope("a", "b"))).select("*", "s.*")
-    per_seed = per_contract.groupBy(*key).agg(*(F.struct(F.lit(k).alias("dimension"), F.count(k).alias("candidate_contracts"), F.sum(k).alias("candidate_nfts")).alias(k) for k in kinds))
-    found = per_seed.select(*key, F.explode(F.array(*kinds)).alias("d")).select(*key, "d.*").filter("candidate_contracts > 0")
-    named = contracts.select(F.col("contract").alias("seed"), F.col("chain").alias("seed_chain"), F.col("contract_address").alias("seed_address"))
-    return found.join(named, "seed").select("seed_chain", "seed_address", *key[1:], "dimension", "candidate_contracts", "candidate_nfts")
+    members, classes = uri_profiles(tokens)
+    numbered = land(classes.withColumn("class", F.monotonically_increasing_id()), "numbered")
+    mine = members.join(seeds.select("chain", "contract_address").distinct(), ["chain", "contract_address"], "left_semi")
+    probing = land(numbered.join(mine.select("profile").distinct(), "profile", "left_semi").select(F.col("profile").alias("seed_profile"), F.col("chain").alias("seed_chain"), "t", "i"), "probing")
+
+    def met(uri: str, bit: int) -> DataFrame:
+        wanted = land(probing.filter(F.col(uri) != "").select("seed_profile", "seed_chain", uri).distinct(), "wanted")
+        given = numbered.filter(F.col(uri) != "").select("profile", "chain", "class", "contracts", "n", uri)
+        found = spread_join(given, wanted, [uri], hot_keys(given, [uri], least=1_000), ["class"])
+        return found.select("seed_profile", "seed_chain", "profile", "chain", "class", "contracts", "n", F.lit(bit).alias("bits"))
+
+    key = ["seed_profile", "seed_chain", "profile", "chain"]
+    each = met("t", 1).unionByName(met("i", 2)).groupBy(*key, "class", "contracts", "n").agg(F.bit_or("bits").alias("bits"))
+
+    def sums(bits, contracts, tokens_):
+        image = (bits == 2) if images_apart else (bits >= 2)
+        kinds = {"token_uri": bits % 2 == 1, "image_uri": image, "total": F.lit(True)}
+        return [x for k, c in kinds.items() for x in (F.max(F.when(c, contracts)).alias(f"{k}_c"), F.sum(F.when(c, tokens_)).alias(f"{k}_n"))]
+
+    # all contracts of a profile have the same pairs of URIs, so each pair has as many contracts as its profile
+    pairs = each.groupBy(*key).agg(*sums(F.col("bits"), F.col("contracts"), F.col("n")))
+    scope = edge_scope("seed_chain", "chain") if by_scope else F.array(F.struct(F.lit("total").alias("scope"), F.lit(None).cast("string").alias("secondary_chain")))
+    scoped = pairs.withColumn("s", F.explode(scope)).select("*", "s.*").groupBy("seed_profile", "scope", "secondary_chain")
+    kinds = ("token_uri", "image_uri", "total")
+    reached = scoped.agg(*(F.sum(f"{k}_{x}").alias(f"{k}_{x}") for k in kinds for x in "cn"))
+    # what a seed's own contract has of this, in the scopes that its own chain lies in
+    bits = F.when(F.col("t") != "", 1).otherwise(0) + F.when(F.col("i") != "", 2).otherwise(0)
+    own = mine.withColumn("bits", bits).groupBy("chain", "contract_address", "profile").agg(*(c.alias(f"own_{k}_{x}") for (k, x), c in zip(((k, x) for k in kinds for x in "cn"), sums(F.col("bits"), F.lit(1), F.col("n")))))
+    joined = own.select(F.col("chain").alias("seed_chain"), F.col("contract_address").alias("seed_address"), F.col("profile").alias("seed_profile"), *(c for c in own.columns if c.startswith("own_"))).join(reached, "seed_profile")
+    inside = F.col("scope").isin("total", "intra")
+    left = lambda k, x: F.coalesce(f"{k}_{x}", F.lit(0)) - F.when(inside, F.coalesce(f"own_{k}_{x}", F.lit(0))).otherwise(0)
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), left(k, "c").cast("long").alias("candidate_contracts"), left(k, "n").cast("long").alias("candidate_nfts")) for k in kinds)))
+    out = joined.withColumn("d", rows).select("seed_chain", "seed_address", *(("scope", "secondary_chain") if by_scope else ()), "d.*")
+    return out.filter("candidate_contracts > 0")
 
 
 def seed_scale(edges: DataFrame) -> DataFrame:
