@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from twinledger.functions.text import token_order
 from twinledger.identity import CASE_SENSITIVE_CHAIN
 from twinledger.operators.scopes import all_match_counts, member_counts
 from twinledger.operators.skew import hot_keys, spread_join
-from twinledger.runtime import land, landing_scope
+from twinledger.runtime import land, landing_scope, release
 
 
 def documents_of(anchors: DataFrame) -> DataFrame:
@@ -21,17 +22,11 @@ def documents_of(anchors: DataFrame) -> DataFrame:
     distinct = anchors.select("document").distinct().select(doc_key(F.col("document")).alias("doc"), "document")
 
     def count(batches):
-        import hashlib
         import re
         from collections import Counter
+        from zlib import crc32
 
-        word, bits = re.compile(r"[^\W_]+"), {}
-
-        def bit(term: str) -> int:
-            if term not in bits:
-                bits[term] = hashlib.blake2b(term.encode("utf-8", "replace"), digest_size=1).digest()[0] & 127
-            return bits[term]
-
+        word = re.compile(r"[^\W_]+")
         for pdf in batches:
             found, sketches = [], []
             for text in pdf["document"]:
@@ -39,9 +34,8 @@ def documents_of(anchors: DataFrame) -> DataFrame:
                 found.append([{"term": t, "tf": n} for t, n in sorted(counts.items())])
                 sketch = 0
                 for t in counts:
-                    sketch ^= 1 << bit(t)
+                    sketch ^= 1 << (crc32(t.encode("utf-8", "replace")) & 127)
                 sketches.append([int.from_bytes((sketch >> at & (1 << 64) - 1).to_bytes(8, "big"), "big", signed=True) for at in (0, 64)])
-            bits.clear()
             yield pd.DataFrame({"doc": pdf["doc"], "terms": found, "length": [sum(t["tf"] for t in x) for x in found], "s0": [x[0] for x in sketches], "s1": [x[1] for x in sketches]})
 
     return distinct.mapInPandas(count, "doc string, terms array<struct<term:string,tf:int>>, length int, s0 long, s1 long")
@@ -51,6 +45,10 @@ def doc_key(document):
     return F.concat(F.hex(F.xxhash64(document)), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), document)))
 
 
+#: slots of the table of term counts, and so the size of what is broadcast, whatever the input
+SLOTS = 1 << 20
+
+
 def _limits(threshold: float, parts: int = 8):
     """For a document's term counts, rare terms first: how many of the first terms a similar document must share one of, and how many of
     all terms it may lack.
@@ -88,17 +86,27 @@ def similar_documents(docs: DataFrame, threshold: float, probe: DataFrame | None
     if threshold <= 0:
         raise ValueError("every pair matches; metadata_counts counts them without pairs")
     limits = _limits(min(threshold, 1.0))
-
-    @F.pandas_udf("prefix int, lacks int")
-    def limited(tfs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([limits(list(x)) for x in tfs], columns=["prefix", "lacks"])
-
-    terms = docs.select("doc", F.explode("terms").alias("t")).select("doc", "t.term", "t.tf")
-    often = terms.groupBy("term").agg(F.count(F.lit(1)).alias("often"))
-    ordered = terms.join(often, "term").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("often", "term", "tf"))).alias("ts"))
-    known = ordered.withColumn("l", limited(F.col("ts.tf"))).join(docs.select("doc", "s0", "s1"), "doc")
-    short = known.select("doc", "s0", "s1", F.col("l.lacks").alias("lacks"), F.explode(F.slice("ts", F.lit(1), F.col("l.prefix"))).alias("t")).filter("t.often > 1").select("t.term", "doc", "s0", "s1", "lacks")
-    short = land(short, "short")
+    spark = docs.sparkSession
+    slot = lambda t: F.pmod(F.xxhash64(t["term"]), F.lit(SLOTS)).cast("int")
+    placed = docs.select("doc", "s0", "s1", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), slot(t).alias("slot"))).alias("ts"))
+    # how often terms occur, in a table of fixed size; terms of one slot count together, which changes their order only, for all documents alike
+    got = placed.select(F.explode("ts.slot").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    often = spark.sparkContext.broadcast(counts)
+
+    def first_terms(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, s0, s1, ts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                ordered = sorted((int(often.value[t["slot"]]), t["term"], t["tf"]) for t in ts)
+                prefix, lacks = limits([tf for *_, tf in ordered])
+                out.extend((term, doc, s0, s1, lacks) for n, term, _ in ordered[:prefix] if n > 1)
+            columns = list(zip(*out)) or [[]] * 5
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["term", "doc", "s0", "s1", "lacks"])
+
+    short = land(placed.mapInArrow(first_terms, "term string, doc string, s0 long, s1 long, lacks int"), "short")
     mine = short if probe is None else short.join(probe.select("doc").distinct(), "doc", "left_semi")
     x, y = (of.select("term", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "s0", "s1", "lacks"))) for of, k in ((mine, "a"), (short, "b")))
     differ = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
@@ -173,8 +181,10 @@ def similar_profiles(anchors: DataFrame, threshold: float = 0.6, per_token: bool
 
 
 def _similar_profiles(anchors: DataFrame, threshold: float, per_token: bool, seeds: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    units = land(units_of(anchors, per_token), "units")
-    docs = land(documents_of(land(anchors.select("document").distinct(), "texts")), "documents")
+    texts = land(anchors.select("chain", "contract_address", "token_id", "document"), "anchors")
+    units = land(units_of(texts, per_token), "units")
+    docs = land(documents_of(texts), "documents")
+    release(texts)
     members, tops = profiled(units)
     tops = land(tops, "tops")
     # the anchors of each profile, taken from the unit that stands for it
