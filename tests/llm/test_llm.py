@@ -90,7 +90,8 @@ def test_long_sets_beside_brute_force(spark, monkeypatch):
 
     one = np.arange(40_000, dtype=np.int64)
     batch = similar.pa.RecordBatch.from_arrays([similar.pa.array([1]), similar.pa.array([one.tolist()], similar.pa.list_(similar.pa.int64()))], ["id", "tokens"])
-    made = sum(b.num_rows for b in similar._signatures(similar.Join(0.7, 10), SimpleNamespace(value=np.ones(similar.SLOTS, np.int64)))([batch]))
+    ones = SimpleNamespace(value=np.ones(similar.SLOTS, np.int64))
+    made = sum(b.num_rows for b in similar._signatures(similar.Join(0.7, 10), ones, ones, 10_000)([batch]))
     assert made < 4 * len(one)  # signatures grow as the tokens do
 
 
