@@ -96,11 +96,21 @@ def similar_documents(docs: DataFrame, threshold: float, probe: DataFrame | None
     often = spark.sparkContext.broadcast(counts)
 
     def first_terms(batches):
+        known: dict[tuple, tuple[int, int]] = {}  # documents of one template have the same counts
         for batch in batches:
+            lists = batch.column(3)
+            term, tf, slot = lists.flatten().flatten()
+            each = list(zip(often.value[slot.to_numpy()].tolist(), term.to_pylist(), tf.to_pylist()))
+            ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
             out: list[tuple] = []
-            for doc, s0, s1, ts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                ordered = sorted((int(often.value[t["slot"]]), t["term"], t["tf"]) for t in ts)
-                prefix, lacks = limits([tf for *_, tf in ordered])
+            for i, (doc, s0, s1) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+                ordered = sorted(each[ends[i] : ends[i + 1]])
+                tfs = tuple(x[2] for x in ordered)
+                if tfs not in known:
+                    if len(known) > 100_000:
+                        known.clear()
+                    known[tfs] = limits(tfs)
+                prefix, lacks = known[tfs]
                 out.extend((term, doc, s0, s1, lacks) for n, term, _ in ordered[:prefix] if n > 1)
             columns = list(zip(*out)) or [[]] * 5
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
