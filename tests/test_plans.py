@@ -109,3 +109,48 @@ def test_seeds_are_probed_without_joining_the_snapshot_with_itself(spark):
     members = name_match.name_members(source.tokens(rows))
     pairs = pipeline.seed_name_pairs(members, seeds, 0.9)
     assert {x for r in pairs.collect() for x in (r.a, r.b)} and all({"collection b", "collection c"} & {r.a, r.b} for r in pairs.collect())
+
+
+def test_seeds_are_scaled_without_an_edge_for_each_token(spark, tmp_path):
+    """What edges to tokens add up to, where hits by URI, name and metadata overlap; no table on the way grows as contracts times tokens."""
+    import random
+
+    from twinledger import runtime
+    from twinledger.operators import uri_match
+    from twinledger.plans import snapshot_queries as queries
+
+    rng = random.Random(4)
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    at = lambda c: ("solana", f"S{c}") if c % 7 == 0 else ("base", f"0x{c}")
+    crowd = [(*at(c), str(t), f"crowd {c * 7919:08b}", "hidden", f"i{c % 9}" if t == 1 else "", "") for c in range(60) for t in range(5)]
+    mixed = [(*at(c), str(t), rng.choice(["golden harbour", "golden harbor", "other thing", ""]), rng.choice(["hidden", "u1", "u2", ""]), rng.choice(["p1", "p2", ""]), rng.choice([text(1), text(1) + " more", text(2), ""])) for c in range(100, 130) for t in range(3)]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(crowd + mixed)], SNAP).write.parquet(f"{tmp_path}/snapshot.parquet")
+    seeds = [(*at(c), 1, "c", "m", "w", "f", None) for c in (*range(0, 60, 2), *range(100, 130, 3), 999)]
+    spark.createDataFrame(seeds, "chain string, address string, seed_rank int, collection_name string, metric string, metric_window string, feed string, collected_at timestamp").write.parquet(f"{tmp_path}/seeds.parquet")
+
+    before = set(runtime._scopes[-1])
+    found = sorted(map(tuple, queries.seed_hits(spark, str(tmp_path)).collect()))
+    made = {p: spark.read.parquet(p).count() for p in runtime._scopes[-1] if p not in before}
+    assert max(made.values()) <= 4 * len(crowd + mixed)
+    rows = pipeline.land(source.read_snapshot(spark, f"{tmp_path}/snapshot.parquet", source.ReadOptions(order="row_id")), "rows")
+    edges = pipeline.match_seeds(rows, source.seed_contracts(spark.read.parquet(f"{tmp_path}/seeds.parquet")), 0.95, 0.6, documents=lambda rows, _: source.first_texts(rows))
+    truth = uri_match.seed_scale(pipeline.expand_edges(edges, source.tokens(rows)))
+    assert found == sorted(map(tuple, truth.collect())) and {r[2] for r in found} == {"token_uri", "image_uri", "name", "metadata", "total"}
+
+
+def test_names_of_several_blocks(spark, monkeypatch):
+    """Blocks of names meet once each, whatever their lengths."""
+    import itertools
+    import random
+
+    from twinledger.functions.similarity import jaro_winkler
+    from twinledger.operators import name_match
+
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefghij é") for _ in range(rng.randint(3, 60))) for _ in range(60)]
+    names = sorted({*base, *(x[:k] + rng.choice("abz") + x[k + 1 :] for x in base for k in (0, len(x) // 2)), *(x + "s" for x in base)})
+    monkeypatch.setattr(name_match, "PART", 16)
+    pairs = name_match.name_pairs(spark.createDataFrame([(n,) for n in names], "name string"), 0.93)
+    truth = {(a, b): s for a, b in itertools.combinations(names, 2) if (s := jaro_winkler(a, b)) >= 0.93}
+    found = [(r.a, r.b, r.similarity) for r in pairs.collect()]
+    assert {(a, b): s for a, b, s in found} == truth and len(found) == len(truth) > 100

@@ -91,17 +91,18 @@ def _together(a: list[str], b: list[str]) -> np.ndarray:
     return np.where([s == t for s, t in zip(a, b)], 1.0, score)
 
 
-def best_jaro_winkler(common: int, la: int, lb: int) -> float:
-    """The highest similarity that texts of these lengths can have with so many characters in common."""
+def best_jaro_winkler(common: int, la: int, lb: int, prefix: int = PREFIX_MOST) -> float:
+    """The highest similarity that texts of these lengths can have with so many characters in common, of which so many at most begin both."""
     if not common or not la or not lb:
         return float(la == lb == 0)
     jaro = (common / la + common / lb + 1) / 3
-    return min(1.0, jaro + PREFIX_WEIGHT * min(PREFIX_MOST, la, lb, common) * (1 - jaro) if jaro > BOOST_ABOVE else jaro)
+    return min(1.0, jaro + PREFIX_WEIGHT * min(prefix, la, lb, common) * (1 - jaro) if jaro > BOOST_ABOVE else jaro)
 
 
-def least_common(la: int, lb: int, threshold: float) -> int:
-    """The fewest common characters with which texts of these lengths can reach the threshold; more than either has if they can't."""
-    return bisect.bisect_left(range(min(la, lb) + 1), True, key=lambda o: best_jaro_winkler(o, la, lb) >= threshold - 1e-12)  # more in common never lowers it
+def least_common(la: int, lb: int, threshold: float, prefix: int = PREFIX_MOST) -> int:
+    """The fewest common characters with which texts of these lengths, of which so many at most begin both, can reach the threshold; more than either
+    has if they can't."""
+    return bisect.bisect_left(range(min(la, lb) + 1), True, key=lambda o: best_jaro_winkler(o, la, lb, prefix) >= threshold - 1e-12)  # more in common never lowers it
 
 
 def bm25_weight(tf: float, length: float, mean: float, idf: float) -> float:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,18 +26,31 @@ def documents_of(anchors: DataFrame) -> DataFrame:
         from zlib import crc32
 
         word = re.compile(r"[^\W_]+")
-        for pdf in batches:
-            found, sketches = [], []
-            for text in pdf["document"]:
+        bits: dict[str, int] = {}
+        low = (1 << 64) - 1
+        for batch in batches:
+            terms, tfs, ends, lengths, sketches = [], [], [0], [], []
+            for text in batch.column(1).to_pylist():
                 counts = Counter(word.findall(text))
-                found.append([{"term": t, "tf": n} for t, n in sorted(counts.items())])
+                own = sorted(counts)
                 sketch = 0
-                for t in counts:
-                    sketch ^= 1 << (crc32(t.encode("utf-8", "replace")) & 127)
-                sketches.append([int.from_bytes((sketch >> at & (1 << 64) - 1).to_bytes(8, "big"), "big", signed=True) for at in (0, 64)])
-            yield pd.DataFrame({"doc": pdf["doc"], "terms": found, "length": [sum(t["tf"] for t in x) for x in found], "s0": [x[0] for x in sketches], "s1": [x[1] for x in sketches]})
-
-    return distinct.mapInPandas(count, "doc string, terms array<struct<term:string,tf:int>>, length int, s0 long, s1 long")
+                for t in own:
+                    bit = bits.get(t)
+                    if bit is None:
+                        if len(bits) > 500_000:
+                            bits.clear()
+                        bit = bits[t] = 1 << (crc32(t.encode("utf-8", "replace")) & 127)
+                    sketch ^= bit
+                terms += own
+                tfs += map(counts.__getitem__, own)
+                ends.append(len(terms))
+                lengths.append(counts.total())
+                sketches.append(sketch)
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int32())], ["term", "tf"])
+            halves = (pa.array(np.array([x >> at & low for x in sketches], np.uint64).view(np.int64)) for at in (0, 64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), pa.array(lengths, pa.int32()), *halves], ["doc", "terms", "length", "s0", "s1"])
+
+    return distinct.mapInArrow(count, "doc string, terms array<struct<term:string,tf:int>>, length int, s0 long, s1 long")
 
 
 def doc_key(document):
@@ -50,26 +62,41 @@ SLOTS = 1 << 20
 
 
 def _limits(threshold: float, parts: int = 8):
-    """For a document's term counts, rare terms first: how many of the first terms a similar document must share one of, and how many of
-    all terms it may lack.
+    """For the term counts of documents, rare terms first: of each document how many of the first terms a similar one must share one of, and
+    how many of all terms it may lack. Counts of all documents lie in one array; ends: where each begins, and the end of all.
 
     By Cauchy's inequality the score is at most the root of S / (U + S): S the squared weight of the shared terms, U that of the others.
     All terms of a document have the same length factor K in one comparison, somewhere between that of length 0 and that of twice the
     mean; relative to a term that occurs once, weights grow with K. Over each part of that range its two ends bound the quotient.
+    Squares are summed up as whole numbers of 2^-30, rounded so that no bound gets closer, as sums over many documents would lose digits.
     """
-    ends = np.linspace(K1 * (1 - B), K1 * (1 + B), parts + 1)[:, None]
+    bounds = np.linspace(K1 * (1 - B), K1 * (1 + B), parts + 1)
     odds = (IDF_SHARED / IDF_ONCE) ** 2 * (1 / threshold**2 - 1) * (1 + 1e-9)  # U <= odds * S in these units
-
-    def of(tfs: list[int]) -> tuple[int, int]:
-        if not len(tfs):
-            return 0, 0
-        tf = np.asarray(tfs, float)
-        squares = (tf * (1 + ends) / (tf + ends)) ** 2
-        low, high = squares[:-1], squares[1:]
-        total = high.sum(axis=1, keepdims=True)
-        beyond = np.cumsum(low, axis=1) > odds * (total - np.cumsum(high, axis=1)) + 1e-9  # after so many unshared terms
-        first = np.where(beyond.any(axis=1), beyond.argmax(axis=1) + 1, len(tf))
-        return int(first.max()), min(len(tf), int((odds * total).max() + 1e-6))
+    unit = 1 << 30
+
+    def of(tf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.diff(ends)
+        some = np.flatnonzero(sizes)
+        first, lacks = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        if not len(some):
+            return first, lacks
+        starts, size = ends[:-1][some], sizes[some]
+        mine = np.repeat(np.arange(len(some)), size)
+        rank = np.arange(len(tf)) - starts[mine] + 1
+        tf = tf.astype(float)
+        squares = [(tf * (1 + x) / (tf + x)) ** 2 * unit for x in bounds]
+        prefix, most = np.zeros(len(some), np.int64), np.zeros(len(some))
+        upto = lambda x: np.concatenate([[0], np.cumsum(x)])
+        for low, high in zip(squares, squares[1:]):
+            unshared, all_ = upto(np.floor(low).astype(np.int64)), upto(np.ceil(high).astype(np.int64))
+            total = all_[starts + size] - all_[starts]
+            lost = unshared[1:] - unshared[starts][mine]
+            left = total[mine] - (all_[1:] - all_[starts][mine])
+            beyond = lost > odds * left + 4  # after so many unshared terms
+            prefix = np.maximum(prefix, np.minimum.reduceat(np.where(beyond, rank, size[mine]), starts))
+            most = np.maximum(most, odds * total / unit)
+        first[some], lacks[some] = prefix, np.minimum(size, (most + 1e-6).astype(np.int64))
+        return first, lacks
 
     return of
 
@@ -87,42 +114,39 @@ def similar_documents(docs: DataFrame, threshold: float, probe: DataFrame | None
         raise ValueError("every pair matches; metadata_counts counts them without pairs")
     limits = _limits(min(threshold, 1.0))
     spark = docs.sparkSession
-    slot = lambda t: F.pmod(F.xxhash64(t["term"]), F.lit(SLOTS)).cast("int")
-    placed = docs.select("doc", "s0", "s1", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), slot(t).alias("slot"))).alias("ts"))
+    # a term is known by 64 bits here: terms that share them join as one, and the scores tell them apart
+    placed = docs.select("doc", "s0", "s1", F.transform("terms", lambda t: F.xxhash64(t["term"])).alias("hs"), F.col("terms.tf").alias("tfs"))
     # how often terms occur, in a table of fixed size; terms of one slot count together, which changes their order only, for all documents alike
-    got = placed.select(F.explode("ts.slot").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    got = placed.select(F.explode("hs").alias("h")).groupBy(F.pmod("h", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.int64)
     counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     often = spark.sparkContext.broadcast(counts)
 
     def first_terms(batches):
-        known: dict[tuple, tuple[int, int]] = {}  # documents of one template have the same counts
         for batch in batches:
-            lists = batch.column(3)
-            term, tf, slot = lists.flatten().flatten()
-            each = list(zip(often.value[slot.to_numpy()].tolist(), term.to_pylist(), tf.to_pylist()))
-            ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
-            out: list[tuple] = []
-            for i, (doc, s0, s1) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
-                ordered = sorted(each[ends[i] : ends[i + 1]])
-                tfs = tuple(x[2] for x in ordered)
-                if tfs not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[tfs] = limits(tfs)
-                prefix, lacks = known[tfs]
-                out.extend((term, doc, s0, s1, lacks) for n, term, _ in ordered[:prefix] if n > 1)
-            columns = list(zip(*out)) or [[]] * 5
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["term", "doc", "s0", "s1", "lacks"])
-
-    short = land(placed.mapInArrow(first_terms, "term string, doc string, s0 long, s1 long, lacks int"), "short")
+            lists, tfs = batch.column(3), batch.column(4)
+            h, tf = lists.flatten().to_numpy(), tfs.flatten().to_numpy()
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            ends = ends - ends[0]
+            of = np.repeat(np.arange(len(lists)), np.diff(ends))
+            n = often.value[h & (SLOTS - 1)]
+            order = np.lexsort((h, n, of))
+            prefix, lacks = limits(tf[order], ends)
+            kept = np.flatnonzero((np.arange(len(h)) - ends[of] < prefix[of]) & (n[order] > 1))
+            docs_ = pa.array(of[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(h[order][kept]), *(batch.column(k).take(docs_) for k in range(3)), pa.array(lacks[of[kept]].astype(np.int32))], ["term", "doc", "s0", "s1", "lacks"])
+
+    short = land(placed.mapInArrow(first_terms, "term long, doc string, s0 long, s1 long, lacks int"), "short")
     mine = short if probe is None else short.join(probe.select("doc").distinct(), "doc", "left_semi")
     x, y = (of.select("term", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "s0", "s1", "lacks"))) for of, k in ((mine, "a"), (short, "b")))
     differ = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
     met = spread_join(x, y, ["term"], hot_keys(short, ["term"]), ["doc_a"]).filter((F.col("doc_a") < F.col("doc_b") if probe is None else F.col("doc_a") != F.col("doc_b")) & (differ <= F.col("lacks_a") + F.col("lacks_b")))
-    pairs = met.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).distinct()
-    return score_pairs(pairs, docs).filter(F.col("score") >= threshold)
+    pairs = land(met.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).distinct(), "pairs")
+    # terms move of documents in the slots of those in pairs only; there are at most SLOTS slots to broadcast
+    place = lambda doc: F.pmod(F.xxhash64(doc), F.lit(SLOTS)).cast("int").alias("slot")
+    met_slots = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")).select(place("doc")).distinct()
+    wanted = docs.withColumn("slot", place("doc")).join(F.broadcast(met_slots), "slot", "left_semi").drop("slot")
+    return score_pairs(pairs, wanted).filter(F.col("score") >= threshold)
 
 
 def score_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -158,7 +182,7 @@ def units_of(anchors: DataFrame, per_token: bool) -> DataFrame:
     """
     apart = F.col("chain") == CASE_SENSITIVE_CHAIN
     unit = F.when(apart & F.lit(per_token), F.col("token_id")).otherwise(F.lit(""))
-    return anchors.select("chain", "contract_address", unit.alias("unit"), (~apart).alias("aligned"), "token_id", token_order(F.col("token_id")).alias("token_rank"), doc_key(F.col("document")).alias("doc"))
+    return anchors.select("chain", "contract_address", unit.alias("unit"), (~apart).alias("aligned"), "token_id", token_order(F.col("token_id")).alias("token_rank"), F.col("doc") if "doc" in anchors.columns else doc_key(F.col("document")).alias("doc"))
 
 
 def profiled(units: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -176,7 +200,7 @@ def profiled(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     return known.select(*UNIT, "profile"), first.select("profile", "aligned", F.col("f.top.token_rank").alias("token_rank"), F.col("f.top.doc").alias("doc"), *(F.col(f"f.{c}").alias(c) for c in UNIT))
 
 
-def similar_profiles(anchors: DataFrame, threshold: float = 0.6, per_token: bool = True, seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def similar_profiles(anchors: DataFrame, threshold: float = 0.6, per_token: bool = True, seeds: DataFrame | None = None, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs (a, b, score) of different profiles, a < b, whose aligned documents match, and the profile of each unit.
 
     Two units are compared by the documents of their highest common token id; where none is common, or a side is not aligned by ids, by
@@ -184,17 +208,19 @@ def similar_profiles(anchors: DataFrame, threshold: float = 0.6, per_token: bool
     first, from the similar and equal documents, and only such pairs are then aligned and kept if the alignment chooses just these
     documents. Units of one profile match as well and are not listed. Units with no valid document match none. A threshold above 1 leaves
     equal documents; one of 0 or less is refused, see similar_documents. seeds: (chain, contract_address); then only pairs with a profile of one.
+    texts: (document), all that anchors have; anchors then hold their keys (doc, see doc_key) alone, so that texts move once.
     """
     with landing_scope(anchors.sparkSession):
-        pairs, members = _similar_profiles(anchors, threshold, per_token, seeds)
+        pairs, members = _similar_profiles(anchors, threshold, per_token, seeds, texts)
         return land(pairs, "profile-pairs", outer=True), land(members, "members", outer=True)
 
 
-def _similar_profiles(anchors: DataFrame, threshold: float, per_token: bool, seeds: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    texts = land(anchors.select("chain", "contract_address", "token_id", "document"), "anchors")
-    units = land(units_of(texts, per_token), "units")
-    docs = land(documents_of(texts), "documents")
-    release(texts)
+def _similar_profiles(anchors: DataFrame, threshold: float, per_token: bool, seeds: DataFrame | None, texts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    given = land(anchors.select("chain", "contract_address", "token_id", "document"), "anchors") if texts is None else anchors
+    units = land(units_of(given, per_token), "units")
+    docs = land(documents_of(given if texts is None else texts), "documents")
+    if texts is None:
+        release(given)
     members, tops = profiled(units)
     tops = land(tops, "tops")
     # the anchors of each profile, taken from the unit that stands for it
@@ -236,10 +262,10 @@ def _similar_profiles(anchors: DataFrame, threshold: float, per_token: bool, see
     return kept, members
 
 
-def similar_contracts(anchors: DataFrame, threshold: float = 0.6, seeds: DataFrame | None = None) -> DataFrame:
+def similar_contracts(anchors: DataFrame, threshold: float = 0.6, seeds: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(chain_a, contract_a, chain_b, contract_b, score): contracts whose aligned documents match, the smaller first: those of similar_profiles, and
-    those of one profile. seeds: only pairs with one of these contracts."""
-    pairs, members = similar_profiles(anchors, threshold, per_token=False, seeds=seeds)
+    those of one profile. seeds: only pairs with one of these contracts. texts: see similar_profiles."""
+    pairs, members = similar_profiles(anchors, threshold, per_token=False, seeds=seeds, texts=texts)
     side = lambda x: members.select(F.col("profile").alias(x), F.col("chain").alias(f"chain_{x}"), F.col("contract_address").alias(f"contract_{x}"))
     several = members.groupBy("profile").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("profile").alias("a"), F.col("profile").alias("b"), F.lit(1.0).alias("score"))
     crowded = hot_keys(members, ["profile"], least=CROWDED)

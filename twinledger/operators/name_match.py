@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from zlib import crc32
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinledger.functions.similarity import jaro_winkler_many, least_common
+from twinledger.functions.similarity import PREFIX_MOST, jaro_winkler_many, least_common
 from twinledger.functions.text import usable_name
 from twinledger.identity import CASE_SENSITIVE_CHAIN
 from twinledger.operators.eager import mode_per_key
 from twinledger.operators.scopes import member_counts
-from twinledger.operators.skew import hot_keys, spread_join
 from twinledger.runtime import land
 
 
@@ -30,85 +34,115 @@ def name_members(tokens: DataFrame) -> DataFrame:
     return own.unionByName(whole)
 
 
-#: how many marks make a key, and from which threshold on; below, pairs of marks do
-MOST_MARKS, MANY_MARKS_FROM = 3, 0.9
+#: names that one task compares with as many others, and the quotient of the lengths of one bucket
+PART, BUCKET = 1 << 14, 1.15
+#: pairs compared at once, and classes of characters whose numbers are compared
+CELLS, CLASSES = 1 << 22, 64
 
 
 def name_pairs(names: DataFrame, threshold: float, probe: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity) of different names, a < b, with Jaro-Winkler similarity of at least the threshold; lossless.
 
     names: one column, name, distinct. probe: some of these names; then only pairs with one of them at least. Characters with their number
-    of occurrence (a, a2, ...) make each name a set. From lengths and threshold follows how many of them two names must share. Where that
-    is k, the k rarest of them are among the first few of each, so k marks together are a join key, which far fewer names share than a single
-    sign; k is MOST_MARKS at most, 2 below a threshold of MANY_MARKS_FROM, where names offer more of them. Keys that very many names share are spread over tasks. Lengths, and the
-    parity of all signs, are checked in the join, the score in batches afterwards. A threshold above 1 gives no pairs; one of 0 or less is
-    refused, as every pair would match: `scopes.all_match_counts` counts them without making any. Empty and null names match nothing.
+    of occurrence (a, a2, ...) make each name a set. From lengths and threshold follows how many of them two names must share, more where they
+    don't begin with the same PREFIX_MOST characters. All names whose lengths allow a match are compared, in blocks of up to PART names of
+    about one length, by the parity of their sets in 64 bits: some two nanoseconds a pair, far less than the rows that a join by rare
+    characters makes, as all names consist of the same few. What remains is compared by the numbers of characters of each class, and then scored.
+    A threshold above 1 gives no pairs; one of 0 or less is refused, as every pair would match: `scopes.all_match_counts` counts them
+    without making any. Empty and null names match nothing.
     """
     if threshold <= 0:
         raise ValueError("every pair matches; count them by scopes.all_match_counts")
     if threshold > 1:
         return names.sparkSession.createDataFrame([], "a string, b string, similarity double")
-    sized = names.filter("name is not null and name <> ''").select("name", F.length("name").alias("len"))
-    seen = sized.withColumn("signs", F.filter(F.split("name", ""), lambda c: c != ""))
-    # the number of occurrence: how often the sign stands in the part of the name up to here
-    marks = F.transform("signs", lambda c, i: F.concat(c, F.size(F.filter(F.slice("signs", 1, i + 1), lambda x: x == c)).cast("string")))
-    # the parity of the marks in 64 bits: two names differ in at least as many marks as in bits
-    bit = lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(m), F.lit(64)).cast("int"))
-    marked = seen.select("name", "len", marks.alias("marks")).withColumn("sketch", F.aggregate("marks", F.lit(0).cast("long"), lambda acc, m: acc.bitwiseXOR(bit(m))))
-    marked = land(marked, "marked")
-    often = marked.select(F.explode("marks").alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("often"))
-    bounds = _length_bounds(marked, threshold)
-    least = bounds.groupBy(F.col("la").alias("len")).agg(F.min("required").alias("least"))
-    order = F.sort_array(F.collect_list(F.struct("often", "mark")))
-    ordered = marked.select("name", "len", "sketch", F.explode("marks").alias("mark")).join(often, "mark").groupBy("name", "len", "sketch").agg(order.alias("m"))
-    known = ordered.join(F.broadcast(least), "len").withColumn("m", F.col("m.mark"))
-    front = lambda k: F.slice("m", F.lit(1), F.least(F.col("len"), F.col("len") - F.col("least") + k))
-    # the keys of k marks: each of the first ones with the keys of k - 1 marks after it
-    def keys_of(marks, k: int):
-        if k == 1:
-            return F.transform(marks, lambda x: F.xxhash64(x))
-        return F.flatten(F.transform(marks, lambda x, i: F.transform(keys_of(F.slice(marks, i + 2, F.greatest(F.size(marks), F.lit(1))), k - 1), lambda rest: F.xxhash64(x, rest))))
-
-    # a name offers keys of as many marks as its length may ask for with any other: both names of a pair then offer those of their number
-    most = MOST_MARKS if threshold >= MANY_MARKS_FROM else 2
-    kinds = [F.struct(F.lit(k).alias("k"), keys_of(front(k), k).alias("keys")) for k in range(1, most + 1)]
-    keys = F.array(kinds[-1])
-    for k in range(most - 1, 0, -1):
-        keys = F.when(F.col("least") <= k, F.array(*kinds[k - 1 :])).otherwise(keys)
-    short = known.select("name", "len", "sketch", F.explode(keys).alias("s")).select("name", "len", "sketch", "s.k", F.explode("s.keys").alias("key"))
-    short = land(short, "keys")
-    side = lambda df, x: df.select("k", "key", F.col("name").alias(x), F.col("len").alias(f"l{x}"), F.col("sketch").alias(f"s{x}"))
-    left = short if probe is None else short.join(probe.select("name").distinct(), "name", "left_semi")
-    met = spread_join(side(left, "a"), side(short, "b"), ["k", "key"], hot_keys(short, ["k", "key"]), ["a"])
-    met = met.filter("a < b" if probe is None else "a <> b").join(F.broadcast(bounds), ["la", "lb"])
-    differ = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
-    near = met.filter((F.col("k") == F.least(F.col("required"), F.lit(most))) & (differ <= F.col("la") + F.col("lb") - 2 * F.col("required")))
-    candidates = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def score(batches):
-        for pdf in batches:
-            found = jaro_winkler_many(pdf["a"].tolist(), pdf["b"].tolist())
-            keep = found >= threshold
-            yield pd.DataFrame({"a": pdf["a"][keep], "b": pdf["b"][keep], "similarity": found[keep]})
-
-    return candidates.mapInPandas(score, "a string, b string, similarity double")
-
-
-def _length_bounds(sized: DataFrame, threshold: float) -> DataFrame:
-    """(la, lb, required) of the pairs of lengths of names that can match: how many marks they must share then, one at least.
-
-    Made where the lengths are, from the distinct ones; lengths that can match lie within a band, as the threshold bounds their quotient.
-    """
-    def bound(batches):
-        for pdf in batches:
-            for row in pdf.itertuples():
-                lengths = list(row.lengths)
-                fits = [(y, max(1, o)) for y in lengths if (o := least_common(row.la, y, threshold)) <= min(row.la, y)]
-                yield pd.DataFrame({"la": [row.la] * len(fits), "lb": [y for y, _ in fits], "required": [o for _, o in fits]})
-
-    each = sized.select(F.col("len").alias("la")).distinct()
-    every = each.agg(F.sort_array(F.collect_set("la")).alias("lengths"))  # the different lengths of names, one row
-    return land(each.join(F.broadcast(every)).mapInPandas(bound, "la int, lb int, required int"), "bounds")
+    given = names.filter("name is not null and name <> ''").select("name")
+    flag = F.lit(True) if probe is None else F.coalesce("asked", F.lit(False))
+    if probe is not None:
+        given = given.join(probe.select("name").distinct().withColumn("asked", F.lit(True)), "name", "left")
+    length = F.length("name")
+    sized = given.select("name", flag.alias("asked"), length.alias("len"), F.floor(F.log(length.cast("double")) / math.log(BUCKET)).cast("int").alias("bucket"))
+    sized = land(sized, "names")
+    counts = sized.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"), F.min("len").alias("lo"), F.max("len").alias("hi"))
+    # buckets with lengths that can match: the shortest quotient decides, so the ends of the ranges do
+    meet = land(_meeting(counts, threshold), "buckets")
+    others = lambda x, y: meet.select(F.col(f"bucket_{x}").alias("bucket"), F.col(f"bucket_{y}").alias("other"), F.col(f"parts_{x}").alias("parts"), F.col(f"parts_{y}").alias("others"))
+
+    def side(x: str, y: str) -> DataFrame:
+        each = sized.join(F.broadcast(others(x, y)), "bucket").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts").cast("long")).cast("int"))
+        each = each.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        return each.select(*(F.col(c).alias(k) for c, k in zip(("bucket", "other", "part", "peer") if x == "a" else ("other", "bucket", "peer", "part"), GROUP)), "name", "asked", "len", F.lit(x).alias("side")).filter("ba < bb or pa <= pb")
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        left, right = (block[block["side"] == x].sort_values(["len", "name"], ignore_index=True) for x in "ab")
+        a, b = _compare(left, right, threshold, block["ba"].iloc[0] == block["bb"].iloc[0] and block["pa"].iloc[0] == block["pb"].iloc[0])
+        score = jaro_winkler_many(a, b)
+        kept = [(min(a[i], b[i]), max(a[i], b[i]), score[i]) for i in np.flatnonzero(score >= threshold)]
+        return pd.DataFrame(kept, columns=["a", "b", "similarity"])
+
+    return side("a", "b").unionByName(side("b", "a")).groupBy(*GROUP).applyInPandas(compare, "a string, b string, similarity double")
+
+
+GROUP = ["ba", "bb", "pa", "pb"]
+
+
+def _meeting(counts: DataFrame, threshold: float) -> DataFrame:
+    """(bucket_a, bucket_b, parts_a, parts_b), bucket_a <= bucket_b, of buckets of lengths (bucket, parts, lo, hi) that hold lengths which can match."""
+    @F.udf("boolean")
+    def can(hi, lo):
+        return hi >= lo or least_common(hi, lo, threshold) <= hi
+
+    side = lambda x: counts.select(*(F.col(c).alias(f"{c}_{x}") for c in counts.columns))
+    return side("a").join(F.broadcast(side("b")), F.col("bucket_a") <= F.col("bucket_b")).filter(can("hi_a", "lo_b")).select("bucket_a", "bucket_b", "parts_a", "parts_b")
+
+
+def _signs(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each name the parity of its marks in 64 bits, the number of its characters of each class, and the number of its beginning (-1 if shorter)."""
+    bits: dict[tuple[str, int], int] = {}
+    parity, numbers, begins = np.zeros(len(names), np.uint64), np.zeros((len(names), CLASSES), np.uint16), np.full(len(names), -1)
+    seen: dict[str, int] = {}
+    for i, name in enumerate(names):
+        own = 0
+        for c, n in Counter(name).items():
+            numbers[i, ord(c) % CLASSES] += n
+            for k in range(n):
+                bit = bits.get((c, k))
+                if bit is None:
+                    bit = bits[c, k] = 1 << (crc32(f"{k} {c}".encode("utf-8", "surrogatepass")) & 63)
+                own ^= bit
+        parity[i] = own
+        if len(name) >= PREFIX_MOST:
+            begins[i] = seen.setdefault(name[:PREFIX_MOST], len(seen))
+    return parity, numbers, begins
+
+
+def _compare(left: pd.DataFrame, right: pd.DataFrame, threshold: float, same: bool) -> tuple[list[str], list[str]]:
+    """The pairs of names of two blocks in order of length that can reach the threshold; same: both are one block, whose pairs count once."""
+    if not len(left) or not len(right) or not (left["asked"].any() or right["asked"].any()):
+        return [], []
+    a, b = left["name"].tolist(), right["name"].tolist()
+    parity, numbers, begins = _signs(a + b)
+    ask, asked = left["asked"].to_numpy(bool), right["asked"].to_numpy(bool)
+    spans = lambda x: [(int(n), np.flatnonzero(x["len"].to_numpy() == n)) for n in x["len"].unique()]
+    out: tuple[list[str], list[str]] = ([], [])
+    for la, rows in spans(left):
+        for lb, cols in spans(right):
+            begun, apart = (least_common(la, lb, threshold, p) for p in (PREFIX_MOST, PREFIX_MOST - 1))
+            if begun > min(la, lb) or (same and la > lb):
+                continue
+            # those asked for meet all, the others only those asked for
+            for x, y in ((rows[ask[rows]], cols), (rows[~ask[rows]], cols[asked[cols]])):
+                step = max(1, CELLS // max(1, len(y)))
+                for at in range(0, len(x) if len(y) else 0, step):
+                    i, j = np.nonzero(np.bitwise_count(parity[x[at : at + step], None] ^ parity[len(a) + y]) <= la + lb - 2 * begun)
+                    i, j = x[at : at + step][i], y[j]
+                    for part in range(0, len(i), CELLS // CLASSES):
+                        p, q = i[part : part + CELLS // CLASSES], j[part : part + CELLS // CLASSES]
+                        common = np.minimum(numbers[p], numbers[len(a) + q]).sum(axis=1)
+                        alike = (begins[p] >= 0) & (begins[p] == begins[len(a) + q])
+                        fits = np.flatnonzero((common >= np.where(alike, begun, apart)) & ((p < q) if same else True))
+                        out[0].extend(a[k] for k in p[fits])
+                        out[1].extend(b[k] for k in q[fits])
+    return out
 
 
 def name_counts(members: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

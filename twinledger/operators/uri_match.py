@@ -121,15 +121,15 @@ def uri_profiles(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, land(members.groupBy("profile", "chain", "t", "i").agg(F.count(F.lit(1)).alias("contracts"), F.sum("n").alias("n")), "profile-classes")
 
 
-def seed_uri_scale(tokens: DataFrame, seeds: DataFrame, images_apart: bool = False, by_scope: bool = False) -> DataFrame:
+def seed_uri_scale(tokens: DataFrame, seeds: DataFrame, images_apart: bool = False, by_scope: bool = False, profiles: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(seed_chain, seed_address, dimension, candidate_contracts, candidate_nfts): what seed_scale gives of the token and image edges of seeds.
 
     No edge is made: contracts with the same shared URIs are one profile (see uri_profiles), the profiles of seeds meet those of others, and a
     seed's own contract is taken off what its profile reaches; so a URI that very many contracts have costs as many pairs as it has profiles.
     images_apart: image edges count only for tokens that no token URI edge of the same seed has already. by_scope: one row for each scope that the
-    candidates lie in (see scopes.edge_scope), with scope and secondary_chain.
+    candidates lie in (see scopes.edge_scope), with scope and secondary_chain. profiles: those of the tokens, see uri_profiles.
     """
-    members, classes = uri_profiles(tokens)
+    members, classes = uri_profiles(tokens) if profiles is None else profiles
     numbered = land(classes.withColumn("class", F.monotonically_increasing_id()), "numbered")
     mine = members.join(seeds.select("chain", "contract_address").distinct(), ["chain", "contract_address"], "left_semi")
     probing = land(numbered.join(mine.select("profile").distinct(), "profile", "left_semi").select(F.col("profile").alias("seed_profile"), F.col("chain").alias("seed_chain"), "t", "i"), "probing")
@@ -165,6 +165,39 @@ def seed_uri_scale(tokens: DataFrame, seeds: DataFrame, images_apart: bool = Fal
     return out.filter("candidate_contracts > 0")
 
 
+def shared_tokens(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (seed_chain, seed_address, candidate_chain, candidate_address) those that share a URI, and the number n of the candidate's tokens that
+    have one of the seed's. members: see uri_profiles."""
+    seed, candidate = ["seed_chain", "seed_address"], ["candidate_chain", "candidate_address"]
+    named = lambda key: (F.col("chain").alias(key[0]), F.col("contract_address").alias(key[1]))
+    found = pairs.select(*seed, *candidate).join(members.select(*named(candidate), "t", "i", "n"), candidate)
+    for uri in ("t", "i"):
+        own = members.filter(F.col(uri) != "").select(*named(seed), uri).distinct().withColumn(f"has_{uri}", F.lit(True))
+        found = found.join(own, [*seed, uri], "left")
+    return found.filter("has_t or has_i").groupBy(*seed, *candidate).agg(F.sum("n").alias("n"))
+
+
+def whole_scale(tokens: DataFrame, seeds: DataFrame, whole: DataFrame) -> DataFrame:
+    """What seed_scale gives of the URI edges of seeds and of whole, (seed_chain, seed_address, candidate_chain, candidate_address, dimension), each of which
+    stands for an edge to every token of its candidate.
+
+    No edge to a token is made: URIs count by profiles (see seed_uri_scale), whole contracts by their sizes, and all together as the sum of both
+    less what pairs of ``whole`` share in URIs.
+    """
+    seed, candidate = ["seed_chain", "seed_address"], ["candidate_chain", "candidate_address"]
+    profiles = uri_profiles(tokens)
+    by_uri = land(seed_uri_scale(tokens, seeds, profiles=profiles), "by-uri")
+    sizes = tokens.groupBy(F.col("chain").alias(candidate[0]), F.col("contract_address").alias(candidate[1])).agg(F.count(F.lit(1)).alias("n"))
+    sized = land(whole.groupBy(*seed, *candidate).agg(F.collect_set("dimension").alias("dimensions")).join(sizes, candidate), "whole")
+    total = F.lit("total").alias("dimension")
+    sums = (F.count(F.lit(1)).alias("candidate_contracts"), F.sum("n").alias("candidate_nfts"))
+    by_whole = sized.withColumn("dimension", F.explode(F.concat("dimensions", F.array(total)))).groupBy(*seed, "dimension").agg(*sums)
+    twice = shared_tokens(profiles[0], sized).groupBy(*seed, total).agg(*sums)
+    less = twice.select(*seed, "dimension", *((-F.col(c)).alias(c) for c in ("candidate_contracts", "candidate_nfts")))
+    every = by_uri.unionByName(by_whole).unionByName(less)
+    return every.groupBy(*seed, "dimension").agg(*(F.sum(c).alias(c) for c in ("candidate_contracts", "candidate_nfts")))
+
+
 def seed_scale(edges: DataFrame) -> DataFrame:
     """Per seed and dimension, and for all dimensions together (``total``, a union, not a sum): candidate contracts and tokens.
 

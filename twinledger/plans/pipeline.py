@@ -119,6 +119,21 @@ def expand_edges(edges: DataFrame, tokens: DataFrame) -> DataFrame:
     return edges.filter("token_id is not null").unionByName(whole)
 
 
+def scale_seeds(tokens: DataFrame, texts: DataFrame, seeds: DataFrame, name_threshold: float, metadata_threshold: float) -> DataFrame:
+    """What uri_match.seed_scale gives of all edges of seeds (see match_seeds and expand_edges), without making those to tokens.
+
+    tokens: see snapshot.tokens. texts: a scan of cleaned rows with metadata, which is compared as texts.
+    """
+    seeds = land(seeds.select("chain", "contract_address").distinct(), "seeds")
+    members = land(name_match.name_members(tokens), "members")
+    key = ["seed_chain", "seed_address", "candidate_chain", "candidate_address"]
+    names = name_match.seed_name_edges(members, seeds, land(seed_name_pairs(members, seeds, name_threshold), "name-pairs")).select(*key, F.lit("name").alias("dimension"))
+    first, documents = source.keyed_texts(texts, metadata_match.doc_key)
+    pairs = metadata_match.both_ways(land(metadata_match.similar_contracts(first, metadata_threshold, seeds, documents), "metadata-pairs"))
+    mine = pairs.join(seeds, ["chain", "contract_address"], "left_semi").select("chain", "contract_address", "peer_chain", "peer_address").toDF(*key)
+    return uri_match.whole_scale(tokens, seeds, names.unionByName(mine.withColumn("dimension", F.lit("metadata"))))
+
+
 def restricted(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """Edges to some candidates (chain, contract_address) only."""
     wanted = candidates.select(F.col("chain").alias("candidate_chain"), F.col("contract_address").alias("candidate_address")).distinct()

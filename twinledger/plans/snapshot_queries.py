@@ -419,9 +419,8 @@ def seed_name_hits(spark: SparkSession, d: str) -> DataFrame:
 
 def seed_hits(spark: SparkSession, d: str) -> DataFrame:
     """Contracts and tokens that each seed's hits reach, in every dimension and in all together; metadata as texts."""
-    rows = land(_rows(spark, d, "name", "token_uri", "image_uri", "metadata"), "rows")
-    edges = pipeline.match_seeds(rows, _seeds(spark, d), NAME_THRESHOLD, METADATA_THRESHOLD, documents=lambda rows, _: source.first_texts(rows))
-    return uri_match.seed_scale(pipeline.expand_edges(land(edges, "edges"), source.tokens(rows)))
+    tokens = land(_tokens(spark, d, "name", "token_uri", "image_uri"), "tokens")
+    return pipeline.scale_seeds(tokens, _rows(spark, d, "metadata"), _seeds(spark, d), NAME_THRESHOLD, METADATA_THRESHOLD)
 
 
 def seed_documents(spark: SparkSession, d: str) -> DataFrame:

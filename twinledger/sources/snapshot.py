@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinledger.functions.documents import canonical_json
@@ -135,6 +135,14 @@ def first_texts(rows: DataFrame) -> DataFrame:
     return given.groupBy(*KEY).agg(F.min(F.struct("source_order", "document")).alias("f")).select(*KEY, "f.*")
 
 
+def keyed_texts(rows: DataFrame, key_of: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """first_texts in two: (key, doc), what key_of makes of each token's first text, and (document), the texts of all rows. rows: a scan, as it is
+    read for each; so no text moves with the tokens."""
+    given = rows.filter("metadata_json <> ''").select(*KEY, "source_order", F.lower("metadata_json").alias("document"))
+    first = given.select(*KEY, "source_order", key_of(F.col("document")).alias("doc")).groupBy(*KEY).agg(F.min(F.struct("source_order", "doc")).alias("f"))
+    return first.select(*KEY, "f.doc"), given.select("document")
+
+
 def seed_anchors(rows: DataFrame, seeds: DataFrame, normalised: bool = True) -> DataFrame:
     """The anchors (see anchors) that can matter to a comparison with seeds (chain, contract_address), of a landed table of cleaned rows.
 
