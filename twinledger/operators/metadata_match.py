@@ -166,7 +166,8 @@ def score_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         idf = F.when((w["a"] > 0) & (w["b"] > 0), IDF_SHARED**2).otherwise(IDF_ONCE**2)
         return F.struct((acc["dot"] + idf * w["a"] * w["b"]).alias("dot"), (acc["a"] + idf * w["a"] * w["a"]).alias("a"), (acc["b"] + idf * w["b"] * w["b"]).alias("b"))
 
-    sums = both.withColumn("k_a", factor("a")).withColumn("k_b", factor("b")).withColumn("t", F.aggregate(each, start, add))
+    # exploded, as a filter on the score would else repeat the sums for each place where it names them
+    sums = both.withColumn("k_a", factor("a")).withColumn("k_b", factor("b")).withColumn("t", F.explode(F.array(F.aggregate(each, start, add))))
     cosine = F.when(F.col("t.dot") > 0, F.col("t.dot") / F.sqrt(F.col("t.a") * F.col("t.b"))).otherwise(0.0)
     return sums.select("doc_a", "doc_b", F.when(F.col("doc_a") == F.col("doc_b"), 1.0).otherwise(cosine).alias("score"))
 
@@ -232,7 +233,7 @@ def _similar_profiles(anchors: DataFrame, threshold: float, per_token: bool, see
         wanted = members.join(seeds.select("chain", "contract_address").distinct(), ["chain", "contract_address"], "left_semi").select("profile").distinct()
         mine = land(wanted, "mine")
         probe = plain.join(mine, "profile", "left_semi").select("doc").unionByName(tops.join(mine, "profile", "left_semi").select("doc")).distinct()
-    near = similar_documents(docs, threshold, None if mine is None else probe)
+    near = land(similar_documents(docs, threshold, None if mine is None else probe), "scores")
     same = docs.select(F.col("doc").alias("doc_a"), F.col("doc").alias("doc_b"), F.lit(1.0).alias("score"))
     near = land(near.unionByName(near.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b"), "score")).unionByName(same), "near")
 
